@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it again: lost executors then cost no recomputation."""
+    """Writes a frame to the shared folder and reads it again: lost executors then cost no recomputation.
+
+    Shuffle files of what led to it go as soon as the driver has collected the objects that stand for
+    them, which is asked for here; a long job would otherwise hold the files of all its steps.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = frame.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out.kept_at = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Removes a kept table that no later step reads."""
+    context = frame.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(frame.kept_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -52,5 +69,30 @@ def task_partition() -> int:
     return context.partitionId() if context else 0
 
 
-def binary_words(column: pa.Array) -> Iterator[bytes | None]:
-    return iter(column.to_pylist())
+def by_key(frame: DataFrame, key: str, order: list[str], function: Callable[[object, pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Applies a function to all rows of each key, in the given order.
+
+    For keys whose groups are bounded by the way the key is made (shards of some megabytes, blocks of a
+    group). Unlike applyInArrow, a partition with many small keys costs one Python call a key, no more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            at = 0
+            for end in ends:
+                if held and keys[at] != now:
+                    yield from function(now, pa.Table.from_batches(held))
+                    held = []
+                now = keys[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from function(now, pa.Table.from_batches(held))
+
+    return frame.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -5,18 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomset.llm import packing, substring, tokenstore
 from loomset.session import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_recurring(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomset.llm.packing import pack
+    return packing.pack(table(spark, sf_dir, "documents"))
+
 
-    return pack(table(spark, sf_dir, "documents"))
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenstore.new_folder(spark)
+    tokenstore.write(table(spark, sf_dir, "documents"), folder)
+    return tokenstore.read_facts(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_best_fit_packing": op9_best_fit_packing}
+    found = (op1_substring_dedup, op9_best_fit_packing, op10_token_store)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
