@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import minhash, packing, substring, tokenstore
+from loomset.llm import htmltext, minhash, packing, substring, tokenstore
 from loomset.session import table
 
 
@@ -20,6 +20,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op6_minhash_near_dedup, op9_best_fit_packing, op10_token_store)
+    found = (op1_substring_dedup, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
     return {f.__name__: f for f in found}
 
 
