@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import htmltext, minhash, packing, substring, tokenstore
+from loomset.llm import htmltext, minhash, packing, substring, tokenstore, vectors
 from loomset.session import table
 
 
@@ -16,6 +16,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op2_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
     return {f.__name__: f for f in found}
 
 
