@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import htmltext, langid, minhash, packing, substring, tokenstore, vectors
+from loomset.llm import htmltext, langid, minhash, packing, quality, substring, tokenstore, vectors
 from loomset.session import table
 
 
@@ -24,6 +24,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_lattice_near_dedup, op4_language_id, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
     return {f.__name__: f for f in found}
 
 
