@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import htmltext, langid, minhash, packing, quality, substring, tokenstore, vectors
+from loomset.llm import decontamination, htmltext, langid, minhash, packing, quality, substring, tokenstore, vectors
 from loomset.session import table
 
 
@@ -20,6 +20,10 @@ def op2_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.held_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_lattice_near_dedup, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
     return {f.__name__: f for f in found}
 
 
