@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import decontamination, htmltext, langid, minhash, packing, quality, substring, tokenstore, vectors
+from loomset.llm import decontamination, htmltext, langid, minhash, packing, pii, quality, substring, tokenstore, vectors
 from loomset.session import table
 
 
@@ -36,6 +36,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), count=True).select("doc_id", "text", "n_entities")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op8_html_extraction, op9_best_fit_packing, op10_token_store)
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op7_pii_surrogates, op8_html_extraction, op9_best_fit_packing, op10_token_store)
     return {f.__name__: f for f in found}
 
 
