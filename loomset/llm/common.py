@@ -13,6 +13,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from loomset.session import table as input_table
+
+#: Rows and bytes of an Arrow batch at most (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset (tests), one of our own, which then becomes that setting."""
@@ -49,6 +54,18 @@ def discard(frame: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches have a bound that suits long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the input tables."""
+    bound_batches(spark)
+    return input_table(spark, sf_dir, name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

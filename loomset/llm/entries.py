@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm import decontamination, htmltext, langid, minhash, packing, pii, quality, substring, tokenstore, vectors
-from loomset.session import table
+from loomset.llm.common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +55,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_facts(spark, folder)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op7_pii_surrogates, op8_html_extraction, op9_best_fit_packing, op10_token_store)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
