@@ -32,3 +32,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"),
     )
+
+
+def dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with its order's date: received, sent, received_month and routing_lag_hours besides the keys."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("sent"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("received"))
+    hours = (F.unix_micros(F.col("sent").cast("timestamp")) - F.unix_micros(F.col("received").cast("timestamp"))) / F.lit(1e6) / F.lit(3600.0)
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("received_month", month_key("received")).withColumn("routing_lag_hours", hours)
