@@ -58,8 +58,11 @@ def _pair(x) -> tuple:
 
 def _subplans(expression) -> list:
     out = []
-    if hasattr(expression, "plan") and "Subquery" in expression.getClass().getSimpleName() or expression.getClass().getSimpleName() in ("Exists", "ListQuery"):
+    kind = expression.getClass().getSimpleName()
+    if kind in ("Exists", "LateralSubquery", "ListQuery", "ScalarSubquery"):
         out.append(expression.plan())
+    elif "TableSubquery" in kind:
+        raise NotAllowed("a table is no argument")
     for child in _children(expression.children()):
         out += _subplans(child)
     return out
