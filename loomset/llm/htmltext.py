@@ -87,6 +87,7 @@ def _marks(element: str, attributes: str, content: bool) -> tuple[bool, bool]:
     words: set[str] = set()
     bad = element in BAD_ELEMENTS or element == "header" and not content
     good = element in CONTENT_ELEMENTS
+    content |= good
     if "=" in attributes:
         for name, *values in _MARK.findall(attributes):
             value = "".join(values).lower()

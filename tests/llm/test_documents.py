@@ -1,0 +1,344 @@
+"""Operators on documents against brute force, and what they do with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from loomset.llm import components, decontamination, langid, minhash, packing, pii, quality, substring, tokens, tokenstore
+
+SPACE = r"[^\x20\x09-\x0D]+"
+TEXT = "doc_id long, text string"
+
+
+def words_of(text):
+    return re.findall(SPACE, text or "")
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Documents with passages, near copies, copies, repeats inside one document, nulls and odd texts."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(900)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages = [draw(60) for _ in range(4)]
+    texts = []
+    for k in range(60):
+        body = draw(rng.randint(1, 160))
+        if k % 3 == 0:
+            at = rng.randint(0, len(body))
+            body[at:at] = rng.choice(passages)[: rng.randint(30, 60)]
+        if k % 11 == 0:
+            body = body + ["x"] + body
+        texts.append(" ".join(body))
+        for _ in range(k % 4):
+            near = list(body)
+            for _ in range(rng.randint(0, 4)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append("  ".join(near) if k % 2 else " ".join(near).upper())
+    texts += [None, None, "", "", "a b", "A\tb", " ", "long " * 5000, texts[0], texts[0]]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_recurring_passages(spark, corpus):
+    starts = Counter()
+    for _, text in corpus:
+        w = words_of(text)
+        starts.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    found = {r["doc_id"]: r for r in substring.remove_recurring(spark.createDataFrame(corpus, TEXT)).collect()}
+    assert len(found) == len(corpus)
+    for doc_id, text in corpus:
+        w = words_of(text)
+        gone = set()
+        for i in range(len(w) - 34):
+            if starts[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        r = found[doc_id]
+        assert (r["n_words"], r["n_removed"], r["kept"]) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+
+
+def brute_components(sets):
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    items = list(sets.items())
+    for k, (i, a) in enumerate(items):
+        for j, b in items[:k]:
+            both = len(a & b)
+            if both and 100 * both >= 75 * (len(a) + len(b) - both):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def shingles(text):
+    w = words_of((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates(spark, corpus):
+    sets = {i: shingles(t) for i, t in corpus}
+    expected = brute_components(sets)
+    found = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(corpus, TEXT)).collect()}
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in found.items()} == {i: (len(sets[i]), c, c == i) for i, c in expected.items()}
+
+
+def test_near_duplicates_in_a_long_chain(spark):
+    """Each text is near the next one only, so one component has many rounds to go."""
+    base = [f"v{i}" for i in range(200)]
+    rows = [(100 - k, " ".join(base[: 10 * k] + [f"n{i}" for i in range(200)][10 * k :])) for k in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, TEXT)).collect()}
+    assert found == brute_components({i: shingles(t) for i, t in rows})
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 5), (20, 3)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 20: 1, 10: 10, 11: 10, 12: 10, 5: 5}
+
+
+PATH = tokens.default_path()
+
+
+def true_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_token_ids_equal_the_library():
+    odd = ["", None, "a  b\n\n c'll don't 中文 x", "  lead", "trail  ", "é  x", "<|endoftext|> hi", "  \u0085\t\t\r\n x", "1234 567-8", "ab" * 400, "ß’s Ωα", "🙂 ok"]
+    assert [x + [2] for x in tokens.encode_texts(odd, PATH)] == true_ids(odd)
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_packing(spark, corpus):
+    rows = [(r["doc_id"], r) for r in packing.pack(spark.createDataFrame(corpus, TEXT).repartition(5)).collect()]
+    ids = dict(zip([i for i, _ in corpus], true_ids([t for _, t in corpus]), strict=True))
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for i, r in rows:
+        pieces[i].append(r)
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, mine in pieces.items():
+        mine.sort(key=lambda r: r["piece"])
+        assert [r["piece"] for r in mine] == list(range(len(mine))) and sum(r["length"] for r in mine) == len(ids[i])
+        assert all(r["length"] == 1024 for r in mine[1:]) and all(crc(ids[i][r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for r in mine)
+    assert set(pieces) == set(ids)
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    least = -(-sum(len(x) for x in ids.values()) // 1024)
+    assert least <= len(bins) <= least * 1.12 + 2
+
+
+def test_plan_of_counts():
+    counts = {1024: 3, 700: 5, 400: 9, 324: 4, 300: 7, 100: 20, 1: 50}
+    bins = packing.plan(counts)
+    used = Counter()
+    for contents, many in bins:
+        assert sum(a * b for a, b in contents) <= 1024 and sum(b for a, b in contents if 3 * a > 1024) <= 2
+        for a, b in contents:
+            used[a] += b * many
+    assert used == counts and packing.plan({}) == []
+
+
+def test_token_store(spark, corpus, tmp_path):
+    docs = spark.createDataFrame(corpus, TEXT).repartition(3)
+    folder = str(tmp_path / "store")
+    tokenstore.write(docs, folder)
+    ordered = sorted(corpus)
+    ids = true_ids([t for _, t in ordered])
+    start, expected = 0, []
+    for (i, _), x in zip(ordered, ids, strict=True):
+        expected.append((i, start, len(x), crc(x)))
+        start += len(x)
+    assert sorted(tuple(r) for r in tokenstore.read_facts(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == expected
+    assert {r["doc_id"]: list(r["ids"]) for r in tokenstore.read_ids(spark, folder).collect()} == {i: x for (i, _), x in zip(ordered, ids, strict=True)}
+    hashes = [r["hash"] for r in spark.read.parquet(f"{folder}/parts/kind=chunk").select("hash").collect()]
+    assert len(hashes) == len(set(hashes))
+
+
+def test_language(spark):
+    rng = random.Random(3)
+    kinds = {"xx": "ka lo mi ta ru ne", "yy": "sch wer und ung ein", "zz": "оро ива нет еда"}
+    rows = [(i, " ".join("".join(rng.choices(kinds[lang].split(), k=rng.randint(1, 3))) for _ in range(rng.randint(5, 60))), lang) for i, lang in enumerate(rng.choices(list(kinds), k=400))]
+    odd = [(1000, None, "xx"), (1001, "", None), (1002, "12 !?", "yy"), (1003, rows[0][1] * 300, None), (None, rows[0][1], "zz"), (1004, "lolota " * 40 + "schwerung " * 40, None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in langid.languages(docs).collect()}
+    assert len(found) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 for r in found.values())
+    assert all(r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, r in found.items())
+    right = [found[i]["lang_pred"] == lang for i, _, lang in rows if found[i]["held_out"]]
+    assert sum(right) / len(right) > 0.98
+    assert [found[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and found[1003]["lang_pred"] == rows[0][2]
+    spans = langid.spans(docs.filter("doc_id = 1004"), langid.learn(docs)).orderBy("start").collect()
+    assert [r["lang"] for r in spans] == ["xx", "yy"] and spans[1]["start"] == 280
+    nothing = langid.languages(docs.filter("doc_id < 5").withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r["lang_pred"] for r in nothing} == {"und"} and langid.languages(docs.limit(0)).count() == 0
+
+
+def test_language_path_is_the_best():
+    rng = np.random.default_rng(0)
+    first = np.concatenate([[0], np.cumsum(rng.choice([0, 1, 2, 3, 7, 30, 200], 60))])
+    scores = -rng.gamma(1, 3, size=(first[-1], 4)).astype(np.float32)
+    path = langid._path(scores, first, 2.0)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if a == b:
+            continue
+        best = scores[a].astype(float)
+        for t in range(a + 1, b):
+            best = (best[:, None] - 2.0 * (1 - np.eye(4))).max(0) + scores[t]
+        mine = path[a:b].tolist()
+        value = sum(scores[a + i, x] for i, x in enumerate(mine)) - 2.0 * sum(x != y for x, y in zip(mine, mine[1:], strict=False))
+        assert abs(best.max() - value) < 1e-2
+
+
+def test_quality(spark):
+    rng = random.Random(5)
+    good = lambda: " ".join("".join(rng.choices(["ka", "lo", "mi", "ta"], k=2)) for _ in range(rng.randint(20, 90))) + "."
+    bad = lambda: " ".join(rng.choice(["BUY", "now", "$$$", "click", "###"]) + rng.choice(["!!", "%%"]) for _ in range(rng.randint(20, 90)))
+    rows = [(i, good() if i % 3 else bad()) for i in range(900)]
+    docs = spark.createDataFrame(rows + [(2000, None), (2001, ""), (None, "kalo")], TEXT)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(900)] + [(2, None), (None, 1)], "doc_id long, quality int")
+    found = {r["doc_id"]: r for r in quality.qualities(docs, labels).collect()}
+    assert len(found) == 903 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in found.values())
+    assert np.mean([found[i]["predicted"] == int(i % 3 > 0) for i in range(900) if found[i]["held_out"]]) > 0.97
+    none = quality.qualities(docs.limit(5), labels.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.5} and quality.qualities(docs.limit(0), labels).count() == 0
+
+
+def test_alignment_equals_the_plain_recurrence():
+    rng = random.Random(1)
+    draw = lambda n: np.array([rng.randint(2, 6) for _ in range(n)], np.uint64)
+    left, right = [draw(rng.randint(1, 20)) for _ in range(150)], [draw(rng.randint(1, 30)) for _ in range(150)]
+
+    def plain(a, b):
+        table, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = max(0, table[i - 1][j - 1] + (2 if x == y else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+                best = max(best, table[i][j])
+        return best
+
+    assert [plain(a, b) for a, b in zip(left, right, strict=True)] == decontamination.align(left, right)[0].tolist()
+
+
+def test_decontamination(spark):
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(700)] + ["the", "of"] * 150
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(draw(rng.randint(14, 60)))) for i in range(30)] + [(90, None), (91, ""), (92, "too short"), (93, None)]
+    rows, planted = [], set()
+    for k in range(200):
+        body = draw(rng.randint(5, 300))
+        if k % 2:
+            item = rng.choice(items[:30])
+            copy = [w if rng.random() > 0.12 else f"e{rng.randint(0, 99)}" for w in item[1].split() if rng.random() > 0.04]
+            at = rng.randint(0, len(body))
+            body[at:at] = copy if k % 4 == 1 else [w.upper() + "," for w in item[1].split()]
+            planted.add((k, item[0]))
+        rows.append((k, " ".join(body), k))
+    rows += [(500, None, 1), (501, "", 1), (502, "the of the " * 4000, 1)] + [(1, rows[1][1], 1)]
+    docs = spark.createDataFrame(rows, TEXT + ", _lower int")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.held_items(docs, benchmark).collect()}
+    assert len(planted - found) <= 2 and found <= planted
+    clean = decontamination.clean(docs, benchmark)
+    assert clean.schema == docs.schema and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {i for i, _ in found}
+    assert decontamination.held_items(docs, benchmark.limit(0)).count() == 0 and decontamination.clean(docs.limit(0), benchmark).count() == 0
+
+
+PERSONAL = [
+    (1, "Call Mr John Smith at +1 (017) 555-7713 or a.b1@Mail3.example.com, Mrs Anna Smith-Jones too. IP 10.2.3.4.", "x"),
+    (2, 'x +10175557713 card 4539 1488 0343 6467 and 4485168114407329; token = "908038b7daaf91e730d2f64001c52934d43d9336"', None),
+    (3, None, "x"),
+    (4, "", "x"),
+    (5, "DE89 3704 0044 0532 0130 00 ssn 123-45-6789 Госпожа Анна Иванова A.B1@mail3.EXAMPLE.com", "x"),
+    (6, "plain 3.14 2024-01-02 12345 v1.2.3 @home\n\n  spaces ", "x"),
+    (6, "again 10.2.3.4,10.2.3.4\n", "x"),
+]
+
+
+def test_surrogates(spark):
+    docs = spark.createDataFrame(PERSONAL, "doc_id long, text string, _found string")
+    rows = pii.replace(docs, count=True).collect()
+    assert {f.name for f in pii.replace(docs).schema} == {"doc_id", "text", "_found"}
+    one, two, five = (next(r for r in rows if r["doc_id"] == i) for i in (1, 2, 5))
+    same = [r for r in rows if r["doc_id"] == 6]
+    assert one["n_entities"] == 5 and re.fullmatch(r"Call Mr \w+ (\w+) at \+1 \(\d{3}\) \d{3}-\d{4} or [a-z]\.[a-z]\d@[A-Z][a-z]{3}\d\.[a-z]{7}\.com, Mrs \w+ \1-\w+ too\. IP [\d.]+\.", one["text"])
+    for secret in ("John", "Smith", "Anna", "Jones", "555-7713", "Mail3", "10.2.3.4", "4539 1488", "4485168114407329", "908038b7", "3704 0044", "123-45", "Иванова"):
+        assert all(secret not in (r["text"] or "") for r in rows)
+    digits = re.sub(r"\D", "", one["text"][one["text"].index("+1") : one["text"].index(" or ")])
+    assert f"+{digits}" in two["text"]
+    mail = re.search(r"\S+@\S+", one["text"])[0].rstrip(",")
+    assert re.search(r"\S+@\S+", five["text"])[0].lower() == mail.lower() and re.search("Госпожа [А-Я][а-я]+ [А-Я][а-я]+ ", five["text"])
+    number = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", two["text"])[1].replace(" ", "")
+    assert sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(reversed(number))) % 10 == 0
+    address = one["text"].rsplit(" ", 1)[1].rstrip(".")
+    assert sorted(r["text"] for r in same) == sorted([PERSONAL[5][1], f"again {address},{address}\n"])
+    assert [r["text"] for r in rows if r["doc_id"] in (3, 4)] == [None, ""] and pii.replace(docs.limit(0)).count() == 0
+
+
+def test_surrogates_of_a_full_space_stay_distinct(spark):
+    """All 26 one-letter addresses of one domain, and numbers: every surrogate is new, and none is one of them."""
+    letters = "abcdefghijklmnop"
+    docs = spark.createDataFrame([(i, f"write {c}@b.co now") for i, c in enumerate(letters)], TEXT)
+    found = [re.search(r"\S+@\S+", r["text"])[0] for r in pii.replace(docs).collect()]
+    assert len(set(found)) == len(letters) and not {f"{c}@b.co" for c in letters} & set(found)
+
+
+def test_surrogates_depend_on_the_key(spark):
+    docs = spark.createDataFrame([(1, "ssn 123-45-6789")], TEXT)
+    assert pii.replace(docs, key="a").first()["text"] != pii.replace(docs, key="b").first()["text"] == pii.replace(docs, key="b").first()["text"]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], TEXT)
+    assert substring.remove_recurring(none).count() == minhash.near_duplicates(none).count() == packing.pack(none).count() == 0
+    folder = tokenstore.new_folder(spark)
+    tokenstore.write(none, folder)
+    assert tokenstore.read_facts(spark, folder).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, None)]
+    docs = spark.createDataFrame(rows, TEXT).withColumn("shard", F.lit(9)).withColumn("rep", F.lit("x"))
+    assert substring.remove_recurring(docs).count() == 4 and packing.pack(docs).count() == 4
+    found = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert found == [("1", "1", True), ("1", "1", True), ("2", "2", True), ("None", "None", True)]
+    assert langid.languages(docs.withColumn("lang", F.lit("en"))).count() == 4
+
+
+def test_removal_query_hashes_what_is_kept(spark, data):
+    from loomset.llm import entries
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = {r["doc_id"]: hashlib.sha256(r["kept"].encode()).hexdigest() for r in substring.remove_recurring(docs).collect()}
+    assert {r["doc_id"]: r["kept_sha256"] for r in entries.op1_substring_dedup(spark, data).collect()} == kept
+
+
+def test_words_of_arrow_texts():
+    from loomset.llm import textarray
+
+    data, offsets = textarray.utf8(pa.array(["a  b", None, "", "\tc d\n", "e"]))
+    start, end, row = textarray.words(data, offsets)
+    assert [(data[a:b].tobytes(), r) for a, b, r in zip(start, end, row, strict=True)] == [(b"a", 0), (b"b", 0), (b"c", 3), (b"d", 3), (b"e", 4)]
