@@ -5,9 +5,10 @@
 2. Documents with one and the same set are one class from here on; its least doc_id stands for it.
 3. Classes that share a band meet in a bucket. In each bucket the least class is compared with every other
    one, on full sets: linear in the bucket, and enough to join a group of copies. The links give components.
-4. Buckets that still hold several components are gone through once more, in blocks: all signatures are compared inside the
-   task, and only pairs of different components whose signatures agree in at least AGREE places (which a pair
-   at the threshold misses once in some 10**8 times) go on to the comparison on full sets.
+4. Buckets that still hold several components are gone through once more, in blocks. Signatures are compared inside the
+   task; rows with a partner of another component whose signature agrees in at least AGREE places (which a pair at the
+   threshold misses once in some 10**8 times) and that they meet in no earlier band get their texts, and are compared on full sets inside
+   their block. Rows are dealt out, never pairs, and a row reports one link for each component it is linked with.
 
 A pair at the threshold shares no band once in 10**5 times (0.684 ** 32); closer pairs far less often. No bucket is
 capped and no pair is linked without its full sets.
@@ -125,29 +126,78 @@ def _texts_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return keep(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
 
 
-def _screened(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree often enough."""
-    rows = buckets.join(parts.withColumnsRenamed({"node": "rep", "component": "part"}), "rep", "left").select("key", "rep", F.coalesce("part", "rep").alias("part"))
+def _blocks(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, dealt into cells of two blocks so that any two rows of a bucket meet in one cell."""
+    rows = buckets.join(parts.withColumnsRenamed({"node": "rep", "component": "part"}), "rep", "left").select("key", "band", "rep", F.coalesce("part", "rep").alias("part"))
     mixed = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "key").join(classes.select("rep", "sig", "n_shingles"), "rep")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(other))
-    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "rep", "part", "sig", "n_shingles")
+    rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") == F.col("other")).alias("same"), "block", "band", "rep", "part")
+
+
+def _apart(i: int, block: np.ndarray, same: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Later rows of a cell that row i is to be compared with."""
+    later = slice(i + 1, None)
+    fits = 100 * np.minimum(n[later], n[i]) >= PERCENT * np.maximum(n[later], n[i])
+    return i + 1 + np.flatnonzero((part[later] != part[i]) & (same[i] | (block[later] != block[i])) & fits)
+
+
+def _candidates(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of cells that have a possible partner of another component which they meet in no earlier band."""
+
+    def run(cell: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        part, block, n = (table.column(c).to_numpy() for c in ("part", "block", "n_shingles"))
+        same = table.column("same").to_numpy(zero_copy_only=False)
+        band = table.column("band")[0].as_py()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(n), HASHES)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), HASHES // ROWS)
+        take = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            j = _apart(i, block, same, part, n)
+            j = j[(sig[j] == sig[i]).sum(1) >= AGREE]
+            j = j[(keys[j] == keys[i]).argmax(1) == band]
+            if len(j):
+                take[i] = True
+                take[j] = True
+        yield from table.filter(pa.array(take)).select(["cell", "same", "block", "rep", "part", "n_shingles"]).combine_chunks().to_batches()
+
+    rows = cells.join(classes.select("rep", "sig", "bands", "n_shingles"), "rep")
+    return by_key(rows, "cell", [], run, "cell long, same boolean, block int, rep long, part long, n_shingles long")
+
+
+def _cell_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between components, compared on full sets inside each cell; one link at most for each row and component it is linked with."""
 
     def run(cell: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        rep, part, n = (table.column(c).to_numpy() for c in ("rep", "part", "n_shingles"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(rep), HASHES)
+        rep, part, block = (table.column(c).to_numpy() for c in ("rep", "part", "block"))
+        same = table.column("same").to_numpy(zero_copy_only=False)
+        sets: list[np.ndarray] = []
+        for batch in table.select(["text"]).to_batches():
+            for rows in slices(batch):
+                sets += shingle_sets(rows.column("text"))
+        n = np.array([len(s) for s in sets])
+        begin = np.cumsum(n) - n
+        values, number = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(values), bool)
         left, right = [], []
         for i in range(len(rep) - 1):
-            j = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])))
-            j = j[(sig[j] == sig[i]).sum(1) >= AGREE]
-            left += [rep[i]] * len(j)
-            right += rep[j].tolist()
+            j = _apart(i, block, same, part, n)
+            if not len(j):
+                continue
+            own = number[begin[i] : begin[i] + n[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[number[begin[i] :]], begin[i:] - begin[i], dtype=np.int64)[j - i]
+            mark[own] = False
+            j = j[100 * both >= PERCENT * (n[i] + n[j] - both)]
+            if len(j):
+                _, one = np.unique(part[j], return_index=True)
+                left += [int(rep[i])] * len(one)
+                right += rep[j[one]].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
+    rows = candidates.drop("n_shingles").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("cell", "same", "block", "rep", "part", "text")
     pairs = by_key(rows, "cell", [], run, "a long, b long")
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -156,7 +206,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = facts.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
     member = facts.join(named, ["one", "two"])
     classes = keep(member.filter("doc_id = rep").select("rep", "one", "two", "n_shingles", "bands", "sig").dropDuplicates(["rep", "one", "two"]), "classes")
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last").select("key", "head")
     shared = keep(keys.join(heads, "key"), "buckets")
     stars = keep(shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
@@ -164,9 +214,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = keep(linked(stars, texts), "links")
     discard(texts)
     parts = keep(components(links), "parts")
-    more = keep(_screened(shared.select("key", "rep"), classes, parts).join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.union(keep(linked(more, _texts_of(documents, more)), "links"))
+    candidates = keep(_candidates(_blocks(shared.select("key", "band", "rep"), classes, parts), classes), "candidates")
+    if not candidates.isEmpty():
+        texts = _texts_of(documents, candidates.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        links = links.union(keep(_cell_links(candidates, texts), "links"))
+        discard(texts)
         parts = keep(components(links), "parts")
     found = facts.join(named, ["one", "two"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
