@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import keep, task_partition
 from loomset.llm.textarray import slices
-from loomset.llm.tokens import default_path, encoder, with_end
+from loomset.llm.tokens import TEXT_BYTES, default_path, encoder, with_end
 
 CAPACITY = 1024
 END_ID = 2
@@ -56,7 +56,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
         seen = np.zeros(capacity + 1, np.int64)
         part = task_partition()
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=TEXT_BYTES):
                 ids, offsets = with_end(*encoder(path).encode(rows.column("text")), end_id)
                 row, piece, start, length = cut(np.diff(offsets), capacity)
                 at = offsets[row] + start

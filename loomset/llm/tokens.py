@@ -20,7 +20,9 @@ from loomset.llm.textarray import BYTE_BASE, range_hash, utf8
 #: Code points below this one, apart from the apostrophe, are split here.
 PLAIN_BELOW = 0x500
 #: Pieces whose ids a worker keeps; the store starts anew beyond that.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
+#: Text that is encoded at once: what an encoder holds besides is some hundred bytes for each character of it.
+TEXT_BYTES = 1 << 19
 
 
 def _classes() -> np.ndarray:
@@ -55,23 +57,24 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.kept: dict[int, int] = {}
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(KEPT_PIECES * 2, np.int64)
-        self.count = np.zeros(KEPT_PIECES * 2, np.int64)
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of the pieces kept
+        self.begin = np.zeros(0, np.int64)  # of their ids in the pool, in the order of the keys
+        self.count = np.zeros(0, np.int32)
+        self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _add(self, key: int, ids: list[int]) -> int:
-        n = len(ids)
-        if self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(n, len(self.pool)), np.uint32)])
-        at = self.kept[key] = len(self.kept)
-        if at >= len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begin, self.count))
-        self.pool[self.used : self.used + n] = ids
-        self.begin[at], self.count[at] = self.used, n
-        self.used += n
-        return at
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """keys: sorted, none of them kept so far."""
+        count = np.array([len(x) for x in ids], np.int32)
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool) // 2), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(count, dtype=np.int64) - count)
+        self.count = np.insert(self.count, at, count)
+        self.used += len(flat)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): ids of row i are ids[offsets[i]:offsets[i + 1]]; null is the empty text."""
@@ -109,16 +112,15 @@ class Encoder:
         stop = np.append(start[1:], end)
         keys = range_hash(points, start, stop, BYTE_BASE)
         found, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.kept) > KEPT_PIECES:
+        if len(self.keys) > KEPT_PIECES:
             self.clear()
-        kept = self.kept
-        places = np.fromiter((kept.get(k, -1) for k in found.tolist()), np.int64, len(found))
-        for i in np.flatnonzero(places < 0):
-            a, b = start[first[i]], stop[first[i]]
-            piece = text[a:b].encode().decode("latin-1").translate(self.letters)
-            places[i] = self._add(int(found[i]), [t.id for t in self.model.tokenize(piece)])
-        place = places[which]
-        size = self.count[place]
+        at_key = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+        new_ones = np.flatnonzero(self.keys[at_key] != found) if len(self.keys) else np.arange(len(found))
+        if len(new_ones):
+            bounds = zip(start[first[new_ones]].tolist(), stop[first[new_ones]].tolist(), strict=True)
+            self._add(found[new_ones], [[t.id for t in self.model.tokenize(text[a:b].encode().decode("latin-1").translate(self.letters))] for a, b in bounds])
+        place = np.searchsorted(self.keys, found)[which]
+        size = self.count[place].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.begin[place] - total[:-1], size) + np.arange(total[-1])]
         return ids, np.diff(total[np.searchsorted(start, at)])

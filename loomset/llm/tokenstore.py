@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import shared_folder, shuffle_partitions, task_partition
 from loomset.llm.textarray import slices
-from loomset.llm.tokens import default_path, encoder, with_end
+from loomset.llm.tokens import TEXT_BYTES, default_path, encoder, with_end
 
 END_ID = 2
 #: Ids that the rolling hash covers, mean distance of cuts (a power of two), least and greatest chunk.
@@ -115,7 +115,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, end_i
         sent: set[bytes] = set()
         task, row = task_partition(), 0
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=TEXT_BYTES):
                 ids, offsets = with_end(*encoder(path).encode(rows.column("text")), end_id)
                 wide = int(ids.max(initial=0)) > 0xFFFF
                 data = memoryview(np.ascontiguousarray(ids, "<u4" if wide else "<u2")).cast("B")
