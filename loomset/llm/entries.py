@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import decontamination, htmltext, langid, minhash, packing, pii, quality, substring, tokenstore, vectors
+from loomset.llm import decontamination, htmltext, langid, minhash, oracles, packing, pii, quality, substring, tokenstore, vectors
 from loomset.llm.common import table
 
 
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": oracles.OP1, "op2_lattice_near_dedup": oracles.OP2, "op6_minhash_near_dedup": oracles.OP6}
