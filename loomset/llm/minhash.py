@@ -3,8 +3,8 @@
 1. Each document's set of distinct five-word shingles (a shorter text is one shingle) gives HASHES
    minima of universal hashes, cut into bands of ROWS, and a name of the whole set.
 2. Documents with one and the same set are one class from here on; its least doc_id stands for it.
-3. Classes that share a band meet in a bucket. In each bucket the least class is compared with every other
-   one, on full sets: linear in the bucket, and enough to join a group of copies. The links give components.
+3. Classes that share a band meet in a bucket. Each class is compared, on full sets, with the least one that it meets in any
+   bucket: one pair for each class, and enough to join most of a group of copies. The links give components.
 4. Buckets that still hold several components are gone through once more, in blocks. Signatures are compared inside the
    task; rows with a partner of another component whose signature agrees in at least AGREE places (which a pair at the
    threshold misses once in some 10**8 times) and that they meet in no earlier band get their texts, and are compared on full sets inside
@@ -120,10 +120,23 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(small, "a long, b long")
 
 
+#: Words of 64 bits of the table that rules out most documents before texts are dealt out: rows that are broadcast at most.
+BIT_WORDS = 1 << 20
+
+
 def _texts_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """doc_id and text of the documents in pairs.
+
+    A table of hashed bits, broadcast in BIT_WORDS rows at most, leaves few documents beside those wanted, so that
+    texts of others need not move; the join that follows is exact.
+    """
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    word = F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 6), F.lit(BIT_WORDS)).cast("int").alias("_word")
+    bit = F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")
+    bits = wanted.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return keep(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    likely = texts.withColumn("_word", word).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+    return keep(likely.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
 
 
 def _blocks(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -203,13 +216,14 @@ def _cell_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, for each row of documents."""
     facts = keep(signatures(documents), "signatures")
-    named = facts.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
-    member = facts.join(named, ["one", "two"])
-    classes = keep(member.filter("doc_id = rep").select("rep", "one", "two", "n_shingles", "bands", "sig").dropDuplicates(["rep", "one", "two"]), "classes")
+    first = F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id")
+    classes = facts.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), first.alias("f"))
+    classes = keep(classes.select("rep", "one", "two", "f.n_shingles", "f.bands", "f.sig"), "classes")
+    named = classes.select("one", "two", "rep")
     keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last").select("key", "head")
     shared = keep(keys.join(heads, "key"), "buckets")
-    stars = keep(shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    stars = keep(shared.groupBy("rep").agg(F.min("head").alias("head")).filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")), "pairs")
     texts = _texts_of(documents, stars)
     links = keep(linked(stars, texts), "links")
     discard(texts)
