@@ -156,3 +156,20 @@ def test_catalog_and_stream(spark, tmp_path):
         query.awaitTermination(120)
     found = {(str(r["day"]), r["kind"]): r["event_count"] for r in spark.read.parquet(out).collect()}
     assert found[("2024-01-01", "view")] == 2 and ("2024-01-09", "view") not in found
+
+
+def test_cases_hold_terms_within_one_result_and_collect_no_texts(spark):
+    results = spark.createDataFrame([("a", "x", "c", "The late"), ("a", "x", None, "reply came"), ("b", "x", "c", "Late reply"), ("b", "y", "c", ""), ("d", "x", "c", None), ("e", "x", "c", "late")], "case_id string, product string, citation string, chunk_text string")
+    cases = spark.createDataFrame([("a", "x", ["late reply"]), ("b", "x", ["LATE", "reply"]), ("c", "x", ["late"]), ("c", "x", []), ("d", "x", []), ("e", "x", ["late", "reply"]), ("e", "x", None)], "case_id string, product string, expected_terms array<string>")
+    found = evaluate.retrieval_cases(results, cases)
+    rows = sorted((r["case_id"], r["results"], r["filtered"], r["cited"], r["covered"]) for r in found.collect())
+    assert rows == [
+        ("a", 2, True, False, False),
+        ("b", 2, False, True, True),
+        ("c", 0, False, False, False),
+        ("c", 0, False, False, True),
+        ("d", 1, True, True, True),
+        ("e", 1, True, True, False),
+        ("e", 1, True, True, False),
+    ]
+    assert "collect_" not in found._jdf.queryExecution().optimizedPlan().toString()
