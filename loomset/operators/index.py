@@ -1,12 +1,13 @@
-"""A search index: chunks of a sample of texts, their term weights, and vectors of fewer dimensions.
+"""A search index: chunks of all distinct texts, their term weights, and vectors of fewer dimensions.
 
-The sample is bounded by design (MAX_DOCUMENTS, the same ones each time); what is fitted on it, vocabulary and directions, then serves any
-number of chunks. Directions are found by subspace iteration: each round, every task multiplies its rows with
+Vocabulary and directions are fitted on a sample that is bounded by design (MAX_DOCUMENTS, the same ones each time). Chunks, term weights and
+vectors are then made of every distinct text with what was fitted, so that search can return any of them. Directions are found by subspace iteration: each round, every task multiplies its rows with
 the directions so far and back, and blocks of the products are summed where the blocks meet; only the small basis visits the driver.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from loomset.operators import clean, retrieval, sampling, text, topics
 
 MAX_DOCUMENTS, DIMENSIONS, ROUNDS = 20_000, 128, 7
 BLOCK = 8_192
+#: Tasks of a round at most: each gives an array of terms x dimensions.
+TASKS = 4
 
 
 @dataclass
@@ -38,16 +41,22 @@ def _summed(parts: DataFrame) -> np.ndarray:
     """The sum of flat arrays that came as (block, values)."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [np.asarray(x) for x in table.column("values").to_pylist()]
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([np.sum(rows, 0).tolist()], pa.list_(pa.float64()))})
+        rows = table.column("values").combine_chunks()
+        total = rows.flatten().to_numpy().reshape(len(rows), -1).sum(0, dtype=np.float64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "values": _listed(total)})
 
     found = parts.groupBy("block").applyInArrow(add, "block int, values array<double>").toArrow().sort_by("block")
-    return np.concatenate([np.asarray(x) for x in found.column("values").to_pylist()]) if found.num_rows else np.zeros(0)
+    return found.column("values").combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0)
+
+
+def _listed(flat: np.ndarray) -> pa.Array:
+    """One list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
 
 
 def _emit(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k, at in enumerate(range(0, len(flat), BLOCK)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([flat[at : at + BLOCK].tolist()], pa.list_(pa.float64()))], ["block", "values"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), _listed(flat[at : at + BLOCK])], ["block", "values"])
 
 
 def directions(rows: DataFrame, width: int, dimensions: int, rounds: int = ROUNDS, seed: int = 42) -> tuple[np.ndarray, float]:
@@ -56,16 +65,22 @@ def directions(rows: DataFrame, width: int, dimensions: int, rounds: int = ROUND
     if dimensions < 2:
         raise ValueError("too few terms for an index")
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, dimensions)))[0]
+    context = rows.sparkSession.sparkContext
     for _ in range(rounds):
+        shared = context.broadcast(basis)
 
-        def run(batches: Iterator[pa.RecordBatch], basis: np.ndarray = basis) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros((width, dimensions))
             for batch in batches:
-                for x in topics._matrix(batch, width):
-                    total += x.T @ (x @ basis)
-            yield from _emit(total.ravel())
-
-        product = _summed(rows.select("places", "values").mapInArrow(run, "block int, values array<double>"))
+                for part in topics.sparse(batch):
+                    _back(*part, _product(*part, shared.value), total)
+            yield from _emit(total.ravel().astype(np.float32))  # a task's part; the parts are added in double precision
+
+        product = _summed(rows.select("places", "values").mapInArrow(run, "block int, values array<float>"))
+        shared.destroy()
+        # else the parts of all rounds stay on disk until the driver happens to collect its garbage
+        gc.collect()
+        context._jvm.System.gc()
         if not len(product):
             return basis, 0.0
         basis = np.linalg.qr(product.reshape(width, dimensions))[0]
@@ -74,11 +89,12 @@ def directions(rows: DataFrame, width: int, dimensions: int, rounds: int = ROUND
         sums = np.zeros((2, width)), np.zeros((2, dimensions)), 0
         full, small, n = sums
         for batch in batches:
-            for x in topics._matrix(batch, width):
-                y = x @ basis
-                full += [x.sum(0), (x**2).sum(0)]
+            for part in topics.sparse(batch):
+                _, place, value, many = part
+                y = _product(*part, basis)
+                full += [np.bincount(place, value, width), np.bincount(place, value**2, width)]
                 small += [y.sum(0), (y**2).sum(0)]
-                n += len(x)
+                n += many
         yield from _emit(np.concatenate([full.ravel(), small.ravel(), [n]]))
 
     flat = _summed(rows.select("places", "values").mapInArrow(spread, "block int, values array<double>"))
@@ -88,44 +104,73 @@ def directions(rows: DataFrame, width: int, dimensions: int, rounds: int = ROUND
     return basis, variance(small) / max(variance(full), 1e-12)
 
 
+def _product(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
+    """Sparse rows times the directions."""
+    out = np.zeros((n, basis.shape[1]))
+    if len(row):
+        start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        out[row[start]] = np.add.reduceat(basis[place] * value[:, None], start)
+    return out
+
+
+def _back(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, y: np.ndarray, total: np.ndarray) -> None:
+    """Adds the transposed sparse rows times y."""
+    if len(row):
+        order = np.argsort(place, kind="stable")
+        at = place[order]
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        total[at[start]] += np.add.reduceat(y[row[order]] * value[order][:, None], start)
+
+
 def project(rows: DataFrame, key: str, basis: np.ndarray) -> DataFrame:
     """key and vector (of length one; all zeros if nothing of the row is in the directions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = np.concatenate([x @ basis for x in topics._matrix(batch, len(basis))])
+                y = np.concatenate([_product(*part, basis) for part in topics.sparse(batch)])
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(y.astype(np.float32).tolist(), pa.list_(pa.float32()))], [key, "vector"])
 
     return rows.select(key, "places", "values").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vector array<float>")
 
 
+def counts_of(texts: DataFrame, key: str, body: str, among: DataFrame | None = None) -> DataFrame:
+    """key, term and tf as the index counts them, of texts and of questions."""
+    return text.term_counts(texts, key, body, bigrams=True, among=among)
+
+
 def build(texts: DataFrame, key: str, body: str, group: str, most: int = MAX_DOCUMENTS, dimensions: int = DIMENSIONS, features: int = 30_000, rounds: int = ROUNDS) -> Index:
-    """Indexes a balanced sample of the distinct texts. Frames that are read more than once are cached; unpersist them when done."""
+    """Indexes all distinct texts by what a balanced sample of most of them teaches. Frames that are read more than once are cached; unpersist them when done."""
     distinct = clean.keep_first(texts.filter(F.col(body).isNotNull()).withColumn("_sha", F.sha2(F.col(body).cast("string"), 256)), "_sha", key).drop("_sha")
-    chunks = text.chunks(sampling.balanced(distinct, key, group, most), key, body).cache()
-    counts = text.term_counts(chunks, "chunk_id", "chunk_text", bigrams=True).cache()
-    vocabulary = text.vocabulary(counts, chunks.count(), max_features=features).cache()
+    chunks = text.chunks(distinct, key, body).cache()
+    taught = sampling.balanced(chunks.filter("chunk_index = 0").select(key, group), key, group, most)
+    sample = chunks.join(F.broadcast(taught.select(key)), key, "left_semi").select("chunk_id", "chunk_text").cache()  # most rows at most
+    counts = counts_of(sample, "chunk_id", "chunk_text").cache()
+    vocabulary = text.vocabulary(counts, sample.count(), max_features=features).cache()
     terms = topics.numbered(vocabulary.select("term")).cache()
-    postings = text.weights(counts, vocabulary, "chunk_id").cache()
-    rows = topics.rows_of(postings, terms, "chunk_id").cache()
+    rows = topics.rows_of(text.weights(counts, F.broadcast(vocabulary), "chunk_id"), terms, "chunk_id").coalesce(TASKS).cache()
     basis, explained = directions(rows, terms.count(), dimensions, rounds)
-    return Index(chunks, vocabulary, terms, postings, project(rows, "chunk_id", basis), basis, explained)
+    for frame in (sample, counts, rows):
+        frame.unpersist()
+    postings = text.weights(counts_of(chunks, "chunk_id", "chunk_text", vocabulary), F.broadcast(vocabulary), "chunk_id").cache()
+    vectors = project(topics.rows_of(postings, terms, "chunk_id"), "chunk_id", basis).cache()
+    return Index(chunks, vocabulary, terms, postings, vectors, basis, explained)
 
 
 def search(index: Index, query: str, top_k: int = 8, filters: retrieval.Filters | None = None, dense_weight: float = 0.65, min_score: float = 0.05) -> DataFrame:
     """rank, chunk_id, lexical, dense, score and all columns of the best chunks; no rows if the filters leave none."""
     query = retrieval.check_request(query, top_k, dense_weight)
     spark = index.chunks.sparkSession
-    counts = text.term_counts(spark.createDataFrame([(0, query)], "_q int, query string"), "_q", "query", bigrams=True)
+    counts = counts_of(spark.createDataFrame([(0, query)], "_q int, query string"), "_q", "query")
     weights = text.weights(counts, index.vocabulary, "_q")
     found = topics.rows_of(weights, index.terms, "_q").first()
     vector = np.zeros(len(index.directions))
     if found:
         vector[found["places"]] = found["values"]
     filters = filters or retrieval.Filters()
-    candidates = index.chunks.filter(filters.condition(index.chunks.columns))
+    candidates = index.chunks.filter(filters.condition(index.chunks.columns)).select("chunk_id")
     lexical = retrieval.lexical_scores(index.postings, weights.select("term", F.col("weight").alias("query_weight")), "chunk_id")
     dense = retrieval.dense_scores(index.vectors, "chunk_id", "vector", (vector @ index.directions).tolist())
-    return retrieval.top(retrieval.hybrid(candidates, lexical, dense, "chunk_id", dense_weight), "chunk_id", top_k, min_score)
+    best = retrieval.top(retrieval.hybrid(candidates, lexical, dense, "chunk_id", dense_weight), "chunk_id", top_k, min_score)
+    return index.chunks.join(F.broadcast(best), "chunk_id").orderBy("rank")  # top_k rows

@@ -47,10 +47,13 @@ def with_bigrams(words: Column) -> Column:
     return F.concat(words, F.transform(starts, lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
 
 
-def term_counts(texts: DataFrame, key: str, text: str, bigrams: bool = False) -> DataFrame:
-    """key, term and tf."""
+def term_counts(texts: DataFrame, key: str, text: str, bigrams: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """key, term and tf. among: a small table of the terms that matter; others then go before anything is shuffled."""
     words = tokens(F.col(text))
-    return texts.select(key, F.explode(with_bigrams(words) if bigrams else words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = texts.select(key, F.explode(with_bigrams(words) if bigrams else words).alias("term"))
+    if among is not None:
+        found = found.join(F.broadcast(among.select("term")), "term", "left_semi")
+    return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:

@@ -43,6 +43,15 @@ def _matrix(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield out
 
 
+def sparse(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row, place, value, how many rows) of a few hundred rows at once; rows ascend."""
+    places, values = batch.column("places"), batch.column("values")
+    for at in range(0, batch.num_rows, 256):
+        p, v = places.slice(at, 256), values.slice(at, 256)
+        n = np.diff(p.offsets.to_numpy())
+        yield np.repeat(np.arange(len(n)), n), p.flatten().to_numpy(), v.flatten().to_numpy(), len(n)
+
+
 def _solve(x: np.ndarray, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
     """Non-negative weights of rows for fixed topics, by coordinate descent."""
     gram, cross = h @ h.T, x @ h.T

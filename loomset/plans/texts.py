@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import clean, evaluate, kpi, quality, retrieval, router, sampling, text
+from loomset.operators import clean, evaluate, index, kpi, quality, retrieval, router, sampling, text
 from loomset.plans.catalog import query
 from loomset.session import table
 
@@ -183,6 +183,15 @@ def hybrid_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("rank", "doc_id", *(F.round(c, 6).alias(c) for c in ("lexical", "dense", "score")))
 
 
+@query()
+def index_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of all distinct documents for the text of one of them; the index is tested against brute force."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    built = index.build(documents, "doc_id", "text", "source")
+    found = index.search(built, _query_text(spark, sf_dir).first()["query"], 10)
+    return found.select("rank", "doc_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("lexical", "dense", "score")))
+
+
 QUESTIONS = (
     ("q1", "How many records were there each month?"),
     ("q2", "What is the timely response rate by company?"),

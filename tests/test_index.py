@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loomset import cli
-from loomset.operators import index, retrieval
+from loomset.operators import index, retrieval, text
 
 
 def test_index_and_search(spark):
@@ -39,3 +39,35 @@ def test_command_line(spark, data, capsys):
     assert json.loads(capsys.readouterr().out)["complaint_count"] > 0
     cli.main([data, "metrics"])
     assert len(json.loads(capsys.readouterr().out)) == 6
+
+
+def test_search_finds_what_brute_force_over_all_rows_finds(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text")
+    built = index.build(docs, "doc_id", "text", "source", most=40, dimensions=16, rounds=4)
+    first = {}
+    for r in docs.filter("text IS NOT NULL").orderBy("doc_id").collect():
+        first.setdefault(r["text"], r["doc_id"])
+    assert {r["doc_id"] for r in built.chunks.select("doc_id").distinct().collect()} == {i for t, i in first.items() if t.strip()}
+    idf = {r["term"]: r["idf"] for r in built.vocabulary.collect()}
+    place = {r["term"]: r["place"] for r in built.terms.collect()}
+
+    def weigh(counts):
+        rows = {}
+        for r in counts:
+            if r["term"] in idf:
+                rows.setdefault(r[0], np.zeros(len(place)))[place[r["term"]]] = (1 + np.log(r["tf"])) * idf[r["term"]]
+        return {k: x / np.linalg.norm(x) for k, x in rows.items()}
+
+    unit = lambda y: y / max(np.linalg.norm(y), 1e-12)
+    everything = text.chunks(spark.createDataFrame([(i, t) for t, i in first.items()], "doc_id long, text string"), "doc_id", "text")
+    rows = weigh(index.counts_of(everything, "chunk_id", "chunk_text").collect())
+    queries = docs.filter("doc_id % 100 = 0").collect()
+    assert queries
+    hits = wanted = 0
+    for q in queries:
+        x = next(iter(weigh(index.counts_of(spark.createDataFrame([(0, q["text"])], "_q int, query string"), "_q", "query").collect()).values()))
+        score = {k: 0.65 * np.clip(unit(y @ built.directions) @ unit(x @ built.directions), 0, 1) + 0.35 * (y @ x) for k, y in rows.items()}
+        best = sorted(score, key=lambda k: (-round(score[k], 6), k))[:8]
+        found = {r["chunk_id"] for r in index.search(built, q["text"], 8, min_score=0.0).collect()}
+        hits, wanted = hits + len(found & set(best)), wanted + len(best)
+    assert hits >= 0.9 * wanted
