@@ -73,7 +73,7 @@ def directions(rows: DataFrame, width: int, dimensions: int, rounds: int = ROUND
             total = np.zeros((width, dimensions))
             for batch in batches:
                 for part in topics.sparse(batch):
-                    _back(*part, _product(*part, shared.value), total)
+                    _back(*part, topics.times(*part, shared.value), total)
             yield from _emit(total.ravel().astype(np.float32))  # a task's part; the parts are added in double precision
 
         product = _summed(rows.select("places", "values").mapInArrow(run, "block int, values array<float>"))
@@ -91,7 +91,7 @@ def directions(rows: DataFrame, width: int, dimensions: int, rounds: int = ROUND
         for batch in batches:
             for part in topics.sparse(batch):
                 _, place, value, many = part
-                y = _product(*part, basis)
+                y = topics.times(*part, basis)
                 full += [np.bincount(place, value, width), np.bincount(place, value**2, width)]
                 small += [y.sum(0), (y**2).sum(0)]
                 n += many
@@ -104,15 +104,6 @@ def directions(rows: DataFrame, width: int, dimensions: int, rounds: int = ROUND
     return basis, variance(small) / max(variance(full), 1e-12)
 
 
-def _product(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Sparse rows times the directions."""
-    out = np.zeros((n, basis.shape[1]))
-    if len(row):
-        start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[start]] = np.add.reduceat(basis[place] * value[:, None], start)
-    return out
-
-
 def _back(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, y: np.ndarray, total: np.ndarray) -> None:
     """Adds the transposed sparse rows times y."""
     if len(row):
@@ -128,7 +119,7 @@ def project(rows: DataFrame, key: str, basis: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = np.concatenate([_product(*part, basis) for part in topics.sparse(batch)])
+                y = np.concatenate([topics.times(*part, basis) for part in topics.sparse(batch)])
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(y.astype(np.float32).tolist(), pa.list_(pa.float32()))], [key, "vector"])
 

@@ -7,6 +7,7 @@ as small as H. So a round is one pass over the rows and one sum.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +33,6 @@ def numbered(terms: DataFrame) -> DataFrame:
     return terms.agg(F.array_sort(F.collect_list("term")).alias("t")).select(F.posexplode("t").alias("place", "term"))
 
 
-def _matrix(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    """Dense pieces of a few hundred rows."""
-    places, values = batch.column("places"), batch.column("values")
-    for at in range(0, batch.num_rows, 256):
-        p, v = places.slice(at, 256), values.slice(at, 256)
-        n = np.diff(p.offsets.to_numpy())
-        out = np.zeros((len(n), width))
-        out[np.repeat(np.arange(len(n)), n), p.flatten().to_numpy()] = v.flatten().to_numpy()
-        yield out
-
-
 def sparse(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(row, place, value, how many rows) of a few hundred rows at once; rows ascend."""
     places, values = batch.column("places"), batch.column("values")
@@ -52,9 +42,18 @@ def sparse(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield np.repeat(np.arange(len(n)), n), p.flatten().to_numpy(), v.flatten().to_numpy(), len(n)
 
 
-def _solve(x: np.ndarray, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
-    """Non-negative weights of rows for fixed topics, by coordinate descent."""
-    gram, cross = h @ h.T, x @ h.T
+def times(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
+    """Sparse rows times basis."""
+    out = np.zeros((n, basis.shape[1]))
+    if len(row):
+        start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        out[row[start]] = np.add.reduceat(basis[place] * value[:, None], start)
+    return out
+
+
+def _solve(cross: np.ndarray, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
+    """Non-negative weights of rows for fixed topics, by coordinate descent. cross: the rows times the topics."""
+    gram = h @ h.T
     w = np.maximum(cross / np.maximum(np.diag(gram), _TINY), 0) / len(h)
     for _ in range(rounds):
         for k in range(len(h)):
@@ -67,21 +66,27 @@ def factorise(rows: DataFrame, width: int, topics: int, seed: int = 42, rounds:
     rng = np.random.default_rng(seed)
     h = rng.random((topics, width)) / width + _TINY
     last = None
-    for _ in range(rounds):
+    for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], h: np.ndarray = h) -> Iterator[pa.RecordBatch]:
+            across = np.ascontiguousarray(h.T)
             wx, ww, xx = np.zeros(h.shape), np.zeros((len(h), len(h))), 0.0
             for batch in batches:
-                for x in _matrix(batch, h.shape[1]):
-                    w = _solve(x, h)
-                    wx += w.T @ x
+                for part in sparse(batch):
+                    row, place, value, _ = part
+                    w = _solve(times(*part, across), h)
+                    for k in range(len(h)):
+                        wx[k] += np.bincount(place, w[row, k] * value, h.shape[1])
                     ww += w.T @ w
-                    xx += float((x**2).sum())
+                    xx += float((value**2).sum())
             flat = np.concatenate([wx.ravel(), ww.ravel(), [xx]])
             full = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(flat[full])], ["spot", "value"])
 
         sums = rows.select("places", "values").mapInArrow(run, "spot long, value double").groupBy("spot").agg(F.sum("value").alias("value")).toArrow()
+        if turn % 5 == 4:  # else the sums of all rounds stay on disk until the driver happens to collect its garbage
+            gc.collect()
+            rows.sparkSession.sparkContext._jvm.System.gc()
         flat = np.zeros(topics * width + topics * topics + 1)
         flat[sums.column("spot").to_numpy()] = sums.column("value").to_numpy()
         wx, ww, xx = flat[: topics * width].reshape(topics, width), flat[topics * width : -1].reshape(topics, topics), flat[-1]
@@ -106,11 +111,12 @@ def labels(h: np.ndarray, terms: list[str], top: int = 6) -> list[str]:
 
 def assign(rows: DataFrame, key: str, h: np.ndarray, names: list[str]) -> DataFrame:
     """key, topic_id (of the greatest weight, the first of equal ones), topic_label and topic_score."""
+    across = np.ascontiguousarray(h.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                w = np.concatenate([_solve(x, h) for x in _matrix(batch, h.shape[1])])
+                w = np.concatenate([_solve(times(*part, across), h) for part in sparse(batch)])
                 best = w.argmax(1)
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(best, pa.int64()), pa.array([names[i] for i in best.tolist()]), pa.array(w.max(1))], [key, "topic_id", "topic_label", "topic_score"])
 

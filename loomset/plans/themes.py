@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import text, topics
+from loomset.operators import clean, text, topics
 from loomset.plans.catalog import query
 from loomset.session import table
 
-#: Topics, vocabulary and training rounds of the registered topic query.
-TOPICS, FEATURES, ROUNDS = 8, 2_000, 6
+#: Topics of the registered topic query, and what a document without terms has in place of one.
+TOPICS = 12
+NO_TOPIC, NO_LABEL = -1, "no terms"
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +36,33 @@ def theme_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.totals(topics.cube(_assigned(spark, sf_dir), "month", "product"))
 
 
+def document_topics(documents: DataFrame, least: int = 5) -> DataFrame:
+    """doc_id, topic_id, topic_label and topic_score of every document. least: documents that have a term.
+
+    Vocabulary and factors are learned from all distinct cleaned texts, so that copies pull no topic; then every document gets its
+    topic. One that has no term (also a null or empty text) has NO_TOPIC, NO_LABEL and the score 0.
+    """
+    texts = documents.select("doc_id", clean.topic_text(F.col("text")).alias("plain"))
+    distinct = clean.keep_first(texts.filter("plain <> ''").withColumn("_sha", F.sha2("plain", 256)), "_sha", "doc_id")
+    counts = text.term_counts(distinct, "doc_id", "plain", bigrams=True)
+    n = distinct.count()
+    vocabulary = text.vocabulary(counts, n, min_df=least, max_df=0.95, max_features=topics.MAX_FEATURES).cache()
+    terms = topics.numbered(vocabulary.select("term")).cache()
+    names = [r["term"] for r in terms.orderBy("place").collect()]  # MAX_FEATURES at most
+    none = (F.lit(NO_TOPIC).cast("long").alias("topic_id"), F.lit(NO_LABEL).alias("topic_label"), F.lit(0.0).alias("topic_score"))
+    if not names:
+        return documents.select("doc_id", *none)
+    weights = text.weights(text.term_counts(texts, "doc_id", "plain", bigrams=True, among=vocabulary), F.broadcast(vocabulary), "doc_id")
+    rows = topics.rows_of(weights, terms, "doc_id").cache()
+    training = rows.join(distinct.select("doc_id"), "doc_id", "left_semi").select("places", "values").cache()
+    h = topics.factorise(training, len(names), max(1, min(TOPICS, n - 1, len(names) - 1)))
+    training.unpersist()
+    found = topics.assign(rows, "doc_id", h, topics.labels(h, names)).withColumnRenamed("doc_id", "_id")
+    joined = documents.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select("doc_id", *(F.coalesce(c, value).alias(c) for c, value in zip(("topic_id", "topic_label", "topic_score"), none, strict=True)))
+
+
 @query()
 def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's topic, from factors of the term weights of all of them."""
-    documents = table(spark, sf_dir, "documents")
-    counts = text.term_counts(documents, "doc_id", "text").cache()
-    terms = topics.numbered(text.vocabulary(counts, documents.count(), min_df=5, max_df=0.95, max_features=FEATURES).select("term")).cache()
-    vocabulary = text.vocabulary(counts, documents.count(), min_df=5, max_df=0.95, max_features=FEATURES)
-    rows = topics.rows_of(text.weights(counts, vocabulary, "doc_id"), terms, "doc_id").cache()
-    names = [r["term"] for r in terms.orderBy("place").collect()]  # FEATURES at most
-    h = topics.factorise(rows, len(names), TOPICS, rounds=ROUNDS)
-    return topics.assign(rows, "doc_id", h, topics.labels(h, names))
+    """Every document's topic, from factors of the term weights of all distinct ones."""
+    return document_topics(table(spark, sf_dir, "documents"))

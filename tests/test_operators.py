@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomset.operators import catalog, clean, evaluate, gateway, kpi, quality, retrieval, router, sampling, text, topics
+from loomset.plans import themes
 from loomset.sources import tables
 from loomset.sources.paged import PagedRecords
 
@@ -173,3 +174,15 @@ def test_cases_hold_terms_within_one_result_and_collect_no_texts(spark):
         ("e", 1, True, True, False),
     ]
     assert "collect_" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_topics_of_every_document_from_pairs_of_words_without_copies_and_masks(spark):
+    kinds = (["red rose xxxx 2019", "rose garden soil", "red rose soil garden"], ["boat sail rope", "sail boat tide xx", "rope boat sail tide"])
+    rows = [(i, f"{kinds[i % 2][i // 2 % 3]} w{i}") for i in range(24)] + [(100 + i, "copied words here") for i in range(40)]
+    rows += [(200, None), (201, ""), (202, "unheard"), (203, "xxxx 17")]
+    found = {r["doc_id"]: r for r in themes.document_topics(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    assert set(found) == {i for i, _ in rows}
+    assert all((found[i]["topic_id"], found[i]["topic_label"], found[i]["topic_score"]) == (themes.NO_TOPIC, themes.NO_LABEL, 0.0) for i in (*range(100, 140), *range(200, 204)))
+    labels = " / ".join({r["topic_label"] for r in found.values()})
+    assert "red rose" in labels and "boat sail" in labels and "xx" not in labels and "2019" not in labels and "copied" not in labels
+    assert all(found[i]["topic_id"] >= 0 for i in range(24)) and not {found[i]["topic_id"] for i in range(0, 24, 2)} & {found[i]["topic_id"] for i in range(1, 24, 2)}
