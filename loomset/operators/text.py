@@ -49,8 +49,9 @@ def with_bigrams(words: Column) -> Column:
 
 def term_counts(texts: DataFrame, key: str, text: str, bigrams: bool = False, among: DataFrame | None = None) -> DataFrame:
     """key, term and tf. among: a small table of the terms that matter; others then go before anything is shuffled."""
-    words = tokens(F.col(text))
-    found = texts.select(key, F.explode(with_bigrams(words) if bigrams else words).alias("term"))
+    # a column of its own, as neighbours would else find all words of the text anew for each pair
+    words = texts.select(key, tokens(F.col(text)).alias("_words"))
+    found = words.select(key, F.explode(with_bigrams(F.col("_words")) if bigrams else F.col("_words")).alias("term"))
     if among is not None:
         found = found.join(F.broadcast(among.select("term")), "term", "left_semi")
     return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
