@@ -3,16 +3,20 @@
 A page is cut into blocks at block elements. Each block has its text, its words, the share of its
 characters inside links, the share of its words that are stop words, and where it stands.
 
-Pass 1 labels a block by itself. Inside menus, headers, footers, sidebars, notices, adverts, forms and comments
-(by element, role, or the words of class and id) it is bad. Inside an article or main element it is good, unless it
-is a list entry that consists of a link. Elsewhere many link characters make it bad; a long block with stop words is good,
-one without is bad; the rest is undecided.
+Pass 1 labels a block by itself. Inside menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden elements
+(by element, role, or the words of class and id) it is bad. Such a word counts whatever stands beside it (`post-comments`,
+`story-ad`) and in joined forms (`commentlist`); only articles, main elements and the page itself aren't judged by their own class.
+Inside an article or main element a block is good, unless it consists of links and is no headline. Elsewhere many link
+characters make it bad; a long block with stop words is good, one without is bad, the rest is undecided. Pages without any
+block in a language whose stop words are known have no block without stop words: there length and links alone decide.
 Pass 2 gives undecided blocks the label of their nearest decided neighbours: if both agree, theirs, else that of
 the nearer one, counted in words between them; a tie, and a page without any decided block, is good.
 
-The good blocks, in page order, joined by one space, are the text. Script, style and markup never are text. Null or empty
-html gives the empty text. Broken markup (elements that are never closed, a cut tag at the end) is read as
-browsers read it, as far as the blocks are concerned. Each page is read alone, so repeated ids or rows need nothing.
+The good blocks, in page order, joined by one space, are the text. Script, style and markup never are text, nor are inline elements
+that are hidden or marked as what is not the article. Null or empty
+html gives the empty text. Broken markup (elements that are never closed, a cut tag at the end, quotes that don't close) is read as
+browsers read it, as far as the blocks are concerned. Each page is read alone, so repeated ids or rows need nothing; columns
+other than page_id, url and html are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm.textarray import slices
 
-MAX_LINK_DENSITY = 0.4
+MAX_LINK_DENSITY, ALL_LINKS = 0.4, 0.9
 STOP_LOW, STOP_HIGH = 0.10, 0.20
 SHORT_WORDS, LONG_WORDS = 10, 30
 
@@ -47,24 +51,38 @@ STOP_WORDS = frozenset(
 BAD_ELEMENTS = frozenset("nav footer aside form dialog menu search".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 BAD_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus
-    footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo
-    recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split()
+    """ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent
+    cookie cookies disclaimer disqus footer gdpr header login masthead menu menus menubar modal nav navbar navigation newsletter notice notices overlay pager
+    pagination popup promo promos promoted promotion recommended recommendations related replies reply respond share shares sharing sidebar sidebars signup
+    social sponsor sponsored sponsors subscribe subscription toolbar widget widgets""".split()
 )
+#: Bad words that also count where they are joined to one of the words around them (commentlist, pagefooter).
+_STEMS = "advert|banner|breadcrumb|comment|cookie|disqus|footer|masthead|menu|navbar|navigation|newsletter|popup|promo|related|share|sidebar|social|sponsor|toolbar|widget"
+_BEFORE = "article|blog|content|entry|fb|global|main|page|post|reader|side|site|story|sub|top|user|web"
+_AFTER = "area|bar|block|body|box|button|buttons|container|content|count|form|holder|icon|icons|inner|item|items|links|list|section|text|thread|wrap|wrapper"
+_JOINED = re.compile(rf"(?:{_BEFORE})?(?:{_STEMS})s?(?:{_AFTER})?")
+#: Words that make the rest of a class say what an element has or lacks, not what it is.
+_ABOUT = frozenset("has is no with without".split())
+#: A header or title of these is part of the article.
 GOOD_WORDS = frozenset("article content entry headline post story title".split())
 CONTENT_ELEMENTS = frozenset("article main".split())
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK_ELEMENTS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split()
 )
 VOID_ELEMENTS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title"
+_QUOTED = r"""(?:[^>"']|"[^"<]*"|'[^'<]*')*+>"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title)\b(?:[^>"']|"[^"<]*"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|</(?P<close>[a-z][a-z0-9:-]*)[^>]*(?:>|\Z)|<(?P<open>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>"']|"[^"<]*"|'[^'<]*')*+(?:>|\Z)|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:{_QUOTED}|[^>]*>).*?(?:</(?P=raw)\b[^>]*>|\Z)|<(?:{_RAW})\b[^>]*\Z"""
+    rf"""|</(?P<close>[a-z][a-z0-9:-]*)[^>]*(?:>|\Z)|<(?P<open>[a-z][a-z0-9:-]*)(?P<attributes>{_QUOTED}|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)""",
     re.IGNORECASE | re.DOTALL,
 )
-_MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_MARK = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s>/]|\Z))""", re.IGNORECASE)
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 _APART = re.compile(r"[^a-z0-9]+")
 
@@ -75,102 +93,117 @@ class Block:
     links: int  # characters inside links
     bad: bool
     content: bool
-    entry: bool  # of a list
+    headline: bool
 
     @property
     def link_density(self) -> float:
         return min(1.0, self.links / max(1, len(self.text)))
 
 
+def _is_bad_class(name: str, content: bool) -> bool:
+    """Whether one class or id marks what is not the article."""
+    parts = set(_APART.split(_HUMP.sub("-", name).lower()))
+    if parts & _ABOUT:
+        return False
+    if parts & {"header"} and (content or parts & GOOD_WORDS):
+        parts -= {"header"}
+    return any(x in BAD_WORDS or _JOINED.fullmatch(x) for x in parts)
+
+
 def _marks(element: str, attributes: str, content: bool) -> tuple[bool, bool]:
     """(not the article, the article) as far as the element itself says."""
-    words: set[str] = set()
     bad = element in BAD_ELEMENTS or element == "header" and not content
     good = element in CONTENT_ELEMENTS
-    content |= good
-    if "=" in attributes:
-        for name, *values in _MARK.findall(attributes):
-            value = "".join(values).lower()
-            if name.lower() == "role":
-                bad |= value.strip() in BAD_ROLES
-                good |= value.strip() in CONTENT_ELEMENTS
-            else:
-                for one in value.split():
-                    parts = set(_APART.split(one))
-                    if not parts & GOOD_WORDS or not content and parts & {"header", "footer"}:
-                        words |= parts
-    return bad or bool(words & BAD_WORDS) and element not in ("html", "body"), good
+    named = hidden = False
+    for name, *values in _MARK.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "role":
+            bad |= value.strip().lower() in BAD_ROLES
+            good |= value.strip().lower() in CONTENT_ELEMENTS
+        elif name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            hidden |= value.strip().lower() == "true"
+        elif name == "style":
+            hidden |= bool(_HIDING.search(value.lower()))
+        else:
+            named |= any(_is_bad_class(one, content or good) for one in value.split())
+    whole_page = element in ("html", "body")
+    return bad or hidden and not whole_page or named and not good and not whole_page, good
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of one page that have text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, bad, content, list entry
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, bad, content, headline; inline elements only from a bad one on
     held: list[str] = []
-    links = inside = 0
+    links = inside = unsaid = 0  # unsaid: bad inline elements around
 
     def end() -> None:
         nonlocal links
         text = " ".join("".join(held).split())
         if text:
-            _, bad, content, entry = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(text, links, bad, content, entry))
+            _, bad, content, headline = stack[-1] if stack else ("", False, False, False)
+            out.append(Block(text, links, bad, content, headline))
         held.clear()
         links = 0
 
     def say(piece: str) -> None:
         nonlocal links
-        if piece:
+        if piece and not unsaid:
             piece = html.unescape(piece)
             held.append(piece)
             if inside:
                 links += len(" ".join(piece.split()))
 
+    def drop(k: int) -> None:
+        """Leaves the elements from the k-th one on."""
+        nonlocal unsaid
+        unsaid -= sum(name not in BLOCK_ELEMENTS for name, *_ in stack[k:])
+        del stack[k:]
+
     at = 0
     for token in _TOKEN.finditer(page):
         say(page[at : token.start()])
         at = token.end()
         if name := token["open"]:
             name = name.lower()
+            attributes = token["attributes"] or ""
             if name == "a":
                 inside = 1
-            elif name == "br":
+            if name == "br":
                 held.append(" ")
             elif name in BLOCK_ELEMENTS:
                 end()
                 inside = 0
-                if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
-                elif stack and stack[-1][0] == "p":
-                    stack.pop()
+                top = stack[-1][0] if stack else ""
+                if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and top == name or top == "p":
+                    drop(len(stack) - 1)
                 if name not in VOID_ELEMENTS:
-                    _, bad, content, entry = stack[-1] if stack else ("", False, False, False)
-                    own_bad, own_good = _marks(name, token["attributes"] or "", content)
-                    stack.append((name, bad or own_bad, content or own_good, entry or name == "li"))
-            elif name not in VOID_ELEMENTS and "=" in (token["attributes"] or "") and name in ("span", "ins", "amp-ad"):
-                _, bad, content, entry = stack[-1] if stack else ("", False, False, False)
-                own_bad, _ = _marks(name, token["attributes"], content)
-                if own_bad and not bad:
-                    end()
-                stack.append((name, bad or own_bad, content, entry))
+                    _, bad, content, headline = stack[-1] if stack else ("", False, False, False)
+                    own_bad, own_good = _marks(name, attributes, content)
+                    stack.append((name, bad or own_bad, content or own_good, headline or name in HEADLINES))
+            elif name not in VOID_ELEMENTS and not attributes.endswith("/>"):
+                _, bad, content, headline = stack[-1] if stack else ("", False, False, False)
+                if unsaid and any(x == name for x, *_ in stack) or attributes.strip("/> ") and _marks(name, attributes, content)[0]:
+                    unsaid += 1
+                    stack.append((name, True, content, headline))
         elif name := token["close"]:
             name = name.lower()
             if name == "a":
                 inside = 0
-            elif name in BLOCK_ELEMENTS or name in ("span", "ins", "amp-ad"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if name in BLOCK_ELEMENTS or k and stack[k][1] != stack[k - 1][1]:
-                            end()
-                        del stack[k:]
-                        break
-                    if name not in BLOCK_ELEMENTS and stack[k][0] in BLOCK_ELEMENTS:
-                        break
-                else:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
                     if name in BLOCK_ELEMENTS:
                         end()
-    rest = page[at:]
-    say(rest)
+                    drop(k)
+                    break
+                if name not in BLOCK_ELEMENTS and stack[k][0] in BLOCK_ELEMENTS:
+                    break
+            else:
+                if name in BLOCK_ELEMENTS:
+                    end()
+    say(page[at:])
     end()
     return out
 
@@ -178,22 +211,32 @@ def blocks(page: str) -> list[Block]:
 GOOD, BAD, OPEN = 1, 0, -1
 
 
-def first_pass(block: Block) -> int:
+def stop_share(block: Block) -> tuple[int, float]:
+    """(words, the share of stop words)."""
+    words = _WORD.findall(block.text.lower())
+    return len(words), sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(block: Block, known: bool = True) -> int:
+    """known: whether the page is in a language whose stop words are known."""
     if block.bad:
         return BAD
     if block.content:
-        return BAD if block.entry and block.link_density >= 0.9 else GOOD
+        return BAD if block.link_density >= ALL_LINKS and not block.headline else GOOD
     if block.link_density > MAX_LINK_DENSITY:
         return BAD
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(words) < SHORT_WORDS:
+    n, stops = stop_share(block)
+    if n < SHORT_WORDS:
         return OPEN
-    if stops >= STOP_HIGH:
+    if stops >= STOP_HIGH or n >= LONG_WORDS and (stops >= STOP_LOW or not known):
         return GOOD
-    if len(words) >= LONG_WORDS:
-        return GOOD if stops >= STOP_LOW else BAD
-    return OPEN if stops >= STOP_LOW else BAD
+    return OPEN if stops >= STOP_LOW or not known else BAD
+
+
+def knows_language(found: list[Block]) -> bool:
+    """Whether some block has stop words as text of a known language has them."""
+    shares = (stop_share(b) for b in found if not b.content)
+    return any(n >= SHORT_WORDS and stops >= STOP_LOW for n, stops in shares)
 
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
@@ -221,7 +264,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    labels = second_pass(found, [first_pass(b) for b in found])
+    known = knows_language(found)
+    labels = second_pass(found, [first_pass(b, known) for b in found])
     return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 

@@ -21,6 +21,31 @@ def test_blocks_and_labels():
     assert htmltext.main_text('<article class="post-header"><p>kept</p><p class="entry-header">also</p></article>') == "kept also"
 
 
+def test_what_stands_in_an_article_and_is_not_of_it():
+    """Comments, adverts and the like go under whatever name; the article's own class, its title and its links in sentences stay."""
+    keep = "<p>one two</p>"
+    for name in ("post-comments", "post__comments", "article-sidebar", "story-ad", "story-share", "entry-related", "commentlist", "pageFooter", "socialBar", "entry-footer", "comment-thread open", "sponsored", "widgets"):
+        assert htmltext.main_text(f'<article class="post">{keep}<div class="{name}"><p>the of and to in is it</p></div>{keep}</article>') == "one two one two", name
+    for inside in ('<div id="content-footer">x</div>', '<b class="ad">x <b>y</b> z</b>', "<div hidden>x</div>", '<div style="display: none">x</div>', '<p aria-hidden="true">x</p>', '<script src="a.js>var x=1;</script>', "<style media='x>p{}</style >", "<ul><li><a href=1>Next</a></ul>", "<p><a href=2>Read more</a></p>", '<span class="share-links"><i>x</i></span>', '<p role="navigation">x'):
+        assert htmltext.main_text(f"<article>{keep}{inside}</article>") == "one two", inside
+    assert htmltext.main_text(f'<main class="content has-sidebar">{keep}<div class="no-comments"><p>a</div></main>') == "one two a"
+    assert htmltext.main_text('<article class="story ad-free"><div class="post-header"><h1><a href=1>T</a></h1></div><p>a <a href=x>b</a><span class="ad">no</span>c</article>') == "T a bc"
+    assert htmltext.main_text('<body style="visibility:hidden"><p hidden="">x<article><p>shown') == "shown"
+
+
+def test_pages_in_languages_without_stop_words():
+    words = " ".join(["слово", "речь", "мир", "дом"] * 10)
+    assert htmltext.main_text(f'<div class="menu">нет</div><div><p>{words}</p><p>кратко</p></div><div><a href=1>{words}</a></div>') == words + " кратко"
+
+
+def test_empty_pages_and_other_columns(spark):
+    rows = [(1, "u", "<p>a &lt; b</p>", 7, "t"), (1, "u", "<p>a &lt; b</p>", 7, "t"), (None, None, "<p>" + "long " * 1_000_000, 1, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    found = htmltext.extract(pages)
+    assert found.columns == ["page_id", "url", "text", "n_chars"] and htmltext.extract(pages.limit(0)).count() == 0
+    assert sorted((r["n_chars"], r["text"][:5]) for r in found.collect()) == [(5, "a < b"), (5, "a < b"), (4_999_999, "long ")]
+
+
 def test_second_pass_takes_the_nearest_decided_label():
     block = lambda n: htmltext.Block(" ".join(["w"] * n), 0, False, False, False)
     found = [block(20), block(3), block(2), block(20)]
