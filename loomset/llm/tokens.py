@@ -1,16 +1,22 @@
 """Token ids of whole texts by the tokenizers library, many texts at once.
 
-The file's tokenizer first splits a text into short pieces (a word with its leading space, a run of
+Ids are those of `Tokenizer.from_file(path).encode(text, add_special_tokens=False)`: nothing is put around a text, and the strings
+of added tokens in it (such as <|endoftext|>) are these tokens.
+
+A byte-level file without normaliser first splits a text into short pieces (a word with its leading space, a run of
 digits, a run of signs, white space) and then merges inside each piece, so ids of a piece do not
 depend on where it stands. Pieces are found with vector operations, each distinct piece is given to
-the tokenizer's model once, and a bounded store keeps ids of the pieces seen by this worker. Texts
-with apostrophes or letters beyond the Greek and Cyrillic blocks go to the tokenizer whole.
+the tokenizer's model once, and a bounded store keeps text and ids of the pieces seen by this worker; what the store says is
+compared with the text. Texts with apostrophes, letters beyond the Greek and Cyrillic blocks or strings of added tokens go to the
+tokenizer whole, and so do all texts if the file is of another kind.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +49,24 @@ def _byte_letters() -> str:
     return "".join(chr(b) if b in seen else chr(next(spare)) for b in range(256))
 
 
+def _splits_in_pieces(file: dict) -> bool:
+    """Whether a tokenizer file splits texts the way that is done here."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    byte_level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    plain_model = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return bool(byte_level and plain_model) and not any(file.get(x) for x in ("normalizer", "truncation", "padding"))
+
+
 class Encoder:
-    """Ids of texts by one tokenizer file with byte-level pieces."""
+    """Ids of texts by one tokenizer file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.in_pieces = _splits_in_pieces(file)
+        self.added = [x["content"] for x in file.get("added_tokens") or [] if x["content"]]
         self.model = self.whole.model
         self.classes = _classes()
         self.letters = dict(enumerate(_byte_letters()))
@@ -60,21 +76,36 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of the pieces kept
         self.begin = np.zeros(0, np.int64)  # of their ids in the pool, in the order of the keys
         self.count = np.zeros(0, np.int32)
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        self.said_at = np.zeros(0, np.int64)  # of their text, likewise
+        self.said_size = np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.said, self.said_used = np.zeros(1 << 18, np.uint32), 0
+
+    @staticmethod
+    def _put(pool: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
+        if used + len(values) > len(pool):
+            pool = np.concatenate([pool, np.zeros(max(len(values), len(pool) // 2), np.uint32)])
+        pool[used : used + len(values)] = values
+        return pool
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         """keys: sorted, none of them kept so far."""
-        count = np.array([len(x) for x in ids], np.int32)
+        ids = [[t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))] for x in pieces]
+        count, size = np.array([len(x) for x in ids], np.int32), np.array([len(x) for x in pieces], np.int32)
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool) // 2), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
+        said = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        self.pool, self.said = self._put(self.pool, self.used, flat), self._put(self.said, self.said_used, said)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.begin = np.insert(self.begin, at, self.used + np.cumsum(count, dtype=np.int64) - count)
         self.count = np.insert(self.count, at, count)
+        self.said_at = np.insert(self.said_at, at, self.said_used + np.cumsum(size, dtype=np.int64) - size)
+        self.said_size = np.insert(self.said_size, at, size)
         self.used += len(flat)
+        self.said_used += len(said)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): ids of row i are ids[offsets[i]:offsets[i + 1]]; null is the empty text."""
@@ -83,19 +114,29 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         text = data.tobytes().decode("utf-8")
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # rows in code points
+        if not self.in_pieces:
+            parts = self._library([text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         kind = self.classes[np.minimum(points, PLAIN_BELOW)]
-        odd_rows = np.unique(np.searchsorted(at, np.flatnonzero(kind == 9), "right") - 1)
-        ids, counts = self._plain(text, points, at, kind, n)
-        if not len(odd_rows):
-            return ids, np.concatenate([[0], np.cumsum(counts)])
+        ids, counts, unlike = self._plain(text, points, at, kind, n)
+        odd_at = [np.flatnonzero(kind == 9), unlike]
+        for content in self.added:
+            place = text.find(content)
+            while place >= 0:
+                odd_at.append(np.array([place]))
+                place = text.find(content, place + 1)
+        odd_rows = np.unique(np.searchsorted(at, np.concatenate(odd_at), "right") - 1)
         begin = np.concatenate([[0], np.cumsum(counts)])
-        odd = {int(r): np.array(e.ids, np.uint32) for r, e in zip(odd_rows, self.whole.encode_batch([text[at[r] : at[r + 1]] for r in odd_rows], add_special_tokens=False), strict=True)}
+        if not len(odd_rows):
+            return ids, begin
+        odd = dict(zip(odd_rows.tolist(), self._library([text[at[r] : at[r + 1]] for r in odd_rows]), strict=True))
         parts = [odd[r] if r in odd else ids[begin[r] : begin[r + 1]] for r in range(n)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    def _plain(self, text: str, points: np.ndarray, at: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, text: str, points: np.ndarray, at: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each row has, where the store's text is another one)."""
         end = len(points)
         new = np.ones(end, bool)
         new[1:] = kind[1:] != kind[:-1]
@@ -118,12 +159,15 @@ class Encoder:
         new_ones = np.flatnonzero(self.keys[at_key] != found) if len(self.keys) else np.arange(len(found))
         if len(new_ones):
             bounds = zip(start[first[new_ones]].tolist(), stop[first[new_ones]].tolist(), strict=True)
-            self._add(found[new_ones], [[t.id for t in self.model.tokenize(text[a:b].encode().decode("latin-1").translate(self.letters))] for a, b in bounds])
+            self._add(found[new_ones], [text[a:b] for a, b in bounds])
         place = np.searchsorted(self.keys, found)[which]
+        length = stop - start
+        said = np.minimum(np.repeat(self.said_at[place] - start, length) + np.arange(end), self.said_used - 1)
+        unlike = np.concatenate([np.flatnonzero(self.said[said] != points), start[self.said_size[place] != length]])
         size = self.count[place].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.begin[place] - total[:-1], size) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(start, at)])
+        return ids, np.diff(total[np.searchsorted(start, at)]), unlike
 
 
 _encoders: dict[str, Encoder] = {}
