@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.operators.kpi import count_where
+from loomset.session import unused
 
 MIN_CHARS = 80
 
-#: What is redacted, in this order, and what is put in its place.
+#: What is redacted, in this order, and what is put in its place. Digits, letters at borders and white space are those of Unicode.
 REDACTIONS = (
-    (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
-    (r"(?<![0-9])(?:\+?1[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])", "[REDACTED_PHONE]"),
-    (r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", "[REDACTED_SSN]"),
-    (r"(?<![0-9])[0-9]{9,}(?![0-9])", "[REDACTED_NUMBER]"),
+    (r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED_EMAIL]"),
+    (r"(?U)(?<!\d)(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}(?!\d)", "[REDACTED_PHONE]"),
+    (r"(?U)(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", "[REDACTED_SSN]"),
+    (r"(?U)(?<!\d)\d{9,}(?!\d)", "[REDACTED_LONG_NUMBER]"),
 )
+#: Every pattern above needs one of these, so a text without them is left alone.
+_HINT = r"(?U)@|\d{4}"
+#: What cleaned() adds.
+ADDED = ("redacted", "redaction_applied", "char_count", "word_count", "sha256")
 
 
 def normalise(text: Column) -> Column:
@@ -24,9 +29,15 @@ def normalise(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
+    done = text
     for pattern, mark in REDACTIONS:
-        text = F.regexp_replace(text, pattern, mark)
-    return text
+        done = F.regexp_replace(done, pattern, mark)
+    return F.when(text.rlike(_HINT), done).otherwise(text)
+
+
+def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a dear column that is computed once, however often later steps name it: expressions aren't merged across a generator."""
+    return frame.select("*", F.explode(F.array(value)).alias(name))
 
 
 def word_count(text: Column) -> Column:
@@ -35,11 +46,18 @@ def word_count(text: Column) -> Column:
 
 
 def cleaned(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Adds redacted (text), redaction_applied, char_count, word_count and sha256 to rows with an id and some text."""
-    plain = normalise(F.col(text))
-    rows = texts.filter(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "").withColumn("_plain", plain).filter("_plain <> ''")
-    rows = rows.withColumn("redacted", redact(F.col("_plain")))
-    return rows.select("*", (F.col("redacted") != F.col("_plain")).alias("redaction_applied"), F.length("redacted").cast("long").alias("char_count"), word_count(F.col("redacted")).alias("word_count"), F.sha2("redacted", 256).alias("sha256")).drop("_plain")
+    """Adds redacted (text), redaction_applied, char_count, word_count and sha256 to rows with an id and some text.
+
+    A table that has columns of these names is refused, as neither its values nor the new ones may be lost.
+    """
+    clash = {c.lower() for c in texts.columns} & set(ADDED)
+    if clash:
+        raise ValueError(f"columns that cleaning adds are there already: {sorted(clash)}")
+    plain = unused(texts, "_plain")
+    rows = once(texts.filter(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != ""), plain, normalise(F.col(text))).filter(F.col(plain) != "")
+    rows = once(rows, "redacted", redact(F.col(plain)))
+    applied, sha256 = (F.col("redacted") != F.col(plain)).alias("redaction_applied"), F.sha2("redacted", 256).alias("sha256")
+    return rows.select("*", applied, F.length("redacted").cast("long").alias("char_count"), word_count(F.col("redacted")).alias("word_count"), sha256).drop(plain)
 
 
 def length_gate(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
@@ -48,13 +66,14 @@ def length_gate(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by an explicit order.
+    """One row of each key, the first by an explicit order; rows without an order come last, and of equal ones any is the same or told apart by a hash.
 
-    The least place of each key is a partial aggregate; a join with it takes no window over all rows of a key that very many share.
+    One partial aggregate: of a key that very many rows share, one row of each task is dealt out. Null is a key like any other.
     """
-    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
-    same = rows[key].eqNullSafe(first["_key"]) & (rows[order] == first["_first"])
-    return rows.join(first, same, "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    place = F.struct(F.col(order).isNull(), F.col(order), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
+    first = rows.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min_by(whole, place).alias("_row"))
+    return first.select(*(F.col("_row").getField(c).alias(c) for c in rows.columns))
 
 
 def receipt(texts: DataFrame, key: str, text: str, least: int = MIN_CHARS) -> DataFrame:

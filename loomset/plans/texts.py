@@ -9,19 +9,26 @@ from loomset.operators import clean, evaluate, index, kpi, quality, retrieval, r
 from loomset.plans.catalog import query
 from loomset.session import table
 
-# RE2 has no look-around, so the SQL uses groups for the sign before and after a number, twice, as matches may share one.
+# RE2 has neither look-around nor borders of Unicode words, so the SQL takes the sign before and after a find into groups, twice, as finds may share one.
 PLAIN_SQL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
-EMAIL_SQL = r"regexp_replace(plain, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g')"
+_WORD_SIGN = r"\p{L}\p{M}\p{N}_"
+_EMAIL = rf"(?:(^|[^{_WORD_SIGN}])[A-Za-z0-9_]|([{_WORD_SIGN}])[.%+-])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}($|[^{_WORD_SIGN}])"
+_PHONE = r"(?:\+?1[-. ]?)?(?:\(?[0-9]{3}\)?[-. ]?)[0-9]{3}[-. ]?[0-9]{4}"
 
 
-def _twice(value: str, pattern: str, mark: str) -> str:
+def _twice(value: str, pattern: str, groups: str, mark: str) -> str:
     for _ in range(2):
-        value = f"regexp_replace({value}, '(^|[^0-9]){pattern}($|[^0-9])', '\\1{mark}\\2', 'g')"
+        value = f"regexp_replace({value}, '{pattern}', '{groups.format(mark)}', 'g')"
     return value
 
 
-_PHONE = r"(?:\+?1[ .\-]?)?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}"
-REDACTED_SQL = _twice(_twice(_twice(EMAIL_SQL, _PHONE, "[REDACTED_PHONE]"), "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[REDACTED_SSN]"), "[0-9]{9,}", "[REDACTED_NUMBER]")
+def _number(value: str, pattern: str, mark: str) -> str:
+    return _twice(value, f"(^|[^0-9]){pattern}($|[^0-9])", r"\1{}\2", mark)
+
+
+# an e-mail that begins with a sign keeps the letter before it: its first sign stands behind that letter
+EMAIL_SQL = _twice("plain", _EMAIL, r"\1\2{}\3", "[REDACTED_EMAIL]")
+REDACTED_SQL = _number(_number(_number(EMAIL_SQL, _PHONE, "[REDACTED_PHONE]"), "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[REDACTED_SSN]"), "[0-9]{9,}", "[REDACTED_LONG_NUMBER]")
 CLEANED_SQL = f"""plain AS (SELECT *, {PLAIN_SQL} AS plain FROM documents WHERE doc_id IS NOT NULL),
   cleaned AS (SELECT *, {REDACTED_SQL} AS redacted FROM plain WHERE plain <> ''), counted AS (SELECT *, redacted <> plain AS redaction_applied, length(redacted) AS char_count,
     len(string_split(redacted, ' ')) AS word_count, sha256(redacted) AS sha256 FROM cleaned)"""
@@ -38,8 +45,8 @@ def clean_redact_gate_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH plain AS (SELECT doc_id, {PLAIN_SQL} AS plain FROM documents) SELECT doc_id, {EMAIL_SQL} <> plain AS redacted, sha256({EMAIL_SQL}) AS sha256 FROM plain""")
 def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = clean.normalise(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", plain.alias("plain")).withColumn("new", F.regexp_replace("plain", *clean.REDACTIONS[0]))
+    rows = clean.once(table(spark, sf_dir, "documents").select("doc_id", "text"), "plain", clean.normalise(F.col("text")))
+    rows = clean.once(rows, "new", F.regexp_replace("plain", *clean.REDACTIONS[0]))
     return rows.select("doc_id", (F.col("new") != F.col("plain")).alias("redacted"), F.sha2("new", 256).alias("sha256"))
 
 
@@ -192,19 +199,29 @@ def index_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rank", "doc_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("lexical", "dense", "score")))
 
 
+#: question, and where it should go
 QUESTIONS = (
-    ("q1", "How many records were there each month?"),
-    ("q2", "What is the timely response rate by company?"),
-    ("q3", "What do people say about closing an account?"),
-    ("q4", "Give examples of texts that mention a late reply"),
-    ("q5", "Compare the monthly trend and cite evidence for why it rose"),
-    ("q6", "每月的数量趋势和原文证据"),
+    ("q1", "How many records were there each month?", "sql"),
+    ("q2", "What is the timely response rate by company?", "sql"),
+    ("q3", "What do people say about closing an account?", "rag"),
+    ("q4", "Give examples of texts that mention a late reply", "rag"),
+    ("q5", "Compare the monthly trend and cite evidence for why it rose", "hybrid"),
+    ("q6", "每月的数量趋势和原文证据", "hybrid"),
+    ("q7", "2026年的投诉趋势怎样，有多少？", "sql"),
+    ("q8", "给我几个消费者描述身份盗用经过的案例", "rag"),
+    ("q9", "投诉是不是在增长，消费者又怎么描述？", "hybrid"),
+    ("q10", "叙事投诉里数量最多的文本主题有哪些？", "sql"),
+    ("q11", "给两个案例，别推断总体频率", "rag"),
+    ("q12", "按月同比下降最多的 top 3", "sql"),
+    ("q13", "Did complaints increase by month?", "sql"),
+    ("q14", "Show an excerpt of a similar complaint", "rag"),
+    ("q15", "Tell me something", "sql"),
 )
 
 
-@query("SELECT * FROM (VALUES ('q1', 'sql'), ('q2', 'sql'), ('q3', 'rag'), ('q4', 'rag'), ('q5', 'hybrid'), ('q6', 'hybrid')) AS t(question_id, route)")
+@query(f"SELECT * FROM (VALUES {', '.join(f"('{i}', '{where}')" for i, _, where in QUESTIONS)}) AS t(question_id, route)")
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(list(QUESTIONS), "question_id string, question string")
+    asked = spark.createDataFrame([x[:2] for x in QUESTIONS], "question_id string, question string")
     return asked.select("question_id", router.route(F.col("question")).alias("route"))
 
 

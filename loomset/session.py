@@ -26,3 +26,11 @@ def local_session(app: str = "loomset", cpus: str | int = "*", **conf: object) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables. Only Spark touches the path, so any store it reads will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, with `_` in front as often as it takes to be the name of no column of the frame."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -23,12 +23,36 @@ def test_windows_share_their_overlap(spark):
 
 
 def test_redaction_gate_and_first_of_equal_ones(spark):
-    frame = spark.createDataFrame([("1", "mail a.b@c.org or 212-555-0199, 123-45-6789 and 1234567890  now"), ("2", None), ("3", "  "), ("", "some text"), ("4", "same words"), ("5", "same  words")], "id string, body string")
+    frame = spark.createDataFrame([("1", "mail a.b@c.org or 212-555-0199, 123-45-6789 and 123456789012  now"), ("2", None), ("3", "  "), ("", "some text"), ("4", "same words"), ("5", "same  words")], "id string, body string")
     rows = {r["id"]: r for r in clean.cleaned(frame, "id", "body").collect()}
-    assert rows["1"]["redacted"] == "mail [REDACTED_EMAIL] or [REDACTED_PHONE], [REDACTED_SSN] and [REDACTED_NUMBER] now" and rows["1"]["redaction_applied"]
+    assert rows["1"]["redacted"] == "mail [REDACTED_EMAIL] or [REDACTED_PHONE], [REDACTED_SSN] and [REDACTED_LONG_NUMBER] now" and rows["1"]["redaction_applied"]
     assert set(rows) == {"1", "4", "5"} and rows["4"]["word_count"] == 2
     assert {r["id"] for r in clean.keep_first(clean.cleaned(frame, "id", "body"), "sha256", "id").collect()} == {"1", "4"}
     assert {r["id"] for r in clean.length_gate(clean.cleaned(frame, "id", "body"), 20).collect()} == {"1"}
+    with pytest.raises(ValueError):
+        clean.cleaned(frame.withColumn("SHA256", F.lit("own")), "id", "body")
+
+
+def test_redaction_of_separated_and_joined_numbers(spark):
+    """Separators of phones are optional; numbers inside longer ones, and addresses that begin inside a word, are as told here."""
+    import re
+
+    fixed = [(r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", re.I, "[REDACTED_EMAIL]"), (r"(?<!\d)(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}(?!\d)", 0, "[REDACTED_PHONE]"), (r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", 0, "[REDACTED_SSN]"), (r"(?<!\d)\d{9,}(?!\d)", 0, "[REDACTED_LONG_NUMBER]")]
+    texts = ["(212)5550199", "212 5550199", "2125550199", "+1 (212) 555-0199", "12125550199 2125550199 x", "123456789", "12345678", "é.b@x.com ü+q@y.org, A@B.CO_ a@b.c1 né.55@m.io", "123-45-6789 123-45-67890", "٢١٢٥٥٥٠١٩٩", "4485168114407329"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", clean.redact(F.col("t")).alias("r")).collect()
+    for r in rows:
+        expected = r["t"]
+        for pattern, flags, mark in fixed:
+            expected = re.sub(pattern, mark, expected, flags=flags)
+        assert r["r"] == expected
+    assert rows[0]["r"] == rows[1]["r"] == rows[2]["r"] == "[REDACTED_PHONE]"
+
+
+def test_first_of_repeated_rows(spark):
+    """Repeated rows are one; a key without any order keeps a row; null is a key."""
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", None, "z"), ("b", None, "z"), (None, 5, "n"), (None, 3, "m")]
+    found = clean.keep_first(spark.createDataFrame(rows, "k string, o int, v string"), "k", "o")
+    assert found.columns == ["k", "o", "v"] and sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", 1, "y"), ("b", None, "z"), (None, 3, "m")]))
 
 
 def test_digest_does_not_depend_on_order(spark):
