@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What may be changed by strip_accents.
+ACCENTED = "[\u00c0-\u024f\u0300-\u036f\u1e00-\u1eff]"
+
+
 @lru_cache(1)
 def _accents() -> tuple[str, str]:
     """Latin letters that decompose to one letter with marks, and those letters; then the marks, which have no counterpart."""

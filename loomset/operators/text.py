@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.operators.clean import normalise
+from loomset.functions.scalars import ACCENTED, strip_accents
+from loomset.operators.clean import normalise, once
 
 MAX_WORDS, OVERLAP = 320, 48
+TERM = r"[\p{L}\p{N}_]{2,}"
 #: Short English words that carry no topic.
 STOP_WORDS = "a about after all am an and any are as at be because been before being but by can could did do does for from had has have he her here him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who why will with would you your".split()
 
@@ -19,12 +21,16 @@ def check_windows(max_words: int, overlap: int) -> None:
         raise ValueError("overlap must be at least 0 and less than max_words")
 
 
-def windows(text: Column, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> Column:
-    """Word windows of a text, each sharing overlap words with the one before; none for a text without words."""
+def words(text: Column) -> Column:
+    """The words between white space; none for a null or blank text."""
+    return F.filter(F.split(normalise(text), " "), lambda w: w != "")
+
+
+def windows(words: Column, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> Column:
+    """Windows of an array of words (best a column, as each window reads it), each sharing overlap words with the one before; none without words."""
     check_windows(max_words, overlap)
     step = max_words - overlap
-    words = F.split(normalise(text), " ")
-    count = F.when(normalise(text) == "", 0).otherwise(F.greatest(F.ceil((F.size(words) - max_words) / step), F.lit(0)) + 1).cast("int")
+    count = F.when(F.size(words) == 0, 0).otherwise(F.greatest(F.ceil((F.size(words) - max_words) / step), F.lit(0)) + 1).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(max_words)), " "))
 
@@ -32,13 +38,19 @@ def windows(text: Column, max_words: int = MAX_WORDS, overlap: int = OVERLAP) ->
 def chunks(texts: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """All other columns with chunk_index, chunk_id ('key_index') and chunk_text."""
     others = [c for c in texts.columns if c != text]
-    return texts.select(*others, F.posexplode(windows(F.col(text), max_words, overlap)).alias("_i", "chunk_text")).select(*others, F.col("_i").cast("long").alias("chunk_index"), F.concat_ws("_", F.col(key).cast("string"), F.col("_i").cast("string")).alias("chunk_id"), "chunk_text")
+    rows = once(texts, "_words", words(F.col(text)))
+    rows = rows.select(*others, F.posexplode(windows(F.col("_words"), max_words, overlap)).alias("_i", "chunk_text"))
+    return rows.select(*others, F.col("_i").cast("long").alias("chunk_index"), F.concat_ws("_", F.col(key).cast("string"), F.col("_i").cast("string")).alias("chunk_id"), "chunk_text")
 
 
 def tokens(text: Column) -> Column:
-    """Runs of two or more of a-z, 0-9 and _ in lower case, without stop words. The class is spelled out as engines disagree on word boundaries."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]{2,}"), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
+    """Runs of two or more letters, digits and _ of any script, in lower case and without accents, without stop words.
+
+    The class is spelled out as engines disagree on word boundaries.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.when(low.rlike(ACCENTED), strip_accents(low)).otherwise(low)
+    return F.filter(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def with_bigrams(words: Column) -> Column:
@@ -49,9 +61,8 @@ def with_bigrams(words: Column) -> Column:
 
 def term_counts(texts: DataFrame, key: str, text: str, bigrams: bool = False, among: DataFrame | None = None) -> DataFrame:
     """key, term and tf. among: a small table of the terms that matter; others then go before anything is shuffled."""
-    # a column of its own, as neighbours would else find all words of the text anew for each pair
-    words = texts.select(key, tokens(F.col(text)).alias("_words"))
-    found = words.select(key, F.explode(with_bigrams(F.col("_words")) if bigrams else F.col("_words")).alias("term"))
+    found = once(texts.select(key, text), "_words", tokens(F.col(text)))
+    found = found.select(key, F.explode(with_bigrams(F.col("_words")) if bigrams else F.col("_words")).alias("term"))
     if among is not None:
         found = found.join(F.broadcast(among.select("term")), "term", "left_semi")
     return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))

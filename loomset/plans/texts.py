@@ -117,7 +117,7 @@ def semi_join_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STOPS_SQL = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
-COUNTS_SQL = f"""tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}')) AS term FROM documents),
+COUNTS_SQL = f"""tokens AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '{text.TERM}')) AS term FROM documents),
   counts AS (SELECT doc_id, term, count(*) AS tf FROM tokens WHERE term NOT IN {STOPS_SQL} GROUP BY ALL)"""
 WEIGHTS_SQL = COUNTS_SQL + """, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM counts GROUP BY term),
   vocabulary AS (SELECT term, df, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM df, n WHERE df >= 2 AND df <= 0.98 * n ORDER BY corpus_tf DESC, term LIMIT 30000),
@@ -128,8 +128,11 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.vocabulary(_counts(spark, sf_dir), table(spark, sf_dir, "documents").count())
+def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, weights) of all documents; both read the same counts, which are made once."""
+    counts = _counts(spark, sf_dir)
+    vocabulary = text.vocabulary(counts, table(spark, sf_dir, "documents").count())
+    return vocabulary, text.weights(counts, vocabulary, "doc_id")
 
 
 @query(f"WITH {COUNTS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS corpus_tf FROM counts GROUP BY term")
@@ -139,7 +142,7 @@ def tfidf_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WEIGHTS_SQL} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.weights(_counts(spark, sf_dir), _vocabulary(spark, sf_dir), "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return _weights(spark, sf_dir)[1].select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +153,7 @@ LEXICAL_SQL = WEIGHTS_SQL + ", scores AS (SELECT a.doc_id, sum(a.weight * b.weig
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = _vocabulary(spark, sf_dir)
-    postings = text.weights(_counts(spark, sf_dir), vocabulary, "doc_id")
+    vocabulary, postings = _weights(spark, sf_dir)
     return retrieval.lexical_scores(postings, retrieval.query_terms(_query_text(spark, sf_dir), vocabulary), "doc_id")
 
 
