@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,15 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from loomset.session import table as input_table
 
 #: Rows and bytes of an Arrow batch at most (a longer row is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset (tests), one of our own, which then becomes that setting."""
+    """The folder that spark.checkpoint.dir names. It must be set, but for a local master (tests), which gets a temporary one."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "loomset-checkpoints")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loomset-steps-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -47,6 +48,14 @@ def keep(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, with `_` in front as often as it takes to be the name of no column of the frame."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def discard(frame: DataFrame) -> None:
     """Removes a kept table that no later step reads."""
     context = frame.sparkSession.sparkContext

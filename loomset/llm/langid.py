@@ -2,44 +2,56 @@
 
 Learning. For each language, how often each group of three neighbouring characters occurs (letters in lower case; all that is
 no letter is one mark, so that word beginnings and ends count), in 2**HASH_BITS hashed cells, and how many letters of
-each script it has. One pass over all labelled texts; each task adds up its own counts, so that a table of languages
-x cells is all that is dealt out and all that the driver gets, however large the corpus.
+each script it has. One pass over all labelled texts; each task adds up its own counts and hands them on whenever it holds
+HELD languages, so that a table of languages x cells is all that is dealt out and all that the driver gets, however large the corpus.
 
-Use. The scripts of a word's letters narrow the languages it may be in: a script in which a language has less than MIN_SHARE of its
+Use. Words are runs of letters, cut after WORD_LETTERS (scripts without blanks have long runs). The scripts of a word's letters narrow
+the languages it may be in: a script in which a language has less than MIN_SHARE of its
 letters rules that language out (unless it rules out all). A word's score for a language is the sum of the logarithms of its groups'
 probabilities, at most WORD_CAP away from the best language's, so that no single odd word decides. The Viterbi path over the words of a
 text with a penalty for each switch labels spans. A text's language is that with the most letters on the path; its
 score is their share of all letters, times how sure the text's mean margin over the second language makes it.
 
-A text that is null or has no letter is `und`, with score 0. If nothing can be learned (no labelled texts), all are `und`. Rows are
-judged one by one, so repeated ids or rows need nothing. Texts are never cut.
+Memory. A model takes 256 kB for each language. Texts are judged in slices of SLICE bytes (less for many languages). A longer text is
+read in pieces, cut at white space where there is some (else between two characters), and its path runs through all of them: of each
+word only its place, the best language before it and a bit for each language are held. Texts are never cut short.
+
+A text that is null or has no letter is `und`, with score 0. If nothing can be learned (no labelled texts), all are `und`. Of languages
+that are equally good the first in the alphabet is taken. Rows are judged one by one, so repeated ids or rows need nothing. All
+columns stay; where the input has columns named like the new ones, these get `_` in front (`common.unused`).
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from loomset.llm.common import unused
 from loomset.llm.textarray import slices, utf8
 
 HASH_BITS = 16
 CELLS = 1 << HASH_BITS
 PENALTY = 8.0
 WORD_CAP = 12.0
+WORD_LETTERS = 64
 MIN_SHARE = 0.01
 SMOOTHING = 0.5
 #: Code points beyond this one count as letters of the last script by their category only.
 KNOWN_POINTS = 0x30000
-#: Text that is worked on at once.
-SLICE = 4 << 20
-#: Below so many texts, steps are taken in plain numbers.
-FEW = 6
+#: Bytes of text that are worked on at once, and letters x languages that are scored at once.
+SLICE, SCORED = 1 << 19, 1 << 21
+#: Languages whose counts a task holds at once.
+HELD = 32
+#: Below so many texts, steps are taken one by one; in plain numbers if languages are few.
+FEW, FEW_LANGUAGES = 6, 12
 
 UNKNOWN = "und"
 #: Where the letters of each script begin and end (code points).
@@ -78,56 +90,99 @@ def _points() -> tuple[np.ndarray, np.ndarray]:
     return lower, script
 
 
-class _Letters:
-    """Letters of some texts: hashed groups, words and scripts."""
+class _Words:
+    """Words of some texts that lie one after another, with the hashed groups and the scripts of their letters."""
 
-    def __init__(self, column: pa.Array):
-        data, offsets = utf8(column)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        self.at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])[offsets]  # texts, in code points
+        points = np.minimum(points, np.uint32(KNOWN_POINTS - 1))
         lower, script = _points()
-        low = lower[np.minimum(points, KNOWN_POINTS - 1)]
-        self.at = np.flatnonzero(low)
-        row = np.searchsorted(at, self.at, "right") - 1
-        before, after = np.zeros_like(low), np.zeros_like(low)
-        before[1:], after[:-1] = low[:-1], low[1:]
-        inner = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(low))]
-        before[inner] = 0
-        after[inner - 1] = 0
-        a, b, c = (x[self.at].astype(np.uint64) for x in (before, low, after))
-        mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD1342543DE82EF95) + c * np.uint64(0xA0761D6478BD642F)
+        low = np.zeros(len(points) + 2, np.uint32)
+        low[1:-1] = lower[points]
+        letter = np.flatnonzero(low[1:-1]).astype(np.int32)
+        edge = np.zeros(len(points) + 1, bool)
+        edge[self.at] = True
+        starts = edge[letter]
+        mixed = low[letter].astype(np.uint64)
+        mixed[starts] = 0
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed += low[letter + 1]
+        mixed *= np.uint64(0xD1342543DE82EF95)
+        after = low[letter + 2].astype(np.uint64)
+        after[edge[letter + 1]] = 0
+        after *= np.uint64(0xA0761D6478BD642F)
+        mixed += after
+        del after, low
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        self.group = (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        self.script = script[np.minimum(points[self.at], KNOWN_POINTS - 1)]
-        self.row = row
-        new = np.ones(len(self.at), bool)
-        new[1:] = (self.at[1:] != self.at[:-1] + 1) | (row[1:] != row[:-1])
+        mixed >>= np.uint64(64 - HASH_BITS)
+        self.group = mixed.astype(np.int32)
+        self.script = script[points[letter]]
+        new = starts
+        new[1:] |= letter[1:] != letter[:-1] + 1
+        new[:1] = True
+        run = np.flatnonzero(new)
+        size = np.diff(np.append(run, len(letter)))
+        new |= (np.arange(len(letter)) - np.repeat(run, size)) % WORD_LETTERS == 0
+        self.first_letter = np.searchsorted(letter, self.at)  # of each text
         self.word = np.flatnonzero(new)  # first letter of each word
-        self.word_row = row[self.word]
-        self.length = np.diff(np.append(self.word, len(self.at)))
-        self.first = np.searchsorted(self.word_row, np.arange(len(offsets)))  # words of each row
-        self.points_at = at
+        self.length = np.diff(np.append(self.word, len(letter)))
+        self.start = letter[self.word].astype(np.int64)  # in code points
+        self.row = np.searchsorted(self.at, self.start, "right") - 1
+        self.first = np.searchsorted(self.row, np.arange(len(offsets)))  # words of each text
+
+
+def _cuts(data: np.ndarray) -> list[int]:
+    """Where the pieces of a long text begin, and its end."""
+    out = [0]
+    while len(data) - out[-1] > SLICE:
+        half, end = out[-1] + SLICE // 2, out[-1] + SLICE
+        blank = np.flatnonzero(data[half:end] <= 0x20)
+        if len(blank):
+            end = half + int(blank[-1]) + 1
+        else:
+            while (data[end] & 0xC0) == 0x80:
+                end -= 1
+        out.append(end)
+    return [*out, len(data)]
+
+
+def _pieces(column: pa.Array) -> Iterator[_Words]:
+    """The words of a slice; of a single long text piece by piece."""
+    data, offsets = utf8(column)
+    if len(offsets) > 2 or len(data) <= SLICE:
+        yield _Words(data, offsets)
+        return
+    cuts = _cuts(data)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield _Words(data[a:b], np.array([0, b - a]))
 
 
 def counts(texts: DataFrame) -> DataFrame:
     """lang, cell and n. Cells from CELLS on are letters of scripts. texts: text, lang."""
 
+    def told(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, now in held.items():
+            full = np.flatnonzero(now)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(now[full])], ["lang", "cell", "n"])
+        held.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for rows in slices(batch, limit=SLICE):
-                letters = _Letters(rows.column("text"))
-                lang = rows.column("lang").dictionary_encode()
-                index = lang.indices.to_numpy()[letters.row]
-                for k, name in enumerate(lang.dictionary.to_pylist()):
-                    mine = index == k
-                    now = held.setdefault(name, np.zeros(CELLS + OTHER + 1, np.int64))
-                    now[:CELLS] += np.bincount(letters.group[mine], minlength=CELLS)
-                    now[CELLS:] += np.bincount(letters.script[mine], minlength=OTHER + 1)
-        for name, now in held.items():
-            full = np.flatnonzero(now)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full, pa.int32()), pa.array(now[full])], ["lang", "cell", "n"])
+            for rows in slices(batch.sort_by("lang"), limit=SLICE):
+                langs = rows.column("lang").to_pylist()
+                new = [i for i, x in enumerate(langs) if not i or x != langs[i - 1]]
+                for words in _pieces(rows.column("text")):
+                    for i, j in zip(new, [*new[1:], len(langs)], strict=True):
+                        if langs[i] not in held and len(held) == HELD:
+                            yield from told(held)
+                        now = held.setdefault(langs[i], np.zeros(CELLS + OTHER + 1, np.int64))
+                        a, b = words.first_letter[i], words.first_letter[j]
+                        now[:CELLS] += np.bincount(words.group[a:b], minlength=CELLS)
+                        now[CELLS:] += np.bincount(words.script[a:b], minlength=OTHER + 1)
+        yield from told(held)
 
     return texts.select("text", "lang").mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
@@ -145,124 +200,197 @@ def learn(labelled: DataFrame) -> Model:
     if isinstance(names, pa.ChunkedArray):
         names = names.combine_chunks()
     langs = sorted(names.dictionary.to_pylist())
-    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    order = {x: i for i, x in enumerate(langs)}
+    place = np.array([order[x] for x in names.dictionary.to_pylist()], np.int64)
     have = np.zeros((CELLS + OTHER + 1, len(langs)))
     if len(langs):
         have[found.column("cell").to_numpy(), place[names.indices.to_numpy()]] = found.column("n").to_numpy()
-    groups, scripts = have[:CELLS], have[CELLS:]
-    table = np.log((groups + SMOOTHING) / (groups.sum(0) + SMOOTHING * CELLS))
+    scripts = have[CELLS:].copy()
+    table = have[:CELLS]
+    total = table.sum(0) + SMOOTHING * CELLS
+    table += SMOOTHING
+    table /= total
+    np.log(table, out=table)
     allowed = scripts >= MIN_SHARE * np.maximum(scripts.sum(0), 1)
     allowed[~allowed.any(1)] = True
     return Model(langs, table.astype(np.float32), allowed)
 
 
-def _word_scores(letters: _Letters, model: Model) -> np.ndarray:
-    if not len(letters.word):
-        return np.zeros((0, len(model.langs)), np.float32)
-    scores = np.add.reduceat(model.table[letters.group], letters.word, axis=0)
-    ruled_out = np.add.reduceat((~model.allowed[letters.script]).astype(np.int32), letters.word, axis=0) > 0
+def _word_scores(words: _Words, model: Model) -> np.ndarray:
+    n, k = len(words.word), len(model.langs)
+    scores = np.zeros((n, k), np.float32)
+    if not n:
+        return scores
+    scripts, which = np.unique(np.bitwise_or.reduceat(np.int32(1) << words.script.astype(np.int32), words.word), return_inverse=True)
+    used = (scripts[:, None] >> np.arange(OTHER + 1)) & 1
+    ruled_out = used @ (~model.allowed).astype(np.int64) > 0
     ruled_out[ruled_out.all(1)] = False
-    scores[ruled_out] = -np.inf
-    scores -= scores.max(1, keepdims=True)
-    return np.maximum(scores, np.where(ruled_out, -2 * WORD_CAP, -WORD_CAP).astype(np.float32))
+    block = max(1, SCORED // k)
+    cuts = np.unique(np.append(np.searchsorted(words.word, np.arange(0, len(words.group), block)), n))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        a = words.word[i]
+        b = words.word[j] if j < n else len(words.group)
+        some = np.add.reduceat(model.table[words.group[a:b]], words.word[i:j] - a, axis=0)
+        out = ruled_out[which[i:j]]
+        some[out] = -np.inf
+        some -= some.max(1, keepdims=True)
+        scores[i:j] = np.maximum(some, np.where(out, np.float32(-2 * WORD_CAP), np.float32(-WORD_CAP)))
+    return scores
+
+
+def _walk(now: np.ndarray, scores: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values after the last word, which languages stay at each word, the language that the others come from), for one text."""
+    n, k = scores.shape
+    stay, top = np.zeros((n, k), bool), np.zeros(n, np.int32)
+    if k <= FEW_LANGUAGES:
+        now = now.tolist()
+        for u, row in enumerate(scores.tolist()):
+            high = max(now)
+            jump = high - penalty
+            top[u] = now.index(high)
+            stay[u] = [x >= jump for x in now]
+            now = [(x if x >= jump else jump) - high + y for x, y in zip(now, row, strict=True)]
+        return np.array(now, np.float32), stay, top
+    for u in range(n):
+        top[u] = now.argmax()
+        jump = now[top[u]] - penalty
+        np.greater_equal(now, jump, out=stay[u])
+        now = np.maximum(now, jump) - now[top[u]] + scores[u]
+    return now, stay, top
+
+
+def _back(state: int, stay: np.ndarray, top: np.ndarray) -> tuple[int, np.ndarray]:
+    """(the language before the first word, those before each word) of a path that ends in state."""
+    out = np.zeros(len(top), np.int32)
+    tops = top.tolist()
+    for u in range(len(tops) - 1, -1, -1):
+        if not stay[u, state]:
+            state = tops[u]
+        out[u] = state
+    return state, out
 
 
 def _path(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word: texts are the rows first[i]:first[i + 1] of scores, and all of them take their nth step at once."""
     n, k = scores.shape
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int32)
     if k < 2 or not n:
         return out
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     start, size = first[:-1][order], size[order]
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # texts with more than t words
-    came = np.zeros((n, k), np.int8)
+    stay, top = np.zeros((n, k), bool), np.zeros(n, np.int32)
     best = scores[start[: active[0]]].copy()
-    ends = np.zeros((active[0], k), np.float32)
-    ends[:] = best
-    own = np.arange(k, dtype=np.int8)
+    ends = best.copy()
     t = 1
     while t < size[0] and active[t] >= FEW:
         a = active[t]
         best = best[:a]
-        top = best.argmax(1)
-        jump = best[np.arange(a), top] - penalty
-        stay = best >= jump[:, None]
-        came[start[:a] + t] = np.where(stay, own[None], top[:, None])
-        best = np.where(stay, best, jump[:, None]) + scores[start[:a] + t]
+        high = best.argmax(1)
+        jump = best[np.arange(a), high] - penalty
+        at = start[:a] + t
+        stay[at], top[at] = best >= jump[:, None], high
+        best = np.maximum(best, jump[:, None]) + scores[at]
         best -= best.max(1, keepdims=True)
         ends[:a] = best
         t += 1
-    for i in range(active[t] if t < size[0] else 0):
-        now = best[i].tolist()
-        for u, row in enumerate(scores[start[i] + t : start[i] + size[i]].tolist(), start[i] + t):
-            high = max(now)
-            top, jump = now.index(high), high - penalty
-            for x in range(k):
-                if now[x] < jump:
-                    came[u, x] = top
-                    now[x] = jump - high + row[x]
-                else:
-                    came[u, x] = x
-                    now[x] += row[x] - high
-        ends[i] = now
-    state = ends.argmax(1).astype(np.int8)
-    t = int(size[0]) - 1
-    last = start[: active[0]] + size[: active[0]] - 1
-    out[last] = state
-    few_from = int(size[FEW - 1]) if len(size) >= FEW else 0
-    for i in range(min(FEW - 1, active[0])):  # the longest ones, down to where others join
-        now = int(state[i])
-        for u in range(start[i] + size[i] - 1, start[i] + max(few_from, 1) - 1, -1):
-            now = int(came[u, now])
-            out[u - 1] = now
-        state[i] = now
-    for t in range(few_from - 1, 0, -1):
-        a = active[t]
-        at = start[:a] + t
-        state[:a] = came[at, state[:a]]
-        out[at - 1] = state[:a]
+    few = active[t] if t < size[0] else 0  # the longest ones go on alone from their t-th word
+    state = np.zeros(active[0], np.int32)
+    for i in range(few):
+        rest = slice(start[i] + t, start[i] + size[i])
+        ends[i], stay[rest], top[rest] = _walk(ends[i], scores[rest], penalty)
+    state[:] = ends.argmax(1)
+    for i in range(few):
+        out[start[i] + size[i] - 1] = state[i]
+        rest = slice(start[i] + t, start[i] + size[i])
+        state[i], before = _back(int(state[i]), stay[rest], top[rest])
+        out[start[i] + t - 1 : start[i] + size[i] - 1] = before
+    for u in range(t - 1, -1, -1):
+        a = active[u]
+        at = start[:a] + u
+        out[at] = state[:a]
+        if u:
+            state[:a] = np.where(stay[at, state[:a]], state[:a], top[at])
     return out
 
 
-def _judge(column: pa.Array, model: Model, penalty: float):
-    letters = _Letters(column)
-    scores = _word_scores(letters, model)
-    path = _path(scores, letters.first, penalty)
-    return letters, scores, path
+@dataclass
+class _Judged:
+    row: np.ndarray  # of each word
+    start: np.ndarray  # in code points of its text
+    length: np.ndarray
+    path: np.ndarray
+    total: np.ndarray  # sum of the scores of each text's words
+
+
+def _judge(column: pa.Array, model: Model, penalty: float) -> _Judged:
+    n, k = len(column), len(model.langs)
+    pieces = _pieces(column)
+    words = next(pieces)
+    scores = _word_scores(words, model)
+    after = next(pieces, None)
+    if after is None:
+        total = np.zeros((n, k))
+        full = np.flatnonzero(np.diff(words.first))
+        if len(full):
+            total[full] = np.add.reduceat(scores, words.first[full], axis=0, dtype=np.float64)
+        return _Judged(words.row, words.start - words.at[words.row], words.length, _path(scores, words.first, penalty), total)
+    now, total, base = None, np.zeros(k), 0
+    starts, lengths, steps = [], [], []
+    while words is not None:
+        starts.append(words.start + base)
+        lengths.append(words.length)
+        total += scores.sum(0, dtype=np.float64)
+        if len(scores):
+            begun = now is not None
+            now, stay, top = _walk(now if begun else scores[0], scores if begun else scores[1:], penalty)
+            steps.append((np.packbits(stay, axis=1), top, begun))
+        base += int(words.at[-1])
+        words, after = after, next(pieces, None)
+        scores = _word_scores(words, model) if words is not None else None
+    path: list[np.ndarray] = []
+    if now is not None:
+        state = int(now.argmax())
+        path.append(np.array([state], np.int32))
+        for bits, top, _ in reversed(steps):
+            state, before = _back(state, np.unpackbits(bits, axis=1, count=k).astype(bool), top)
+            path.append(before)
+    start = np.concatenate(starts)
+    return _Judged(np.zeros(len(start), np.int64), start, np.concatenate(lengths), np.concatenate([*reversed(path), np.zeros(0, np.int32)]), total[None])
+
+
+def _limit(model: Model) -> int:
+    """Bytes of a slice: fewer if there are many languages."""
+    return max(1 << 14, SLICE * 8 // max(8, len(model.langs)))
 
 
 def predict(documents: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """All columns of documents with lang_pred and score. documents: text and more."""
-    schema = [f for f in documents.schema if f.name not in ("lang_pred", "score")]
-    documents = documents.select(*(F.col(f"`{f.name}`") for f in schema)).withColumn("text", F.col("text").cast("string"))
+    pred_name, score_name = unused(documents, "lang_pred"), unused(documents, "score")
+    documents = documents.withColumn("text", F.col("text").cast("string"))
     langs = model.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, limit=SLICE):
+            for rows in slices(batch, limit=_limit(model)):
                 n, k = rows.num_rows, len(langs)
                 pred, sure = [UNKNOWN] * n, np.zeros(n)
                 if k:
-                    letters, scores, path = _judge(rows.column("text"), model, penalty)
-                    share = np.zeros((n, k))
-                    np.add.at(share, (letters.word_row, path), letters.length)
-                    total = np.zeros((n, k))
-                    np.add.at(total, letters.word_row, scores)
+                    found = _judge(rows.column("text"), model, penalty)
+                    share = np.bincount(found.row * k + found.path, weights=found.length, minlength=n * k).reshape(n, k)
                     have = share.sum(1)
                     best = share.argmax(1)
-                    mean = total / np.maximum(np.diff(letters.first), 1)[:, None]
+                    mean = found.total / np.maximum(np.bincount(found.row, minlength=n), 1)[:, None]
                     own = mean[np.arange(n), best]
                     mean[np.arange(n), best] = -np.inf
                     margin = own - mean.max(1) if k > 1 else np.full(n, WORD_CAP)
                     sure = share[np.arange(n), best] / np.maximum(have, 1) / (1 + np.exp(np.clip(-2 * margin, -30, 30)))
                     sure = np.where(have > 0, np.clip(sure, 0, 1), 0)
                     pred = [langs[b] if h else UNKNOWN for b, h in zip(best.tolist(), have.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], [*rows.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], [*rows.schema.names, pred_name, score_name])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(run, f"{out}, lang_pred string, score double")
+    return documents.mapInArrow(run, StructType([*documents.schema, StructField(pred_name, StringType()), StructField(score_name, DoubleType())]))
 
 
 def spans(documents: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
@@ -271,18 +399,18 @@ def spans(documents: DataFrame, model: Model, penalty: float = PENALTY) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, limit=SLICE):
-                letters, _, path = _judge(rows.column("text"), model, penalty)
-                if not len(path):
+            for rows in slices(batch, limit=_limit(model)):
+                found = _judge(rows.column("text"), model, penalty)
+                n = len(found.path)
+                if not n or not langs:
                     continue
-                new = np.ones(len(path), bool)
-                new[1:] = (path[1:] != path[:-1]) | (letters.word_row[1:] != letters.word_row[:-1])
+                new = np.ones(n, bool)
+                new[1:] = (found.path[1:] != found.path[:-1]) | (found.row[1:] != found.row[:-1])
                 begin = np.flatnonzero(new)
-                final = np.append(begin[1:], len(path)) - 1
-                row = letters.word_row[begin]
-                start = letters.at[letters.word[begin]] - letters.points_at[row]
-                stop = letters.at[letters.word[final] + letters.length[final] - 1] + 1 - letters.points_at[row]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array([langs[x] for x in path[begin].tolist()], pa.string())], ["doc_id", "start", "end", "lang"])
+                final = np.append(begin[1:], n) - 1
+                stop = found.start[final] + found.length[final]
+                names = pa.array([langs[x] for x in found.path[begin].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(found.row[begin])), pa.array(found.start[begin]), pa.array(stop), names], ["doc_id", "start", "end", "lang"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, lang string")
 

@@ -42,7 +42,7 @@ def corpus():
             for _ in range(rng.randint(0, 4)):
                 near[rng.randrange(len(near))] = rng.choice(vocabulary)
             texts.append("  ".join(near) if k % 2 else " ".join(near).upper())
-    texts += [None, None, "", "", "a b", "A\tb", " ", "long " * 5000, texts[0], texts[0]]
+    texts += ["an <|endoftext|> inside", None, None, "", "", "a b", "A\tb", " ", "long " * 5000, texts[0], texts[0]]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     return rows
@@ -65,6 +65,18 @@ def test_recurring_passages(spark, corpus):
         assert (r["n_words"], r["n_removed"], r["kept"]) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
 
 
+def test_recurring_passages_go_by_automata_alone(spark, corpus, monkeypatch):
+    """Without the automata's hits nothing is removed, and each passage is the words of a text."""
+    docs = spark.createDataFrame(corpus, TEXT)
+    texts = substring._shards(docs)
+    marks = substring._marks(substring._segments(texts, 35, 8)).cache()
+    passages = {r["text"] for r in substring._passages(marks, substring._told(marks, texts, 35, 8).cache(), 35).collect()}
+    said = [" ".join(words_of(t)) for _, t in corpus]
+    assert passages and all(len(p.split(" ")) >= 35 and any(p in t for t in said) for p in passages)
+    monkeypatch.setattr(substring, "_passages", lambda marks, told, window: spark.createDataFrame([], "shard int, text string"))
+    assert {r["n_removed"] for r in substring.remove_recurring(docs).collect()} == {0}
+
+
 def brute_components(sets):
     parent = {i: i for i in sets}
 
@@ -112,17 +124,33 @@ def test_components(spark):
 PATH = tokens.default_path()
 
 
-def true_ids(texts):
+def true_ids(texts, path=PATH):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    plain = Tokenizer.from_file(path)
+    return [plain.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+
+
+ODD = ["", None, "a  b\n\n c'll don't 中文 x", "  lead", "trail  ", "é  x", "<|endoftext|> hi", "abc <|endoftext|> def<|endoftext|>", "<|endoftext", "|> x", "  \u0085\t\t\r\n x", "1234 567-8", "ab" * 400, "ß’s Ωα", "🙂 ok"]
 
 
 def test_token_ids_equal_the_library():
-    odd = ["", None, "a  b\n\n c'll don't 中文 x", "  lead", "trail  ", "é  x", "<|endoftext|> hi", "  \u0085\t\t\r\n x", "1234 567-8", "ab" * 400, "ß’s Ωα", "🙂 ok"]
-    assert [x + [2] for x in tokens.encode_texts(odd, PATH)] == true_ids(odd)
+    assert [x + [2] for x in tokens.encode_texts(ODD, PATH)] == true_ids(ODD) and 50256 in true_ids(ODD)[6]
+
+
+def test_token_ids_of_another_kind_of_file():
+    """A file that splits and normalises otherwise goes to the library as it is."""
+    path = tokens.default_path("word_bpe_49k.json")
+    assert not tokens.encoder(path).in_pieces and tokens.encoder(PATH).in_pieces
+    assert [x + [2] for x in tokens.encode_texts(ODD, path)] == true_ids(ODD, path)
+
+
+def test_token_ids_do_not_trust_hashes(monkeypatch):
+    """Even if all pieces had one hash, ids are those of the text."""
+    monkeypatch.setattr(tokens, "range_hash", lambda values, start, end, base: np.zeros(len(start), np.uint64))
+    texts = ["one two three", "one", None, "four  five"]
+    ids, offsets = tokens.Encoder(PATH).encode(pa.array(texts))
+    assert [ids[a:b].tolist() + [2] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == true_ids(texts)
 
 
 def crc(ids):
@@ -204,12 +232,49 @@ def test_language_path_is_the_best():
     for a, b in zip(first[:-1], first[1:], strict=True):
         if a == b:
             continue
-        best = scores[a].astype(float)
-        for t in range(a + 1, b):
-            best = (best[:, None] - 2.0 * (1 - np.eye(4))).max(0) + scores[t]
         mine = path[a:b].tolist()
         value = sum(scores[a + i, x] for i, x in enumerate(mine)) - 2.0 * sum(x != y for x, y in zip(mine, mine[1:], strict=False))
-        assert abs(best.max() - value) < 1e-2
+        assert abs(plain_path(scores[a:b], 2.0) - value) < 1e-2
+
+
+def plain_path(scores, penalty):
+    """Value of the best path, by the plain recurrence."""
+    best = scores[0].astype(float)
+    for row in scores[1:]:
+        best = (best[:, None] - penalty * (1 - np.eye(scores.shape[1]))).max(0) + row
+    return best.max()
+
+
+def test_language_with_two_hundred_languages_and_clashing_columns(spark):
+    rng = random.Random(11)
+    alphabets = [rng.sample("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(200)]
+    text = lambda k: " ".join("".join(rng.choices(alphabets[k], k=rng.randint(2, 7))) for _ in range(40))
+    rows = [(i, text(i % 200), f"l{i % 200:03}", 7.5, "own") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    found = langid.predict(docs, langid.learn(langid.training(docs))).collect()
+    assert {(r["score"], r["lang_pred"]) for r in found} == {(7.5, "own")} and len(found) == 2400
+    assert np.mean([r["_lang_pred"] == r["lang"] for r in found]) > 0.97 and all(0 <= r["_score"] <= 1 for r in found)
+
+
+def test_language_of_a_long_text_is_that_of_its_parts(spark, monkeypatch):
+    """Pieces and slices leave no trace: words, path and totals are those of the text as a whole."""
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b", "c"], -rng.gamma(2, 2, (langid.CELLS, 3)).astype(np.float32), np.ones((langid.OTHER + 1, 3), bool))
+    text = " ".join("".join(rng.choice(list("abcdeéß"), rng.integers(1, 9))) for _ in range(3000)) + " " + "z" * 200 + " 12 \n"
+    whole = langid._judge(pa.array([text]), model, 3.0)
+    monkeypatch.setattr(langid, "SLICE", 1000)
+    parts = langid._judge(pa.array([text]), model, 3.0)
+    for name in ("row", "start", "length"):
+        assert (getattr(whole, name) == getattr(parts, name)).all()
+    assert np.allclose(whole.total, parts.total, rtol=1e-4) and (whole.path == parts.path).mean() > 0.999
+    assert whole.length.max() == langid.WORD_LETTERS and len(langid._judge(pa.array(["1 " * 4000]), model, 3.0).path) == 0
+
+
+def test_language_of_twenty_megabytes(spark):
+    rows = [(i, ("der und die " if i % 2 else "the and of ") * 20, "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows + [(100, "und die der " * 1_700_000, None), (101, "x" * 3_000_000, "en")], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.languages(docs).collect()}
+    assert found[100] == "de" and all(found[i] == lang for i, _, lang in rows)
 
 
 def test_quality(spark):
@@ -226,20 +291,103 @@ def test_quality(spark):
     assert {r["score"] for r in none} == {0.5} and quality.qualities(docs.limit(0), labels).count() == 0
 
 
+def plain_alignment(a, b, weights):
+    table, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            table[i][j] = max(0, table[i - 1][j - 1] + (weights[i - 1] if x == y else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+            best = max(best, table[i][j])
+    return best
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = random.Random(1)
     draw = lambda n: np.array([rng.randint(2, 6) for _ in range(n)], np.uint64)
     left, right = [draw(rng.randint(1, 20)) for _ in range(150)], [draw(rng.randint(1, 30)) for _ in range(150)]
-
-    def plain(a, b):
-        table, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
-        for i, x in enumerate(a, 1):
-            for j, y in enumerate(b, 1):
-                table[i][j] = max(0, table[i - 1][j - 1] + (2 if x == y else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
-                best = max(best, table[i][j])
-        return best
-
-    assert [plain(a, b) for a, b in zip(left, right, strict=True)] == decontamination.align(left, right)[0].tolist()
+    weights = [np.array([rng.randint(1, 7) for _ in x], np.int32) for x in left]
+    assert [plain_alignment(*x) for x in zip(left, right, weights, strict=True)] == decontamination.align(left, right, weights)[0].tolist()
+
+
+def zipf_text(rng, vocabulary):
+    """Draws words as language has them: a few are very frequent."""
+    return lambda n: [vocabulary[int(len(vocabulary) * rng.random() ** 4)] for _ in range(n)]
+
+
+def edited(rng, words, part, other):
+    """A copy with a part of the words substituted, and one in twenty dropped or doubled."""
+    out = []
+    for w in words:
+        w = rng.choice(other) if rng.random() < part else w
+        out += [[w], [w, w], []][rng.choices((0, 1, 2), (0.95, 0.025, 0.025))[0]]
+    return out
+
+
+def test_recall_and_precision_of_edited_copies(spark):
+    """Of copies with up to three in ten words substituted nine in ten and more are found; nothing else is."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(4000)]
+    draw = zipf_text(rng, vocabulary)
+    items = [(i, " ".join(draw(rng.randint(14, 59)))) for i in range(200)]
+    rows, planted = [], {}
+    for k in range(1600):
+        body = draw(rng.randint(20, 250))
+        if k < 1200:
+            part = (0.1, 0.2, 0.3)[k % 3]
+            item = rng.randrange(200)
+            at = rng.randint(0, len(body))
+            body[at:at] = edited(rng, items[item][1].split(), part, vocabulary)
+            planted[k, item] = part
+        rows.append((k, " ".join(body)))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.held_items(spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {p: np.mean([x in found for x, part in planted.items() if part == p]) for p in (0.1, 0.2, 0.3)}
+    print("recall", recall, "precision", len(found & set(planted)) / len(found))
+    assert recall[0.1] > 0.99 and recall[0.2] > 0.97 and recall[0.3] > 0.9 and len(found - set(planted)) <= 0.005 * len(found)
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    """Every document against every item by the plain recurrence, without seeds or windows."""
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(300)]
+    draw = zipf_text(rng, vocabulary)
+    items = [(i, " ".join(draw(rng.randint(8, 25)))) for i in range(8)]
+    rows = []
+    for k in range(60):
+        body = draw(rng.randint(5, 60))
+        if k % 2:
+            at = rng.randint(0, len(body))
+            body[at:at] = edited(rng, items[rng.randrange(8)][1].split(), 0.15, ["other"])
+        rows.append((k, " ".join(body)))
+    counts = Counter(w for _, t in rows for w in t.split())
+    total, expected = sum(counts.values()), set()
+    for i, text in items:
+        item = text.split()
+        rarity = np.log((total + 2) / (np.array([counts[w] for w in item]) + 1)) + 0.1
+        weights = np.maximum(1, np.rint(rarity * 4 / rarity.mean())).astype(int).tolist()
+        for k, doc in rows:
+            score = plain_alignment(item, doc.split(), weights)
+            if score >= 0.4 * sum(weights) and score * len(item) >= sum(weights) * min(len(item), 6):
+                expected.add((k, i))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.held_items(spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= expected and len(expected - found) <= 1 and len(expected) >= 25
+
+
+def test_decontamination_in_any_script(spark):
+    han = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少"
+    items = [(1, han), (2, "Ποῖόν σε ἔπος φύγεν ἕρκος ὀδόντων ὦ τέκνον ἐμόν"), (3, "yes indeed"), (4, han), (5, "。，!"), (6, None)]
+    rows = [(10, "题目：“春眠不觉晓，处处闻啼鸟。夜来风雨声，花落知多少？”完"), (11, "«ποῖόν σε ἔπος—φύγεν ἕρκος\u00a0ὀδόντων, ὦ τέκνον ἐμόν»"), (12, "Yes, indeed!"), (13, "well yes indeed it is so"), (14, "春天不晓"), (15, None)]
+    docs, benchmark = spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.held_items(docs, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(10, 1), (10, 4), (11, 2), (12, 3)]
+    assert {(r["start"], r["end"]) for r in found if r["doc_id"] == 10} == {(2, 22)}
+
+
+def test_decontamination_in_batches(spark, monkeypatch):
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(12))) for i in range(20)]
+    rows = [(i, f"before {items[i][1]} after" if i % 2 else "nothing of it here", "z") for i in range(20)]
+    docs, benchmark = spark.createDataFrame(rows, TEXT + ", _LOWER string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "BATCH_BYTES", 1000)
+    assert {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontamination.held_items(docs, benchmark).collect()} == {(i, i, 1, 13) for i in range(1, 20, 2)}
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, benchmark).collect()) == list(range(0, 20, 2))
 
 
 def test_decontamination(spark):
@@ -295,7 +443,33 @@ def test_surrogates(spark):
     assert sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(reversed(number))) % 10 == 0
     address = one["text"].rsplit(" ", 1)[1].rstrip(".")
     assert sorted(r["text"] for r in same) == sorted([PERSONAL[5][1], f"again {address},{address}\n"])
-    assert [r["text"] for r in rows if r["doc_id"] in (3, 4)] == [None, ""] and pii.replace(docs.limit(0)).count() == 0
+    assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in (3, 4)} == {3: None, 4: ""} and pii.replace(docs.limit(0)).count() == 0
+
+
+def test_surrogates_of_names_and_phones(spark):
+    """One name is one name under every title; initials and text around stay."""
+    texts = ["Mr John Smith and Dr John Smith, Dr. Kim Lee", "Prof Anna B. Marie-Jones with Mrs Anna B. Marie-Jones and Sir John", "Dr Maria Lopez", "tel 017 555 7713, (212)5550199, 212 555 0199, 030 1234567 or 12 34", "a\u0001b Mr John Smith 10.1.2.3\u0001"]
+    found = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), TEXT), count=True).collect()}
+    one = re.fullmatch(r"Mr (\w+ \w+) and Dr (\w+ \w+), Dr\. \w+ \w+", found[0]["text"])
+    two = re.fullmatch(r"Prof (\w+ B\. \w+-\w+) with Mrs (\w+ B\. \w+-\w+) and Sir \w+", found[1]["text"])
+    assert one[1] == one[2] and one[1].lower() != "john smith" and two[1] == two[2]
+    assert [found[i]["n_entities"] for i in range(5)] == [3, 3, 1, 4, 2]
+    assert re.fullmatch(r"tel \d{3} \d{3} \d{4}, \(\d{3}\)\d{7}, \d{3} \d{3} \d{4}, \d{3} \d{7} or 12 34", found[3]["text"]) and "7713" not in found[3]["text"]
+    assert re.fullmatch("a\u0001b Mr (.*) [\\d.]+\u0001", found[4]["text"])[1] == one[1]
+
+
+def test_surrogates_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, "x@y.org " + "word " * 900_000 + "a." * 100_000 + "@" + "b." * 100_000 + " 10.2.3.4", 1, 2, 3, 4, 5), (2, "none", 1, 2, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _BETWEEN int, __between int, _Pieces int, _ROW int, n_entities int")
+    found = {r["doc_id"]: r for r in pii.replace(docs, count=True).collect()}
+    assert pii.replace(docs).columns == docs.columns and list(found[1])[2:] == [1, 2, 3, 4, 5, found[1]["_n_entities"]] and found[1]["_n_entities"] >= 2
+    assert "10.2.3.4" not in found[1]["text"] and "x@y" not in found[1]["text"] and found[1]["text"].count("word ") == 900_000 and found[2]["text"] == "none"
+
+
+def test_the_key_is_that_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "ssn 123-45-6789")], TEXT)
+    key = pii.session_key(spark)
+    assert len(key) >= 32 and pii.session_key(spark) == key and pii.replace(docs).first() == pii.replace(docs, key=key).first()
 
 
 def test_surrogates_of_a_full_space_stay_distinct(spark):
