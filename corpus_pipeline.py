@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm import decontamination, langid, minhash, packing, pii
-from loomset.llm.common import bound_batches, keep, table
+from loomset.llm.common import bound_batches, keep, table, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognisable language; lang becomes the recognised one. Null, empty and letterless texts go.
 
-    Learned from the texts and lang of the documents that are not held out, as the language query learns.
+    Learned from the texts and lang of the documents that are not held out, as the language query learns. All other columns
+    stay as they are, whatever their names.
     """
     bound_batches(spark)
     model = langid.learn(langid.training(docs))
-    kept = langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    found = unused(docs, "lang_pred")
+    kept = langid.predict(docs, model).filter(F.col(found) != langid.UNKNOWN)
+    return kept.select(*(F.col(found).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
