@@ -3,14 +3,15 @@
 1. Anchors. Of the phrases of PHRASE words inside a window, the one with the least hash is the
    window's anchor, so equal windows have equal anchors wherever they stand. Neighbouring windows share
    anchors: a segment is the run of windows with one anchor. Only (anchor, segment) hashes are dealt out and counted.
-2. Confirmation. A segment whose words recur makes all its windows recur. If an anchor recurs but
-   one of its segments does not (the end of a copy, an edit), the windows of that anchor's distinct segments are
-   counted one by one. Everything else has no partner.
-3. Automata. Documents are dealt by id into shards of about SHARD_BYTES. Each shard gets the
-   confirmed hashes of its own documents, takes from its text the passages they stand for, compiles them into one
-   Aho-Corasick automaton over word numbers, and streams all its documents through it: each hit is an
-   occurrence of a confirmed window. Automata are thus as many as the corpus needs, each is bounded by its
-   shard, and no document meets another shard's automaton.
+2. Owners. Documents are dealt out into shards of about SHARD_BYTES, and of the shards that hold a segment the first one owns it.
+   Of a segment that recurs, or whose anchor recurs in another segment (the end of a copy, an edit), the owner tells
+   the words; of the latter ones it also tells two hashes of each window.
+3. Confirmation. The words of a segment that recurs are a passage: all its windows recur. Of the other segments with recurring
+   anchors, each run of windows whose two hashes were told more than once is a passage. Everything else has no partner.
+   A passage is confirmed once, in the words of one owner, and goes to each shard that needs it.
+4. Automata. Each shard compiles the passages it got, word for word, into one Aho-Corasick automaton and streams all
+   its documents through it. The hits, and nothing else, say which words go. Automata are
+   as many as the corpus needs, and each is bounded by its shard, as passages come from segments that stand in the shard.
 
 Counts come from partial aggregates and joins that split hot keys, so that a passage found in a third of all documents is
 no task of its own. Words are runs of bytes other than space and 0x09 to 0x0D. Null text has no words. Rows with
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.llm.common import by_key, discard, keep
-from loomset.llm.textarray import BYTE_BASE, WORD_BASE, per_row, range_hash, rolling_min_place, slices, utf8, window_starts, words
+from loomset.llm.textarray import WORD_BASE, per_row, range_hash, rolling_min_place, slices, utf8, window_starts, word_hashes, words
 
 WINDOW = 35
 PHRASE = 8
@@ -35,7 +36,7 @@ SHARD_BYTES = 4 << 20
 #: A second multiplier: windows are told apart by two independent hashes.
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
-_SEGMENT, _EXPAND, _CONFIRMED, _DOCUMENT = 0, 1, 2, 9
+_SEGMENT, _TELL, _EXPAND, _PASSAGE, _DOCUMENT = 0, 1, 2, 3, 9
 
 
 class _Text:
@@ -45,7 +46,7 @@ class _Text:
         self.data, offsets = utf8(column)
         self.start, self.end, row = words(self.data, offsets)
         self.first = per_row(row, len(offsets) - 1)
-        self.word = range_hash(self.data, self.start, self.end, BYTE_BASE)
+        self.word = word_hashes(self.data, self.start, self.end)
         self.at = window_starts(self.first, window)
         self.window = window
         if not len(self.at):
@@ -75,7 +76,7 @@ def _shards(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    return texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)).cast("int"))
+    return texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
 
 def _segments(texts: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -100,74 +101,101 @@ def _segments(texts: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _marks(segments: DataFrame) -> DataFrame:
-    """(shard, kind, key) of what shards must know about their segments."""
-    distinct = segments.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min("shard").alias("first_shard"))
+    """(shard, kind, key): which segments that recur a shard holds, which it tells the words of, and which also the windows of."""
+    distinct = segments.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min("shard").alias("owner"))
     anchors = distinct.groupBy("anchor").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("all >= 2")
-    told = distinct.join(anchors, "anchor").select("anchor", "segment", (F.col("n") >= 2).alias("recurs"), (F.col("least") == 1).alias("ragged"), "first_shard").filter("recurs OR ragged")
+    told = distinct.join(anchors, "anchor").select("anchor", "segment", (F.col("n") >= 2).alias("recurs"), (F.col("least") == 1).alias("ragged"), "owner").filter("recurs OR ragged")
     found = segments.join(told, ["anchor", "segment"])
-    expand = F.col("ragged") & (F.col("shard") == F.col("first_shard"))
-    kinds = F.array_compact(F.array(F.when(F.col("recurs"), F.lit(_SEGMENT)), F.when(expand, F.lit(_EXPAND))))
+    owned = F.col("shard") == F.col("owner")
+    tells = F.when(owned, F.when(F.col("ragged"), F.lit(_EXPAND)).otherwise(F.lit(_TELL)))
+    kinds = F.array_compact(F.array(F.when(F.col("recurs"), F.lit(_SEGMENT)), tells))
     return found.select("shard", F.explode(kinds).alias("kind"), F.col("segment").alias("key"))
 
 
-def _with_documents(marks: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_documents(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows: shard, kind, key and text."""
     none = F.lit(None)
-    return marks.select("shard", "kind", "key", none.cast("long").alias("doc_id"), none.cast("string").alias("text")).unionByName(texts.select("shard", F.lit(_DOCUMENT).alias("kind"), none.cast("long").alias("key"), "doc_id", "text"))
+    return rows.select("shard", "kind", "key", none.cast("long").alias("doc_id"), "text").unionByName(texts.select("shard", F.lit(_DOCUMENT).alias("kind"), none.cast("long").alias("key"), "doc_id", "text"))
 
 
-def _known(table: pa.Table, kind: int) -> np.ndarray:
+def _of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.array(table.column("kind").to_numpy() == kind))
+
+
+def _keys(table: pa.Table, kind: int) -> np.ndarray:
     """Sorted keys of one kind."""
-    rows = table.column("kind").to_numpy() == kind
-    return np.unique(table.column("key").filter(pa.array(rows)).to_numpy().astype(np.int64).view(np.uint64))
+    return np.unique(_of_kind(table, kind).column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _texts(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    rows = table.filter(pa.array(table.column("kind").to_numpy() == _DOCUMENT)).select(["doc_id", "text"])
-    for batch in rows.to_batches():
+    for batch in _of_kind(table, _DOCUMENT).select(["doc_id", "text"]).to_batches():
         yield from slices(batch)
 
 
-def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _places(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which values are known, which of the known ones each of these is)."""
     if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    found = np.flatnonzero(known[at] == values)
+    return found, at[found]
 
 
-def _windows(marks: DataFrame, texts: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Both hashes of each distinct window to be counted, shard and how often."""
+def _told(marks: DataFrame, texts: DataFrame, window: int, phrase: int) -> DataFrame:
+    """segment, shard, words (joined by one space) and both hashes of its windows (null if not asked for), from its owner."""
 
     def run(shard: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        expand = _known(table, _EXPAND)
-        if not len(expand):
+        tell, expand = _keys(table, _TELL), _keys(table, _EXPAND)
+        known = np.union1d(tell, expand)
+        wanted = np.ones(len(known), bool)
+        if not len(known):
             return
-        found = []
         for rows in _texts(table):
             text = _Text(rows.column("text"), window, phrase)
-            which = np.flatnonzero(np.repeat(_is_in(text.segment, expand), text.size))
-            found.append(np.stack([text.windows(which, WORD_BASE), text.windows(which, OTHER_BASE)]))
-        both = np.concatenate(found, axis=1)
-        both = both[:, np.lexsort(both[::-1])]
-        new = np.ones(both.shape[1], bool)
-        new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
-        at = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([_signed(both[0, at].copy()), _signed(both[1, at].copy()), pa.array(np.full(len(at), shard), pa.int32()), pa.array(np.diff(np.append(at, both.shape[1])))], ["key", "other", "shard", "n"])
-
-    wanted = marks.filter(F.col("kind") == _EXPAND)
-    return by_key(_with_documents(wanted, texts), "shard", ["kind"], run, "key long, other long, shard int, n long")
-
-
-def _passages(text: _Text, recurs: np.ndarray) -> np.ndarray:
-    """Words at which the windows start that together cover every run of recurring windows."""
-    at = text.at[recurs]
-    if not len(at):
-        return at
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1] + 1
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(at)))
-    count = -(-(size + text.window - 1) // text.window)
-    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return np.minimum(np.repeat(at[begin], count) + nth * text.window, np.repeat(at[begin] + size - 1, count))
+            at, which = _places(text.segment, known)
+            which, first = np.unique(which, return_index=True)
+            at, which = at[first][wanted[which]], which[wanted[which]]
+            wanted[which] = False
+            if not len(at):
+                continue
+            begin, size = text.at[text.begin[at]], text.size[at]
+            view = text.data.tobytes()
+            starts, ends = text.start.tolist(), text.end.tolist()
+            said = [b" ".join([view[starts[i] : ends[i]] for i in range(a, a + m + window - 1)]).decode() for a, m in zip(begin.tolist(), size.tolist(), strict=True)]
+            open_ = np.isin(known[which], expand)
+            windows = np.repeat(text.begin[at[open_]], size[open_]) + _nth(size[open_])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(open_, size, 0))]), pa.int32())
+            hashes = [pa.ListArray.from_arrays(offsets, _signed(text.windows(windows, base)), mask=pa.array(~open_)) for base in (WORD_BASE, OTHER_BASE)]
+            yield pa.RecordBatch.from_arrays([_signed(known[which]), pa.array(np.full(len(at), shard), pa.int32()), pa.array(said, pa.string()), *hashes], ["segment", "shard", "words", "keys", "others"])
+
+    wanted = marks.filter(F.col("kind").isin(_TELL, _EXPAND)).withColumn("text", F.lit(None).cast("string"))
+    return by_key(_with_documents(wanted, texts), "shard", ["kind"], run, "segment long, shard int, words string, keys array<long>, others array<long>")
+
+
+def _nth(size: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after another."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _passages(marks: DataFrame, told: DataFrame, window: int) -> DataFrame:
+    """(shard, text): the passages that each shard needs."""
+    holders = marks.filter(F.col("kind") == _SEGMENT).select("shard", F.col("key").alias("segment"))
+    whole = holders.join(told.select("segment", "words"), "segment").select("shard", F.col("words").alias("text"))
+    pairs = F.arrays_zip(F.col("keys").alias("key"), F.col("others").alias("other"))
+    windows = told.filter("keys IS NOT NULL").select("segment", "shard", F.posexplode(pairs).alias("pos", "both")).select("segment", "shard", "pos", "both.key", "both.other")
+    twice = windows.groupBy("key", "other").agg(F.count("*").alias("n")).filter("n >= 2").select("key", "other")
+    recurring = holders.select("segment").distinct()
+    confirmed = windows.join(twice, ["key", "other"], "left_semi").join(recurring, "segment", "left_anti")
+    # neighbouring windows of a segment are one run: place minus rank is the same for all of them (a segment has some thirty windows at most)
+    ranked = confirmed.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("segment").orderBy("pos")))
+    ends = [f(F.struct("key", "other"), "pos").alias(name) for name, f in (("first", F.min_by), ("last", F.max_by))]
+    runs = keep(ranked.groupBy("segment", "shard", "run").agg(F.min("pos").alias("pos"), F.count("*").alias("size"), *ends), "runs")
+    owners = runs.groupBy("first", "last", "size").agg(F.min(F.struct("segment", "pos")).alias("owner"))
+    owners = owners.select("first", "last", "size", F.col("owner.segment").alias("segment"), F.col("owner.pos").alias("pos"))
+    cut = F.array_join(F.slice(F.split("words", " "), F.col("pos") + 1, (F.col("size") + window - 1).cast("int")), " ")
+    said = owners.join(told.select("segment", "words"), "segment").select("first", "last", "size", cut.alias("text"))
+    partly = runs.select("shard", "first", "last", "size").distinct().join(said, ["first", "last", "size"]).select("shard", "text")
+    return whole.unionByName(partly)
 
 
 def automaton(passages: list[tuple[int, ...]]):
@@ -181,44 +209,52 @@ def automaton(passages: list[tuple[int, ...]]):
     return out
 
 
-def _cleaned(texts: DataFrame, marks: DataFrame, window: int, phrase: int) -> DataFrame:
+def _numbers(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[list[int]]:
+    """A number for each word of each part (data, starts, ends): equal words, and only these, have equal numbers."""
+    columns = []
+    for data, start, end in parts:
+        size = end - start
+        inside = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        columns.append(pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[inside].tobytes())]))
+    numbers = pa.chunked_array(columns, pa.large_binary()).combine_chunks()
+    numbers = numbers.combine_chunks() if isinstance(numbers, pa.ChunkedArray) else numbers
+    flat = numbers.dictionary_encode().indices.to_numpy()
+    return [x.tolist() for x in np.split(flat, np.cumsum([len(c) for c in columns])[:-1])]
+
+
+def _cleaned(texts: DataFrame, passages: DataFrame, window: int) -> DataFrame:
     def run(shard: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        segments, confirmed = _known(table, _SEGMENT), _known(table, _CONFIRMED)
-        parts = [(rows.column("doc_id"), _Text(rows.column("text"), window, phrase)) for rows in _texts(table)]
-        numbers, number = np.unique(np.concatenate([t.word for _, t in parts]), return_inverse=True)
-        del numbers
-        number = number.tolist()
-        base, passages = 0, set()
-        for _, text in parts:
-            recurs = np.repeat(_is_in(text.segment, segments), text.size)
-            if len(confirmed):
-                rest = np.flatnonzero(~recurs)
-                recurs[rest] = _is_in(text.windows(rest, WORD_BASE), confirmed)
-            passages.update(tuple(number[base + a : base + a + window]) for a in _passages(text, recurs).tolist())
-            base += len(text.word)
-        machine = automaton(list(passages)) if passages else None
-        base = 0
-        for doc_ids, text in parts:
-            gone = np.zeros(len(text.word) + 1, np.int64)
-            bounds = text.first.tolist()
+        given = [utf8(batch.column("text")) for batch in _of_kind(table, _PASSAGE).select(["text"]).to_batches()]
+        given = [(data, *words(data, offsets), len(offsets) - 1) for data, offsets in given]
+        docs = [(rows.column("doc_id"), *utf8(rows.column("text"))) for rows in _texts(table)]
+        docs = [(ids, data, *words(data, offsets), len(offsets) - 1) for ids, data, offsets in docs]
+        numbers = _numbers([(d, a, b) for d, a, b, _, _ in given] + [(d, a, b) for _, d, a, b, _, _ in docs])
+        machine = None
+        if given:
+            bounds = [per_row(row, n).tolist() for _, _, _, row, n in given]
+            machine = automaton([tuple(known[a:b]) for known, first in zip(numbers, bounds, strict=False) for a, b in zip(first[:-1], first[1:], strict=True)])
+        for number, (doc_ids, data, start, end, row, n) in zip(numbers[len(given) :], docs, strict=True):
+            first = per_row(row, n)
+            gone = np.zeros(len(start) + 1, np.int64)
             if machine is not None:
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     if b - a >= window:
-                        for end, _ in machine.iter(tuple(number[base + a : base + b])):
-                            gone[a + end - window + 1] += 1
-                            gone[a + end + 1] -= 1
+                        for last, length in machine.iter(tuple(number[a:b])):
+                            gone[a + last - length + 1] += 1
+                            gone[a + last + 1] -= 1
             # a hit that ends with a document puts its -1 on the next one's first word, where the sum is 0 again
             stay = np.cumsum(gone[:-1]) == 0
-            base += len(text.word)
-            kept = np.concatenate([[0], np.cumsum(stay)])[text.first]
-            count = np.diff(text.first)
+            kept = np.concatenate([[0], np.cumsum(stay)])[first]
+            count = np.diff(first)
             which = np.flatnonzero(stay)
-            a, b = text.start[which].tolist(), text.end[which].tolist()
-            view = text.data.tobytes()
+            a, b = start[which].tolist(), end[which].tolist()
+            view = data.tobytes()
             out = [b" ".join([view[a[i] : b[i]] for i in range(x, y)]).decode() for x, y in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(count, pa.int64()), pa.array(count - np.diff(kept), pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return by_key(_with_documents(marks, texts), "shard", ["kind"], run, "doc_id long, n_words long, n_removed long, kept string")
+    rows = passages.select("shard", F.lit(_PASSAGE).alias("kind"), F.lit(None).cast("long").alias("key"), "text")
+    return by_key(_with_documents(rows, texts), "shard", ["kind"], run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def remove_recurring(documents: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -227,8 +263,8 @@ def remove_recurring(documents: DataFrame, window: int = WINDOW, phrase: int = P
     segments = keep(_segments(texts, window, phrase), "segments")
     marks = keep(_marks(segments), "marks")
     discard(segments)
-    windows = keep(_windows(marks, texts, window, phrase), "windows")
-    twice = windows.groupBy("key", "other").agg(F.sum("n").alias("all")).filter("all >= 2")
-    confirmed = keep(windows.join(twice, ["key", "other"], "left_semi").select("shard", F.lit(_CONFIRMED).alias("kind"), "key"), "confirmed")
-    discard(windows)
-    return _cleaned(texts, marks.filter(F.col("kind") == _SEGMENT).unionByName(confirmed), window, phrase)
+    told = keep(_told(marks, texts, window, phrase), "told")
+    passages = keep(_passages(marks, told, window), "passages")
+    discard(marks)
+    discard(told)
+    return _cleaned(texts, passages, window)

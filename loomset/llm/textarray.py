@@ -16,6 +16,9 @@ SLICE_BYTES = 1 << 20
 #: Odd multipliers of the polynomial hashes (modulo 2**64) of bytes and of words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
+#: Longer tables of powers are not kept, and so many words are hashed at once.
+KEPT_POWERS, HASHED_WORDS = 1 << 22, 1 << 17
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,7 +61,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             return out
 
         with np.errstate(over="ignore"):
-            have = _powers[base] = table(base), table(pow(base, -1, 1 << 64))
+            have = table(base), table(pow(base, -1, 1 << 64))
+        if size <= KEPT_POWERS:
+            _powers[base] = have
     return have
 
 
@@ -80,6 +85,15 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def word_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
+    """range_hash of words in the order of the text, some at a time: a long text costs little more than its words."""
+    out = np.zeros(len(start), np.uint64)
+    for i in range(0, len(start), HASHED_WORDS):
+        a, b = start[i : i + HASHED_WORDS], end[i : i + HASHED_WORDS]
+        out[i : i + HASHED_WORDS] = range_hash(values[a[0] : b[-1]], a - a[0], b - a[0], base)
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each word: a run of bytes other than space and 0x09 to 0x0D."""
     n = len(data)
