@@ -1,11 +1,13 @@
-"""python -m loomset.cli DIR metrics | schema | sql QUERY | overview START END"""
+"""python -m loomset.cli DIR metrics | schema | sql QUERY | overview START END | build-index INDEX | search INDEX QUERY [filters]"""
 
 from __future__ import annotations
 
 import argparse
 import json
 
-from loomset.operators import catalog, gateway, kpi
+from pyspark.sql import functions as F
+
+from loomset.operators import catalog, gateway, index, kpi, retrieval
 from loomset.plans.governed import VIEWS
 from loomset.roles import records
 from loomset.session import local_session
@@ -21,6 +23,13 @@ def main(arguments: list[str] | None = None) -> None:
     overview = verbs.add_parser("overview")
     overview.add_argument("start")
     overview.add_argument("end")
+    verbs.add_parser("build-index").add_argument("index", help="where the index is to be written")
+    search = verbs.add_parser("search")
+    search.add_argument("index")
+    search.add_argument("query")
+    for name in ("source", "lang"):
+        search.add_argument(f"--{name}", default="")
+    search.add_argument("--top-k", type=int, default=8)
     asked = parser.parse_args(arguments)
     spark = local_session("loomset-cli")
     paths = {v: f"{asked.folder.rstrip('/')}/{v}.parquet" for v in VIEWS}
@@ -31,6 +40,14 @@ def main(arguments: list[str] | None = None) -> None:
     elif asked.verb == "sql":
         found = gateway.run(spark, asked.query, paths)
         out = {"columns": found.columns, "rows": [list(r) for r in found.collect()]}  # MAX_ROWS at most
+    elif asked.verb == "build-index":
+        texts = spark.read.parquet(f"{asked.folder.rstrip('/')}/documents.parquet").select("doc_id", "source", "lang", "text")
+        out = index.save(index.build(texts, "doc_id", "text", "source"), asked.index)
+    elif asked.verb == "search":
+        filters = retrieval.Filters(equal=(("source", asked.source), ("lang", asked.lang)))
+        found = index.search(index.opened(spark, asked.index), asked.query, asked.top_k, filters)
+        results = found.withColumns({"citation": retrieval.cite(F.col("doc_id"), F.lit(asked.index)), "excerpt": retrieval.excerpt(F.col("chunk_text"))}).drop("chunk_text")
+        out = {"query": asked.query, "results": [r.asDict() for r in results.collect()]}  # top_k at most
     else:
         out = kpi.overview(kpi.monthly_kpis(records(spark, asked.folder)), asked.start, asked.end).first().asDict()
     print(json.dumps(out, ensure_ascii=False, default=str))

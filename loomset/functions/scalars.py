@@ -61,3 +61,8 @@ def bucket_count(buckets: Column, value: str) -> Column:
 
 def filled(value: Column, default: object) -> Column:
     return F.coalesce(value, F.lit(default))
+
+
+def finite(value: Column) -> Column:
+    """Null for what is no number of JSON: not-a-number and the infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)

@@ -48,3 +48,40 @@ def retrieval_cases(results: DataFrame, cases: DataFrame) -> DataFrame:
         F.coalesce("cited", F.lit(False)).alias("cited"),
         F.coalesce((F.size("expected_terms") == 0) | F.col("found"), F.lit(False)).alias("covered"),
     )
+
+
+def _judged(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """results: case_id (once), answer, route, events (an array of name, status, sql); a case without a result has no events and no answer."""
+    return cases.join(results, "case_id", "left").withColumns({"answer": F.coalesce("answer", F.lit("")), "events": F.coalesce("events", F.array().cast(results.schema["events"].dataType))})
+
+
+def _all_in(expected: str, held: Column) -> Column:
+    """Whether a text holds all expected parts; nothing is expected by null or an empty list."""
+    return F.coalesce(F.forall(F.col(expected), lambda x: F.contains(held, x)), F.lit(True))
+
+
+def sql_cases(results: DataFrame, cases: DataFrame, sql_tool: str = "run_sql") -> DataFrame:
+    """Per case of an assistant that queries: tool_use, sql_success (all calls went well, one at least if require_sql), tables, tools and numbers (all expected ones were used, called, told)."""
+    rows = _judged(results, cases)
+    sql = F.filter("events", lambda e: e["name"] == sql_tool)
+    went_well = F.forall(sql, lambda e: e["status"] == "ok") & ((F.size(sql) > 0) | ~F.coalesce("require_sql", F.lit(True)))
+    text = F.array_join(F.transform(sql, lambda e: e["sql"]), "\n")
+    called = F.transform("events", lambda e: e["name"])
+    expected_tools = F.coalesce("expected_tools", F.array().cast("array<string>"))
+    return rows.select("case_id", (F.size("events") > 0).alias("tool_use"), went_well.alias("sql_success"), _all_in("expected_tables", text).alias("tables"), holds_all(called, expected_tools).alias("tools"), _all_in("expected_numbers", F.col("answer")).alias("numbers"))
+
+
+def hybrid_cases(results: DataFrame, cases: DataFrame, sql_tool: str = "run_sql") -> DataFrame:
+    """Per case of an assistant that queries and searches: route, tools (all expected ones went well at least once), tables, citations (enough of them) and how many tool_errors."""
+    rows = _judged(results, cases)
+    text = F.array_join(F.transform(F.filter("events", lambda e: e["name"] == sql_tool), lambda e: e["sql"]), " ")
+    well = F.transform(F.filter("events", lambda e: e["status"] == "ok"), lambda e: e["name"])
+    errors = F.size(F.filter("events", lambda e: e["status"] != "ok")).cast("long")
+    return rows.select(
+        "case_id",
+        F.coalesce(F.col("route") == F.col("expected_route"), F.lit(False)).alias("route"),
+        holds_all(well, F.coalesce("expected_tools", F.array().cast("array<string>"))).alias("tools"),
+        _all_in("expected_tables", text).alias("tables"),
+        (citations(F.col("answer")) >= F.col("minimum_citations")).alias("citations"),
+        errors.alias("tool_errors"),
+    )

@@ -8,12 +8,13 @@ the directions so far and back, and blocks of the products are summed where the
 from __future__ import annotations
 
 import gc
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.operators import clean, retrieval, sampling, text, topics
@@ -144,11 +145,59 @@ def build(texts: DataFrame, key: str, body: str, group: str, most: int = MAX_DOC
     basis, explained = directions(rows, terms.count(), dimensions, rounds)
     for frame in (sample, counts, rows):
         frame.unpersist()
+    return assemble(chunks, vocabulary, terms, basis, explained)
+
+
+def assemble(chunks: DataFrame, vocabulary: DataFrame, terms: DataFrame, basis: np.ndarray, explained: float = 0.0) -> Index:
+    """The index of chunks (with chunk_id and chunk_text) for a vocabulary and directions that are there already."""
     postings = text.weights(counts_of(chunks, "chunk_id", "chunk_text", vocabulary), F.broadcast(vocabulary), "chunk_id").cache()
     vectors = project(topics.rows_of(postings, terms, "chunk_id"), "chunk_id", basis).cache()
     return Index(chunks, vocabulary, terms, postings, vectors, basis, explained)
 
 
+_FRAMES = ("chunks", "vocabulary", "terms", "postings", "vectors")
+
+
+def save(index: Index, folder: str) -> dict:
+    """Writes the index as Parquet tables and a manifest of one JSON line, and returns the manifest. The manifest is written last: without it there is no index."""
+    spark = index.chunks.sparkSession
+    for name in _FRAMES:
+        getattr(index, name).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+    basis = pa.table({"place": pa.array(np.arange(len(index.directions)), pa.int32()), "direction": pa.array(index.directions.tolist(), pa.list_(pa.float64()))})
+    spark.createDataFrame(basis).write.mode("overwrite").parquet(f"{folder}/directions")  # features x dimensions at most
+    rows = {name: spark.read.parquet(f"{folder}/{name}").count() for name in _FRAMES}
+    manifest = {"rows": rows, "features": len(index.directions), "dimensions": int(index.directions.shape[1]), "explained_variance": index.explained}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
+    return manifest
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    """A saved index. Missing parts, or tables whose rows differ from the manifest or from each other, are an error."""
+    try:
+        manifest = json.loads(spark.read.text(f"{folder}/manifest.json").first()[0])
+        frames = {name: spark.read.parquet(f"{folder}/{name}") for name in _FRAMES}
+        basis = spark.read.parquet(f"{folder}/directions").orderBy("place").toArrow()
+    except Exception as e:
+        raise FileNotFoundError(f"no complete index in {folder}: {str(e).splitlines()[0]}") from None
+    rows = {name: frame.count() for name, frame in frames.items()}
+    indexed = frames["postings"].select("chunk_id").distinct().count()
+    if rows != manifest["rows"] or rows["vectors"] != indexed or rows["terms"] != rows["vocabulary"] or basis.num_rows != manifest["features"]:
+        raise ValueError(f"the tables of the index in {folder} do not reconcile: {rows}, manifest {manifest['rows']}")
+    flat = basis.column("direction").combine_chunks().flatten().to_numpy()
+    return Index(*(frames[name] for name in _FRAMES), flat.reshape(manifest["features"], manifest["dimensions"]), manifest["explained_variance"])
+
+
+_opened: dict[tuple[str, str], Index] = {}
+
+
+def opened(spark: SparkSession, folder: str) -> Index:
+    """A saved index, loaded once for an application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _opened:
+        _opened[key] = load(spark, folder)
+    return _opened[key]
+
+
 def search(index: Index, query: str, top_k: int = 8, filters: retrieval.Filters | None = None, dense_weight: float = 0.65, min_score: float = 0.05) -> DataFrame:
     """rank, chunk_id, lexical, dense, score and all columns of the best chunks; no rows if the filters leave none."""
     query = retrieval.check_request(query, top_k, dense_weight)

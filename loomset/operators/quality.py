@@ -16,7 +16,7 @@ MISSING = "<MISSING>"
 
 
 def null_profile(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column_name, null_count, null_rate_pct (2 places) and distinct_non_null of each column, most nulls first."""
+    """column_name, dtype, null_count, null_rate_pct (2 places) and distinct_non_null of each column, most nulls first."""
     columns = list(columns or frame.columns)
     long = frame.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).unpivot([], columns, "column_name", "value")
     # values are counted first, so that a column with few values sends few rows on
@@ -25,11 +25,19 @@ def null_profile(frame: DataFrame, columns: Sequence[str] | None = None) -> Data
     return (
         values.groupBy("column_name")
         .agg(F.sum(F.when(null, F.col("n")).otherwise(0)).alias("null_count"), F.sum("n").alias("_rows"), count_where(~null).alias("distinct_non_null"))
-        .select("column_name", "null_count", F.round(100 * F.col("null_count") / F.col("_rows"), 2).alias("null_rate_pct"), "distinct_non_null")
+        .select("column_name", _type_of(frame, columns).alias("dtype"), "null_count", F.round(100 * F.col("null_count") / F.col("_rows"), 2).alias("null_rate_pct"), "distinct_non_null")
         .orderBy(F.desc("null_rate_pct"), "column_name")
     )
 
 
+def _type_of(frame: DataFrame, columns: Sequence[str]) -> Column:
+    """The type of the column that column_name names."""
+    out = F.lit(None).cast("string")
+    for c in columns:
+        out = F.when(F.col("column_name") == c, frame.select(f"`{c}`").schema[0].dataType.simpleString()).otherwise(out)
+    return out
+
+
 def category_top(frame: DataFrame, columns: Sequence[str], n: int = 20) -> DataFrame:
     """The n most frequent values of each column (nulls as '<MISSING>'; ties by value), with their share in per cent."""
     long = frame.select(*(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns)).unpivot([], list(columns), "column_name", "value")

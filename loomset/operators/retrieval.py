@@ -90,7 +90,7 @@ def top(scored: DataFrame, key: str, top_k: int, min_score: float = 0.0, score:
 
 
 def cite(key: Column, snapshot: Column) -> Column:
-    return F.format_string("Record %s — %s", key.cast("string"), snapshot)
+    return F.format_string("Record ID %s — %s", key.cast("string"), snapshot)
 
 
 def excerpt(text: Column, n: int = EXCERPT) -> Column:

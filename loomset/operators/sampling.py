@@ -35,6 +35,8 @@ def monthly_quota(frame: DataFrame, ts: str, key: str, limit: int, most_per_mont
 
 
 def month_sequence(frame: DataFrame, start: str, end: str) -> DataFrame:
-    """Every month from the first to the last of a one-row frame's two 'YYYY-MM' columns, both included."""
+    """Every month from the first to the last of a one-row frame's two 'YYYY-MM' columns, both included. An end before the start is an error."""
     as_date = lambda c: F.to_date(F.concat(F.col(c), F.lit("-01")))
+    wrong = F.raise_error(F.concat(F.lit("no month from "), F.col(start), F.lit(" to "), F.col(end)))
+    frame = frame.select(F.when(F.col(start) > F.col(end), wrong.cast("string")).otherwise(F.col(start)).alias(start), end)
     return frame.select(F.explode(F.sequence(as_date(start), as_date(end), F.expr("interval 1 month"))).alias("_d")).select(F.date_format("_d", "yyyy-MM").alias("month"), F.col("_d").alias("month_start"), F.last_day("_d").alias("month_end"))

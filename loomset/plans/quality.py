@@ -10,12 +10,12 @@ from loomset.plans.catalog import query
 from loomset.roles import dispatches, records
 from loomset.session import table
 
-ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+ORDER_COLUMNS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS null_count, round(100 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_rate_pct, count(DISTINCT {c}) AS distinct_non_null FROM orders" for c in ORDER_COLUMNS))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{kind}' AS dtype, count(*) FILTER ({c} IS NULL) AS null_count, round(100 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_rate_pct, count(DISTINCT {c}) AS distinct_non_null FROM orders" for c, kind in ORDER_COLUMNS.items()))
 def dq_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.null_profile(table(spark, sf_dir, "orders"), ORDER_COLUMNS)
+    return quality.null_profile(table(spark, sf_dir, "orders"), list(ORDER_COLUMNS))
 
 
 @query("""WITH long AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import clean, evaluate, index, kpi, quality, retrieval, router, sampling, text
+from loomset.operators import clean, evaluate, index, kpi, prepare, quality, retrieval, router, sampling, text, topics
 from loomset.plans.catalog import query
 from loomset.session import table
 
@@ -62,6 +63,40 @@ def clean_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.receipt(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Documents as an archive of raw records: two rows share an id, some dates can't be read.
+ARCHIVE_SQL = """archive AS (SELECT CAST(doc_id // 2 AS VARCHAR) AS record_id, text, source, doc_id, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE DATE '2025-01-01' + CAST(doc_id % 400 AS INTEGER) END AS day FROM documents)"""
+PREPARED_SQL = f"""{ARCHIVE_SQL}, plain AS (SELECT *, {PLAIN_SQL} AS plain FROM archive), cleaned AS (SELECT *, {REDACTED_SQL} AS redacted FROM plain WHERE plain <> ''),
+  counted AS (SELECT *, redacted <> plain AS redaction_applied, length(redacted) AS char_count, len(string_split(redacted, ' ')) AS word_count, sha256(redacted) AS sha256 FROM cleaned),
+  written AS (SELECT * FROM counted WHERE char_count >= 80 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY doc_id) = 1)"""
+NAMES = {"Record": "record_id", "Narrative": "text", "Product": "source", "Received": "received", "Line": "line"}
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    day = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (d % 400).cast("int")), "MM/dd/yyyy")
+    return table(spark, sf_dir, "documents").select(F.floor(d / 2).cast("string").alias("Record"), F.col("text").alias("Narrative"), F.col("source").alias("Product"), F.when(d % 97 == 0, "n/a").otherwise(day).alias("Received"), F.lpad(d.cast("string"), 20, "0").alias("Line"))
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    source = prepare.renamed(_archive(spark, sf_dir), NAMES)
+    found = prepare.scored(source, "text")
+    return source, found, prepare.first_ones(found, "record_id", "line", ["received"], "2025-06", "https://example.org/archive", ["MM/dd/yyyy"])
+
+
+@query(f"""WITH {PREPARED_SQL} SELECT record_id, source, strftime(day, '%Y-%m-%d') AS received, strftime(day, '%Y-%m') AS month, char_count, word_count, redaction_applied, sha256, '2025-06' AS source_snapshot FROM written""")
+def prepared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir)[2].select("record_id", "source", "received", "month", "char_count", "word_count", "redaction_applied", "sha256", "source_snapshot")
+
+
+@query(f"""WITH {PREPARED_SQL}, top AS (SELECT source, count(*) AS n FROM written GROUP BY source ORDER BY n DESC, source LIMIT 20)
+    SELECT (SELECT count(*) FROM documents) AS source_rows, (SELECT count(*) FROM counted) AS non_empty_rows, (SELECT count(*) FROM counted WHERE char_count < 80) AS short_rows, (SELECT count(*) FROM counted WHERE redaction_applied) AS redacted_rows,
+    (SELECT count(*) FROM counted WHERE char_count >= 80) - count(*) AS duplicate_ids, count(*) AS written_rows, count(*) - count(DISTINCT sha256) AS exact_duplicate_texts, strftime(min(day), '%Y-%m-%d') AS received_min, strftime(max(day), '%Y-%m-%d') AS received_max,
+    (SELECT string_agg(source || ':' || n, '|' ORDER BY n DESC, source) FROM top) AS top_products FROM written""")
+def prepare_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, found, written = _prepared(spark, sf_dir)
+    return prepare.receipt(source, found, written, "record_id", "received", "source")
+
+
 @query("""WITH g AS (SELECT greatest(300 // count(DISTINCT coalesce(source, '')), 1) AS base FROM documents), r AS (SELECT doc_id, source, sha256('42:' || doc_id) AS k,
     row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || doc_id), doc_id) AS place FROM documents)
     SELECT doc_id, source FROM r, g ORDER BY place > base, k, doc_id LIMIT 300""")
@@ -201,6 +236,35 @@ def index_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rank", "doc_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("lexical", "dense", "score")))
 
 
+#: A direction for each term from the digits of its MD5, so that vectors are the same everywhere.
+FIXED_DIMENSIONS = 6
+_FIXED_SQL = ", ".join(f"strpos('0123456789abcdef', substr(md5(term), {j + 1}, 1)) - 8.5 AS d{j}" for j in range(FIXED_DIMENSIONS))
+INDEX_SQL = f"""{CHUNKS_SQL}, toks AS (SELECT chunk_id, list_filter(regexp_extract_all(strip_accents(lower(chunk_text)), '{text.TERM}'), lambda t: t NOT IN {STOPS_SQL}) AS w FROM chunks),
+  grams AS (SELECT chunk_id, unnest(list_concat(w, list_transform(range(1, CAST(len(w) AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM toks), counts AS (SELECT chunk_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+  n AS (SELECT count(*) AS n FROM chunks), vocabulary AS (SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM counts GROUP BY term), n WHERE df >= 2 AND df <= 0.98 * n ORDER BY corpus_tf DESC, term LIMIT 2000),
+  raw AS (SELECT chunk_id, term, (1 + ln(tf)) * idf AS w FROM counts JOIN vocabulary USING (term)), postings AS (SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS weight FROM raw),
+  fixed AS (SELECT term, {_FIXED_SQL} FROM vocabulary), sums AS (SELECT chunk_id, {", ".join(f"sum(weight * d{j}) AS v{j}" for j in range(FIXED_DIMENSIONS))} FROM postings JOIN fixed USING (term) GROUP BY chunk_id),
+  vectors AS (SELECT chunk_id, [{", ".join(f"v{j} / greatest(sqrt({' + '.join(f'v{i} * v{i}' for i in range(FIXED_DIMENSIONS))}), 1e-12)" for j in range(FIXED_DIMENSIONS))}] AS v FROM sums),
+  asked AS (SELECT '3_0' AS chunk_id), lexical AS (SELECT a.chunk_id, sum(a.weight * b.weight) AS lexical FROM postings a JOIN postings b ON a.term = b.term AND b.chunk_id = '3_0' GROUP BY a.chunk_id),
+  dense AS (SELECT a.chunk_id, least(greatest(list_dot_product(a.v, b.v), 0), 1) AS dense FROM vectors a JOIN vectors b ON b.chunk_id = '3_0')"""
+
+
+@query(f"""WITH {INDEX_SQL}, scored AS (SELECT c.chunk_id, c.doc_id, coalesce(l.lexical, 0) AS lexical, coalesce(d.dense, 0) AS dense FROM chunks c LEFT JOIN lexical l USING (chunk_id) LEFT JOIN dense d USING (chunk_id) WHERE lower(coalesce(c.lang, '')) = 'en')
+    SELECT doc_id, chunk_id, round(lexical, 4) AS lexical, round(dense, 4) AS dense FROM scored ORDER BY 0.65 * dense + 0.35 * lexical DESC, chunk_id LIMIT 10""")
+def chunk_search_fixed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search over the chunks of all documents, with filters, for the text of one chunk; directions are fixed, so that SQL gives the same rows."""
+    chunks = _chunks(spark, sf_dir).cache()
+    counts = index.counts_of(chunks, "chunk_id", "chunk_text")
+    vocabulary = text.vocabulary(counts, chunks.count(), max_features=2_000).cache()
+    terms = topics.numbered(vocabulary.select("term")).cache()
+    digits = F.array(*(F.conv(F.substring(F.md5("term"), j + 1, 1), 16, 10).cast("double") - 7.5 for j in range(FIXED_DIMENSIONS)))
+    basis = np.array([r["d"] for r in terms.select("place", digits.alias("d")).orderBy("place").collect()])  # 2,000 at most
+    built = index.assemble(chunks, vocabulary, terms, basis)
+    asked = chunks.filter("chunk_id = '3_0'").first()["chunk_text"]
+    found = index.search(built, asked, 10, retrieval.Filters(equal=(("lang", "EN"),)))
+    return found.select("doc_id", "chunk_id", F.round("lexical", 4).alias("lexical"), F.round("dense", 4).alias("dense"))
+
+
 #: question, and where it should go
 QUESTIONS = (
     ("q1", "How many records were there each month?", "sql"),
@@ -248,3 +312,38 @@ def eval_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS product, count(*) AS documents FROM events GROUP BY event_type ORDER BY documents DESC, product LIMIT 20")
 def product_counts_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.top_n(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("product")).agg(F.count(F.lit(1)).alias("documents")), "documents", 20, "product")
+
+
+#: Conversations as answers of an assistant: turns are its tool calls, the first one is what it said.
+ANSWERS_SQL = """results AS (SELECT conv_id, coalesce(max(text) FILTER (turn = 0), '') || ' Record ID: ' || conv_id AS answer, CASE WHEN conv_id % 3 = 0 THEN 'sql' ELSE 'hybrid' END AS route, count(*) AS calls,
+    list(role) AS tools, list(role) FILTER (turn % 3 <> 2) AS good_tools, count(*) FILTER (role = 'user') AS sql_calls, count(*) FILTER (role = 'user' AND turn % 3 = 2) AS bad_sql, count(*) FILTER (turn % 3 = 2) AS errors,
+    coalesce(string_agg(text, ' ') FILTER (role = 'user'), '') AS sql_text FROM conversations GROUP BY conv_id)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(results, cases)"""
+    turns = table(spark, sf_dir, "conversations")
+    event = F.struct(F.col("role").alias("name"), F.when(F.col("turn") % 3 == 2, "error").otherwise("ok").alias("status"), F.coalesce("text", F.lit("")).alias("sql"))
+    said = F.concat(F.coalesce(F.max(F.when(F.col("turn") == 0, F.col("text"))), F.lit("")), F.lit(" Record ID: "), F.col("conv_id").cast("string"))
+    results = turns.groupBy("conv_id").agg(said.alias("answer"), F.collect_list(event).alias("events"))  # an answer has a few calls
+    results = results.select(F.col("conv_id").alias("case_id"), "answer", F.when(F.col("conv_id") % 3 == 0, "sql").otherwise("hybrid").alias("route"), "events")
+    cases = turns.select(F.col("conv_id").alias("case_id")).distinct().select(
+        "case_id", F.array(F.col("case_id").cast("string")).alias("expected_numbers"), F.array(F.lit("the")).alias("expected_tables"), F.array(F.lit("assistant")).alias("expected_tools"),
+        F.lit(True).alias("require_sql"), F.when(F.col("case_id") % 2 == 0, "hybrid").otherwise("sql").alias("expected_route"), F.lit(1).alias("minimum_citations"),
+    )
+    return results, cases
+
+
+@query(f"""WITH {ANSWERS_SQL} SELECT count(*) AS cases, avg(CAST(calls > 0 AS INT)) AS tool_use_rate, avg(CAST(bad_sql = 0 AND sql_calls > 0 AS INT)) AS sql_success_rate, avg(CAST(contains(sql_text, 'the') AS INT)) AS tables_rate,
+    avg(CAST(list_contains(tools, 'assistant') AS INT)) AS tools_rate, avg(CAST(contains(answer, CAST(conv_id AS VARCHAR)) AS INT)) AS numbers_rate FROM results""")
+def eval_sql_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, cases = _answers(spark, sf_dir)
+    return evaluate.rates(evaluate.sql_cases(results, cases, sql_tool="user"), "tool_use", "sql_success", "tables", "tools", "numbers")
+
+
+@query(f"""WITH {ANSWERS_SQL} SELECT count(*) AS cases, avg(CAST(route = CASE WHEN conv_id % 2 = 0 THEN 'hybrid' ELSE 'sql' END AS INT)) AS route_rate, avg(CAST(coalesce(list_contains(good_tools, 'assistant'), false) AS INT)) AS tools_rate,
+    avg(CAST(contains(sql_text, 'the') AS INT)) AS tables_rate, avg(CAST(len(regexp_extract_all(answer, '(?i)(?:Record|Complaint)\\s*ID\\s*[:：#]?\\s*[0-9]+')) >= 1 AS INT)) AS citations_rate, CAST(sum(errors) AS BIGINT) AS tool_errors FROM results""".replace("\\\\", "\\"))
+def eval_hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, cases = _answers(spark, sf_dir)
+    judged = evaluate.hybrid_cases(results, cases, sql_tool="user")
+    return evaluate.rates(judged, "route", "tools", "tables", "citations").join(F.broadcast(judged.agg(F.sum("tool_errors").alias("tool_errors"))))  # one row each

@@ -37,16 +37,19 @@ def columns_of(spark: SparkSession, names: Sequence[str]) -> list[dict]:
     return [{"table": n, "columns": [{"name": c.name, "type": c.dataType} for c in spark.catalog.listColumns(n)]} for n in names if spark.catalog.tableExists(n)]
 
 
-def text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV with a header, all columns text, empty ones '' rather than null. Quoted fields may hold line ends."""
-    frame = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+def text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, line_ends_in_fields: bool = True) -> DataFrame:
+    """A CSV with a header, all columns text, empty ones '' rather than null.
+
+    Quoted fields may hold line ends; then a file is one task. Without them a large file is read by many.
+    """
+    frame = spark.read.csv(path, header=True, multiLine=line_ends_in_fields, escape='"', inferSchema=False)
     if columns:
         require_columns(frame, columns)
     return frame.na.fill("")
 
 
 def zipped_csv(spark: SparkSession, archive: str, folder: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """The one CSV inside a zip archive, unpacked to a folder that Spark reads. None or several are an error."""
+    """The one CSV inside a zip archive, unpacked by the driver to a folder that all executors see as well. None or several are an error."""
     with zipfile.ZipFile(archive) as z:
         members = [m for m in z.namelist() if m.lower().endswith(".csv")]
         if len(members) != 1:
@@ -66,14 +69,26 @@ _BUCKETS = T.StructType(
 
 
 def aggregation_buckets(responses: DataFrame, json_column: str, dimensions: Sequence[str]) -> DataFrame:
-    """Other columns with dimension, value, doc_count, sum_other_doc_count and doc_count_error_upper_bound; a missing dimension has no rows."""
+    """Other columns with dimension, value, doc_count, sum_other_doc_count and doc_count_error_upper_bound, one row for each bucket."""
+    lists = bucket_lists(responses, json_column, dimensions)
+    others = [c for c in lists.columns if c != "buckets"]
+    rows = lists.select(*others, F.explode("buckets").alias("_v"))
+    zero = F.lit(0).cast("long")
+    return rows.select(*others[:-2], F.col("_v.key").alias("value"), F.coalesce("_v.doc_count", zero).alias("doc_count"), *others[-2:])
+
+
+def bucket_lists(responses: DataFrame, json_column: str, dimensions: Sequence[str]) -> DataFrame:
+    """Other columns with dimension, buckets (key, doc_count), sum_other_doc_count and doc_count_error_upper_bound, one row for each dimension.
+
+    A dimension that a response lacks has no buckets and zeros.
+    """
     parsed = T.StructType([T.StructField("aggregations", T.StructType([T.StructField(d, T.StructType([T.StructField(d, _BUCKETS)])) for d in dimensions]))])
     others = [c for c in responses.columns if c != json_column]
     rows = responses.withColumn("_r", F.from_json(json_column, parsed))
     each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(f"_r.aggregations.{d}.{d}").alias("b")) for d in dimensions))
-    rows = rows.select(*others, F.explode(each).alias("_d")).select(*others, "_d.dimension", F.explode("_d.b.buckets").alias("_v"), "_d.b")
-    zero = F.lit(0).cast("long")
-    return rows.select(*others, "dimension", F.col("_v.key").alias("value"), F.coalesce("_v.doc_count", zero).alias("doc_count"), F.coalesce("b.sum_other_doc_count", zero).alias("sum_other_doc_count"), F.coalesce("b.doc_count_error_upper_bound", zero).alias("doc_count_error_upper_bound"))
+    rows = rows.select(*others, F.explode(each).alias("_d")).select(*others, "_d.dimension", "_d.b")
+    none, zero = F.array().cast(_BUCKETS["buckets"].dataType), F.lit(0).cast("long")
+    return rows.select(*others, "dimension", F.coalesce("b.buckets", none).alias("buckets"), F.coalesce("b.sum_other_doc_count", zero).alias("sum_other_doc_count"), F.coalesce("b.doc_count_error_upper_bound", zero).alias("doc_count_error_upper_bound"))
 
 
 def records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -71,3 +71,20 @@ def test_search_finds_what_brute_force_over_all_rows_finds(spark, data):
         found = {r["chunk_id"] for r in index.search(built, q["text"], 8, min_score=0.0).collect()}
         hits, wanted = hits + len(found & set(best)), wanted + len(best)
     assert hits >= 0.9 * wanted
+
+
+def test_a_saved_index_answers_alike_and_must_reconcile(spark, tmp_path):
+    rows = [(i, f"{'identity theft credit report' if i % 3 == 0 else 'overdraft fee bank account' if i % 3 == 1 else 'debt collector phone call'} number {i} with words shared by all of them", "abc"[i % 3]) for i in range(30)]
+    built = index.build(spark.createDataFrame(rows, "id long, body string, product string"), "id", "body", "product", dimensions=4)
+    folder = str(tmp_path / "index")
+    manifest = index.save(built, folder)
+    assert manifest["rows"]["chunks"] == 30 and manifest["rows"]["vectors"] == 30
+    again = index.opened(spark, folder)
+    assert again is index.opened(spark, folder)
+    ask = lambda i: [tuple(r) for r in index.search(i, "credit identity", 5).select("rank", "chunk_id", "score").collect()]
+    assert ask(again) == ask(built) and all(int(r[1].split("_")[0]) % 3 == 0 for r in ask(again))
+    built.vectors.limit(7).write.mode("overwrite").parquet(f"{folder}/vectors")
+    with pytest.raises(ValueError, match="reconcile"):
+        index.load(spark, folder)
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, str(tmp_path / "nowhere"))

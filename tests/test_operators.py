@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from loomset.operators import catalog, clean, evaluate, gateway, kpi, quality, retrieval, router, sampling, text, topics
+from loomset.operators import catalog, clean, evaluate, gateway, kpi, prepare, quality, retrieval, router, sampling, text, topics
 from loomset.plans import themes
 from loomset.sources import tables
 from loomset.sources.paged import PagedRecords
@@ -210,3 +210,33 @@ def test_topics_of_every_document_from_pairs_of_words_without_copies_and_masks(s
     labels = " / ".join({r["topic_label"] for r in found.values()})
     assert "red rose" in labels and "boat sail" in labels and "xx" not in labels and "2019" not in labels and "copied" not in labels
     assert all(found[i]["topic_id"] >= 0 for i in range(24)) and not {found[i]["topic_id"] for i in range(0, 24, 2)} & {found[i]["topic_id"] for i in range(1, 24, 2)}
+
+
+def test_preparation_from_records_to_receipt(spark, tmp_path):
+    rows = [("1 ", "a long enough text with 212-555-0199 in it " * 3, "p", "03/04/2025", "1"), ("1", "another one " * 10, "q", "03/05/2025", "2"), ("2", "short", "p", "", "3"), ("", "nobody's text " * 9, "p", "03/06/2025", "4"), ("3", " ", "p", "", "5"), ("4", "another one " * 10, "p", "bad", "6")]
+    frame = spark.createDataFrame(rows, "`Complaint ID` string, Narrative string, Product string, `Date received` string, Line string")
+    names = {"Complaint ID": "record_id", "Narrative": "text", "Product": "product", "Date received": "received", "Line": "line"}
+    options = {"key": "record_id", "text": "text", "dates": ["received"], "product": "product", "order": "line", "snapshot": "s1", "url": "u", "formats": ["MM/dd/yyyy"]}
+    told = prepare.run(spark, frame, names, str(tmp_path / "out"), **options)
+    wanted = {"source_rows": 6, "non_empty_rows": 5, "short_rows": 1, "redacted_rows": 1, "duplicate_ids": 1, "written_rows": 2, "exact_duplicate_texts": 0, "received_min": "2025-03-04", "received_max": "2025-03-04", "top_products": "p:2"}
+    assert {k: told[k] for k in wanted} == wanted and told["content"]["row_count"] == 2
+    written = {r["record_id"]: r for r in spark.read.parquet(str(tmp_path / "out" / "texts")).collect()}
+    assert set(written) == {"1", "4"} and written["1"]["month"] == "2025-03" and written["4"]["received"] is None and "[REDACTED_PHONE]" in written["1"]["text"]
+    with pytest.raises(ValueError):
+        prepare.run(spark, frame.limit(0), names, str(tmp_path / "none"), **options)
+    with pytest.raises(ValueError):
+        prepare.renamed(frame, {"Missing": "x"})
+
+
+def test_months_in_the_wrong_order_are_an_error(spark):
+    frame = spark.createDataFrame([("2025-03", "2025-01")], "a string, b string")
+    with pytest.raises(Exception, match="no month from 2025-03 to 2025-01"):
+        sampling.month_sequence(frame, "a", "b").collect()
+
+
+def test_a_missing_dimension_has_no_buckets(spark):
+    body = '{"aggregations": {"p": {"p": {"buckets": [{"key": "x", "doc_count": 3}], "sum_other_doc_count": 1}, "doc_count": 4}}}'
+    frame = spark.createDataFrame([("2025-01", body)], "month string, r string")
+    found = {r["dimension"]: (len(r["buckets"]), r["sum_other_doc_count"], r["doc_count_error_upper_bound"]) for r in tables.bucket_lists(frame, "r", ["p", "q"]).collect()}
+    assert found == {"p": (1, 1, 0), "q": (0, 0, 0)}
+    assert [tuple(r) for r in tables.aggregation_buckets(frame, "r", ["p", "q"]).collect()] == [("2025-01", "p", "x", 3, 1, 0)]
