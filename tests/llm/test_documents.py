@@ -1,8 +1,10 @@
 """Operators on documents against brute force, and what they do with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -48,12 +50,13 @@ def corpus():
     return rows
 
 
-def test_recurring_passages(spark, corpus):
+@pytest.mark.parametrize("most", [substring.AUTOMATON_WORDS, 150])
+def test_recurring_passages(spark, corpus, most):
     starts = Counter()
     for _, text in corpus:
         w = words_of(text)
         starts.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
-    found = {r["doc_id"]: r for r in substring.remove_recurring(spark.createDataFrame(corpus, TEXT)).collect()}
+    found = {r["doc_id"]: r for r in substring.remove_recurring(spark.createDataFrame(corpus, TEXT), automaton_words=most).collect()}
     assert len(found) == len(corpus)
     for doc_id, text in corpus:
         w = words_of(text)
@@ -245,6 +248,85 @@ def plain_path(scores, penalty):
     return best.max()
 
 
+class PlainLanguages:
+    """The language model written out for one text at a time."""
+
+    def __init__(self, labelled):
+        self.langs = sorted({lang for _, lang in labelled})
+        self.cells = {x: Counter() for x in self.langs}
+        self.scripts = {x: Counter() for x in self.langs}
+        for text, lang in labelled:
+            for word in self.words(text):
+                self.cells[lang].update(cell for cell, _ in word)
+                self.scripts[lang].update(script for _, script in word)
+
+    @staticmethod
+    def words(text):
+        """Each word as (cell, script) of its letters."""
+        letter = [c.lower() if len(c.lower()) == 1 else c for c in text]
+        is_letter = [c.isalpha() or unicodedata.category(c)[0] == "M" for c in text]
+        code = [ord(letter[i]) if is_letter[i] else 0 for i in range(len(text))]
+        out, run = [], 0
+        for i in range(len(text)):
+            if not is_letter[i]:
+                run = 0
+                continue
+            before, after = code[i - 1] if i else 0, code[i + 1] if i + 1 < len(text) else 0
+            h = ((before * 0x9E3779B97F4A7C15 + code[i]) * 0xD1342543DE82EF95 + after * 0xA0761D6478BD642F) % 2**64
+            h ^= h >> 29
+            cell = (h * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - langid.HASH_BITS)
+            point = ord(text[i])
+            script = next((k for k, ranges in reversed(list(enumerate(langid.SCRIPTS.values()))) if any(a <= point <= b for a, b in ranges)), langid.OTHER)
+            if run % langid.WORD_LETTERS == 0:
+                out.append([])
+            out[-1].append((cell, script))
+            run += 1
+        return out
+
+    def judge(self, text):
+        words, k = self.words(text), len(self.langs)
+        if not words:
+            return "und", 0.0
+        total = [sum(self.cells[x].values()) for x in self.langs]
+        none = lambda script: not any(self.scripts[x][script] >= langid.MIN_SHARE * max(1, sum(self.scripts[x].values())) for x in self.langs)
+        scores = []
+        for word in words:
+            raw = [sum(math.log((self.cells[x][c] + 0.5) / (total[i] + 0.5 * langid.CELLS)) for c, _ in word) for i, x in enumerate(self.langs)]
+            out = [any(not none(s) and self.scripts[x][s] < langid.MIN_SHARE * max(1, sum(self.scripts[x].values())) for _, s in word) for x in self.langs]
+            out = [False] * k if all(out) else out
+            best = max(r for r, o in zip(raw, out, strict=True) if not o)
+            scores.append([-2 * langid.WORD_CAP if o else max(r - best, -langid.WORD_CAP) for r, o in zip(raw, out, strict=True)])
+        best, came = scores[0], []
+        for row in scores[1:]:
+            top = max(range(k), key=lambda x: (best[x], -x))
+            came.append([x if best[x] >= best[top] - langid.PENALTY else top for x in range(k)])
+            best = [best[c] - langid.PENALTY * (c != x) + row[x] for x, c in enumerate(came[-1])]
+        path = [max(range(k), key=lambda x: (best[x], -x))]
+        for step in reversed(came):
+            path.append(step[path[-1]])
+        share = [0] * k
+        for x, word in zip(reversed(path), words, strict=True):
+            share[x] += len(word)
+        own = max(range(k), key=lambda x: (share[x], -x))
+        mean = [sum(row[x] for row in scores) / len(scores) for x in range(k)]
+        margin = mean[own] - max(m for x, m in enumerate(mean) if x != own)
+        return self.langs[own], share[own] / sum(share) / (1 + math.exp(min(30, max(-30, -2 * margin))))
+
+
+def test_language_query_equals_the_plain_model(spark, data):
+    from loomset.llm import entries
+
+    docs = [(r["doc_id"], (r["text"] or ""), r["lang"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    own = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    plain = PlainLanguages([(t, lang) for i, t, lang in docs if lang is not None and not own(i)])
+    found = {r["doc_id"]: r for r in entries.op4_language_id(spark, data).collect()}
+    assert len(found) == len(docs)
+    for i, text, _ in docs:
+        if len(text) < 8000:
+            lang, score = plain.judge(text)
+            assert (found[i]["lang_pred"], found[i]["held_out"]) == (lang, own(i)) and abs(found[i]["score"] - score) < 1e-3
+
+
 def test_language_with_two_hundred_languages_and_clashing_columns(spark):
     rng = random.Random(11)
     alphabets = [rng.sample("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(200)]
@@ -291,6 +373,35 @@ def test_quality(spark):
     assert {r["score"] for r in none} == {0.5} and quality.qualities(docs.limit(0), labels).count() == 0
 
 
+def test_quality_of_whole_tables_equals_plain_compression(spark, data):
+    """Each score from the sizes that zstandard gives for one text, and the curve."""
+    import zstandard
+
+    from loomset.llm import entries
+
+    docs, labels = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    size = lambda data, text: len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **({"dict_data": zstandard.ZstdCompressionDict(data)} if data else {})).compress(text))
+    found = {r["doc_id"]: r for r in entries.op5_quality_classifier(spark, data).collect()}
+    assert len(found) == docs.count()
+    for r in docs.collect()[::4]:
+        text = (r["text"] or "").encode()
+        n = max(1, len(text))
+        x = [(size(model.bad, text) - size(model.good, text)) / n, size(b"", text) / n, math.log1p(len(text))]
+        z = model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.centre, model.spread, strict=True))
+        assert abs(found[r["doc_id"]]["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 0.02
+
+
+def test_quality_of_long_texts_repeated_rows_and_other_columns(spark):
+    rows = [(i, ("good text of words " if i % 2 else "BUY $$$ now!! ") * 20, 0.5, "own") for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0], (99, "good text of words " * 300_000, 0.5, "own")], "doc_id long, text string, score double, held_out string")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(60)], "doc_id long, quality int, text string")
+    found = quality.qualities(docs, labels)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = found.collect()
+    assert len(rows) == 63 and len({r["score"] for r in rows if r["doc_id"] == 0}) == 1 and next(r for r in rows if r["doc_id"] == 99)["predicted"] == 1
+
+
 def plain_alignment(a, b, weights):
     table, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i, x in enumerate(a, 1):
@@ -446,6 +557,33 @@ def test_surrogates(spark):
     assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in (3, 4)} == {3: None, 4: ""} and pii.replace(docs.limit(0)).count() == 0
 
 
+def test_surrogates_of_a_whole_table(spark, data):
+    """Found by another regular expression engine: text between entities stays, one entity is one surrogate, two are two, and none is a real one."""
+    import regex
+
+    from loomset.llm import entries
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    entity = regex.compile(pii.ENTITY)
+    surrogate, real = {}, set()
+    found = {r["doc_id"]: r for r in entries.op7_pii_surrogates(spark, data).collect()}
+    assert set(found) == set(docs)
+    for i, text in docs.items():
+        matches = list(entity.finditer(text or ""))
+        assert found[i]["n_entities"] == len(matches)
+        if not matches:
+            assert found[i]["text"] == text
+            continue
+        places = [0, *(x for m in matches for x in m.span()), len(text)]
+        between = [re.escape(text[a:b]) for a, b in zip(places[::2], places[1::2], strict=True)]
+        new = re.fullmatch("(.+?)".join(between), found[i]["text"], re.DOTALL)
+        for old, now in zip((m[0] for m in matches), new.groups(), strict=True):
+            real.add(old)
+            assert surrogate.setdefault(old, now) == now and old != now
+            assert [c.isdigit() for c in old if not c.isalnum() or c.isdigit()] == [c.isdigit() for c in now if not c.isalnum() or c.isdigit()] or "@" in old or re.fullmatch(r"[\d.]+", old)
+    assert len(real) > 5 and len(set(surrogate.values())) == len(surrogate) and not real & set(surrogate.values())
+
+
 def test_surrogates_of_names_and_phones(spark):
     """One name is one name under every title; initials and text around stay."""
     texts = ["Mr John Smith and Dr John Smith, Dr. Kim Lee", "Prof Anna B. Marie-Jones with Mrs Anna B. Marie-Jones and Sir John", "Dr Maria Lopez", "tel 017 555 7713, (212)5550199, 212 555 0199, 030 1234567 or 12 34", "a\u0001b Mr John Smith 10.1.2.3\u0001"]
