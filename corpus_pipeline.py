@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm import decontamination, langid, minhash, packing, pii
-from loomset.llm.common import bound_batches, keep, table, unused
+from loomset.llm.common import bound_batches, discard, discard_others, keep, kept_so_far, table, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id; of rows that repeat its id any one."""
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    single = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return single.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near-duplicates: the one with the least doc_id.
+
+    Of rows that repeat its id the one whose columns have the least hash stays. Rows without an id stay.
+    """
+    columns, ident = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "_id")
+    found = minhash.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(ident))
+    marked = keep(found.agg(F.bool_and("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows")).filter("NOT _stays OR _rows > 1"), "marked")
+    single = docs.join(marked, F.col("doc_id") == F.col(ident), "left_anti")
+    repeated = docs.join(marked.filter("_stays"), F.col("doc_id") == F.col(ident), "left_semi")
+    first = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    return single.unionByName(first.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Between stages only the documents are kept; what a stage kept for itself goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before = kept_so_far(spark)
+        after = keep(stage(spark, docs, sf_dir), name)
+        discard_others(spark, before, after)
+        if docs is not after and hasattr(docs, "kept_at"):
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

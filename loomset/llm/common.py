@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from loomset.session import table as input_table
+from loomset.session import unused as unused
 
 #: Rows and bytes of an Arrow batch at most (a longer row is a batch of its own).
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
@@ -43,24 +44,40 @@ def keep(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(frame.schema).parquet(path) if not partition_by else spark.read.parquet(path)
     out.kept_at = path
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
-def unused(frame: DataFrame, name: str) -> str:
-    """The name, with `_` in front as often as it takes to be the name of no column of the frame."""
-    taken = {c.lower() for c in frame.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+#: Folders of the tables that this application keeps, in order.
+_kept: dict[str, list[str]] = {}
+
+
+def kept_so_far(spark: SparkSession) -> int:
+    return len(_kept.get(spark.sparkContext.applicationId, []))
+
+
+def discard_others(spark: SparkSession, since: int, *still: DataFrame) -> None:
+    """Removes all tables kept since kept_so_far() gave that number, but for some. What was made of them must be kept, or no longer wanted."""
+    mine = _kept.get(spark.sparkContext.applicationId, [])
+    stay = {frame.kept_at for frame in still}
+    for path in [p for p in mine[since:] if p not in stay]:
+        _remove(spark, path)
+        mine.remove(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def discard(frame: DataFrame) -> None:
     """Removes a kept table that no later step reads."""
-    context = frame.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(frame.kept_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(frame.sparkSession, frame.kept_at)
+    mine = _kept.get(frame.sparkSession.sparkContext.applicationId, [])
+    if frame.kept_at in mine:
+        mine.remove(frame.kept_at)
 
 
 def bound_batches(spark: SparkSession) -> None:
