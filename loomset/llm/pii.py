@@ -1,45 +1,60 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Detection. One regular expression finds e-mail addresses, phone and card numbers, IPv4 addresses, social
-security numbers, IBANs, secrets (long hexadecimal runs, keys with known beginnings) and names after a title.
+security numbers, IBANs, secrets (long hexadecimal runs, keys with known beginnings) and names after a title. A text is searched once,
+and only if it has a digit, an @ or a title at all. Names without a title are not found.
 
 Replacement. Each entity is one or more atoms: (kind, canonical value), for instance a number without its spaces, an address in lower
 case, one word of a name. An atom's surrogate is drawn from SHA-256 of the secret key, its kind and value, so it is the same
 wherever the atom stands (coreference, also over documents) and can't be guessed without the key. It keeps kind and format: digits
 stay digits, letters letters, signs and case stay, and so do a phone's country code, a card's first digit and whether its check digit
 is right, an address's top-level domain, an IBAN's country. Names get names of the same script, given names of
-the same gender, which the title tells.
+the same gender. The title tells it; where a title doesn't (Dr), the gender that the same full name has elsewhere in the corpus is taken
+(of two the female one), else names of either kind. Initials stay.
 
 Collision check. Over all distinct atoms of the corpus, no two atoms of a kind may have one surrogate, and no surrogate may be an atom
 that occurs. Those that fail (all but one of those that share one) draw again until none is left. From LONGER draws on a
 surrogate gets two more characters for each, so that short values can't run out of free ones. Documents meet the outcome of redrawn
 atoms by a join; if nothing had to be drawn again, there is none.
 
-Null texts stay null, all other text stays as it is to the last character. Rows that repeat an id are replaced each. Columns that are
-not text pass unchanged.
+Key. The session's setting spark.loomset.surrogate.key. Where it is unset, a random one is made and set, so that surrogates are the same
+throughout a session, and can't be linked with those of another one.
+
+Null texts stay null, empty ones empty, all other text stays as it is to the last character. Rows that repeat an id are replaced each.
+Columns other than text pass unchanged, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm.common import keep
+from loomset.llm.common import discard, keep, unused
 
-KEY = "loomset"
+KEY_SETTING = "spark.loomset.surrogate.key"
 LONGER = 8
+#: What is put around entities to part a text at them. Texts that have it already are parted by a second search.
+MARK = "\u0001"
 
 #: What is recognised. Every alternative begins where its kind of run begins, so that a long run is read once.
-_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,24}"
-_IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
-_CARD = r"(?<![\p{L}\p{N}+.\-])(?:[0-9]{4}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![\p{L}\p{N}]|-[0-9])"
-_PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])"
-_SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2}[ ]?[0-9]{4}(?:[ ]?[A-Z0-9]{4}){0,4}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-_SECRET = r"(?<![\p{L}\p{N}])(?:(?:0x)?[0-9a-fA-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z\-]{20,}+|xox[abpr]-[0-9A-Za-z\-]{10,}+)(?![\p{L}\p{N}])"
+_EMAIL = r"(?<![._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,8}\.\p{L}{2,24}"
+_IP = r"(?<![.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
+_CARD = r"(?<![+.\-])(?:[0-9]{4}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![\p{L}\p{N}]|-[0-9])"
+_NATIONAL = r"\([0-9]{3}\)[ ]?[0-9]{3}[ .\-]?[0-9]{4}|[0-9]{3}([ .\-])[0-9]{3}\2[0-9]{4}|0[0-9]{1,4}[ /\-][0-9]{3,4}[ \-]?[0-9]{3,5}"
+_PHONE = rf"(?<![+])(?:\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .\-]?[0-9]{{2,4}}){{2,4}}|{_NATIONAL})(?![0-9])"
+_SSN = r"(?<![\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2}[ ]?[0-9]{4}(?:[ ]?[A-Z0-9]{4}){0,4}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+_HEXADECIMAL = r"(?:0x)?[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
+_SECRET = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z\-]{20,}+|xox[abpr]-[0-9A-Za-z\-]{10,}+)(?![\p{L}\p{N}])"
 _MALE, _FEMALE, _ANY = "Mr|Herr|Herrn|Monsieur|Señor|Sir|Господин|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа|Κυρία", "Dr|Prof|Professor"
-_PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_ANY})\.?[ ]\p{{Lu}}\p{{Ll}}+(?:[\-][\p{{Lu}}]\p{{Ll}}+)?(?:[ ]\p{{Lu}}\p{{Ll}}+(?:[\-]\p{{Lu}}\p{{Ll}}+)?)?"
-ENTITY = "|".join((_EMAIL, _IP, _CARD, _SSN, _PHONE, _IBAN, _SECRET, _PERSON))
+_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_PERSON = rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.?[ ](?:(?:{_WORD}|\p{{Lu}}\.)[ ]){{0,2}}{_WORD}"
+#: All of them begin where no letter or digit stands before; those that begin with a digit or a sign are tried there alone.
+ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL}|(?=[0-9(+])(?:{_IP}|{_CARD}|{_SSN}|{_PHONE})|{_IBAN}|{_HEXADECIMAL}|{_SECRET}|(?=[DFHMPSГΚ]){_PERSON})"
+#: Texts without any of these have no entity: all but names have a digit or an @, and a secret of letters alone has a known beginning.
+HINT = rf"[@0-9]|[DFHMPSГΚ](?<=\b[DFHMPSГΚ])(?:{'|'.join(x[1:] for x in f'{_MALE}|{_FEMALE}|{_ANY}'.split('|'))})\.?[ ]\p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abpr]-|[a-fA-F]{{32}}"
 
 #: Beginnings and endings that surrogate names are put together from, by script.
 _NAMES = {
@@ -80,28 +95,39 @@ def _part(kind: Column, canon: Column, raw: Column) -> Column:
 
 
 def _name_parts(x: Column) -> Column:
-    """The title and signs, which stay (no kind), and the words of a name. The last word, and those joined to it by a hyphen, are the family's."""
+    """The title, signs and initials, which stay (no kind), and the words of a name. The last word, and those joined to it by a hyphen, are the family's."""
     title = F.regexp_extract(x, r"^(\p{L}+\.? )", 1)
     bare = F.regexp_extract(x, r"^(\p{L}+)", 1)
     given_kind = F.when(bare.rlike(f"^(?:{_MALE})$"), "given_m").when(bare.rlike(f"^(?:{_FEMALE})$"), "given_f").otherwise("given")
-    given = F.regexp_extract(x, r"^\p{L}+\.? (?:([\p{L}\-]+) )?([\p{L}\-]+)$", 1)
+    given = F.regexp_extract(x, r"^\p{L}+\.? (.*[ ])?[\p{L}\-]+$", 1)
     family = F.regexp_extract(x, r"([\p{L}\-]+)$", 1)
-    none = F.lit(None)
 
     def words(text: Column, kind: Column) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|-"), F.lit(0)), lambda w: _part(F.when(w != "-", kind), F.when(w != "-", F.lower(w)), w))
+        named = lambda w: w.rlike(r"^\p{L}{2,}$")
+        return F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: _part(F.when(named(w), kind), F.when(named(w), F.lower(w)), w))
 
-    middle = F.when(given != "", F.array(_part(none, none, F.lit(" ")))).otherwise(F.array().cast("array<struct<kind:string,canon:string,raw:string>>"))
-    return F.concat(F.array(_part(none, none, title)), words(given, given_kind), middle, words(family, F.lit("family")))
+    return F.concat(F.array(_part(F.lit(None), F.lit(None), title)), words(given, given_kind), words(family, F.lit("family")))
 
 
-def _parts(some: DataFrame, row: str, found: str) -> DataFrame:
-    """row, pos, part, kind, canon and raw: what the entities of each row are made of."""
+def _parts(some: DataFrame, row: str, pieces: str) -> DataFrame:
+    """row, pos, part, kind, canon, raw and name (of persons): what the entities of each row are made of."""
     x, kind = F.col("x"), F.col("kind")
     canon = F.when(kind.isin("email", "secret"), F.lower(x)).when(kind == "phone", F.concat(F.when(x.startswith("+"), "+").otherwise(""), _digits(x))).when(kind == "iban", F.regexp_replace(x, " ", "")).when(kind == "ip", x).otherwise(_digits(x))
+    found = F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.element_at(pieces, i + 1))
     entities = some.select(F.col(row).alias("row"), F.posexplode(found).alias("pos", "x")).withColumn("kind", _kind(x))
     parts = F.when(kind == "person", _name_parts(x)).otherwise(F.array(_part(kind, canon, x)))
-    return entities.select("row", "pos", F.posexplode(parts).alias("part", "p")).select("row", "pos", "part", "p.*")
+    name = F.when(kind == "person", F.lower(F.regexp_replace(x, r"^\p{L}+\.? ", "")))
+    return entities.select("row", "pos", name.alias("name"), F.posexplode(parts).alias("part", "p")).select("row", "pos", "part", "p.*", "name")
+
+
+def _with_gender(parts: DataFrame) -> DataFrame:
+    """Given names after a neutral title take the gender of the same full name elsewhere."""
+    given = parts.filter(F.col("kind").isin("given", "given_m", "given_f")).select("name", "kind")
+    known = given.groupBy("name").agg(F.bool_or(F.col("kind") == "given").alias("open"), F.min(F.when(F.col("kind") != "given", F.col("kind"))).alias("sex"))
+    known = keep(known.filter("open AND sex IS NOT NULL").select("name", "sex"), "genders")
+    if known.isEmpty():
+        return parts
+    return parts.join(known, "name", "left").withColumn("kind", F.when(F.col("kind") == "given", F.coalesce("sex", "kind")).otherwise(F.col("kind"))).drop("sex")
 
 
 def _stream(key: Column, kind: Column, canon: Column, attempt: Column, length: Column) -> Column:
@@ -218,22 +244,38 @@ def _collisions(atoms: DataFrame, secret: str) -> DataFrame | None:
         now = keep(_drawn(marked, secret).select("kind", "canon", "attempt", F.coalesce("held", surrogate).alias("surrogate")), "surrogates")
 
 
-def _unused(frame: DataFrame, name: str) -> str:
-    while name.lower() in (c.lower() for c in frame.columns):
-        name = "_" + name
-    return name
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key; a random one where none is set."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def _pieces(text: Column) -> Column:
+    """The text parted at its entities: those at odd places (from 0) are entities. Null if it has none."""
+    fast = F.split(F.regexp_replace(text, ENTITY, f"{MARK}$0{MARK}"), MARK, -1)
+    between, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    slow = F.concat(F.flatten(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.array(a, b))), F.slice(between, F.lit(-1), F.lit(1)))
+    return F.when(text.rlike(HINT), F.when(text.contains(MARK), slow).otherwise(fast))
 
 
-def replace(documents: DataFrame, key: str = KEY, count: bool = False) -> DataFrame:
-    """The documents with surrogates in text, all other columns as they are; with count, n_entities is added."""
-    found, row, new, total = (_unused(documents, x) for x in ("_found", "_row", "_new", "n_entities"))
-    marked = documents.withColumn("text", F.col("text").cast("string")).withColumn(found, F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0)))
+def replace(documents: DataFrame, key: str | None = None, count: bool = False) -> DataFrame:
+    """The documents with surrogates in text, all other columns as they are; with count, n_entities is added. key: the session's if None."""
+    key = key or session_key(documents.sparkSession)
+    pieces, row, new, total = (unused(documents, x) for x in ("_pieces", "_row", "_new", "n_entities"))
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    has = F.coalesce(F.size(found) > 0, F.lit(False))
-    without = marked.filter(~has).select(*columns, *([F.lit(0).cast("long").alias(total)] if count else []))
-    some = keep(marked.filter(has).withColumn(row, F.monotonically_increasing_id()), "entities")
-    parts = keep(_parts(some, row, found), "parts")
-    again = _collisions(keep(parts.filter("kind IS NOT NULL").select("kind", "canon").distinct(), "atoms"), key)
+    has = F.coalesce(F.size(pieces) > 1, F.lit(False))
+    # a text with entities is kept in pieces alone
+    marked = documents.withColumn("text", F.col("text").cast("string")).withColumn(pieces, _pieces(F.col("text")))
+    marked = marked.select(*(F.when(~has, F.col("text")).alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in documents.columns), F.when(has, F.col(pieces)).alias(pieces))
+    marked = keep(marked.withColumn(row, F.monotonically_increasing_id()), "entities")
+    without = marked.filter(F.col(pieces).isNull()).select(*columns, *([F.lit(0).cast("long").alias(total)] if count else []))
+    some = marked.filter(F.col(pieces).isNotNull())
+    parts = keep(_parts(some, row, pieces), "parts")
+    parts = _with_gender(parts)
+    atoms = keep(parts.filter("kind IS NOT NULL").select("kind", "canon").distinct(), "atoms")
+    again = _collisions(atoms, key)
+    discard(atoms)
     parts = parts.withColumn("attempt", F.lit(0)) if again is None else parts.join(again, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
     drawn = _drawn(parts, key)
     value = F.when(F.col("kind").isNull(), F.col("raw")).when(F.col("kind") == "ip", F.col("plain")).when(F.col("kind").isin(*_WHOLE), F.initcap("plain")).otherwise(_into_format(F.col("raw"), F.col("plain")))
@@ -242,9 +284,7 @@ def replace(documents: DataFrame, key: str = KEY, count: bool = False) -> DataFr
     one_text = F.transform(F.sequence(F.lit(0), F.element_at("all", -1)["pos"]), lambda i: F.array_join(F.transform(F.filter("all", lambda v: v["pos"] == i), lambda v: v["value"]), ""))
     single = F.size("all") == F.element_at("all", -1)["pos"] + 1
     lists = lists.select(F.col("row").alias(row), F.when(single, F.transform("all", lambda v: v["value"])).otherwise(one_text).alias(new))
-    between = F.split(F.col("text"), ENTITY, -1)
-    with_ = some.join(lists, row).withColumn("_between" if "_between" not in some.columns else "__between", between)
-    pieces = F.col("_between" if "_between" not in some.columns else "__between")
-    text = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(new)), F.col(new), lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
-    with_ = with_.withColumn("text", text).select(*columns, *([F.size(new).cast("long").alias(total)] if count else []))
+    text = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.element_at(new, (F.floor(i / 2) + 1).cast("int"))).otherwise(x)), "")
+    replaced = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in documents.columns]
+    with_ = some.join(lists, row).select(*replaced, *([F.size(new).cast("long").alias(total)] if count else []))
     return without.unionByName(with_)
