@@ -66,3 +66,24 @@ def document_topics(documents: DataFrame, least: int = 5) -> DataFrame:
 def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's topic, from factors of the term weights of all distinct ones."""
     return document_topics(table(spark, sf_dir, "documents"))
+
+
+def _topics_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's topic with a month (from its id) and a product (its source)."""
+    documents = table(spark, sf_dir, "documents")
+    month = F.date_format(F.add_months(F.lit("2025-01-01").cast("date"), (F.col("doc_id") % 20).cast("int")), "yyyy-MM")
+    facts = documents.select(F.col("doc_id").alias("_id"), month.alias("month"), F.col("source").alias("product"))
+    found = document_topics(documents)
+    return facts.join(found, F.col("_id") == F.col("doc_id")).drop("_id")
+
+
+@query()
+def topic_cube_from_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube of the topics that were found: how many documents of each month and product have each topic, and their share."""
+    return topics.cube(_topics_by_month(spark, sf_dir), "month", "product")
+
+
+@query()
+def topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each topic has."""
+    return topics.totals(topics.cube(_topics_by_month(spark, sf_dir), "month", "product"))

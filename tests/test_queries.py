@@ -33,10 +33,21 @@ def test_query_equals_sql(spark, data, duck, name):
     assert found == sorted(tuple(plain(r[i]) for i in places) for r in other.fetchall())
 
 
-def test_topics_cover_all_documents_with_words(spark, data):
+def test_topics_cover_all_documents(spark, data):
     rows = QUERIES["nmf_topics"](spark, data).collect()
-    assert len({r["doc_id"] for r in rows}) == len(rows) > 150
-    assert len({r["topic_label"] for r in rows}) > 1 and all(r["topic_score"] >= 0 for r in rows)
+    documents = spark.read.parquet(f"{data}/documents.parquet").count()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == documents
+    assert len({r["topic_label"] for r in rows if r["topic_id"] >= 0}) > 1 and all(r["topic_score"] >= 0 for r in rows)
+
+
+def test_topic_cube_adds_up_to_its_documents(spark, data):
+    rows = QUERIES["topic_cube_from_topics"](spark, data).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault((r["month"], r["product"]), []).append(r)
+    assert sum(r["narrative_count"] for r in rows) == spark.read.parquet(f"{data}/documents.parquet").count()
+    for cell in cells.values():
+        assert {r["group_month_total"] for r in cell} == {sum(r["narrative_count"] for r in cell)} and abs(sum(r["share"] for r in cell) - 1) < 1e-9
 
 
 def test_entry_imports():
