@@ -10,18 +10,20 @@ def stable_key(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def balanced(frame: DataFrame, key: str, group: str, n: int, seed: int = 42) -> DataFrame:
+def balanced(frame: DataFrame, key: str, group: str, n: int, seed: int = 42, in_order_of_groups: bool = False) -> DataFrame:
     """n rows with as equal a share of each group (null is one) as there is; free places go to the rest; all rows if there are no more.
 
     Each group gives max(n // groups, 1) rows by stable key; what is left over is filled, and what is too much trimmed, by the same
     key over all groups. A row can only be taken if it is among the n first of its group, so a rank-limited window
-    prunes each group before anything is sorted as a whole.
+    prunes each group before anything is sorted as a whole. in_order_of_groups: what is too much is trimmed from the last groups (null is
+    the very last) instead.
     """
     groups = frame.select(group).distinct().count()
     base = max(n // max(groups, 1), 1)
     rows = frame.withColumn("_stable", stable_key(F.col(key), seed))
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_stable", key))).filter(F.col("_rank") <= n)
-    return rows.orderBy((F.col("_rank") > base).cast("int"), "_stable", key).limit(n).drop("_rank", "_stable")
+    first = [F.when(F.col("_rank") <= base, F.col(group)).asc_nulls_last()] if in_order_of_groups else []
+    return rows.orderBy((F.col("_rank") > base).cast("int"), *first, "_stable", key).limit(n).drop("_rank", "_stable")
 
 
 def monthly_quota(frame: DataFrame, ts: str, key: str, limit: int, most_per_month: int = 100) -> DataFrame:

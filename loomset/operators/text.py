@@ -83,3 +83,10 @@ def weights(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     raw = counts.join(terms, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / length).alias("weight"))
+
+
+def top_labels(weights: DataFrame, group: str, term: str, weight: str, n: int) -> DataFrame:
+    """group and label: its n heaviest terms (ties by term), joined by ' / '."""
+    order = Window.partitionBy(group).orderBy(F.desc(weight), term)
+    kept = weights.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n)  # n rows of each group
+    return kept.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", term))), lambda x: x[term]), " / ").alias("label"))

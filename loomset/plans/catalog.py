@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from loomset.plans import governed, metrics, quality, texts, themes  # noqa: F401
+    from loomset.plans import governed, metrics, quality, tables, texts, themes  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

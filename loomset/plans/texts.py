@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomset.operators import clean, evaluate, index, kpi, prepare, quality, retrieval, router, sampling, text, topics
 from loomset.plans.catalog import query
-from loomset.session import table
+from loomset.session import scratch_folder, table
 
 # RE2 has neither look-around nor borders of Unicode words, so the SQL takes the sign before and after a find into groups, twice, as finds may share one.
 PLAIN_SQL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
@@ -252,14 +252,16 @@ INDEX_SQL = f"""{CHUNKS_SQL}, toks AS (SELECT chunk_id, list_filter(regexp_extra
 @query(f"""WITH {INDEX_SQL}, scored AS (SELECT c.chunk_id, c.doc_id, coalesce(l.lexical, 0) AS lexical, coalesce(d.dense, 0) AS dense FROM chunks c LEFT JOIN lexical l USING (chunk_id) LEFT JOIN dense d USING (chunk_id) WHERE lower(coalesce(c.lang, '')) = 'en')
     SELECT doc_id, chunk_id, round(lexical, 4) AS lexical, round(dense, 4) AS dense FROM scored ORDER BY 0.65 * dense + 0.35 * lexical DESC, chunk_id LIMIT 10""")
 def chunk_search_fixed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search over the chunks of all documents, with filters, for the text of one chunk; directions are fixed, so that SQL gives the same rows."""
+    """Hybrid search in a saved index of the chunks of all documents, with filters, for the text of one chunk; directions are fixed, so that SQL gives the same rows."""
     chunks = _chunks(spark, sf_dir).cache()
     counts = index.counts_of(chunks, "chunk_id", "chunk_text")
     vocabulary = text.vocabulary(counts, chunks.count(), max_features=2_000).cache()
     terms = topics.numbered(vocabulary.select("term")).cache()
     digits = F.array(*(F.conv(F.substring(F.md5("term"), j + 1, 1), 16, 10).cast("double") - 7.5 for j in range(FIXED_DIMENSIONS)))
     basis = np.array([r["d"] for r in terms.select("place", digits.alias("d")).orderBy("place").collect()])  # 2,000 at most
-    built = index.assemble(chunks, vocabulary, terms, basis)
+    folder = scratch_folder(spark, "index")
+    index.save(index.assemble(chunks, vocabulary, terms, basis), folder)
+    built = index.load(spark, folder)
     asked = chunks.filter("chunk_id = '3_0'").first()["chunk_text"]
     found = index.search(built, asked, 10, retrieval.Filters(equal=(("lang", "EN"),)))
     return found.select("doc_id", "chunk_id", F.round("lexical", 4).alias("lexical"), F.round("dense", 4).alias("dense"))
