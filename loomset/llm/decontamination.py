@@ -318,12 +318,9 @@ def learn(documents: DataFrame, rows: DataFrame, batches: int, batch: int) -> It
 
 
 def _shared(documents: DataFrame, rows: DataFrame, batches: int) -> Iterator[Broadcast]:
-    """Each batch for the tasks; it is gone when the next one is asked for."""
+    """Each batch for the tasks, to be destroyed when it is done with."""
     for batch in range(batches):
-        shared = documents.sparkSession.sparkContext.broadcast(learn(documents, rows, batches, batch))
-        yield shared
-        if batch + 1 < batches:
-            shared.destroy()
+        yield documents.sparkSession.sparkContext.broadcast(learn(documents, rows, batches, batch))
 
 
 def held_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -343,6 +340,7 @@ def held_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row[each])), pa.array(named, pa.int64()), pa.array(score[each]), pa.array(start[each]), pa.array(end[each])], ["doc_id", "item_id", "score", "start", "end"])
 
         found = keep(texts.mapInArrow(run, "doc_id long, item_id long, score double, start long, end long"), "held")
+        shared.destroy()
         out = found if out is None else out.union(found)
     return out
 
@@ -361,6 +359,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield rows.drop_columns([lower]).filter(pa.array(stay))
 
         out = out.withColumn(lower, F.lower(F.col("text").cast("string"))).mapInArrow(run, schema)
-        if k < batches:
+        if k < batches:  # the last batch is done with when the result is read
             out = keep(out, "clean")
+            shared.destroy()
     return out

@@ -242,15 +242,15 @@ def _walk(now: np.ndarray, scores: np.ndarray, penalty: float) -> tuple[np.ndarr
     """(values after the last word, which languages stay at each word, the language that the others come from), for one text."""
     n, k = scores.shape
     stay, top = np.zeros((n, k), bool), np.zeros(n, np.int32)
-    if k <= FEW_LANGUAGES:
-        now = now.tolist()
-        for u, row in enumerate(scores.tolist()):
+    if k <= FEW_LANGUAGES and n:
+        now, stays, tops = now.tolist(), [], []
+        for row in scores.tolist():
             high = max(now)
             jump = high - penalty
-            top[u] = now.index(high)
-            stay[u] = [x >= jump for x in now]
+            tops.append(now.index(high))
+            stays.append([x >= jump for x in now])
             now = [(x if x >= jump else jump) - high + y for x, y in zip(now, row, strict=True)]
-        return np.array(now, np.float32), stay, top
+        return np.array(now, np.float32), np.array(stays), np.array(tops, np.int32)
     for u in range(n):
         top[u] = now.argmax()
         jump = now[top[u]] - penalty
@@ -283,16 +283,16 @@ def _path(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     stay, top = np.zeros((n, k), bool), np.zeros(n, np.int32)
     best = scores[start[: active[0]]].copy()
     ends = best.copy()
+    every = np.arange(active[0])
     t = 1
     while t < size[0] and active[t] >= FEW:
         a = active[t]
         best = best[:a]
         high = best.argmax(1)
-        jump = best[np.arange(a), high] - penalty
+        most = best[every[:a], high][:, None]
         at = start[:a] + t
-        stay[at], top[at] = best >= jump[:, None], high
-        best = np.maximum(best, jump[:, None]) + scores[at]
-        best -= best.max(1, keepdims=True)
+        stay[at], top[at] = best >= most - penalty, high
+        best = np.maximum(best - most, -penalty) + scores[at]
         ends[:a] = best
         t += 1
     few = active[t] if t < size[0] else 0  # the longest ones go on alone from their t-th word

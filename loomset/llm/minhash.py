@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import by_key, discard, keep
 from loomset.llm.components import components
-from loomset.llm.textarray import BYTE_BASE, WORD_BASE, lower_ascii, mix, per_row, range_hash, slices, utf8, words
+from loomset.llm.textarray import WORD_BASE, lower_ascii, mix, per_row, range_hash, slices, utf8, word_hashes, words
 
 SHINGLE = 5
 #: Links hold if 100 * intersection >= PERCENT * union.
@@ -49,7 +49,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     data = lower_ascii(data)
     start, end, row = words(data, offsets)
     first = per_row(row, len(offsets) - 1)
-    word = range_hash(data, start, end, BYTE_BASE)
+    word = word_hashes(data, start, end)
     count = np.diff(first)
     begins = np.minimum(np.arange(len(word)) + size, first[1:][row]) if len(word) else np.zeros(0, np.int64)
     hashes = range_hash(word, np.arange(len(word)), begins, WORD_BASE)

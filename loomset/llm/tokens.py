@@ -67,6 +67,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.in_pieces = _splits_in_pieces(file)
         self.added = [x["content"] for x in file.get("added_tokens") or [] if x["content"]]
+        self.added_with_space = any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in file.get("added_tokens") or [])
         self.model = self.whole.model
         self.classes = _classes()
         self.letters = dict(enumerate(_byte_letters()))
@@ -108,16 +109,49 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): ids of row i are ids[offsets[i]:offsets[i + 1]]; null is the empty text."""
+        """(ids, offsets): ids of row i are ids[offsets[i]:offsets[i + 1]]; null is the empty text. Long texts are encoded part by part."""
         data, offsets = utf8(column)
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        bounds = self._bounds(data, offsets)
+        parts, counts, at = [], [], 0
+        while at < len(bounds) - 1:
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 2 * TEXT_BYTES, "right")) - 1)
+            ids, many = self._encode(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+            parts.append(ids)
+            counts.append(many)
+            at = to
+        total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return np.concatenate(parts), total[np.searchsorted(bounds, offsets, "right") - 1] if len(bounds) != len(offsets) else total
+
+    def _bounds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """offsets, and places inside long texts: before a space that a visible ASCII character follows, as pieces always part there."""
+        sizes = np.diff(offsets)
+        if not self.in_pieces or self.added_with_space or not len(sizes) or sizes.max() <= 2 * TEXT_BYTES:
+            return offsets
+        more = [offsets]
+        for row in np.flatnonzero(sizes > 2 * TEXT_BYTES).tolist():
+            at, end = int(offsets[row]), int(offsets[row + 1])
+            while end - at > 2 * TEXT_BYTES:
+                half = at + TEXT_BYTES // 2
+                window = data[half : at + TEXT_BYTES + 1]
+                good = np.flatnonzero((window[:-1] == 0x20) & (window[1:] > 0x20) & (window[1:] < 0x7F))
+                at = half + int(good[-1]) if len(good) else at + TEXT_BYTES
+                if len(good):
+                    more.append(np.array([at]))
+        return np.sort(np.concatenate(more))
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each row has)"""
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         text = data.tobytes().decode("utf-8")
         at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # rows in code points
         if not self.in_pieces:
             parts = self._library([text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
-            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         kind = self.classes[np.minimum(points, PLAIN_BELOW)]
         ids, counts, unlike = self._plain(text, points, at, kind, n)
@@ -128,12 +162,12 @@ class Encoder:
                 odd_at.append(np.array([place]))
                 place = text.find(content, place + 1)
         odd_rows = np.unique(np.searchsorted(at, np.concatenate(odd_at), "right") - 1)
-        begin = np.concatenate([[0], np.cumsum(counts)])
         if not len(odd_rows):
-            return ids, begin
+            return ids, counts
+        begin = np.concatenate([[0], np.cumsum(counts)])
         odd = dict(zip(odd_rows.tolist(), self._library([text[at[r] : at[r + 1]] for r in odd_rows]), strict=True))
         parts = [odd[r] if r in odd else ids[begin[r] : begin[r + 1]] for r in range(n)]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
     def _plain(self, text: str, points: np.ndarray, at: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, how many each row has, where the store's text is another one)."""

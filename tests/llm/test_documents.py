@@ -148,6 +148,13 @@ def test_token_ids_of_another_kind_of_file():
     assert [x + [2] for x in tokens.encode_texts(ODD, path)] == true_ids(ODD, path)
 
 
+def test_token_ids_of_long_texts_part_by_part(monkeypatch):
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 40)
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(["a", " ", "  ", "é", "12", "'s", "\u00a0", "\n", "中", "<|endoftext|>", "word"], k=rng.choice((3, 200)))) for _ in range(60)]
+    assert [x + [2] for x in tokens.encode_texts(texts, PATH)] == true_ids(texts)
+
+
 def test_token_ids_do_not_trust_hashes(monkeypatch):
     """Even if all pieces had one hash, ids are those of the text."""
     monkeypatch.setattr(tokens, "range_hash", lambda values, start, end, base: np.zeros(len(start), np.uint64))
@@ -209,6 +216,31 @@ def test_token_store(spark, corpus, tmp_path):
     assert len(hashes) == len(set(hashes))
 
 
+def test_very_long_texts(spark):
+    """Six megabytes in one row: every operator gives what it gives for the words of the text."""
+    rng = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    passage, item = rng.choices(vocabulary, k=50), [f"item{i}" for i in range(20)]
+    body = rng.choices(vocabulary, k=1_100_000)
+    body[600_000:600_000] = passage + item
+    rows = [(1, " ".join(body)), (2, " ".join([*passage, "end"])), (3, "short text")]
+    docs = spark.createDataFrame(rows, TEXT)
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_recurring(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert removed == {1: (1_100_070, 50), 2: (51, 50), 3: (2, 0)}
+    found = {r["doc_id"]: r["n_shingles"] for r in minhash.near_duplicates(docs).collect()}
+    assert found == {i: len(shingles(t)) for i, t in rows}
+    held = decontamination.held_items(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], r["end"]) for r in held] == [(1, 600_050, 600_070)]
+    ids = dict(zip((1, 2, 3), true_ids([t for _, t in rows]), strict=True))
+    packed = defaultdict(int)
+    for r in packing.pack(docs).select("doc_id", "length").collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == {i: len(x) for i, x in ids.items()}
+    folder = tokenstore.new_folder(spark)
+    tokenstore.write(docs, folder)
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenstore.read_facts(spark, folder).collect()} == {i: (len(x), crc(x)) for i, x in ids.items()}
+
+
 def test_language(spark):
     rng = random.Random(3)
     kinds = {"xx": "ka lo mi ta ru ne", "yy": "sch wer und ung ein", "zz": "оро ива нет еда"}
