@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import by_key, discard, keep
 from loomset.llm.components import components
-from loomset.llm.textarray import WORD_BASE, lower_ascii, mix, per_row, range_hash, slices, utf8, word_hashes, words
+from loomset.llm.textarray import BYTE_BASE, WORD_BASE, lower_ascii, mix, per_row, range_hash, slices, utf8, word_hashes, words
 
 SHINGLE = 5
 #: Links hold if 100 * intersection >= PERCENT * union.
