@@ -44,11 +44,11 @@ class Filters:
 def check_request(query: str, top_k: int, dense_weight: float = 0.65) -> str:
     query = " ".join(query.split())
     if not query:
-        raise ValueError("the query is empty")
+        raise ValueError("nothing is asked for")
     if not 1 <= top_k <= 50:
-        raise ValueError("top_k must be between 1 and 50")
+        raise ValueError(f"top_k is 1 to 50, not {top_k}")
     if not 0 <= dense_weight <= 1:
-        raise ValueError("dense_weight must be between 0 and 1")
+        raise ValueError(f"dense_weight is a share from 0 to 1, not {dense_weight}")
     return query
 
 

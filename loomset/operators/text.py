@@ -16,9 +16,9 @@ STOP_WORDS = "a about after all am an and any are as at be because been before b
 
 def check_windows(max_words: int, overlap: int) -> None:
     if max_words < 50:
-        raise ValueError("max_words must be at least 50")
+        raise ValueError(f"a window has 50 words or more, not {max_words}")
     if not 0 <= overlap < max_words:
-        raise ValueError("overlap must be at least 0 and less than max_words")
+        raise ValueError(f"windows of {max_words} words can't share {overlap}")
 
 
 def words(text: Column) -> Column:
