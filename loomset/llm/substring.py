@@ -9,9 +9,9 @@
 3. Confirmation. The words of a segment that recurs are a passage: all its windows recur. Of the other segments with recurring
    anchors, each run of windows whose two hashes were told more than once is a passage. Everything else has no partner.
    A passage is confirmed once, in the words of one owner, and goes to each shard that needs it.
-4. Automata. Each shard compiles the passages it got, word for word, into one Aho-Corasick automaton and streams all
-   its documents through it. The hits, and nothing else, say which words go. Automata are
-   as many as the corpus needs, and each is bounded by its shard, as passages come from segments that stand in the shard.
+4. Automata. Each shard compiles the passages it got, word for word, into an Aho-Corasick automaton (into several, one after another,
+   if they are more than AUTOMATON_WORDS words) and streams all its documents through it. The hits, and nothing else, say which words
+   go. Automata are as many as the corpus needs, and no document meets another shard's.
 
 Counts come from partial aggregates and joins that split hot keys, so that a passage found in a third of all documents is
 no task of its own. Words are runs of bytes other than space and 0x09 to 0x0D. Null text has no words. Rows with
@@ -20,7 +20,7 @@ equal or null ids are documents of their own, and passages within one document c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from loomset.llm.textarray import WORD_BASE, per_row, range_hash, rolling_min_pl
 WINDOW = 35
 PHRASE = 8
 SHARD_BYTES = 4 << 20
+#: Words of the passages that one automaton holds; a shard that needs more has several, one after another.
+AUTOMATON_WORDS = 200_000
 #: A second multiplier: windows are told apart by two independent hashes.
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
@@ -109,7 +111,8 @@ def _marks(segments: DataFrame) -> DataFrame:
     owned = F.col("shard") == F.col("owner")
     tells = F.when(owned, F.when(F.col("ragged"), F.lit(_EXPAND)).otherwise(F.lit(_TELL)))
     kinds = F.array_compact(F.array(F.when(F.col("recurs"), F.lit(_SEGMENT)), tells))
-    return found.select("shard", F.explode(kinds).alias("kind"), F.col("segment").alias("key"))
+    # many slices of text may have told the same of one shard
+    return found.select("shard", F.explode(kinds).alias("kind"), F.col("segment").alias("key")).distinct()
 
 
 def _with_documents(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -198,8 +201,15 @@ def _passages(marks: DataFrame, told: DataFrame, window: int) -> DataFrame:
     return whole.unionByName(partly)
 
 
-def automaton(passages: list[tuple[int, ...]]):
-    """One Aho-Corasick automaton over word numbers."""
+def _symbols(numbers: np.ndarray) -> tuple[int, ...]:
+    """Two symbols for each word number: an automaton looks through a node's children one by one, and so no node has more than some hundred."""
+    out = np.empty(2 * len(numbers), np.int64)
+    out[0::2], out[1::2] = numbers >> 8, (1 << 24) + (numbers & 255)
+    return tuple(out.tolist())
+
+
+def automaton(passages: Iterable[tuple[int, ...]]):
+    """One Aho-Corasick automaton over the symbols of words."""
     import ahocorasick
 
     out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
@@ -209,7 +219,7 @@ def automaton(passages: list[tuple[int, ...]]):
     return out
 
 
-def _numbers(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[list[int]]:
+def _numbers(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """A number for each word of each part (data, starts, ends): equal words, and only these, have equal numbers."""
     columns = []
     for data, start, end in parts:
@@ -220,31 +230,49 @@ def _numbers(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[lis
     numbers = pa.chunked_array(columns, pa.large_binary()).combine_chunks()
     numbers = numbers.combine_chunks() if isinstance(numbers, pa.ChunkedArray) else numbers
     flat = numbers.dictionary_encode().indices.to_numpy()
-    return [x.tolist() for x in np.split(flat, np.cumsum([len(c) for c in columns])[:-1])]
+    return np.split(flat, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _automata(passages: list[np.ndarray], most: int) -> Iterator:
+    """Automata of most words each (a longer passage is one of its own), one at a time."""
+    held, size = [], 0
+    for passage in passages:
+        if held and size + len(passage) > most:
+            yield automaton(map(_symbols, held))
+            held, size = [], 0
+        held.append(passage)
+        size += len(passage)
+    if held:
+        yield automaton(map(_symbols, held))
+
+
+def _rows(numbers: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    return [numbers[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def _cleaned(texts: DataFrame, passages: DataFrame, window: int) -> DataFrame:
+def _cleaned(texts: DataFrame, passages: DataFrame, window: int, automaton_words: int) -> DataFrame:
     def run(shard: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         given = [utf8(batch.column("text")) for batch in _of_kind(table, _PASSAGE).select(["text"]).to_batches()]
         given = [(data, *words(data, offsets), len(offsets) - 1) for data, offsets in given]
         docs = [(rows.column("doc_id"), *utf8(rows.column("text"))) for rows in _texts(table)]
         docs = [(ids, data, *words(data, offsets), len(offsets) - 1) for ids, data, offsets in docs]
+        del table
         numbers = _numbers([(d, a, b) for d, a, b, _, _ in given] + [(d, a, b) for _, d, a, b, _, _ in docs])
-        machine = None
-        if given:
-            bounds = [per_row(row, n).tolist() for _, _, _, row, n in given]
-            machine = automaton([tuple(known[a:b]) for known, first in zip(numbers, bounds, strict=False) for a, b in zip(first[:-1], first[1:], strict=True)])
-        for number, (doc_ids, data, start, end, row, n) in zip(numbers[len(given) :], docs, strict=True):
-            first = per_row(row, n)
-            gone = np.zeros(len(start) + 1, np.int64)
-            if machine is not None:
+        needed = [x for known, (_, _, _, row, n) in zip(numbers, given, strict=False) for x in _rows(known, per_row(row, n))]
+        numbers = numbers[len(given) :]
+        del given
+        firsts = [per_row(row, n) for _, _, _, _, row, n in docs]
+        gone = [np.zeros(len(start) + 1, np.int64) for _, _, start, _, _, _ in docs]
+        for machine in _automata(needed, automaton_words):
+            for number, first, change in zip(numbers, firsts, gone, strict=True):
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     if b - a >= window:
-                        for last, length in machine.iter(tuple(number[a:b])):
-                            gone[a + last - length + 1] += 1
-                            gone[a + last + 1] -= 1
+                        for last, length in machine.iter(_symbols(number[a:b])):
+                            change[a + last // 2 - length // 2 + 1] += 1
+                            change[a + last // 2 + 1] -= 1
+        for (doc_ids, data, start, end, _, _), first, change in zip(docs, firsts, gone, strict=True):
             # a hit that ends with a document puts its -1 on the next one's first word, where the sum is 0 again
-            stay = np.cumsum(gone[:-1]) == 0
+            stay = np.cumsum(change[:-1]) == 0
             kept = np.concatenate([[0], np.cumsum(stay)])[first]
             count = np.diff(first)
             which = np.flatnonzero(stay)
@@ -257,7 +285,7 @@ def _cleaned(texts: DataFrame, passages: DataFrame, window: int) -> DataFrame:
     return by_key(_with_documents(rows, texts), "shard", ["kind"], run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def remove_recurring(documents: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def remove_recurring(documents: DataFrame, window: int = WINDOW, phrase: int = PHRASE, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each document."""
     texts = _shards(documents)
     segments = keep(_segments(texts, window, phrase), "segments")
@@ -267,4 +295,4 @@ def remove_recurring(documents: DataFrame, window: int = WINDOW, phrase: int = P
     passages = keep(_passages(marks, told, window), "passages")
     discard(marks)
     discard(told)
-    return _cleaned(texts, passages, window)
+    return _cleaned(texts, passages, window, automaton_words)
