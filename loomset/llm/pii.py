@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Detection. One regular expression finds e-mail addresses, phone and card numbers, IPv4 addresses, social
-security numbers, IBANs, secrets (long hexadecimal runs, keys with known beginnings) and names after a title. A text is searched once,
+security numbers, IBANs, secrets (long hexadecimal runs with a digit, keys with known beginnings) and names after a title. A text is searched once,
 and only if it has a digit, an @ or a title at all. Names without a title are not found.
 
 Replacement. Each entity is one or more atoms: (kind, canonical value), for instance a number without its spaces, an address in lower
@@ -46,15 +46,17 @@ _NATIONAL = r"\([0-9]{3}\)[ ]?[0-9]{3}[ .\-]?[0-9]{4}|[0-9]{3}([ .\-])[0-9]{3}\2
 _PHONE = rf"(?<![+])(?:\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .\-]?[0-9]{{2,4}}){{2,4}}|{_NATIONAL})(?![0-9])"
 _SSN = r"(?<![\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2}[ ]?[0-9]{4}(?:[ ]?[A-Z0-9]{4}){0,4}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-_HEXADECIMAL = r"(?:0x)?[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
+_HEXADECIMAL = r"(?=[a-fA-F]*+[0-9])(?:0x)?[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
 _SECRET = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z\-]{20,}+|xox[abpr]-[0-9A-Za-z\-]{10,}+)(?![\p{L}\p{N}])"
 _MALE, _FEMALE, _ANY = "Mr|Herr|Herrn|Monsieur|Señor|Sir|Господин|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа|Κυρία", "Dr|Prof|Professor"
 _WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _PERSON = rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.?[ ](?:(?:{_WORD}|\p{{Lu}}\.)[ ]){{0,2}}{_WORD}"
 #: All of them begin where no letter or digit stands before; those that begin with a digit or a sign are tried there alone.
 ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL}|(?=[0-9(+])(?:{_IP}|{_CARD}|{_SSN}|{_PHONE})|{_IBAN}|{_HEXADECIMAL}|{_SECRET}|(?=[DFHMPSГΚ]){_PERSON})"
-#: Texts without any of these have no entity: all but names have a digit or an @, and a secret of letters alone has a known beginning.
-HINT = rf"[@0-9]|[DFHMPSГΚ](?<=\b[DFHMPSГΚ])(?:{'|'.join(x[1:] for x in f'{_MALE}|{_FEMALE}|{_ANY}'.split('|'))})\.?[ ]\p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abpr]-|[a-fA-F]{{32}}"
+#: All entities but names and secrets with a known beginning have one of the first; names have a title.
+_SIGNS = "[@0-9]"
+_TITLE = rf"\b[DFHMPSГΚ](?:{'|'.join(x[1:] for x in f'{_MALE}|{_FEMALE}|{_ANY}'.split('|'))})\.?[ ]\p{{Lu}}"
+_BEGINNINGS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-", "xoxr-")
 
 #: Beginnings and endings that surrogate names are put together from, by script.
 _NAMES = {
@@ -251,12 +253,20 @@ def session_key(spark: SparkSession) -> str:
     return spark.conf.get(KEY_SETTING)
 
 
+def _may_hold(text: Column) -> Column:
+    """False for texts without any entity, by cheaper searches than that for entities."""
+    out = text.rlike(_SIGNS) | text.rlike(_TITLE)
+    for beginning in _BEGINNINGS:
+        out |= text.contains(beginning)
+    return out
+
+
 def _pieces(text: Column) -> Column:
     """The text parted at its entities: those at odd places (from 0) are entities. Null if it has none."""
     fast = F.split(F.regexp_replace(text, ENTITY, f"{MARK}$0{MARK}"), MARK, -1)
     between, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     slow = F.concat(F.flatten(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.array(a, b))), F.slice(between, F.lit(-1), F.lit(1)))
-    return F.when(text.rlike(HINT), F.when(text.contains(MARK), slow).otherwise(fast))
+    return F.when(_may_hold(text), F.when(text.contains(MARK), slow).otherwise(fast))
 
 
 def replace(documents: DataFrame, key: str | None = None, count: bool = False) -> DataFrame:
