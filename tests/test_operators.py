@@ -70,7 +70,7 @@ def test_rates_of_nothing(spark):
 def test_profiles_with_nulls(spark):
     frame = spark.createDataFrame([(1, "A"), (1, None), (2, "A"), (None, "B"), (1, "A")], "k int, v string")
     nulls = {r["column_name"]: r.asDict() for r in quality.null_profile(frame).collect()}
-    assert nulls["v"] == {"column_name": "v", "null_count": 1, "null_rate_pct": 20.0, "distinct_non_null": 2}
+    assert nulls["v"] == {"column_name": "v", "dtype": "string", "null_count": 1, "null_rate_pct": 20.0, "distinct_non_null": 2}
     assert quality.key_checks(frame, "k").first().asDict() == {"row_count": 5, "missing_ids": 1, "distinct_ids": 2, "rows_in_duplicate_ids": 3, "exact_duplicate_rows": 1}
     assert [(r["value"], r["row_count"]) for r in quality.category_top(frame, ["v"], 2).orderBy(F.desc("row_count")).collect()] == [("A", 3), ("<MISSING>", 1)]
     with pytest.raises(ValueError):
