@@ -194,14 +194,19 @@ class Encoder:
         if len(new_ones):
             bounds = zip(start[first[new_ones]].tolist(), stop[first[new_ones]].tolist(), strict=True)
             self._add(found[new_ones], [text[a:b] for a, b in bounds])
-        place = np.searchsorted(self.keys, found)[which]
-        length = stop - start
-        said = np.minimum(np.repeat(self.said_at[place] - start, length) + np.arange(end), self.said_used - 1)
-        unlike = np.concatenate([np.flatnonzero(self.said[said] != points), start[self.said_size[place] != length]])
-        size = self.count[place].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.begin[place] - total[:-1], size) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(start, at)]), unlike
+        at_found = np.searchsorted(self.keys, found)  # the pools hold fewer than 2**31 numbers
+        where, begin = self.said_at[at_found].astype(np.int32), self.begin[at_found].astype(np.int32)
+        length = (stop - start).astype(np.int32)
+        said = np.repeat(where[which] - start.astype(np.int32), length)
+        said += np.arange(end, dtype=np.int32)
+        np.minimum(said, np.int32(self.said_used - 1), out=said)
+        other = self.said[said] != points
+        unlike = np.concatenate([np.flatnonzero(other), start[self.said_size[at_found][which] != length]])
+        size = self.count[at_found][which]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        spot = np.repeat(begin[which] - total[:-1].astype(np.int32), size)
+        spot += np.arange(total[-1], dtype=np.int32)
+        return self.pool[spot], np.diff(total[np.searchsorted(start, at)]), unlike
 
 
 _encoders: dict[str, Encoder] = {}
