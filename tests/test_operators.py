@@ -215,8 +215,8 @@ def test_topics_of_every_document_from_pairs_of_words_without_copies_and_masks(s
 
 def test_preparation_from_records_to_receipt(spark, tmp_path):
     rows = [("1 ", "a long enough text with 212-555-0199 in it " * 3, "p", "03/04/2025", "1"), ("1", "another one " * 10, "q", "03/05/2025", "2"), ("2", "short", "p", "", "3"), ("", "nobody's text " * 9, "p", "03/06/2025", "4"), ("3", " ", "p", "", "5"), ("4", "another one " * 10, "p", "bad", "6")]
-    frame = spark.createDataFrame(rows, "`Complaint ID` string, Narrative string, Product string, `Date received` string, Line string")
-    names = {"Complaint ID": "record_id", "Narrative": "text", "Product": "product", "Date received": "received", "Line": "line"}
+    frame = spark.createDataFrame(rows, "`Case ID` string, Narrative string, Product string, `Date received` string, Line string")
+    names = {"Case ID": "record_id", "Narrative": "text", "Product": "product", "Date received": "received", "Line": "line"}
     options = {"key": "record_id", "text": "text", "dates": ["received"], "product": "product", "order": "line", "snapshot": "s1", "url": "u", "formats": ["MM/dd/yyyy"]}
     told = prepare.run(spark, frame, names, str(tmp_path / "out"), **options)
     wanted = {"source_rows": 6, "non_empty_rows": 5, "short_rows": 1, "redacted_rows": 1, "duplicate_ids": 1, "written_rows": 2, "exact_duplicate_texts": 0, "received_min": "2025-03-04", "received_max": "2025-03-04", "top_products": "p:2"}
