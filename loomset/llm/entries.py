@@ -1,4 +1,4 @@
-"""The queries of this package, op1 to op10 and the pipeline, for __spark_entry__.py."""
+"""The queries of this package, op1 to op13 and the pipeline, for __spark_entry__.py."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import decontamination, htmltext, langid, minhash, oracles, packing, pii, quality, substring, tokenstore, vectors
+from loomset.llm import conversations, decontamination, htmltext, langid, minhash, oracles, packing, pii, quality, substring, tokenstore, vectors
 from loomset.llm.common import table
 
 
@@ -55,14 +55,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_facts(spark, folder)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op7_pii_surrogates, op8_html_extraction, op9_best_fit_packing, op10_token_store)
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op7_pii_surrogates, op8_html_extraction, op9_best_fit_packing, op10_token_store, op11_conversation_repair)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": oracles.OP1, "op2_lattice_near_dedup": oracles.OP2, "op6_minhash_near_dedup": oracles.OP6}
+    return {"op1_substring_dedup": oracles.OP1, "op2_lattice_near_dedup": oracles.OP2, "op6_minhash_near_dedup": oracles.OP6, "op11_conversation_repair": oracles.OP11}

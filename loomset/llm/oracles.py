@@ -29,3 +29,39 @@ OP6 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS w FR
   links AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)), {REACH}
   SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(least(l.b, w.doc_id), w.doc_id) AS component_id, w.doc_id = coalesce(least(l.b, w.doc_id), w.doc_id) AS kept
   FROM w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN least_of l ON l.a = w.doc_id"""
+
+
+def _grown(x: str, cost: str | int, letter: str) -> str:
+    """x is twelve digits of cost and the edits so far."""
+    return f"lpad(CAST(CAST(substr({x}, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({x}, 13) || {letter}"
+
+
+_USER = f"least(f.u, {_grown('f.s', 5, repr('I'))}, {_grown('f.y', 5, repr('I'))}, {_grown('f.a', 5, repr('I'))})"
+_KEEP, _CUT = "CASE WHEN r.c = '{}' THEN {} ELSE {} END", "CASE WHEN r.fault = 'truncated' THEN 5 ELSE 0 END"
+
+
+def _turned(came: str, initial: str) -> str:
+    letter = _KEEP.format(initial, "'K'", "'R'")
+    return _grown(f"({came})", f"{_KEEP.format(initial, 0, 1)} + {_CUT}", letter)
+
+
+#: Twelve digits of cost and the edits are one string for each of the four places (start, system, user, assistant), so least() settles both.
+OP11 = f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda z, i: CASE WHEN z % 2 = 1 THEN xor(z // 2, 3988292384) ELSE z // 2 END, xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS k FROM conversations),
+  damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT *, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM d)),
+  numbered AS (SELECT *, substr(role, 1, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged)),
+  r AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS c0, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (c0 IS NOT NULL AND c0 || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+  f(conv_id, i, n, s, y, u, a) AS (SELECT o.conv_id, 0::BIGINT, coalesce(n, 0), '000000000000', '000999999999', '000999999999', '000999999999' FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id
+    UNION ALL SELECT f.conv_id, r.i, f.n, {_grown("f.s", 2, "'D'")},
+      least({_grown("f.y", 2, "'D'")}, CASE WHEN r.c = 's' AND NOT r.fault IN ('blank', 'duplicate') THEN {_grown("f.s", _CUT, "'K'")} ELSE '999999999999' END),
+      least({_grown("f.u", 2, "'D'")}, CASE WHEN NOT r.fault IN ('blank', 'duplicate') THEN {_turned("least(f.s, f.y, f.a)", "u")} ELSE '999999999999' END),
+      least({_grown("f.a", 2, "'D'")}, CASE WHEN NOT r.fault IN ('blank', 'duplicate') THEN {_turned("f.u", "a")} ELSE '999999999999' END)
+    FROM (SELECT conv_id, i, n, s, y, u, least(a, {_grown("u", 5, "'I'")}) AS a FROM (SELECT conv_id, i, n, s, y, {_USER} AS u, a FROM f)) f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i + 1),
+  best AS (SELECT conv_id, least(s, a, {_grown("(" + _USER + ")", 5, "'I'")}) AS best FROM f WHERE i = n),
+  letters AS (SELECT conv_id, j, best[12 + j] AS letter FROM (SELECT conv_id, best, unnest(range(1, length(best) - 11)) AS j FROM best)),
+  placed AS (SELECT l.conv_id, j, letter, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS k FROM letters l WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+  stayed AS (SELECT p.*, r.role, r.text, max(CASE WHEN k = 1 AND letter = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS system FROM placed p LEFT JOIN r ON letter IN ('K', 'R') AND p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.i = r.i WHERE letter <> 'D'),
+  lines AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS said FROM stayed GROUP BY conv_id)
+  SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(substr(best, 1, 12) AS BIGINT) AS cost, substr(best, 13) AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+  FROM best b LEFT JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines l ON b.conv_id IS NOT DISTINCT FROM l.conv_id"""
