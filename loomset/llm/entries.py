@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import conversations, decontamination, fillmiddle, htmltext, langid, minhash, oracles, packing, pii, quality, substring, tokenstore, vectors
+from loomset.llm import conversations, decontamination, fillmiddle, htmltext, langid, minhash, oracles, packing, pii, quality, substring, tokenstore, urlrules, vectors
 from loomset.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillmiddle.digests(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op7_pii_surrogates, op8_html_extraction, op9_best_fit_packing, op10_token_store, op11_conversation_repair, op13_fill_in_middle)
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_decontamination, op4_language_id, op5_quality_classifier, op6_minhash_near_dedup, op7_pii_surrogates, op8_html_extraction, op9_best_fit_packing, op10_token_store, op11_conversation_repair, op12_url_filter, op13_fill_in_middle)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
