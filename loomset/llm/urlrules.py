@@ -4,8 +4,9 @@
    the caller's own, so it is part of the plan, as one expression.
 2. URLs become sets of tokens: scheme, labels and ends of the host, path segments, file extension, query keys and pairs, fragment; digits count as `0`.
 3. From labelled URLs (distinct ones; MOST_LABELLED at most, chosen by hash) the VOCABULARY frequent tokens that tell most about the label are
-   taken (one of those that the very same URLs have), and of each URL the ITEMS that tell most of these, with its label, are what Spark's FP-growth mines. Rules
-   that end in a label stay if their support and confidence suffice, and if no rule with fewer of the same tokens is as sure.
+   taken (one of those that the very same URLs have), and of each URL the ITEMS that tell most of these, with its label, are what Spark's FP-growth mines. The sets
+   that lead to a label are counted once more over all tokens of these URLs; they become rules if support and confidence then suffice, and if
+   no rule with fewer of the same tokens is as sure.
 4. Each URL's tokens are looked up in an inverted index of the rules, each of which stands under its rarest token. Of the rules whose tokens
    the URL has all, the surest decides (then the better supported, the shorter, the first by tokens). A URL without any is allowed.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -126,6 +128,11 @@ class Model:
                     break
         return self.rules[best] if best < len(self.rules) else None
 
+    def all_matches(self, found: Sequence[str]) -> Iterator[Mined]:
+        have = set(found)
+        for token in have:
+            yield from (self.rules[k] for k in self.index.get(token, ()) if self.rules[k].tokens <= have)
+
 
 def pruned(rules: list[Mined]) -> list[Mined]:
     """Without the rules that one with some of their tokens makes needless, being as sure at least."""
@@ -167,10 +174,34 @@ def learn(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
 
     baskets = arrow_map(sample.select("tokens", "verdict"), items, "items array<string>")
     # a hair less, so that rounding never asks for one URL more
-    mined = FPGrowth(itemsCol="items", minSupport=support * (1 - 1e-9), minConfidence=MIN_CONFIDENCE).fit(baskets).associationRules
-    ends = mined.filter(F.get("consequent", F.lit(0)).isin(_LABEL + ALLOW, _LABEL + BLOCK)).select("antecedent", F.get("consequent", F.lit(0)).alias("end"), "confidence", "support")
-    rules = [Mined(frozenset(r["antecedent"]), r["end"].removeprefix(_LABEL), r["confidence"], r["support"]) for r in ends.collect()]
-    return Model(pruned(rules), {r["token"]: r["n"] for r in frequent})
+    mined = FPGrowth(itemsCol="items", minSupport=support * (1 - 1e-9), minConfidence=MIN_CONFIDENCE / 2).fit(baskets).associationRules
+    ends = mined.filter(F.get("consequent", F.lit(0)).isin(_LABEL + ALLOW, _LABEL + BLOCK)).select("antecedent").collect()
+    often = {r["token"]: r["n"] for r in frequent}
+    found = sorted({frozenset(r["antecedent"]) for r in ends}, key=sorted)
+    rules = []
+    for rule, (with_all, bad) in zip(found, _counted(sample, Model([Mined(x, "", 0.0, 0.0) for x in found], often), found), strict=True):
+        verdict, right = (BLOCK, bad) if 2 * bad >= with_all else (ALLOW, with_all - bad)
+        if with_all and right >= support * (1 - 1e-9) * total and right >= MIN_CONFIDENCE * with_all:
+            rules.append(Mined(rule, verdict, right / with_all, right / total))
+    return Model(pruned(rules), often)
+
+
+def _counted(sample: DataFrame, model: Model, order: list[frozenset[str]]) -> list[tuple[int, int]]:
+    """For each set of tokens, how many URLs have all of them, and how many of these are blocked: over all their tokens, not only the mined ones."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[frozenset[str], bool]] = Counter()
+        for batch in batches:
+            for have, verdict in zip(batch.column("tokens").to_pylist(), batch.column("verdict").to_pylist(), strict=True):
+                counts.update((rule.tokens, verdict == BLOCK) for rule in shared.value.all_matches(have))
+        rows = [(sorted(tokens), blocked, n) for (tokens, blocked), n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], ["tokens", "blocked", "n"])
+
+    found = sample.select("tokens", "verdict").mapInArrow(run, "tokens array<string>, blocked boolean, n long").groupBy("tokens").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("b")).collect()
+    shared.destroy()
+    counts = {frozenset(r["tokens"]): (r["n"], r["b"]) for r in found}
+    return [counts.get(x, (0, 0)) for x in order]
 
 
 def judge(urls: DataFrame, listed: Sequence[tuple[str, str]] = LISTED, model: Model | None = None) -> DataFrame:
