@@ -2,7 +2,7 @@
 
 1. Each document's set of distinct five-word shingles (a shorter text is one shingle) gives HASHES
    minima of universal hashes, cut into bands of ROWS, and a name of the whole set.
-2. Documents with one and the same set are one class from here on; its least doc_id stands for it.
+2. Rows with one and the same set are one class from here on; the text of its least row stands for it.
 3. Classes that share a band meet in a bucket. Each class is compared, on full sets, with the least one that it meets in any
    bucket: one pair for each class, and enough to join most of a group of copies. The links give components.
 4. Buckets that still hold several components are gone through once more, in blocks. Signatures are compared inside the
@@ -14,7 +14,9 @@ A pair at the threshold shares no band once in 10**5 times (0.684 ** 32); closer
 capped and no pair is linked without its full sets.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows without a doc_id are not compared: their component is
-null and they are kept. Rows that repeat a doc_id are one node, whose links are those of all its rows.
+null and they are kept. What is linked are texts: rows that repeat a doc_id with different texts are nodes of their own, each with the
+component of its own text, so a text that has no copy stays whatever else stands under its id. Of the rows of a component the first one, by
+doc_id and then by a hash of the text, is marked; rows that repeat id and text are marked alike.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm.common import by_key, discard, keep
@@ -69,8 +71,17 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def text_hash() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _identified(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, both hashes of the whole set, band keys and one byte of each minimum."""
+    """doc_id, text_hash, n_shingles, both hashes of the whole set, band keys and one byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,16 +101,15 @@ def signatures(documents: DataFrame) -> DataFrame:
                 one = [int(mix(s).sum(dtype=np.uint64)) if len(s) else None for s in sets]
                 two = [int(mix(s * np.uint64(BYTE_BASE)).sum(dtype=np.uint64)) if len(s) else None for s in sets]
                 signed = [pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in x], pa.int64()) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *signed, pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "one", "two", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *signed, pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "one", "two", "bands", "sig"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<long>, sig binary")
+    return _identified(documents).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, one long, two long, bands array<long>, sig binary")
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets agree. texts: doc_id, text."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) of classes whose full sets agree. texts: rep, text."""
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,19 +134,19 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 BIT_WORDS = 1 << 20
 
 
-def _texts_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id and text of the documents in pairs.
+def _texts_of(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rep and text of the classes in pairs.
 
     A table of hashed bits, broadcast in BIT_WORDS rows at most, leaves few documents beside those wanted, so that
     texts of others need not move; the join that follows is exact.
     """
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = keep(reps.join(classes.select("rep", "doc_id", "text_hash"), "rep"), "wanted")
     word = F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id"), 6), F.lit(BIT_WORDS)).cast("int").alias("_word")
     bit = F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")
     bits = wanted.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    likely = texts.withColumn("_word", word).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select("doc_id", "text")
-    return keep(likely.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    likely = _identified(documents).withColumn("_word", word).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select("doc_id", "text_hash", "text")
+    return keep(likely.join(wanted, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
 
 def _blocks(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -208,32 +218,43 @@ def _cell_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
                 right += rep[j[one]].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    rows = candidates.drop("n_shingles").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("cell", "same", "block", "rep", "part", "text")
+    rows = candidates.drop("n_shingles").join(texts, "rep").select("cell", "same", "block", "rep", "part", "text")
     pairs = by_key(rows, "cell", [], run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, for each row of documents."""
+    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, for each row of documents.
+
+    Also text_hash (of the row's text) and first: whether the row is the first one of its component, by doc_id and text_hash.
+    """
     facts = keep(signatures(documents), "signatures")
-    first = F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id")
-    classes = facts.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), first.alias("f"))
-    classes = keep(classes.select("rep", "one", "two", "f.n_shingles", "f.bands", "f.sig"), "classes")
-    named = classes.select("one", "two", "rep")
+    least, which = F.struct("doc_id", "text_hash"), F.struct("n_shingles", "bands", "sig")
+    classes = facts.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min(least).alias("least"), F.min_by(which, least).alias("f"))
+    # numbers of rows of a table that is written once
+    classes = keep(classes.select(F.monotonically_increasing_id().alias("rep"), "one", "two", "least.*", "f.*"), "classes")
     keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last").select("key", "head")
     shared = keep(keys.join(heads, "key"), "buckets")
     stars = keep(shared.groupBy("rep").agg(F.min("head").alias("head")).filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")), "pairs")
-    texts = _texts_of(documents, stars)
+    texts = _texts_of(documents, classes, stars)
     links = keep(linked(stars, texts), "links")
     discard(texts)
     parts = keep(components(links), "parts")
     candidates = keep(_candidates(_blocks(shared.select("key", "band", "rep"), classes, parts), classes), "candidates")
     if not candidates.isEmpty():
-        texts = _texts_of(documents, candidates.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        texts = _texts_of(documents, classes, candidates.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
         links = links.union(keep(_cell_links(candidates, texts), "links"))
         discard(texts)
         parts = keep(components(links), "parts")
-    found = facts.join(named, ["one", "two"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    members = parts.withColumnRenamed("node", "rep").join(classes.select("rep", "doc_id", "text_hash"), "rep")
+    firsts = members.groupBy("component").agg(F.min(least).alias("first"))
+    named = classes.join(parts.withColumnRenamed("node", "rep").join(firsts, "component"), "rep", "left")
+    named = named.select("one", "two", F.coalesce("first", least).alias("first"))
+    found = facts.join(named, ["one", "two"], "left")
+    component = F.coalesce(F.col("first.doc_id"), F.col("doc_id"))
+    alone = F.col("doc_id").isNull() | F.col("first").isNull()
+    return found.select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"),
+        "text_hash", (alone | (least == F.col("first"))).alias("first"),
+    )

@@ -110,6 +110,26 @@ def test_near_duplicates(spark, corpus):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in found.items()} == {i: (len(sets[i]), c, c == i) for i, c in expected.items()}
 
 
+def test_near_duplicates_under_repeated_ids(spark):
+    """Nodes are texts: every row has the component of its own text, the least doc_id of which is reachable by links of texts."""
+    rng = random.Random(5)
+    base = [[f"t{k}w{i}" for i in range(60)] for k in range(6)]
+    rows = [(rng.randint(0, 12), " ".join(rng.choice(base)[: rng.choice([50, 55, 60])])) for _ in range(40)]
+    rows += [(3, "A b c d e f"), (5, "A b c d e f"), (5, "B b c d e f g"), (7, "B b c d e f g")]
+    nodes = sorted(set(rows))
+    parts = brute_components({k: shingles(t) for k, (_, t) in enumerate(nodes)})
+    least = {}
+    for k, part in parts.items():
+        least.setdefault(part, nodes[k][0])
+    docs = spark.createDataFrame(rows, TEXT)
+    hashes = {(r["doc_id"], r["h"]): r["text"] for r in docs.withColumn("h", minhash.text_hash()).collect()}
+    found = minhash.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    got = {(r["doc_id"], hashes[r["doc_id"], r["text_hash"]]): (r["component_id"], r["kept"]) for r in found}
+    assert got == {n: (least[parts[k]], least[parts[k]] == n[0]) for k, n in enumerate(nodes)}
+    assert len({(r["doc_id"], r["text_hash"]) for r in found if r["first"]}) == len(set(parts.values()))
+
+
 def test_near_duplicates_in_a_long_chain(spark):
     """Each text is near the next one only, so one component has many rounds to go."""
     base = [f"v{i}" for i in range(200)]

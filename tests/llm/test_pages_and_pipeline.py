@@ -108,12 +108,23 @@ def test_stages_with_null_columns(spark):
 
 
 def test_stages_with_repeated_ids_and_own_columns(spark):
-    """Of rows that repeat an id one stays, the same each time; columns that look like a stage's own pass unchanged."""
+    """Rows that repeat an id with other texts all stay; columns that look like a stage's own pass unchanged."""
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     rows = [(5, text(1), "xx", 0.5, "own", 1), (5, text(2), "xx", 0.5, "own", 2), (6, text(3), "xx", 0.5, "own", 3), (7, text(3), "xx", 0.5, "own", 4), (None, text(4), "xx", 0.5, "own", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, _id int")
     kept = [corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), "").collect() for n in (1, 3)]
     assert sorted(map(str, kept[0])) == sorted(map(str, kept[1])) and kept[0][0].asDict().keys() == set(docs.columns)
-    assert sorted(str(r["doc_id"]) for r in kept[0]) == ["5", "6", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept[0]) == ["5", "5", "6", "None"]
     spoken = corpus_pipeline.identify_language(spark, docs, "")
     assert spoken.columns == docs.columns and {(r["score"], r["lang_pred"]) for r in spoken.collect()} == {(0.5, "own")} and spoken.count() == 5
+
+
+def test_no_text_without_a_copy_is_lost(spark):
+    """Texts under one id are judged each for itself; of rows that repeat id and text one stays."""
+    text = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "ABCDQ"}
+    near = text["D"] + " more"
+    rows = [(3, text["A"]), (5, text["A"]), (5, text["Q"]), (9, text["C"]), (9, text["D"]), (9, text["C"]), (11, near), (12, ""), (12, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    kept = [corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), "").collect() for n in (1, 4)]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept[0]) == [(3, text["A"]), (5, text["Q"]), (9, text["C"]), (9, text["D"]), (12, ""), (12, "")]
