@@ -25,14 +25,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id.
 
-    Of rows that repeat its id the one whose columns have the least hash stays. Rows without an id stay.
+    What is compared are texts, so rows that repeat an id with other texts stay unless these have copies of their own. Of rows that
+    repeat id and text the one whose columns have the least hash stays. Rows without an id stay.
     """
-    columns, ident = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "_id")
-    found = minhash.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(ident))
-    marked = keep(found.agg(F.bool_and("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows")).filter("NOT _stays OR _rows > 1"), "marked")
-    single = docs.join(marked, F.col("doc_id") == F.col(ident), "left_anti")
-    repeated = docs.join(marked.filter("_stays"), F.col("doc_id") == F.col(ident), "left_semi")
-    first = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    columns, ident, mark = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "_id"), unused(docs, "_mark")
+    found = minhash.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(ident), F.col("text_hash").alias(mark))
+    marked = keep(found.agg(F.bool_and("first").alias("_stays"), F.count(F.lit(1)).alias("_rows")).filter("NOT _stays OR _rows > 1"), "marked")
+    same = (F.col("doc_id") == F.col(ident)) & (minhash.text_hash() == F.col(mark))
+    single = docs.join(marked, same, "left_anti")
+    repeated = docs.join(marked.filter("_stays").select(ident, mark), same)
+    first = repeated.groupBy(ident, mark).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
     return single.unionByName(first.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns)))
 
 
