@@ -1,8 +1,9 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Detection. One regular expression finds e-mail addresses, phone and card numbers, IPv4 addresses, social
-security numbers, IBANs, secrets (long hexadecimal runs with a digit, keys with known beginnings) and names after a title. A text is searched once,
-and only if it has a digit, an @ or a title at all. Names without a title are not found.
+Detection. One regular expression finds e-mail addresses, phone and card numbers, IPv4 and IPv6 addresses, social
+security numbers, IBANs, secrets (long hexadecimal runs with a digit, keys with known beginnings) and names after a title (whole words,
+whatever their capitals, with apostrophes, hyphens, particles and initials; Latin, Cyrillic, Greek, Han and Arabic, where a name is two words at most).
+A text is searched once, and only if it has a digit, an @ or a title at all. Names without a title are not found.
 
 Replacement. Each entity is one or more atoms: (kind, canonical value), for instance a number without its spaces, an address in lower
 case, one word of a name. An atom's surrogate is drawn from SHA-256 of the secret key, its kind and value, so it is the same
@@ -44,24 +45,36 @@ _IP = r"(?<![.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]
 _CARD = r"(?<![+.\-])(?:[0-9]{4}([ \-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![\p{L}\p{N}]|-[0-9])"
 _NATIONAL = r"\([0-9]{3}\)[ ]?[0-9]{3}[ .\-]?[0-9]{4}|[0-9]{3}([ .\-])[0-9]{3}\2[0-9]{4}|0[0-9]{1,4}[ /\-][0-9]{3,4}[ \-]?[0-9]{3,5}"
 _PHONE = rf"(?<![+])(?:\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .\-]?[0-9]{{2,4}}){{2,4}}|{_NATIONAL})(?![0-9])"
+_IPV6 = r"(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
 _SSN = r"(?<![\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2}[ ]?[0-9]{4}(?:[ ]?[A-Z0-9]{4}){0,4}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _HEXADECIMAL = r"(?=[a-fA-F]*+[0-9])(?:0x)?[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
 _SECRET = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z\-]{20,}+|xox[abpr]-[0-9A-Za-z\-]{10,}+)(?![\p{L}\p{N}])"
+#: A word of a name is a whole run of letters with a capital, also all capitals, an inner one, apostrophes and hyphens (McDonald, O'Brien).
 _MALE, _FEMALE, _ANY = "Mr|Herr|Herrn|Monsieur|Señor|Sir|Господин|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа|Κυρία", "Dr|Prof|Professor"
-_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_PERSON = rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.?[ ](?:(?:{_WORD}|\p{{Lu}}\.)[ ]){{0,2}}{_WORD}"
+_ARABIC_MALE, _ARABIC_FEMALE = "السيد|الأستاذ|الدكتور", "السيدة|الأستاذة|الدكتورة"
+_PARTICLES = "van|von|der|den|de|del|della|di|da|do|dos|das|du|la|le|los|bin|ibn|ben|ter|ten|zu|zur|zum|af|av|y|e|und"
+_WORD = r"(?:[dl]['’]|[ae]l-)?(?=\p{Lu}['’\-]?[\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*+(?:['’]\p{Lu}[\p{L}\p{M}]*+|-\p{L}[\p{L}\p{M}]*+)*+"
+_INITIALS = r"(?:\p{Lu}\.)+(?:-\p{Lu}\.)?"
+_HAN = r"\p{IsHan}{2,4}+"
+_CAPITALS = f"{_MALE}|{_FEMALE}|{_ANY}".upper()
+_PERSON = (
+    rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.?[ ](?:(?:(?:{_PARTICLES}|{_INITIALS}|{_WORD})[ ]){{0,6}}{_WORD}|{_HAN})"
+    rf"|(?:{_CAPITALS})\.?[ ](?:(?:{_INITIALS}|{_WORD})[ ])?{_WORD}|(?:{_ARABIC_FEMALE}|{_ARABIC_MALE})[ ]\p{{IsArabic}}{{2,}}+(?:[ ]\p{{IsArabic}}{{2,}}+)?"
+)
 #: All of them begin where no letter or digit stands before; those that begin with a digit or a sign are tried there alone.
-ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL}|(?=[0-9(+])(?:{_IP}|{_CARD}|{_SSN}|{_PHONE})|{_IBAN}|{_HEXADECIMAL}|{_SECRET}|(?=[DFHMPSГΚ]){_PERSON})"
+ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL}|{_IPV6}|(?=[0-9(+])(?:{_IP}|{_CARD}|{_SSN}|{_PHONE})|{_IBAN}|{_HEXADECIMAL}|{_SECRET}|(?=[DFHMPSГΚا])(?:{_PERSON}))"
 #: All entities but names and secrets with a known beginning have one of the first; names have a title.
 _SIGNS = "[@0-9]"
-_TITLE = rf"\b[DFHMPSГΚ](?:{'|'.join(x[1:] for x in f'{_MALE}|{_FEMALE}|{_ANY}'.split('|'))})\.?[ ]\p{{Lu}}"
+_TITLE = rf"(?<![\p{{L}}\p{{N}}])[DFHMPSГΚا](?:{'|'.join(x[1:] for x in f'{_MALE}|{_FEMALE}|{_ANY}|{_CAPITALS}|{_ARABIC_FEMALE}|{_ARABIC_MALE}'.split('|'))})\.?[ ]\p{{L}}"
 _BEGINNINGS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-", "xoxr-")
 
 #: Beginnings and endings that surrogate names are put together from, by script.
 _NAMES = {
     "latin": ("ba be bi bo da de di do fa fi ga ge ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi".split(), ["n", "r", "s", "k"], ["na", "la", "ra", "ia"], ["ner", "son", "man", "berg", "ley", "well", "ton", "hart"]),
     "cyrillic": ("ба бе ва ве га да де ди за зо ка ки ла ле ли ло ма ме ми мо на не ни но па по ра ре ро са се та те ти то фе".split(), ["н", "р", "м", "й"], ["на", "ла", "ра", "ия"], ["ко", "ин", "ов", "ев", "ский", "енко", "ник", "ук"]),
+    "han": ("李王张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗".replace("", " ").split(), ["明", "伟", "强", "军", "杰", "磊", "勇", "涛"], ["芳", "娜", "敏", "静", "丽", "艳", "娟", "霞"], ["文", "平", "海", "波", "宁", "云", "龙", "清"]),
+    "arabic": ("سا را نا ما لا با دا كا ها فا زا يا سي ري ني مي لي بي دي كي".split(), ["م", "ن", "ر", "د"], ["نة", "رة", "مة", "لة"], ["اوي", "اني", "وري", "ري", "دين", "ون", "ار", "ال"]),
     "greek": ("βα βε γα δα δι ζα θε κα κο λα λε μα με μι να νι πα πε ρα ρο σα σι τα τε φα φι".split(), ["ς", "ων", "ος", "ης"], ["να", "λα", "ρα", "ια"], ["ιδης", "ακης", "πουλος", "ου", "ογλου", "αρας", "εας", "ινος"]),
 }
 
@@ -75,14 +88,15 @@ def _signs_out(x: Column) -> Column:
 
 
 def _chars(x: Column) -> Column:
-    """Characters of a text that is not empty."""
-    return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(1)))
+    """The characters of a text, in one pass (a place in a text is found only by counting up to it)."""
+    return F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
 
 
 def _kind(x: Column) -> Column:
     return (
         F.when(x.contains("@"), "email")
-        .when(x.rlike(rf"^(?:{_MALE}|{_FEMALE}|{_ANY})\.?[ ]"), "person")
+        .when(x.rlike(rf"^(?:{_MALE}|{_FEMALE}|{_ANY}|{_CAPITALS}|{_ARABIC_FEMALE}|{_ARABIC_MALE})\.?[ ]"), "person")
+        .when(x.rlike("^[0-9A-Fa-f]+:[0-9A-Fa-f:]+$"), "ipv6")
         .when(x.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
         .when(x.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(x.rlike(r"^[0-9]{4}[0-9 \-]{11,15}$") & F.length(_digits(x)).isin(15, 16), "card")
@@ -97,16 +111,17 @@ def _part(kind: Column, canon: Column, raw: Column) -> Column:
 
 
 def _name_parts(x: Column) -> Column:
-    """The title, signs and initials, which stay (no kind), and the words of a name. The last word, and those joined to it by a hyphen, are the family's."""
+    """The title, signs, initials and particles, which stay (no kind), and the words of a name. The last word, and those joined to it by a hyphen, are the family's."""
     title = F.regexp_extract(x, r"^(\p{L}+\.? )", 1)
     bare = F.regexp_extract(x, r"^(\p{L}+)", 1)
-    given_kind = F.when(bare.rlike(f"^(?:{_MALE})$"), "given_m").when(bare.rlike(f"^(?:{_FEMALE})$"), "given_f").otherwise("given")
-    given = F.regexp_extract(x, r"^\p{L}+\.? (.*[ ])?[\p{L}\-]+$", 1)
-    family = F.regexp_extract(x, r"([\p{L}\-]+)$", 1)
+    male, female = (f"^(?:{one}|{one.upper()}|{other})$" for one, other in ((_MALE, _ARABIC_MALE), (_FEMALE, _ARABIC_FEMALE)))
+    given_kind = F.when(bare.rlike(male), "given_m").when(bare.rlike(female), "given_f").otherwise("given")
+    given = F.regexp_extract(x, r"^\p{L}+\.? (.*[ ])?[\p{L}\p{M}'’\-]+$", 1)
+    family = F.regexp_extract(x, r"([\p{L}\p{M}'’\-]+)$", 1)
 
     def words(text: Column, kind: Column) -> Column:
-        named = lambda w: w.rlike(r"^\p{L}{2,}$")
-        return F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: _part(F.when(named(w), kind), F.when(named(w), F.lower(w)), w))
+        named = lambda w: w.rlike(rf"^(?!(?:{_PARTICLES}|al|el)$)\p{{L}}[\p{{L}}\p{{M}}]+$")
+        return F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0)), lambda w: _part(F.when(named(w), kind), F.when(named(w), F.lower(w)), w))
 
     return F.concat(F.array(_part(F.lit(None), F.lit(None), title)), words(given, given_kind), words(family, F.lit("family")))
 
@@ -114,7 +129,7 @@ def _name_parts(x: Column) -> Column:
 def _parts(some: DataFrame, row: str, pieces: str) -> DataFrame:
     """row, pos, part, kind, canon, raw and name (of persons): what the entities of each row are made of."""
     x, kind = F.col("x"), F.col("kind")
-    canon = F.when(kind.isin("email", "secret"), F.lower(x)).when(kind == "phone", F.concat(F.when(x.startswith("+"), "+").otherwise(""), _digits(x))).when(kind == "iban", F.regexp_replace(x, " ", "")).when(kind == "ip", x).otherwise(_digits(x))
+    canon = F.when(kind.isin("email", "secret", "ipv6"), F.lower(x)).when(kind == "phone", F.concat(F.when(x.startswith("+"), "+").otherwise(""), _digits(x))).when(kind == "iban", F.regexp_replace(x, " ", "")).when(kind == "ip", x).otherwise(_digits(x))
     found = F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.element_at(pieces, i + 1))
     entities = some.select(F.col(row).alias("row"), F.posexplode(found).alias("pos", "x")).withColumn("kind", _kind(x))
     parts = F.when(kind == "person", _name_parts(x)).otherwise(F.array(_part(kind, canon, x)))
@@ -133,9 +148,11 @@ def _with_gender(parts: DataFrame) -> DataFrame:
 
 
 def _stream(key: Column, kind: Column, canon: Column, attempt: Column, length: Column) -> Column:
-    """Pairs of hexadecimal digits, one for each of length places at least."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(length / 32).cast("int")), lambda b: F.sha2(F.concat_ws("\u0001", key, kind, canon, attempt.cast("string"), b.cast("string"), key).cast("binary"), 256))
-    return F.regexp_extract_all(F.array_join(blocks, ""), F.lit(".."), F.lit(0))
+    """Pairs of hexadecimal digits, one for each of length places at least: blocks of a digest of the whole value, which is hashed once."""
+    seed = F.sha2(F.concat_ws("\u0001", key, kind, canon, attempt.cast("string"), key).cast("binary"), 256)
+    block = lambda one: lambda b: F.sha2(F.concat(one, F.lit(":"), b.cast("string")).cast("binary"), 256)
+    joined = F.get(F.transform(F.array(seed), lambda one: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(length / 32).cast("int")), block(one)), "")), F.lit(0))
+    return F.regexp_extract_all(joined, F.lit(".."), F.lit(0))
 
 
 def _number(pair: Column) -> Column:
@@ -165,13 +182,13 @@ def _redrawn_text(bare: Column, pairs: Column, hexadecimal: Column) -> Column:
 
 def _into_format(value: Column, plain: Column) -> Column:
     """Puts letters and digits into the places that value has for them, in its case; what is left over goes to the end."""
-    places = F.arrays_zip(_chars(value).alias("c"), F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.length(_signs_out(F.substring(value, F.lit(1), i)))).alias("i"))
-
-    def place(at: Column) -> Column:
-        new = F.substring(plain, at["i"], F.lit(1))
-        return F.when(at["c"].rlike(r"[\p{L}\p{N}]"), F.when(at["c"].rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)).otherwise(at["c"])
-
-    return F.concat(F.array_join(F.transform(places, place), ""), F.substring(plain, F.length(_signs_out(value)) + 1, F.length(plain)))
+    placed = F.transform(_chars(value), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    holds = lambda x: x["c"].rlike(r"[\p{L}\p{N}]")
+    own, signs, new = F.filter(placed, holds), F.filter(placed, lambda x: ~holds(x)), _chars(plain)
+    cased = lambda a, c: F.struct(a["i"].alias("i"), F.coalesce(F.when(a["c"].rlike(r"\p{Lu}"), F.upper(c)).otherwise(c), F.lit("")).alias("c"))
+    filled = F.zip_with(own, F.slice(new, F.lit(1), F.size(own)), cased)
+    left = F.slice(new, F.size(own) + 1, F.greatest(F.size(new) - F.size(own), F.lit(0)))
+    return F.array_join(F.concat(F.transform(F.array_sort(F.concat(filled, signs)), lambda x: x["c"]), left), "")
 
 
 def _name(script: str) -> Column:
@@ -202,7 +219,7 @@ def _drawn(atoms: DataFrame, secret: str) -> DataFrame:
         fixed_left.alias("left"),
         F.when(kind == "email", F.regexp_extract(canon, r"@(.*)\.\p{L}+$", 1)).otherwise("").alias("domain"),
         F.when(kind == "email", F.regexp_extract(canon, r"\.(\p{L}+)$", 1)).otherwise("").alias("top"),
-        ((kind == "secret") & canon.rlike("^(?:0x)?[0-9a-f]+$")).alias("hexadecimal"),
+        ((kind == "secret") & canon.rlike("^(?:0x)?[0-9a-f]+$") | (kind == "ipv6")).alias("hexadecimal"),
     )
     more = 2 * F.greatest(attempt - LONGER, F.lit(0))
     rows = rows.select("*", _stream(key, kind, canon, attempt, F.length("bare") + more + 24).alias("pairs"), _stream(key, F.lit("domain"), F.col("domain"), F.lit(0), F.length("domain") + 1).alias("domain_pairs"))
@@ -213,7 +230,7 @@ def _drawn(atoms: DataFrame, secret: str) -> DataFrame:
     checked = F.concat(body, F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     domain = F.when(_signs_out(F.col("domain")) != "", _redrawn_text(_signs_out(F.col("domain")), F.col("domain_pairs"), F.lit(False))).otherwise("")
     octets = F.concat_ws(".", *((F.pmod(_number(F.col("pairs")[i]), F.lit(254)) + 1).cast("string") for i in range(4)))
-    script = F.when(canon.rlike("[\u0400-\u052f]"), _name("cyrillic")).when(canon.rlike("[\u0370-\u03ff]"), _name("greek")).otherwise(_name("latin"))
+    script = F.when(canon.rlike("[\u0400-\u052f]"), _name("cyrillic")).when(canon.rlike("[\u0370-\u03ff]"), _name("greek")).when(canon.rlike(r"\p{IsHan}"), _name("han")).when(canon.rlike(r"\p{IsArabic}"), _name("arabic")).otherwise(_name("latin"))
     plain = (
         F.when(kind == "ip", F.concat(octets, F.when(attempt > LONGER, F.concat(F.lit("-"), spare)).otherwise("")))
         .when(kind.isin("given", "given_m", "given_f", "family"), script)
@@ -288,12 +305,11 @@ def replace(documents: DataFrame, key: str | None = None, count: bool = False) -
     discard(atoms)
     parts = parts.withColumn("attempt", F.lit(0)) if again is None else parts.join(again, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
     drawn = _drawn(parts, key)
-    value = F.when(F.col("kind").isNull(), F.col("raw")).when(F.col("kind") == "ip", F.col("plain")).when(F.col("kind").isin(*_WHOLE), F.initcap("plain")).otherwise(_into_format(F.col("raw"), F.col("plain")))
-    # a row's parts are as many as its text has, and no more
-    lists = drawn.select("row", F.struct("pos", "part", value.alias("value")).alias("v")).groupBy("row").agg(F.array_sort(F.collect_list("v")).alias("all"))
-    one_text = F.transform(F.sequence(F.lit(0), F.element_at("all", -1)["pos"]), lambda i: F.array_join(F.transform(F.filter("all", lambda v: v["pos"] == i), lambda v: v["value"]), ""))
-    single = F.size("all") == F.element_at("all", -1)["pos"] + 1
-    lists = lists.select(F.col("row").alias(row), F.when(single, F.transform("all", lambda v: v["value"])).otherwise(one_text).alias(new))
+    value = F.when(F.col("kind").isNull(), F.col("raw")).when(F.col("kind") == "ip", F.col("plain")).when(F.col("kind").isin(*_WHOLE), F.when(F.col("raw").rlike(r"^\p{Lu}{2,}$"), F.upper("plain")).when(F.col("raw").rlike(r"^\p{Ll}"), F.col("plain")).otherwise(F.initcap("plain"))).otherwise(_into_format(F.col("raw"), F.col("plain")))
+    # a row's parts are as many as its text has, and no more; both groupings want one shuffle
+    parted = drawn.select("row", "pos", F.struct("part", value.alias("value")).alias("v")).repartition("row")
+    entities = parted.groupBy("row", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["value"]), "").alias("value"))
+    lists = entities.groupBy(F.col("row").alias(row)).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias(new))
     text = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.element_at(new, (F.floor(i / 2) + 1).cast("int"))).otherwise(x)), "")
     replaced = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in documents.columns]
     with_ = some.join(lists, row).select(*replaced, *([F.size(new).cast("long").alias(total)] if count else []))
