@@ -3,12 +3,16 @@
 A page is cut into blocks at block elements. Each block has its text, its words, the share of its
 characters inside links, the share of its words that are stop words, and where it stands.
 
-Pass 1 labels a block by itself. Inside menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden elements
-(by element, role, or the words of class and id) it is bad. Such a word counts whatever stands beside it (`post-comments`,
-`story-ad`) and in joined forms (`commentlist`); only articles, main elements and the page itself aren't judged by their own class.
-Inside an article or main element a block is good, unless it consists of links and is no headline. Elsewhere many link
-characters make it bad; a long block with stop words is good, one without is bad, the rest is undecided. Pages without any
-block in a language whose stop words are known have no block without stop words: there length and links alone decide.
+Pass 1 labels a block by itself. Inside menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden elements, as far
+as elements, roles and whole names of class and id tell, it is bad: names all of whose words are known, one of them for such a part
+(`post-comments`, `story-ad`, `commentlist`, `more-stories`). Names that only may mean such a part shift the thresholds. Words that often stand for
+something else (`widget`, `share`, `menu`) leave a block good only if it is prose: ten words, stop words among them, few links. A known word beside
+unknown ones (`share-price`, `menu-reform`) makes prose good, links bad and short blocks undecided.
+Elsewhere a block inside an article or main element is good, unless it consists of links and is no headline. The first article, main elements and
+the page itself aren't judged by their own class; a later article is, as comments often are articles. Outside these elements a block is bad where they hold
+most of the page's words. Else many link characters make it bad, and so does the word cookie in a short block; a long block with stop words is good, one
+without is bad, the rest is undecided. Pages without any block in a language whose stop words are known have no block without stop words: there
+length and links alone decide.
 Pass 2 gives undecided blocks the label of their nearest decided neighbours: if both agree, theirs, else that of
 the nearer one, counted in words between them; a tie, and a page without any decided block, is good.
 
@@ -51,16 +55,25 @@ STOP_WORDS = frozenset(
 BAD_ELEMENTS = frozenset("nav footer aside form dialog menu search".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 BAD_WORDS = frozenset(
-    """ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent
-    cookie cookies disclaimer disqus footer gdpr header login masthead menu menus menubar modal nav navbar navigation newsletter notice notices overlay pager
-    pagination popup promo promos promoted promotion recommended recommendations related replies reply respond share shares sharing sidebar sidebars signup
-    social sponsor sponsored sponsors subscribe subscription toolbar widget widgets""".split()
+    """ad ads adsense advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commenting consent
+    cookie cookies disclaimer discussion discussions disqus feedback footer gdpr header login masthead menubar nav navbar navigation newsletter notice notices outbrain pager
+    pagination popup promo promos promoted promotion recommended recommendations related replies reply respond response responses sidebar sidebars signup
+    sponsor sponsored sponsors subscribe subscription taboola teaser teasers""".split()
 )
+#: Words that mark such parts less surely.
+WEAK_WORDS = frozenset("menu menus modal more overlay share shares sharing social toolbar widget widgets".split())
 #: Bad words that also count where they are joined to one of the words around them (commentlist, pagefooter).
-_STEMS = "advert|banner|breadcrumb|comment|cookie|disqus|footer|masthead|menu|navbar|navigation|newsletter|popup|promo|related|share|sidebar|social|sponsor|toolbar|widget"
+_STEMS = "advert|banner|breadcrumb|comment|cookie|disqus|footer|masthead|navbar|navigation|newsletter|popup|promo|related|sidebar|sponsor|teaser"
+_WEAK_STEMS = "menu|share|social|toolbar|widget"
 _BEFORE = "article|blog|content|entry|fb|global|main|page|post|reader|side|site|story|sub|top|user|web"
 _AFTER = "area|bar|block|body|box|button|buttons|container|content|count|form|holder|icon|icons|inner|item|items|links|list|section|text|thread|wrap|wrapper"
-_JOINED = re.compile(rf"(?:{_BEFORE})?(?:{_STEMS})s?(?:{_AFTER})?")
+_JOINED, _WEAKLY_JOINED = (re.compile(rf"(?:{_BEFORE})?(?:{x})s?(?:{_AFTER})?") for x in (_STEMS, _WEAK_STEMS))
+#: Words that say nothing of their own beside a bad one.
+_PLAIN = frozenset(f"{_BEFORE}|{_AFTER}|bottom|col|column|desktop|fixed|full|group|id|js|large|left|level|mobile|module|new|panel|primary|right|row|secondary|small|sticky|title|v|widget|widgets|wide|zone".split("|"))
+#: Two words that together mark a list of other articles.
+_OTHERS = (frozenset("also latest more most other popular recent top trending".split()), frozenset("articles headlines news popular posts read stories viewed".split()))
+#: Short blocks with one of these outside an article are notices.
+_NOTICE = re.compile(r"\bcookies?\b", re.IGNORECASE)
 #: Words that make the rest of a class say what an element has or lacks, not what it is.
 _ABOUT = frozenset("has is no with without".split())
 #: A header or title of these is part of the article.
@@ -87,11 +100,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 _APART = re.compile(r"[^a-z0-9]+")
 
 
+#: How surely an element is not the article.
+FREE, MAYBE, WEAK, CERTAIN = range(4)
+
+
 @dataclass
 class Block:
     text: str
     links: int  # characters inside links
-    bad: bool
+    doubt: int
     content: bool
     headline: bool
 
@@ -100,25 +117,34 @@ class Block:
         return min(1.0, self.links / max(1, len(self.text)))
 
 
-def _is_bad_class(name: str, content: bool) -> bool:
-    """Whether one class or id marks what is not the article."""
-    parts = set(_APART.split(_HUMP.sub("-", name).lower()))
+def _doubt(name: str, content: bool) -> int:
+    """How surely one class or id marks what is not the article."""
+    parts = {x for x in _APART.split(_HUMP.sub("-", name).lower()) if x and not x.isdigit()}
     if parts & _ABOUT:
-        return False
+        return FREE
     if parts & {"header"} and (content or parts & GOOD_WORDS):
         parts -= {"header"}
-    return any(x in BAD_WORDS or _JOINED.fullmatch(x) for x in parts)
-
-
-def _marks(element: str, attributes: str, content: bool) -> tuple[bool, bool]:
-    """(not the article, the article) as far as the element itself says."""
-    bad = element in BAD_ELEMENTS or element == "header" and not content
+    bad = {x for x in parts if x in BAD_WORDS or _JOINED.fullmatch(x)}
+    weak = {x for x in parts - bad if x in WEAK_WORDS or _WEAKLY_JOINED.fullmatch(x)}
+    one, other = _OTHERS
+    if parts <= one | other and parts & one and parts & other:
+        return CERTAIN
+    if not bad | weak:
+        return FREE
+    if parts - bad - weak - _PLAIN:
+        return MAYBE
+    return CERTAIN if bad else WEAK
+
+
+def _marks(element: str, attributes: str, content: bool, later: bool) -> tuple[int, bool]:
+    """(how surely not the article, whether the article) as far as the element itself says. later: an article stands before it."""
+    doubt = CERTAIN if element in BAD_ELEMENTS or element == "header" and not content else FREE
     good = element in CONTENT_ELEMENTS
-    named = hidden = False
+    named, hidden = FREE, False
     for name, *values in _MARK.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "role":
-            bad |= value.strip().lower() in BAD_ROLES
+            doubt = max(doubt, CERTAIN if value.strip().lower() in BAD_ROLES else FREE)
             good |= value.strip().lower() in CONTENT_ELEMENTS
         elif name == "hidden":
             hidden = True
@@ -127,41 +153,77 @@ def _marks(element: str, attributes: str, content: bool) -> tuple[bool, bool]:
         elif name == "style":
             hidden |= bool(_HIDING.search(value.lower()))
         else:
-            named |= any(_is_bad_class(one, content or good) for one in value.split())
-    whole_page = element in ("html", "body")
-    return bad or hidden and not whole_page or named and not good and not whole_page, good
+            named = max([named, *(_doubt(one, content or good) for one in value.split())])
+    if element in ("html", "body"):
+        return doubt, good
+    if hidden:
+        return CERTAIN, good
+    return doubt if good and not (later and element == "article") else max(doubt, named), good
+
+
+class _Open:
+    """The open elements: (name, doubt, content, headline); inline elements only from a bad one on. Each step costs what it closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> tuple[str, int, bool, bool]:
+        return self.stack[-1] if self.stack else ("", FREE, False, False)
+
+    def block(self) -> tuple[str, int, bool, bool]:
+        """The innermost block element."""
+        return self.stack[self.blocks[-1]] if self.blocks else ("", FREE, False, False)
+
+    def push(self, name: str, doubt: int, content: bool, headline: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK_ELEMENTS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, doubt, content, headline))
+
+    def close(self, name: str) -> bool:
+        """Closes the innermost element of this name and all inside it; an inline one only if no block began since."""
+        at = self.places.get(name)
+        if not at or name not in BLOCK_ELEMENTS and self.blocks and self.blocks[-1] > at[-1]:
+            return False
+        place = at[-1]
+        while len(self.stack) > place:
+            last = self.stack.pop()[0]
+            self.places[last].pop()
+            if last in BLOCK_ELEMENTS:
+                self.blocks.pop()
+        return True
+
+    def unsaid(self) -> bool:
+        """Whether a bad inline element is open."""
+        return len(self.stack) > len(self.blocks)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of one page that have text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, bad, content, headline; inline elements only from a bad one on
+    open_ = _Open()
     held: list[str] = []
-    links = inside = unsaid = 0  # unsaid: bad inline elements around
+    links = inside = 0
+    articles = 0
 
     def end() -> None:
         nonlocal links
         text = " ".join("".join(held).split())
         if text:
-            _, bad, content, headline = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(text, links, bad, content, headline))
+            out.append(Block(text, links, *open_.block()[1:]))
         held.clear()
         links = 0
 
     def say(piece: str) -> None:
         nonlocal links
-        if piece and not unsaid:
+        if piece and not open_.unsaid():
             piece = html.unescape(piece)
             held.append(piece)
             if inside:
                 links += len(" ".join(piece.split()))
 
-    def drop(k: int) -> None:
-        """Leaves the elements from the k-th one on."""
-        nonlocal unsaid
-        unsaid -= sum(name not in BLOCK_ELEMENTS for name, *_ in stack[k:])
-        del stack[k:]
-
     at = 0
     for token in _TOKEN.finditer(page):
         say(page[at : token.start()])
@@ -176,33 +238,25 @@ def blocks(page: str) -> list[Block]:
             elif name in BLOCK_ELEMENTS:
                 end()
                 inside = 0
-                top = stack[-1][0] if stack else ""
+                top = open_.block()[0]
                 if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and top == name or top == "p":
-                    drop(len(stack) - 1)
+                    open_.close(top)
                 if name not in VOID_ELEMENTS:
-                    _, bad, content, headline = stack[-1] if stack else ("", False, False, False)
-                    own_bad, own_good = _marks(name, attributes, content)
-                    stack.append((name, bad or own_bad, content or own_good, headline or name in HEADLINES))
+                    _, doubt, content, headline = open_.top()
+                    own, good = _marks(name, attributes, content, articles > 0)
+                    articles += name == "article"
+                    open_.push(name, max(doubt, own), content or good, headline or name in HEADLINES)
             elif name not in VOID_ELEMENTS and not attributes.endswith("/>"):
-                _, bad, content, headline = stack[-1] if stack else ("", False, False, False)
-                if unsaid and any(x == name for x, *_ in stack) or attributes.strip("/> ") and _marks(name, attributes, content)[0]:
-                    unsaid += 1
-                    stack.append((name, True, content, headline))
+                _, doubt, content, headline = open_.top()
+                if open_.unsaid() and open_.places.get(name) or attributes.strip("/> ") and _marks(name, attributes, content, articles > 0)[0] >= WEAK:
+                    open_.push(name, CERTAIN, content, headline)
         elif name := token["close"]:
             name = name.lower()
             if name == "a":
                 inside = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK_ELEMENTS:
-                        end()
-                    drop(k)
-                    break
-                if name not in BLOCK_ELEMENTS and stack[k][0] in BLOCK_ELEMENTS:
-                    break
-            else:
-                if name in BLOCK_ELEMENTS:
-                    end()
+            if name in BLOCK_ELEMENTS:
+                end()
+            open_.close(name)
     say(page[at:])
     end()
     return out
@@ -217,15 +271,23 @@ def stop_share(block: Block) -> tuple[int, float]:
     return len(words), sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def first_pass(block: Block, known: bool = True) -> int:
-    """known: whether the page is in a language whose stop words are known."""
-    if block.bad:
+def first_pass(block: Block, known: bool = True, elsewhere: bool = False) -> int:
+    """known: whether the page is in a language whose stop words are known. elsewhere: whether articles hold most of the page's words."""
+    if block.doubt == CERTAIN:
+        return BAD
+    if elsewhere and not block.content:
         return BAD
+    n, stops = stop_share(block)
+    if block.doubt != FREE:
+        if block.link_density > MAX_LINK_DENSITY / 2:
+            return BAD
+        if n >= SHORT_WORDS and (stops >= STOP_LOW or not known):
+            return GOOD
+        return BAD if block.doubt == WEAK else OPEN
     if block.content:
         return BAD if block.link_density >= ALL_LINKS and not block.headline else GOOD
-    if block.link_density > MAX_LINK_DENSITY:
+    if block.link_density > MAX_LINK_DENSITY or n < LONG_WORDS and _NOTICE.search(block.text):
         return BAD
-    n, stops = stop_share(block)
     if n < SHORT_WORDS:
         return OPEN
     if stops >= STOP_HIGH or n >= LONG_WORDS and (stops >= STOP_LOW or not known):
@@ -233,9 +295,18 @@ def first_pass(block: Block, known: bool = True) -> int:
     return OPEN if stops >= STOP_LOW or not known else BAD
 
 
+def in_articles(found: list[Block]) -> bool:
+    """Whether articles and main elements hold most words of what may be the article, links aside."""
+    words = {True: 0, False: 0}
+    for b in found:
+        if b.doubt != CERTAIN and b.link_density <= MAX_LINK_DENSITY:
+            words[b.content] += len(b.text.split())
+    return words[True] > words[False]
+
+
 def knows_language(found: list[Block]) -> bool:
     """Whether some block has stop words as text of a known language has them."""
-    shares = (stop_share(b) for b in found if not b.content)
+    shares = (stop_share(b) for b in found)
     return any(n >= SHORT_WORDS and stops >= STOP_LOW for n, stops in shares)
 
 
@@ -264,8 +335,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    known = knows_language(found)
-    labels = second_pass(found, [first_pass(b, known) for b in found])
+    known, elsewhere = knows_language(found), in_articles(found)
+    labels = second_pass(found, [first_pass(b, known, elsewhere) for b in found])
     return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 

@@ -47,7 +47,7 @@ def test_empty_pages_and_other_columns(spark):
 
 
 def test_second_pass_takes_the_nearest_decided_label():
-    block = lambda n: htmltext.Block(" ".join(["w"] * n), 0, False, False, False)
+    block = lambda n: htmltext.Block(" ".join(["w"] * n), 0, htmltext.FREE, False, False)
     found = [block(20), block(3), block(2), block(20)]
     assert htmltext.second_pass(found, [1, -1, -1, 0]) == [1, 1, 0, 0]
     assert htmltext.second_pass(found[:2], [-1, -1]) == [1, 1] and htmltext.second_pass(found, [0, -1, -1, 0]) == [0, 0, 0, 0]
