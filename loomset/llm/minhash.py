@@ -8,7 +8,7 @@
 4. Buckets that still hold several components are gone through once more, in blocks. Signatures are compared inside the
    task; rows with a partner of another component whose signature agrees in at least AGREE places (which a pair at the
    threshold misses once in some 10**8 times) and that they meet in no earlier band get their texts, and are compared on full sets inside
-   their block. Rows are dealt out, never pairs, and a row reports one link for each component it is linked with.
+   their block. Rows are dealt out, never pairs, and a block reports fewer links than it has components.
 
 A pair at the threshold shares no band once in 10**5 times (0.684 ** 32); closer pairs far less often. No bucket is
 capped and no pair is linked without its full sets.
@@ -189,10 +189,11 @@ def _candidates(cells: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _cell_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links between components, compared on full sets inside each cell; one link at most for each row and component it is linked with."""
+    """(a, b): links between components, compared on full sets inside each cell. Components that a cell has linked are one from there on, so a cell gives fewer links than it has components."""
 
     def run(cell: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         rep, part, block = (table.column(c).to_numpy() for c in ("rep", "part", "block"))
+        part = part.copy()
         same = table.column("same").to_numpy(zero_copy_only=False)
         sets: list[np.ndarray] = []
         for batch in table.select(["text"]).to_batches():
@@ -213,9 +214,10 @@ def _cell_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
             mark[own] = False
             j = j[100 * both >= PERCENT * (n[i] + n[j] - both)]
             if len(j):
-                _, one = np.unique(part[j], return_index=True)
+                met, one = np.unique(part[j], return_index=True)
                 left += [int(rep[i])] * len(one)
                 right += rep[j[one]].tolist()
+                part[np.isin(part, met)] = part[i]
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     rows = candidates.drop("n_shingles").join(texts, "rep").select("cell", "same", "block", "rep", "part", "text")
@@ -233,10 +235,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = facts.filter("one IS NOT NULL AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min(least).alias("least"), F.min_by(which, least).alias("f"))
     # numbers of rows of a table that is written once
     classes = keep(classes.select(F.monotonically_increasing_id().alias("rep"), "one", "two", "least.*", "f.*"), "classes")
-    keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last").select("key", "head")
-    shared = keep(keys.join(heads, "key"), "buckets")
-    stars = keep(shared.groupBy("rep").agg(F.min("head").alias("head")).filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")), "pairs")
+    keys = classes.select("rep", "doc_id", F.posexplode("bands").alias("band", "key"))
+    heads = keys.groupBy("key").agg(F.min(F.struct("doc_id", "rep")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
+    shared = keep(keys.drop("doc_id").join(heads, "key"), "buckets")
+    stars = keep(shared.groupBy("rep").agg(F.min("head")["rep"].alias("head")).filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")), "pairs")
     texts = _texts_of(documents, classes, stars)
     links = keep(linked(stars, texts), "links")
     discard(texts)
