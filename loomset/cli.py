@@ -29,6 +29,11 @@ def main(arguments: list[str] | None = None) -> None:
     search.add_argument("query")
     for name in ("source", "lang"):
         search.add_argument(f"--{name}", default="")
+    search.add_argument("--equal", action="append", default=[], metavar="COLUMN=VALUE", help="any other column of the chunks, case left aside; may be given again")
+    search.add_argument("--date-column", default="date")
+    search.add_argument("--date-from", help="both ends are included; dates are text, such as 2025-01-31")
+    search.add_argument("--date-to")
+    search.add_argument("--topic-id", type=int)
     search.add_argument("--top-k", type=int, default=8)
     asked = parser.parse_args(arguments)
     spark = local_session("loomset-cli")
@@ -41,11 +46,16 @@ def main(arguments: list[str] | None = None) -> None:
         found = gateway.run(spark, asked.query, paths)
         out = {"columns": found.columns, "rows": [list(r) for r in found.collect()]}  # MAX_ROWS at most
     elif asked.verb == "build-index":
-        texts = spark.read.parquet(f"{asked.folder.rstrip('/')}/documents.parquet").select("doc_id", "source", "lang", "text")
+        texts = spark.read.parquet(f"{asked.folder.rstrip('/')}/documents.parquet").drop("n_chars")
         out = index.save(index.build(texts, "doc_id", "text", "source"), asked.index)
     elif asked.verb == "search":
-        filters = retrieval.Filters(equal=(("source", asked.source), ("lang", asked.lang)))
-        found = index.search(index.opened(spark, asked.index), asked.query, asked.top_k, filters)
+        opened = index.opened(spark, asked.index)
+        equal = [("source", asked.source), ("lang", asked.lang), *((x.partition("=")[0], x.partition("=")[2]) for x in asked.equal)]
+        used = {name for name, value in equal if value} | ({asked.date_column} if asked.date_from or asked.date_to else set())
+        if unknown := sorted(used - set(opened.chunks.columns)):
+            parser.error(f"the chunks have no column {', '.join(unknown)}")
+        filters = retrieval.Filters(tuple(equal), asked.date_column, asked.date_from, asked.date_to, asked.topic_id)
+        found = index.search(opened, asked.query, asked.top_k, filters)
         results = found.withColumns({"citation": retrieval.cite(F.col("doc_id"), F.lit(asked.index)), "excerpt": retrieval.excerpt(F.col("chunk_text"))}).drop("chunk_text")
         out = {"query": asked.query, "results": [r.asDict() for r in results.collect()]}  # top_k at most
     else:

@@ -14,15 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomset.operators import clean, retrieval, sampling, text, topics
+from loomset.operators import clean, postings, retrieval, sampling, text, topics
+from loomset.session import kept
 
 MAX_DOCUMENTS, DIMENSIONS, ROUNDS = 20_000, 128, 7
 BLOCK = 8_192
 #: Tasks of a round at most: each gives an array of terms x dimensions.
 TASKS = 4
+#: Questions that are answered in one pass over the index.
+QUESTIONS = 64
 
 
 @dataclass
@@ -122,7 +125,8 @@ def project(rows: DataFrame, key: str, basis: np.ndarray) -> DataFrame:
             if batch.num_rows:
                 y = np.concatenate([topics.times(*part, basis) for part in topics.sparse(batch)])
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(y.astype(np.float32).tolist(), pa.list_(pa.float32()))], [key, "vector"])
+                offsets = pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(y.astype(np.float32).ravel()))], [key, "vector"])
 
     return rows.select(key, "places", "values").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vector array<float>")
 
@@ -133,26 +137,24 @@ def counts_of(texts: DataFrame, key: str, body: str, among: DataFrame | None = N
 
 
 def build(texts: DataFrame, key: str, body: str, group: str, most: int = MAX_DOCUMENTS, dimensions: int = DIMENSIONS, features: int = 30_000, rounds: int = ROUNDS) -> Index:
-    """Indexes all distinct texts by what a balanced sample of most of them teaches. Frames that are read more than once are cached; unpersist them when done."""
+    """Indexes all distinct texts by what a balanced sample of `most` of them teaches. What is read more than once is a table under spark.checkpoint.dir."""
     distinct = clean.keep_first(texts.filter(F.col(body).isNotNull()).withColumn("_sha", F.sha2(F.col(body).cast("string"), 256)), "_sha", key).drop("_sha")
-    chunks = text.chunks(distinct, key, body).cache()
+    chunks = kept(text.chunks(distinct, key, body), "chunks")
     taught = sampling.balanced(chunks.filter("chunk_index = 0").select(key, group), key, group, most)
-    sample = chunks.join(F.broadcast(taught.select(key)), key, "left_semi").select("chunk_id", "chunk_text").cache()  # most rows at most
-    counts = counts_of(sample, "chunk_id", "chunk_text").cache()
-    vocabulary = text.vocabulary(counts, sample.count(), max_features=features).cache()
-    terms = topics.numbered(vocabulary.select("term")).cache()
-    rows = topics.rows_of(text.weights(counts, F.broadcast(vocabulary), "chunk_id"), terms, "chunk_id").coalesce(TASKS).cache()
+    sample = kept(chunks.join(taught.select(key), key, "left_semi").select("chunk_id", "chunk_text"), "sample")  # all chunks of `most` documents
+    counts = kept(counts_of(sample, "chunk_id", "chunk_text"), "counts")
+    vocabulary = kept(text.vocabulary(counts, sample.count(), max_features=features), "vocabulary")
+    terms = kept(topics.numbered(vocabulary.select("term")), "terms")
+    rows = kept(topics.rows_of(text.weights(counts, F.broadcast(vocabulary), "chunk_id"), terms, "chunk_id"), "rows").coalesce(TASKS)
     basis, explained = directions(rows, terms.count(), dimensions, rounds)
-    for frame in (sample, counts, rows):
-        frame.unpersist()
     return assemble(chunks, vocabulary, terms, basis, explained)
 
 
 def assemble(chunks: DataFrame, vocabulary: DataFrame, terms: DataFrame, basis: np.ndarray, explained: float = 0.0) -> Index:
     """The index of chunks (with chunk_id and chunk_text) for a vocabulary and directions that are there already."""
-    postings = text.weights(counts_of(chunks, "chunk_id", "chunk_text", vocabulary), F.broadcast(vocabulary), "chunk_id").cache()
-    vectors = project(topics.rows_of(postings, terms, "chunk_id"), "chunk_id", basis).cache()
-    return Index(chunks, vocabulary, terms, postings, vectors, basis, explained)
+    weights = kept(text.weights(counts_of(chunks, "chunk_id", "chunk_text", vocabulary), F.broadcast(vocabulary), "chunk_id"), "postings")
+    vectors = kept(project(topics.rows_of(weights, terms, "chunk_id"), "chunk_id", basis), "vectors")
+    return Index(chunks, vocabulary, terms, weights, vectors, basis, explained)
 
 
 _FRAMES = ("chunks", "vocabulary", "terms", "postings", "vectors")
@@ -162,7 +164,12 @@ def save(index: Index, folder: str) -> dict:
     """Writes the index as Parquet tables and a manifest of one JSON line, and returns the manifest. The manifest is written last: without it there is no index."""
     spark = index.chunks.sparkSession
     for name in _FRAMES:
-        getattr(index, name).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        frame = getattr(index, name)
+        if name == "postings":  # a question reads the folders of its terms alone
+            frame = frame.select("chunk_id", "term", "weight", postings.bucket(F.col("term"), postings.BUCKETS).alias("bucket"))
+            frame = frame.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(postings.FILES))).sortWithinPartitions("bucket", "term")
+        writer = frame.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy("bucket") if name == "postings" else writer).parquet(f"{folder}/{name}")
     basis = pa.table({"place": pa.array(np.arange(len(index.directions)), pa.int32()), "direction": pa.array(index.directions.tolist(), pa.list_(pa.float64()))})
     spark.createDataFrame(basis).write.mode("overwrite").parquet(f"{folder}/directions")  # features x dimensions at most
     rows = {name: spark.read.parquet(f"{folder}/{name}").count() for name in _FRAMES}
@@ -198,6 +205,11 @@ def opened(spark: SparkSession, folder: str) -> Index:
     return _opened[key]
 
 
+def _buckets(spark: SparkSession, terms: list[str]) -> list[int]:
+    rows = spark.createDataFrame([(t,) for t in terms], "term string").select(postings.bucket(F.col("term"), postings.BUCKETS).alias("b")).distinct()
+    return [r["b"] for r in rows.collect()]
+
+
 def search(index: Index, query: str, top_k: int = 8, filters: retrieval.Filters | None = None, dense_weight: float = 0.65, min_score: float = 0.05) -> DataFrame:
     """rank, chunk_id, lexical, dense, score and all columns of the best chunks; no rows if the filters leave none."""
     query = retrieval.check_request(query, top_k, dense_weight)
@@ -205,12 +217,108 @@ def search(index: Index, query: str, top_k: int = 8, filters: retrieval.Filters
     counts = counts_of(spark.createDataFrame([(0, query)], "_q int, query string"), "_q", "query")
     weights = text.weights(counts, index.vocabulary, "_q")
     found = topics.rows_of(weights, index.terms, "_q").first()
+    asked = [r["term"] for r in weights.select("term").collect()]  # one question's
+    held = index.postings
+    if "bucket" in held.columns:
+        held = held.filter(F.col("bucket").isin(_buckets(spark, asked)))
+    held = held.filter(F.col("term").isin(asked))
     vector = np.zeros(len(index.directions))
     if found:
         vector[found["places"]] = found["values"]
     filters = filters or retrieval.Filters()
     candidates = index.chunks.filter(filters.condition(index.chunks.columns)).select("chunk_id")
-    lexical = retrieval.lexical_scores(index.postings, weights.select("term", F.col("weight").alias("query_weight")), "chunk_id")
+    lexical = retrieval.lexical_scores(held, weights.select("term", F.col("weight").alias("query_weight")), "chunk_id")
     dense = retrieval.dense_scores(index.vectors, "chunk_id", "vector", (vector @ index.directions).tolist())
     best = retrieval.top(retrieval.hybrid(candidates, lexical, dense, "chunk_id", dense_weight), "chunk_id", top_k, min_score)
     return index.chunks.join(F.broadcast(best), "chunk_id").orderBy("rank")  # top_k rows
+
+
+class _Best:
+    """The best rows of each question so far. Scores are compared by as many digits as elsewhere, ties by key."""
+
+    def __init__(self, questions: int, top_k: int, least: float):
+        self.top_k, self.rows = top_k, [[] for _ in range(questions)]
+        self.floor = np.full(questions, least)
+        self.least = least
+
+    def offer(self, keys: list[str], score: np.ndarray, lexical: np.ndarray, dense: np.ndarray) -> None:
+        """Rows x questions of scores."""
+        score = np.round(score, postings.DIGITS)
+        for j in np.flatnonzero((score >= self.floor).any(0)).tolist():
+            held = self.rows[j]
+            held += [(-score[i, j], keys[i], lexical[i, j], dense[i, j]) for i in np.flatnonzero(score[:, j] >= self.floor[j]).tolist()]
+            if len(held) > self.top_k:
+                held.sort()
+                del held[self.top_k :]
+                self.floor[j] = max(self.least, -held[-1][0])
+
+
+def search_many(index: Index, questions: DataFrame, top_k: int = 8, match: tuple[str, ...] = (), dense_weight: float = 0.65, min_score: float = 0.05) -> DataFrame:
+    """question, rank, chunk_id, lexical, dense and score: what search() gives for each of many questions (question, query).
+
+    match: columns that chunks and questions have; a question finds chunks with its own value there (null: any), case left aside. Questions are taken
+    in blocks of about QUESTIONS; a block is a small matrix, which each task multiplies with its rows, holding the top_k best of each question. So a block is one
+    pass over the index, and what is shuffled is top_k rows for each question and task. Questions without a known term find nothing.
+    """
+    retrieval.check_request("any", top_k, dense_weight)
+    spark = index.chunks.sparkSession
+    asked = questions.select("question", "query", *match)
+    weights = text.weights(counts_of(asked, "question", "query", index.vocabulary), index.vocabulary, "question")
+    asked = kept(topics.rows_of(weights, index.terms, "question").join(asked.select("question", *match), "question"), "questions")
+    count = asked.count()
+    blocks = max(1, -(-count // QUESTIONS))
+    held = index.postings.select("chunk_id", "term", "weight")
+    folded = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"match_{k}") for k, c in enumerate(match)]
+    rows = topics.rows_of(held, index.terms, "chunk_id").join(index.vectors, "chunk_id")
+    rows = kept(rows.join(index.chunks.select("chunk_id", *folded), "chunk_id") if match else rows, "search-rows")
+    kind = asked.schema["question"].dataType.simpleString()
+    out = None
+    for k in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("question"), F.lit(blocks)) == k).toArrow()
+        if not some.num_rows:
+            continue
+        places = [np.asarray(x, np.int64) for x in some.column("places").to_pylist()]
+        known = np.unique(np.concatenate(places))
+        matrix = np.zeros((len(known), some.num_rows))
+        for j, (at, values) in enumerate(zip(places, some.column("values").to_pylist(), strict=True)):
+            matrix[np.searchsorted(known, at), j] = values
+        points = matrix.T @ index.directions[known]
+        points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+        where = np.full(len(index.directions), -1, np.int64)
+        where[known] = np.arange(len(known))
+        wanted = [[None if v is None else str(v).lower() for v in some.column(c).to_pylist()] for c in match]
+        shared = spark.sparkContext.broadcast((some.column("question").combine_chunks(), matrix, points, where, wanted))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, matrix, points, where, wanted = shared.value
+            best = _Best(len(names), top_k, min_score)
+            for batch in batches:
+                at = 0
+                for row, place, value, n in topics.sparse(batch):
+                    part = batch.slice(at, n)
+                    at += n
+                    local = where[place]
+                    use = local >= 0
+                    lexical = topics.times(row[use], local[use], value[use], n, matrix)
+                    vectors = part.column("vector").flatten().to_numpy().reshape(n, -1).astype(np.float64)
+                    dense = np.clip(vectors @ points.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), 0, 1)
+                    score = dense_weight * dense + (1 - dense_weight) * lexical
+                    for c, values in enumerate(wanted):
+                        own = np.array(part.column(f"match_{c}").to_pylist(), object)
+                        for j, value_ in enumerate(values):
+                            if value_:
+                                score[own != value_, j] = -1.0
+                    best.offer(part.column("chunk_id").to_pylist(), score, lexical, dense)
+            which = [j for j, held in enumerate(best.rows) for _ in held]
+            flat = [x for held in best.rows for x in held]
+            columns = [names.take(pa.array(which, pa.int64())), pa.array([x[1] for x in flat], pa.string()), *(pa.array([x[c] for x in flat], pa.float64()) for c in (2, 3)), pa.array([-x[0] for x in flat], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["question", "chunk_id", "lexical", "dense", "score"])
+
+        found = kept(rows.mapInArrow(run, f"question {kind}, chunk_id string, lexical double, dense double, score double"), "found")
+        shared.destroy()
+        out = found if out is None else out.union(found)
+    if out is None:
+        return spark.createDataFrame([], f"question {kind}, rank long, chunk_id string, lexical double, dense double, score double")
+    order = Window.partitionBy("question").orderBy(F.desc("score"), "chunk_id")
+    ranked = out.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top_k)
+    return ranked.select("question", "rank", "chunk_id", "lexical", "dense", "score")

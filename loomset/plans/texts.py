@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import clean, evaluate, index, kpi, prepare, quality, retrieval, router, sampling, text, topics
+from loomset.operators import clean, evaluate, index, kpi, postings, prepare, quality, retrieval, router, sampling, text, topics
 from loomset.plans.catalog import query
-from loomset.session import scratch_folder, table
+from loomset.session import kept, scratch_folder, table
 
 # RE2 has neither look-around nor borders of Unicode words, so the SQL takes the sign before and after a find into groups, twice, as finds may share one.
 PLAIN_SQL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
@@ -198,6 +198,18 @@ def lexical_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top(found, "doc_id", 10).select("rank", "doc_id", F.round("lexical", 6).alias("lexical"))
 
 
+@query(f"""WITH {WEIGHTS_SQL}, scores AS (SELECT b.doc_id AS question, a.doc_id, sum(a.weight * b.weight) AS lexical FROM weights a JOIN weights b ON a.term = b.term AND b.doc_id % 100 = 0 GROUP BY ALL)
+    SELECT question, row_number() OVER (PARTITION BY question ORDER BY round(lexical, 9) DESC, doc_id) AS rank, doc_id, round(lexical, 6) AS lexical FROM scores QUALIFY rank <= 10""")
+def lexical_search_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents nearest by terms to each document with an id divisible by 100, by blocks of postings that can matter."""
+    weights = kept(_weights(spark, sf_dir)[1], "weights")
+    folder = scratch_folder(spark, "postings")
+    postings.write(weights, "doc_id", folder)
+    asked = weights.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("question"), "term", F.col("weight").alias("query_weight"))
+    found = postings.search(postings.read(spark, folder), asked, 10).best
+    return found.select("question", "rank", F.col("key").alias("doc_id"), F.round("lexical", 6).alias("lexical"))
+
+
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter("vec_id = 5").first()["embedding"]
 
@@ -241,7 +253,7 @@ FIXED_DIMENSIONS = 6
 _FIXED_SQL = ", ".join(f"strpos('0123456789abcdef', substr(md5(term), {j + 1}, 1)) - 8.5 AS d{j}" for j in range(FIXED_DIMENSIONS))
 INDEX_SQL = f"""{CHUNKS_SQL}, toks AS (SELECT chunk_id, list_filter(regexp_extract_all(strip_accents(lower(chunk_text)), '{text.TERM}'), lambda t: t NOT IN {STOPS_SQL}) AS w FROM chunks),
   grams AS (SELECT chunk_id, unnest(list_concat(w, list_transform(range(1, CAST(len(w) AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM toks), counts AS (SELECT chunk_id, term, count(*) AS tf FROM grams GROUP BY ALL),
-  n AS (SELECT count(*) AS n FROM chunks), vocabulary AS (SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM counts GROUP BY term), n WHERE df >= 2 AND df <= 0.98 * n ORDER BY corpus_tf DESC, term LIMIT 2000),
+  n AS (SELECT count(*) AS n FROM chunks), vocabulary AS (SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS corpus_tf FROM counts GROUP BY term), n WHERE df >= 2 AND df <= 0.98 * n ORDER BY corpus_tf DESC, term LIMIT 30000),
   raw AS (SELECT chunk_id, term, (1 + ln(tf)) * idf AS w FROM counts JOIN vocabulary USING (term)), postings AS (SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS weight FROM raw),
   fixed AS (SELECT term, {_FIXED_SQL} FROM vocabulary), sums AS (SELECT chunk_id, {", ".join(f"sum(weight * d{j}) AS v{j}" for j in range(FIXED_DIMENSIONS))} FROM postings JOIN fixed USING (term) GROUP BY chunk_id),
   vectors AS (SELECT chunk_id, [{", ".join(f"v{j} / greatest(sqrt({' + '.join(f'v{i} * v{i}' for i in range(FIXED_DIMENSIONS))}), 1e-12)" for j in range(FIXED_DIMENSIONS))}] AS v FROM sums),
@@ -253,18 +265,35 @@ INDEX_SQL = f"""{CHUNKS_SQL}, toks AS (SELECT chunk_id, list_filter(regexp_extra
     SELECT doc_id, chunk_id, round(lexical, 4) AS lexical, round(dense, 4) AS dense FROM scored ORDER BY 0.65 * dense + 0.35 * lexical DESC, chunk_id LIMIT 10""")
 def chunk_search_fixed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search in a saved index of the chunks of all documents, with filters, for the text of one chunk; directions are fixed, so that SQL gives the same rows."""
-    chunks = _chunks(spark, sf_dir).cache()
-    counts = index.counts_of(chunks, "chunk_id", "chunk_text")
-    vocabulary = text.vocabulary(counts, chunks.count(), max_features=2_000).cache()
-    terms = topics.numbered(vocabulary.select("term")).cache()
+    built = _fixed_index(spark, sf_dir)
+    asked = built.chunks.filter("chunk_id = '3_0'").first()["chunk_text"]
+    found = index.search(built, asked, 10, retrieval.Filters(equal=(("lang", "EN"),)))
+    return found.select("doc_id", "chunk_id", F.round("lexical", 4).alias("lexical"), F.round("dense", 4).alias("dense"))
+
+
+def _fixed_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    chunks = kept(_chunks(spark, sf_dir), "chunks")
+    counts = kept(index.counts_of(chunks, "chunk_id", "chunk_text"), "counts")
+    vocabulary = kept(text.vocabulary(counts, chunks.count()), "vocabulary")
+    terms = kept(topics.numbered(vocabulary.select("term")), "terms")
     digits = F.array(*(F.conv(F.substring(F.md5("term"), j + 1, 1), 16, 10).cast("double") - 7.5 for j in range(FIXED_DIMENSIONS)))
-    basis = np.array([r["d"] for r in terms.select("place", digits.alias("d")).orderBy("place").collect()])  # 2,000 at most
+    basis = np.array([r["d"] for r in terms.select("place", digits.alias("d")).orderBy("place").collect()])  # 30,000 at most
     folder = scratch_folder(spark, "index")
     index.save(index.assemble(chunks, vocabulary, terms, basis), folder)
-    built = index.load(spark, folder)
-    asked = chunks.filter("chunk_id = '3_0'").first()["chunk_text"]
-    found = index.search(built, asked, 10, retrieval.Filters(equal=(("lang", "EN"),)))
-    return found.select("doc_id", "chunk_id", F.round("lexical", 4).alias("lexical"), F.round("dense", 4).alias("dense"))
+    return index.load(spark, folder)
+
+
+@query(f"""WITH {INDEX_SQL}, many AS (SELECT chunk_id, lang FROM chunks WHERE doc_id % 100 = 0 AND chunk_index = 0),
+  lexicals AS (SELECT b.chunk_id AS question, a.chunk_id, sum(a.weight * b.weight) AS lexical FROM postings a JOIN postings b ON a.term = b.term JOIN many m ON m.chunk_id = b.chunk_id GROUP BY ALL),
+  denses AS (SELECT b.chunk_id AS question, a.chunk_id, least(greatest(list_dot_product(a.v, b.v), 0), 1) AS dense, m.lang AS lang FROM vectors a JOIN vectors b ON true JOIN many m ON m.chunk_id = b.chunk_id),
+  scored AS (SELECT d.question, d.chunk_id, coalesce(l.lexical, 0) AS lexical, d.dense, 0.65 * d.dense + 0.35 * coalesce(l.lexical, 0) AS score FROM denses d JOIN chunks c ON c.chunk_id = d.chunk_id LEFT JOIN lexicals l ON l.question = d.question AND l.chunk_id = d.chunk_id WHERE d.lang IS NULL OR lower(coalesce(c.lang, '')) = lower(d.lang))
+  SELECT question, chunk_id, round(lexical, 4) AS lexical, round(dense, 4) AS dense FROM scored WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, chunk_id) <= 10""")
+def chunk_search_many_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search for the first chunks of all documents with an id divisible by 100 at once, each among the chunks of its language; fixed directions."""
+    built = _fixed_index(spark, sf_dir)
+    asked = built.chunks.filter("doc_id % 100 = 0 AND chunk_index = 0").select(F.col("chunk_id").alias("question"), F.col("chunk_text").alias("query"), "lang")
+    found = index.search_many(built, asked, 10, match=("lang",))
+    return found.select("question", "chunk_id", F.round("lexical", 4).alias("lexical"), F.round("dense", 4).alias("dense"))
 
 
 #: question, and where it should go

@@ -46,3 +46,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomset-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """Writes a frame to a new folder under spark.checkpoint.dir and reads it again: a lost executor then costs no recomputation."""
+    path = scratch_folder(frame.sparkSession, name)
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomset import cli
 from loomset.operators import index, retrieval, text
@@ -41,6 +42,20 @@ def test_command_line(spark, data, capsys):
     assert len(json.loads(capsys.readouterr().out)) == 6
 
 
+def test_command_line_search_filters(spark, tmp_path, capsys):
+    rows = [(i, f"late fee account kind{i % 5} branch{i % 4} {'bank' if i % 2 else 'card'}", "fees" if i % 2 else "loans", f"2025-0{1 + i % 6}-10", i % 3) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, issue string, date string, topic_id int").withColumn("source", F.lit("s"))
+    folder = str(tmp_path / "index")
+    index.save(index.build(frame, "doc_id", "text", "source", dimensions=4), folder)
+    ask = lambda *more: {r["doc_id"] for r in (cli.main([str(tmp_path), "search", folder, "bank card kind0 kind1 kind2 kind3 kind4", "--top-k", "50", *more]), json.loads(capsys.readouterr().out))[1]["results"]}
+    wanted = lambda test: {r[0] for r in rows if test(r)}
+    assert ask("--equal", "issue=FEES") == wanted(lambda r: r[2] == "fees")
+    assert ask("--date-from", "2025-02-10", "--date-to", "2025-03-31") == wanted(lambda r: "2025-02-10" <= r[3] <= "2025-03-31")
+    assert ask("--topic-id", "1", "--equal", "issue=loans", "--date-to", "2025-04-10") == wanted(lambda r: r[4] == 1 and r[2] == "loans" and r[3] <= "2025-04-10")
+    with pytest.raises(SystemExit):
+        ask("--equal", "nothing=1")
+
+
 def test_search_finds_what_brute_force_over_all_rows_finds(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text")
     built = index.build(docs, "doc_id", "text", "source", most=40, dimensions=16, rounds=4)
