@@ -10,7 +10,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomset.operators import quantiles
 from loomset.operators.kpi import count_where
+from loomset.session import kept
 
 MISSING = "<MISSING>"
 
@@ -74,11 +76,15 @@ def lag_days(start: Column, end: Column) -> Column:
 
 
 def lag_stats(frame: DataFrame, start: str, end: str) -> DataFrame:
-    """Median, 95th percentile (interpolated, exact) and maximum of the lag in days, and how often it is < 0, > 15, > 30 or unknown."""
-    lag = lag_days(F.col(start), F.col(end))
-    return frame.select(lag.alias("lag")).agg(
-        F.median("lag").alias("median_days"),
-        F.percentile("lag", F.lit(0.95)).alias("p95_days"),
+    """Median, 95th percentile (interpolated, exact) and maximum of the lag in days, and how often it is < 0, > 15, > 30 or unknown.
+
+    The lags are written once; the quantiles are selected from them without sorting the column.
+    """
+    lags = kept(frame.select(lag_days(F.col(start), F.col(end)).alias("lag")), "lags")
+    median, p95 = quantiles.quantiles(lags, "lag", [0.5, 0.95])
+    return lags.agg(
+        F.lit(median).cast("double").alias("median_days"),
+        F.lit(p95).cast("double").alias("p95_days"),
         F.max("lag").alias("max_days"),
         count_where(F.col("lag") < 0).alias("negative"),
         count_where(F.col("lag") > 15).alias("over_15_days"),

@@ -98,6 +98,7 @@ def excerpt(text: Column, n: int = EXCERPT) -> Column:
 
 
 def document(chunks: DataFrame, key: str, value: object) -> DataFrame:
-    """A document's chunks in order, as one row; none if there is none."""
-    rows = chunks.filter(F.col(key).cast("string") == str(value))
+    """A document's chunks in order, as one row; none if there is none. Ids are compared as text, but the value takes the column's type, so that scans can skip."""
+    asked = F.lit(str(value)).try_cast(chunks.schema[key].dataType)
+    rows = chunks.filter((F.col(key) == asked) & (asked.cast("string") == str(value)))
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda x: x["chunk_text"]).alias("texts"))
