@@ -4,20 +4,22 @@
    all else parts them, in any script. An item's groups of GRAM neighbouring words
    are counted in the whole corpus. Groups that occur VERY_RARE times or less, or no more often than the rarer quarter of those of the
    item that occur at all, are very rare (so that an item which stands in a third of all documents has such groups like any
-   other). Seeds are the groups that occur at most RARE times as often as these; of the groups that more than SHARED
-   items have, the item's OWN_SEEDS rarest alone are.
+   other). Seeds are the groups that occur at most RARE times as often as these, however many items have them: of items made from
+   one template each is sought by the template's groups too.
 2. Every document is searched for seeds. Seeds of one item that stand in a document about as they stand in the item make a
    window, if they are two or a very rare one. Smith-Waterman alignment of the item with the window gives the
    score. A matching word counts by how rare it is in the corpus (MATCH on average over the item), others MISMATCH or GAP. The score is
    given as the part of what the item itself would get. A document holds an item if that is at least THRESHOLD and worth
-   LEAST_WORDS words (or all of a shorter item). Of passages with the same score the first one is told.
+   LEAST_WORDS words (or all of a shorter item). Of passages with the same score the first one is told. A document with a template's words is
+   compared with all items of the template; where a row's seeds belong to very many items, these are gone through part by part.
 
 Items are handled in batches of BATCH_BYTES of text at most, one scan of the corpus for counting and one for searching each, and each
 batch is done with before the next one begins, so that what is broadcast and what the driver holds have
 a bound whatever the number of items. Documents are searched whole, each in its own task.
 
 Null texts hold nothing, and null or wordless items are held by nothing. An item of fewer than MIN_WORDS words can't be told from
-ordinary language inside a text: it is held by documents that consist of just these words. Items with the same words are found
+ordinary language inside a text: it is held by documents that consist of just these words, or, with short_inside, by those that have them anywhere one
+after another. Items with the same words are found
 alike, each under its own id. Rows that repeat a doc_id are searched each. Extra columns stay, whatever their names.
 Empty tables: no document holds anything.
 """
@@ -38,7 +40,7 @@ from loomset.llm.common import keep, unused
 from loomset.llm.textarray import WORD_BASE, per_row, range_hash, slices, utf8, word_hashes
 
 GRAM = 3
-RARE, VERY_RARE, SHARED, OWN_SEEDS = 4, 20, 32, 3
+RARE, VERY_RARE = 4, 20
 MATCH, MISMATCH, GAP = 4, -1, -1
 THRESHOLD = 0.4
 LEAST_WORDS = 6
@@ -110,7 +112,8 @@ class _Among:
 class Items:
     """Items of one batch: words, groups, and seeds and weights once the corpus has been counted."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], short_inside: bool = False):
+        self.short_inside = short_inside
         word, first = _words(pa.array(texts, pa.string()))
         same: dict[bytes, list[int]] = {}
         for one, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -144,24 +147,22 @@ class Items:
     def choose(self, counts: np.ndarray) -> None:
         """Seeds, what each of them counts, and the weights of words."""
         groups = len(self.among.known)
-        which = np.searchsorted(self.among.known, self.gram)
-        often, holders = counts[:groups][which], np.bincount(which, minlength=groups)[which]
-        order = np.lexsort((self.offset, holders, often, self.item))
-        item = self.item[order]
-        begin = np.searchsorted(item, item)
-        rank = np.arange(len(order)) - begin
-        often, holders = often[order], holders[order]
+        often = counts[:groups][np.searchsorted(self.among.known, self.gram)]
+        order = np.lexsort((self.offset, often, self.item))
+        item, often = self.item[order], often[order]
         zeros = np.searchsorted(2 * item + (often > 0), 2 * item + 1)  # where the groups begin that occur at all
         stop = np.searchsorted(item, item, "right")
         quarter = np.maximum(often[np.minimum(zeros + (stop - zeros) // 4, stop - 1)], VERY_RARE) if len(order) else often
-        rare = (often <= RARE * quarter) & (holders <= SHARED) | (rank < OWN_SEEDS)
-        take, point = order[rare], np.where((often <= quarter) & (holders <= SHARED), 2, 1)[rare]
+        rare = often <= RARE * quarter
+        take, point = order[rare], np.where(often <= quarter, 2, 1)[rare]
         by_gram = np.argsort(self.gram[take], kind="stable")
         take, self.point = take[by_gram], point[by_gram]
         self.gram, self.item, self.offset = self.gram[take], self.item[take], self.offset[take]
         self.among = _Among(self.gram)
         self.begin = np.searchsorted(self.gram, self.among.known)
         self.end = np.searchsorted(self.gram, self.among.known, "right")
+        # seeds of a group are in the order of their items, so this ascends
+        self.key = np.searchsorted(self.among.known, self.gram) * max(1, len(self.ids)) + self.item
         rarity = np.log((counts[-1] + 2) / (counts[groups:-1] + 1))
         self.weights = []
         for words in self.words:
@@ -215,23 +216,37 @@ def _no_find() -> _Found:
 
 
 def _short_held(word: np.ndarray, first: np.ndarray, items: Items) -> _Found:
-    """Items of a few words that are all of a row."""
+    """Items of a few words that are all of a row, or stand anywhere in it."""
     size = np.diff(first)
     hits = []
-    if items.short:
-        for r in np.flatnonzero((size > 0) & (size < MIN_WORDS)).tolist():
-            if (item := items.short.get(word[first[r] : first[r + 1]].tobytes())) is not None:
-                hits.append((r, item, size[r]))
+    for n in sorted({len(x) // 8 for x in items.short}):
+        if items.short_inside:
+            begins = np.arange(max(0, len(word) - n + 1))
+            known = {range_hash(np.frombuffer(x, np.uint64), np.zeros(1, np.int64), np.array([n]), WORD_BASE)[0] for x in items.short if len(x) == 8 * n}
+            at = begins[np.isin(range_hash(word, begins, begins + n, WORD_BASE), np.array(sorted(known), np.uint64))] if len(begins) else begins
+            rows = np.searchsorted(first, at, "right") - 1
+        else:
+            rows = np.flatnonzero(size == n)
+            at = first[rows]
+        for a, r in zip(at.tolist(), rows.tolist(), strict=True):
+            if a + n <= first[r + 1] and (item := items.short.get(word[a : a + n].tobytes())) is not None:
+                hits.append((r, item, a - first[r], n))
     if not hits:
         return _no_find()
-    row, item, n = (np.array(x, np.int64) for x in zip(*hits, strict=True))
-    return row, item, np.ones(len(row)), np.zeros(len(row), np.int64), n
-
-
-def _seeded(word: np.ndarray, first: np.ndarray, at: np.ndarray, which: np.ndarray, row: np.ndarray, items: Items) -> _Found:
-    many = items.end[which] - items.begin[which]
+    once: dict[tuple[int, int], tuple[int, int]] = {}
+    for r, item, a, n in hits:
+        once.setdefault((r, item), (a, n))
+    row, item, start, n = (np.array(x, np.int64) for x in zip(*((r, i, a, n) for (r, i), (a, n) in once.items()), strict=True))
+    return row, item, np.ones(len(row)), start, start + n
+
+
+def _seeded(word: np.ndarray, first: np.ndarray, at: np.ndarray, which: np.ndarray, row: np.ndarray, items: Items, some: tuple[int, int]) -> _Found:
+    """The finds of hits, as far as they are of items in the range `some`."""
+    base = which * max(1, len(items.ids))
+    begin, end = np.searchsorted(items.key, base + some[0]), np.searchsorted(items.key, base + some[1])
+    many = end - begin
     spread = np.repeat(np.arange(len(at)), many)
-    seed = np.arange(len(spread)) - np.repeat(np.cumsum(many) - many, many) + items.begin[which[spread]]
+    seed = np.arange(len(spread)) - np.repeat(np.cumsum(many) - many, many) + begin[spread]
     row, item, origin, point = row[spread], items.item[seed], at[spread] - items.offset[seed], items.point[seed]
     if not len(row):
         return _no_find()
@@ -273,12 +288,16 @@ def _held(column: pa.Array, items: Items) -> _Found:
     whole = at + GRAM <= first[row + 1]
     at, which, row = at[whole], which[whole], row[whole]
     found = [_short_held(word, first, items)]
-    # as many rows at once as EXPANDED allows, one at least
-    load = np.cumsum(items.end[which] - items.begin[which]) // EXPANDED
+    # as many rows at once as EXPANDED allows, one at least; then that row's items part by part
+    many = items.end[which] - items.begin[which]
+    load = np.cumsum(many) // EXPANDED
     block = load[np.searchsorted(row, row)]
     for k in np.unique(block):
         mine = block == k
-        found.append(_seeded(word, first, at[mine], which[mine], row[mine], items))
+        parts = int(-(-many[mine].sum() // EXPANDED)) if (row[mine] == row[mine][0]).all() else 1
+        edges = np.linspace(0, len(items.ids), parts + 1).astype(np.int64)
+        for some in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            found.append(_seeded(word, first, at[mine], which[mine], row[mine], items, some))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -293,10 +312,10 @@ def _lowered(documents: DataFrame) -> DataFrame:
     return documents.select(F.lower(F.col("text").cast("string")).alias("text"))
 
 
-def learn(documents: DataFrame, rows: DataFrame, batches: int, batch: int) -> Items:
+def learn(documents: DataFrame, rows: DataFrame, batches: int, batch: int, short_inside: bool = False) -> Items:
     """The items of one batch with seeds and weights from how often groups and words occur in all documents."""
     mine = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)) == batch).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-    items = Items(mine.column("item_id").to_pylist(), mine.column("text").to_pylist())
+    items = Items(mine.column("item_id").to_pylist(), mine.column("text").to_pylist(), short_inside)
     counts = np.zeros(items.counted(), np.int64)
     if len(items.ids):
         shared = documents.sparkSession.sparkContext.broadcast(items)
@@ -317,17 +336,17 @@ def learn(documents: DataFrame, rows: DataFrame, batches: int, batch: int) -> It
     return items
 
 
-def _shared(documents: DataFrame, rows: DataFrame, batches: int) -> Iterator[Broadcast]:
+def _shared(documents: DataFrame, rows: DataFrame, batches: int, short_inside: bool) -> Iterator[Broadcast]:
     """Each batch for the tasks, to be destroyed when it is done with."""
     for batch in range(batches):
-        yield documents.sparkSession.sparkContext.broadcast(learn(documents, rows, batches, batch))
+        yield documents.sparkSession.sparkContext.broadcast(learn(documents, rows, batches, batch, short_inside))
 
 
-def held_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def held_items(documents: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """doc_id, item_id, score, and start and end of the passage in the document's words, for each item that a document holds."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None
-    for shared in _shared(documents, *_batches(benchmark)):
+    for shared in _shared(documents, *_batches(benchmark), short_inside):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids = shared.value.ids
@@ -345,11 +364,11 @@ def held_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """The documents that hold no item, all columns as they are."""
     schema, out, lower = documents.schema, documents, unused(documents, "_lower")
     rows, batches = _batches(benchmark)
-    for k, shared in enumerate(_shared(documents, rows, batches), 1):
+    for k, shared in enumerate(_shared(documents, rows, batches, short_inside), 1):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

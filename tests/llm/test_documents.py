@@ -508,6 +508,43 @@ def test_recall_and_precision_of_edited_copies(spark):
     assert recall[0.1] > 0.99 and recall[0.2] > 0.97 and recall[0.3] > 0.9 and len(found - set(planted)) <= 0.005 * len(found)
 
 
+@pytest.mark.parametrize("many", [20, 200])
+def test_recall_of_items_made_from_one_template(spark, monkeypatch, many):
+    """Items that differ in one word: copies are found however many items share the rest, and texts without any aren't."""
+    monkeypatch.setattr(decontamination, "EXPANDED", 5_000)  # also what is gone through part by part
+    rng = random.Random(29)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(4000)]
+    draw = zipf_text(rng, vocabulary)
+    template = draw(30)
+    items = [(i, " ".join([*template[:14], f"own{i}x", *template[15:]])) for i in range(many)]
+    rows, planted = [], {}
+    for k in range(400):
+        body = draw(240)
+        if k < 300:
+            part, item, at = (0.1, 0.2, 0.3)[k % 3], rng.randrange(many), rng.randint(0, len(body))
+            body[at:at] = edited(rng, items[item][1].split(), part, vocabulary)
+            planted[k, item] = part
+        rows.append((k, " ".join(body)))
+    docs, benchmark = spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.held_items(docs, benchmark).collect()}
+    recall = {p: np.mean([x in found for x, part in planted.items() if part == p]) for p in (0.1, 0.2, 0.3)}
+    print("recall", many, recall)
+    assert recall[0.1] > 0.99 and recall[0.2] > 0.97 and recall[0.3] > 0.9
+    assert {d for d, _ in found} <= {d for d, _ in planted}
+    assert {r["doc_id"] for r in decontamination.clean(docs, benchmark).collect()} == set(range(400)) - {d for d, _ in found}
+
+
+def test_short_items_anywhere_in_a_text(spark):
+    """Items of fewer than MIN_WORDS words stand for themselves, or with short_inside wherever their words do, in order, in one row."""
+    items = [(1, "Boiling point of water"), (2, "yes"), (3, "point of"), (4, "water at")]
+    rows = [(1, "What is the boiling point of water?"), (2, "the point, of it; at yes yes"), (3, "boiling point"), (4, "of water at"), (5, "YES"), (6, None), (7, "boiling")]
+    docs, benchmark = spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")
+    where = lambda **how: sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["score"]) for r in decontamination.held_items(docs, benchmark, **how).collect())
+    assert where() == [(5, 2, 0, 1, 1.0)]
+    assert where(short_inside=True) == [(1, 1, 3, 7, 1.0), (1, 3, 4, 6, 1.0), (2, 2, 5, 6, 1.0), (2, 3, 1, 3, 1.0), (4, 4, 1, 3, 1.0), (5, 2, 0, 1, 1.0)]
+    assert [r["doc_id"] for r in decontamination.clean(docs, benchmark, short_inside=True).collect()] == [3, 6, 7]
+
+
 def test_decontamination_equals_alignment_of_all_pairs(spark):
     """Every document against every item by the plain recurrence, without seeds or windows."""
     rng = random.Random(23)
