@@ -50,7 +50,7 @@ KNOWN_POINTS = 0x30000
 SLICE, SCORED = 1 << 19, 1 << 21
 #: Languages whose counts a task holds at once.
 HELD = 32
-#: Below so many texts, steps are taken one by one; in plain numbers if languages are few.
+#: Below so many texts, steps are taken one by one; in plain numbers if languages are few. All ways take the same steps in double precision.
 FEW, FEW_LANGUAGES = 6, 12
 
 UNKNOWN = "und"
@@ -242,20 +242,21 @@ def _walk(now: np.ndarray, scores: np.ndarray, penalty: float) -> tuple[np.ndarr
     """(values after the last word, which languages stay at each word, the language that the others come from), for one text."""
     n, k = scores.shape
     stay, top = np.zeros((n, k), bool), np.zeros(n, np.int32)
+    now = np.asarray(now, np.float64)
     if k <= FEW_LANGUAGES and n:
         now, stays, tops = now.tolist(), [], []
         for row in scores.tolist():
             high = max(now)
-            jump = high - penalty
             tops.append(now.index(high))
-            stays.append([x >= jump for x in now])
-            now = [(x if x >= jump else jump) - high + y for x, y in zip(now, row, strict=True)]
-        return np.array(now, np.float32), np.array(stays), np.array(tops, np.int32)
+            now = [x - high for x in now]
+            stays.append([x >= -penalty for x in now])
+            now = [(x if x >= -penalty else -penalty) + y for x, y in zip(now, row, strict=True)]
+        return np.array(now), np.array(stays), np.array(tops, np.int32)
     for u in range(n):
         top[u] = now.argmax()
-        jump = now[top[u]] - penalty
-        np.greater_equal(now, jump, out=stay[u])
-        now = np.maximum(now, jump) - now[top[u]] + scores[u]
+        now = now - now[top[u]]
+        np.greater_equal(now, -penalty, out=stay[u])
+        now = np.maximum(now, -penalty) + scores[u]
     return now, stay, top
 
 
@@ -281,7 +282,7 @@ def _path(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     start, size = first[:-1][order], size[order]
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # texts with more than t words
     stay, top = np.zeros((n, k), bool), np.zeros(n, np.int32)
-    best = scores[start[: active[0]]].copy()
+    best = scores[start[: active[0]]].astype(np.float64)
     ends = best.copy()
     every = np.arange(active[0])
     t = 1
@@ -289,10 +290,10 @@ def _path(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
         a = active[t]
         best = best[:a]
         high = best.argmax(1)
-        most = best[every[:a], high][:, None]
+        best = best - best[every[:a], high][:, None]
         at = start[:a] + t
-        stay[at], top[at] = best >= most - penalty, high
-        best = np.maximum(best - most, -penalty) + scores[at]
+        stay[at], top[at] = best >= -penalty, high
+        best = np.maximum(best, -penalty) + scores[at]
         ends[:a] = best
         t += 1
     few = active[t] if t < size[0] else 0  # the longest ones go on alone from their t-th word

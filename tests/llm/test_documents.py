@@ -486,6 +486,20 @@ def edited(rng, words, part, other):
     return out
 
 
+@pytest.mark.parametrize("languages", [3, 12, 13, 20])
+def test_paths_don_t_depend_on_the_texts_beside(languages):
+    """Scores with many ties: a text's path alone is its path among others, whatever their number."""
+    rng = np.random.default_rng(languages)
+    for _ in range(60):
+        size = rng.integers(0, 25, rng.integers(1, 14))
+        first = np.concatenate([[0], np.cumsum(size)])
+        scores = (-rng.integers(0, 40, (first[-1], languages)) / 10).astype(np.float32)
+        together = langid._path(scores, first, 0.7)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            alone = langid._path(scores[a:b], np.array([0, b - a]), 0.7)
+            assert (together[a:b] == alone).all()
+
+
 def test_recall_and_precision_of_edited_copies(spark):
     """Of copies with up to three in ten words substituted nine in ten and more are found; nothing else is."""
     rng = random.Random(17)
