@@ -5,13 +5,15 @@ Layout of a store folder (Parquet throughout, so that any store Spark writes to
 * `parts/kind=chunk`: `hash` (SHA-256 of the payload), `payload` (ids, little-endian, two bytes each if
   the vocabulary allows, else four). Each distinct chunk is stored once.
 * `parts/kind=ref`: which chunks a document has, as the writers saw them.
-* `recipes`: per document, in ascending doc_id order: bucket, place in the bucket, chunk hashes, n_tokens and the Merkle
-  root over its chunk hashes. A bucket is a range of doc_ids.
-* `manifests`: per bucket: number of documents and ids, ids before the bucket, and the Merkle root over its documents' roots.
+* `recipes`: per document, in ascending doc_id order: bucket, page, place in the bucket, chunk hashes, n_tokens and the Merkle
+  root over its chunk hashes. A bucket is a range of doc_ids, a page PAGE documents of it.
+* `pages`: per page: number of documents and ids, and the Merkle root over its documents' roots.
+* `manifests`: per bucket: number of documents and ids, ids before the bucket, and the Merkle root over its pages' roots. store_root() is that over
+  the buckets'. So no step gathers more than PAGE roots, or one root for each page or bucket.
 
 Cuts depend on content only: an id ends a chunk when a rolling hash of the last ids has a given
 remainder, so equal passages give equal chunks wherever they stand. Reading checks every level: payload
-against hash, chunk list against the document's root, documents against the manifest.
+against hash, chunk list against the document's root, documents against their page, pages against the manifest.
 
 Null texts are empty (their end id alone). Rows with the same or a null doc_id are documents of
 their own; among equal ids the order is that of their roots. An empty table gives an empty store.
@@ -37,6 +39,8 @@ from loomset.llm.tokens import TEXT_BYTES, default_path, encoder, with_end
 END_ID = 2
 #: Ids that the rolling hash covers, mean distance of cuts (a power of two), least and greatest chunk.
 ROLL, MEAN, LEAST, MOST = 16, 256, 64, 1024
+#: Documents whose roots are gathered at once.
+PAGE = 4_096
 #: Hashes whose payload a task remembers having sent.
 SENT = 200_000
 
@@ -178,31 +182,53 @@ def _write_recipes(spark: SparkSession, folder: str) -> None:
         for batch in batches:
             n = batch.column("n_tokens").to_numpy()
             begin = ids + np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), bucket), pa.int32()), pa.array(at + np.arange(len(n))), *batch.columns, pa.array(begin)], ["bucket", "place", *batch.schema.names, "start_in_bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), bucket), pa.int32()), pa.array((at + np.arange(len(n))) // PAGE), pa.array(at + np.arange(len(n))), *batch.columns, pa.array(begin)], ["bucket", "page", "place", *batch.schema.names, "start_in_bucket"])
             at, ids = at + len(n), ids + int(n.sum())
 
-    ordered.mapInArrow(number, "bucket int, place long, doc_id long, chunks array<binary>, n_tokens long, root binary, start_in_bucket long").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    _bucket_roots(_recipes(spark, folder)).write.option("compression", "zstd").parquet(f"{folder}/manifests")
+    ordered.mapInArrow(number, "bucket int, page long, place long, doc_id long, chunks array<binary>, n_tokens long, root binary, start_in_bucket long").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    _page_roots(_recipes(spark, folder)).write.option("compression", "zstd").parquet(f"{folder}/pages")
+    _bucket_roots(_pages(spark, folder)).write.option("compression", "zstd").parquet(f"{folder}/manifests")
 
 
 def _recipes(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("bucket int, place long, doc_id long, chunks array<binary>, n_tokens long, root binary, start_in_bucket long").parquet(f"{folder}/recipes")
+    return spark.read.schema("bucket int, page long, place long, doc_id long, chunks array<binary>, n_tokens long, root binary, start_in_bucket long").parquet(f"{folder}/recipes")
 
 
-def _bucket_roots(recipes: DataFrame) -> DataFrame:
-    """bucket, n_documents, n_tokens, start (ids of earlier buckets) and root.
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("bucket int, page long, n_documents long, n_tokens long, root binary").parquet(f"{folder}/pages")
 
-    A bucket is one sorted file's worth of documents; only the 32-byte roots of its documents are
-    gathered. The running sum is over one row for each bucket.
-    """
+
+def _rooted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, n_documents, n_tokens and the Merkle root of the roots of each group, in order."""
 
     def root(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n_documents": pa.array([table.num_rows], pa.int64()), "n_tokens": pa.array([sum(table["n_tokens"].to_pylist())], pa.int64()), "root": pa.array([merkle(table["root"].to_pylist())], pa.binary())})
+        table = table.sort_by(order)
+        whole = [pa.array([k.as_py()], rows_schema.field(c).type) for k, c in zip(key, keys, strict=True)]
+        totals = [pa.array([sum(table[c].to_pylist())], pa.int64()) for c in ("n_documents", "n_tokens")]
+        return pa.table([*whole, *totals, pa.array([merkle(table["root"].to_pylist())], pa.binary())], names=[*keys, "n_documents", "n_tokens", "root"])
+
+    rows_schema = pa.schema([("bucket", pa.int32()), ("page", pa.int64())])
+    kinds = {"bucket": "int", "page": "long"}
+    return rows.groupBy(*keys).applyInArrow(root, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n_documents long, n_tokens long, root binary")
+
+
+def _page_roots(recipes: DataFrame) -> DataFrame:
+    """One row for each PAGE documents of a bucket: only their 32-byte roots are gathered."""
+    return _rooted(recipes.select("bucket", "page", "place", F.lit(1).cast("long").alias("n_documents"), "n_tokens", "root"), ["bucket", "page"], "place")
 
-    buckets = recipes.select("bucket", "place", "n_tokens", "root").groupBy("bucket").applyInArrow(root, "bucket int, n_documents long, n_tokens long, root binary")
+
+def _bucket_roots(pages: DataFrame) -> DataFrame:
+    """bucket, n_documents, n_tokens, root and start (ids of earlier buckets).
+
+    A bucket is one sorted file's worth of documents; the roots of its pages are gathered. The running sum is over one row for each bucket.
+    """
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return buckets.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return _rooted(pages, ["bucket"], "page").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
+def store_root(spark: SparkSession, folder: str) -> bytes:
+    """The root of the whole store, over one root for each bucket."""
+    return merkle([r["root"] for r in spark.read.parquet(f"{folder}/manifests").select("bucket", "root").orderBy("bucket").collect()])
 
 
 def chunk_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,8 +252,12 @@ def read_facts(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files and checked against recipes and manifests."""
     recipes = _recipes(spark, folder)
     buckets = spark.read.schema("bucket int, n_documents long, n_tokens long, root binary, start long").parquet(f"{folder}/manifests")
-    again = _bucket_roots(recipes).select("bucket", F.col("root").alias("root_again"), F.col("n_documents").alias("n_again"))
-    checked = buckets.join(again, "bucket", "left").select("bucket", "start", F.when((F.col("root") == F.col("root_again")) & (F.col("n_documents") == F.col("n_again")), F.lit(True)).otherwise(F.raise_error(F.lit("a manifest does not match its recipes"))).alias("sound"))
+    stored, where = _pages(spark, folder), ["bucket", "page"]
+    wrong = F.raise_error(F.lit("a manifest does not match its recipes"))
+    same = lambda old, new: old.join(new.withColumnsRenamed({"root": "root_again", "n_documents": "n_again"}).drop("n_tokens"), [c for c in where if c in new.columns], "left").filter(F.when((F.col("root") == F.col("root_again")) & (F.col("n_documents") == F.col("n_again")), F.lit(True)).otherwise(wrong))
+    sound_pages = same(stored, _page_roots(recipes)).select("bucket", "page")
+    sound_buckets = same(buckets, _bucket_roots(stored).drop("start")).select("bucket", "start")
+    checked = sound_pages.join(sound_buckets, "bucket").select("bucket", "page", "start", F.lit(True).alias("sound"))
     refs = recipes.select("bucket", "place", F.posexplode("chunks").alias("nth", "hash"))
     facts = refs.join(chunk_facts(spark, folder), "hash", "left").groupBy("bucket", "place").agg(F.array_sort(F.collect_list(F.struct("nth", "hash", "n", "crc"))).alias("chunks"))
 
@@ -246,11 +276,11 @@ def read_facts(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("place"), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], ["bucket", "place", "total", "ids_crc32", "built_root"])
 
     built = facts.mapInArrow(build, "bucket int, place long, total long, ids_crc32 long, built_root binary")
-    sound = F.col("sound") & (F.col("total") == F.col("n_tokens")) & (F.col("root") == F.col("built_root"))
+    sound = F.coalesce("sound", F.lit(False)) & (F.col("total") == F.col("n_tokens")) & (F.col("root") == F.col("built_root"))
     return (
         recipes.drop("chunks")
         .join(built, ["bucket", "place"], "left")
-        .join(checked, "bucket", "left")
+        .join(checked, where, "left")
         .select("doc_id", (F.col("start") + F.col("start_in_bucket")).alias("start"), "n_tokens", F.when(sound, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document does not match its recipe")).cast("long")).alias("ids_crc32"))
     )
 

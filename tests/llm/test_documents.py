@@ -735,6 +735,33 @@ def test_empty_tables(spark):
     assert tokenstore.read_facts(spark, folder).count() == 0
 
 
+def test_a_store_of_many_pages_and_buckets(spark, monkeypatch):
+    """Repeated ids over pages and buckets; starts run on, one root follows from all, and damage at any level is found."""
+    monkeypatch.setattr(tokenstore, "PAGE", 3)
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 25) if k % 9 else 13, " ".join(rng.choices("red green blue cyan".split(), k=rng.randint(0, 300)))) for k in range(90)]
+    docs = spark.createDataFrame(rows, TEXT)
+    folders = [tokenstore.new_folder(spark) for _ in range(2)]
+    for folder, frame in zip(folders, (docs, docs.repartition(7)), strict=True):
+        tokenstore.write(frame, folder)
+    pages = spark.read.parquet(f"{folders[0]}/pages").collect()
+    assert len({r["bucket"] for r in pages}) > 1 and all(1 <= r["n_documents"] <= 3 for r in pages) and sum(r["n_documents"] for r in pages) == 90
+    found = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tokenstore.read_facts(spark, folders[0]).collect())
+    assert [r[1] for r in found] == sorted(r[0] for r in rows) and found[0][0] == 0
+    assert all(b[0] == a[0] + a[2] for a, b in zip(found, found[1:], strict=False))
+    facts = lambda f: sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenstore.read_facts(spark, f).collect())
+    assert facts(folders[0]) == facts(folders[1]) and len(tokenstore.store_root(spark, folders[0])) == 32
+    for level, column in (("pages", "root"), ("manifests", "root"), ("recipes", "n_tokens")):
+        path = f"{folders[1]}/{level}"
+        held = spark.createDataFrame(spark.read.parquet(path).collect(), spark.read.parquet(path).schema)
+        spoiled = held.withColumn(column, F.when(F.col("bucket") == 0, F.unhex(F.lit("00" * 32)) if column == "root" else F.col(column) + 1).otherwise(F.col(column)))
+        spoiled.write.mode("overwrite").parquet(path)
+        with pytest.raises(Exception, match="does not match"):
+            tokenstore.read_facts(spark, folders[1]).collect()
+        held.write.mode("overwrite").parquet(path)
+    assert facts(folders[1]) == facts(folders[0])
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, None)]
     docs = spark.createDataFrame(rows, TEXT).withColumn("shard", F.lit(9)).withColumn("rep", F.lit("x"))
