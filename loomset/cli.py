@@ -43,8 +43,8 @@ def main(arguments: list[str] | None = None) -> None:
     elif asked.verb == "schema":
         out = gateway.describe({v: spark.read.parquet(p) for v, p in paths.items()})
     elif asked.verb == "sql":
-        found = gateway.run(spark, asked.query, paths)
-        out = {"columns": found.columns, "rows": [list(r) for r in found.collect()]}  # MAX_ROWS at most
+        columns, rows = gateway.collect(spark, asked.query, paths)
+        out = {"columns": columns, "rows": [list(r) for r in rows]}  # MAX_ROWS at most
     elif asked.verb == "build-index":
         texts = spark.read.parquet(f"{asked.folder.rstrip('/')}/documents.parquet").drop("n_chars")
         out = index.save(index.build(texts, "doc_id", "text", "source"), asked.index)
