@@ -237,16 +237,20 @@ def run(spark: SparkSession, sql: str, views: Mapping[str, str], max_rows: int =
 def collect(spark: SparkSession, sql: str, views: Mapping[str, str], seconds: float = SECONDS, **how) -> tuple[list[str], list[Row]]:
     """(columns, rows) of run(). After so many seconds the query's jobs are interrupted, and TimeoutError says so."""
     context, tag = spark.sparkContext, f"gateway-{uuid.uuid4().hex}"
-    late = threading.Event()
+    found = run(spark, sql, views, **how)
+    late, done = threading.Event(), threading.Event()
 
-    def stop() -> None:
-        late.set()
-        context.cancelJobsWithTag(tag)
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while True:  # a query may start further jobs
+                context.cancelJobsWithTag(tag)
+                if done.wait(0.5):
+                    return
 
-    found = run(spark, sql, views, **how)
-    timer = threading.Timer(seconds, stop)
+    watcher = threading.Thread(target=watch, daemon=True)
     context.addJobTag(tag)
-    timer.start()
+    watcher.start()
     try:
         return found.columns, found.collect()
     except Exception as e:
@@ -254,8 +258,9 @@ def collect(spark: SparkSession, sql: str, views: Mapping[str, str], seconds: fl
             raise TimeoutError(f"the query was stopped after {seconds:g} seconds") from None
         raise e
     finally:
-        timer.cancel()
+        done.set()
         context.removeJobTag(tag)
+        watcher.join()
 
 
 def describe(views: Mapping[str, DataFrame]) -> list[dict]:
