@@ -99,6 +99,7 @@ def content_digest(frame: DataFrame) -> DataFrame:
 def topic_text(text: Column) -> Column:
     """Lower case without masks (xx…) and numbers, white space collapsed."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.regexp_replace(low, r"\bx{2,}\b", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\b[0-9]+\b", " "), r"\s+", " "))
+    alone = r"(?<![\p{L}\p{M}\p{N}_])%s(?![\p{L}\p{M}\p{N}_])"
+    low = F.regexp_replace(low, alone % "x{2,}", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, alone % "[0-9]+", " "), r"\s+", " "))
 

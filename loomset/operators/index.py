@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loomset.operators import clean, postings, retrieval, sampling, text, topics
 from loomset.session import kept
+from loomset.sources import files
 
 MAX_DOCUMENTS, DIMENSIONS, ROUNDS = 20_000, 128, 7
 BLOCK = 8_192
@@ -173,13 +174,14 @@ def save(index: Index, folder: str) -> dict:
     basis = pa.table({"place": pa.array(np.arange(len(index.directions)), pa.int32()), "direction": pa.array(index.directions.tolist(), pa.list_(pa.float64()))})
     spark.createDataFrame(basis).write.mode("overwrite").parquet(f"{folder}/directions")  # features x dimensions at most
     rows = {name: spark.read.parquet(f"{folder}/{name}").count() for name in _FRAMES}
-    manifest = {"rows": rows, "features": len(index.directions), "dimensions": int(index.directions.shape[1]), "explained_variance": index.explained}
+    digests = {name: files.digest(spark, f"{folder}/{name}") for name in (*_FRAMES, "directions")}
+    manifest = {"rows": rows, "digests": digests, "features": len(index.directions), "dimensions": int(index.directions.shape[1]), "explained_variance": index.explained}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
     return manifest
 
 
-def load(spark: SparkSession, folder: str) -> Index:
-    """A saved index. Missing parts, or tables whose rows differ from the manifest or from each other, are an error."""
+def load(spark: SparkSession, folder: str, verify: bool = False) -> Index:
+    """A saved index. Missing parts, or tables whose rows differ from the manifest or from each other, are an error. verify: so are files whose digest differs."""
     try:
         manifest = json.loads(spark.read.text(f"{folder}/manifest.json").first()[0])
         frames = {name: spark.read.parquet(f"{folder}/{name}") for name in _FRAMES}
@@ -190,6 +192,8 @@ def load(spark: SparkSession, folder: str) -> Index:
     indexed = frames["postings"].select("chunk_id").distinct().count()
     if rows != manifest["rows"] or rows["vectors"] != indexed or rows["terms"] != rows["vocabulary"] or basis.num_rows != manifest["features"]:
         raise ValueError(f"the tables of the index in {folder} do not reconcile: {rows}, manifest {manifest['rows']}")
+    if verify and (changed := [name for name, held in manifest["digests"].items() if files.digest(spark, f"{folder}/{name}") != held]):
+        raise ValueError(f"files of the index in {folder} have changed: {', '.join(changed)}")
     flat = basis.column("direction").combine_chunks().flatten().to_numpy()
     return Index(*(frames[name] for name in _FRAMES), flat.reshape(manifest["features"], manifest["dimensions"]), manifest["explained_variance"])
 

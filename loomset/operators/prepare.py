@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomset.functions.scalars import parse_date
 from loomset.operators import clean
 from loomset.operators.kpi import count_where
+from loomset.sources import files
 from loomset.sources.tables import require_columns
 
 #: Values of the receipt's list of products.
@@ -73,6 +74,6 @@ def run(spark: SparkSession, rows: DataFrame, names: Mapping[str, str], folder:
     told = receipt(source, found, written, key, dates[0], product).first().asDict()
     if not told["written_rows"]:
         raise ValueError("no usable texts were found")
-    told |= {"source_snapshot": snapshot, "source_url": url, "minimum_chars": least, "content": clean.content_digest(written).first().asDict()}
+    told |= {"source_snapshot": snapshot, "source_url": url, "minimum_chars": least, "content": clean.content_digest(written).first().asDict(), "files": files.digest(spark, f"{folder}/texts")}
     spark.createDataFrame([(json.dumps(told, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/receipt.json")
     return told

@@ -9,10 +9,10 @@ from loomset.functions import scalars
 from loomset.operators import clean, kpi, quality, retrieval, sampling, text
 from loomset.plans.catalog import query
 from loomset.plans.metrics import CELLS_SQL, DIMENSIONS
-from loomset.plans.texts import WEIGHTS_SQL, _weights
+from loomset.plans.texts import _WORD_SIGN, WEIGHTS_SQL, _twice, _weights
 from loomset.roles import records
 from loomset.session import scratch_folder, table
-from loomset.sources import tables
+from loomset.sources import batches, tables, versions
 
 FACTS_SQL = "SELECT s_suppkey, s_name, s_nationkey FROM supplier"
 
@@ -143,11 +143,56 @@ def top_terms_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.top_labels(weights.groupBy("source", "term").agg(F.round(F.sum("weight"), 6).alias("total")), "source", "term", "total", 6)
 
 
-@query("""SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS sha256 FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[0-9]|[xX]{2}')""")
+#: Every third text gets masks and numbers, alone, in a row and inside words.
+MASKED_SQL = "CASE WHEN doc_id % 3 = 0 THEN 'On XX/XX/2024 xxxx xx 12 34 x1 é7 ' || coalesce(text, '') || ' 9' ELSE text END"
+TOPIC_TEXT_SQL = f"lower(coalesce({MASKED_SQL}, ''))"
+for _alone in ("x{2,}", "[0-9]+"):
+    TOPIC_TEXT_SQL = _twice(TOPIC_TEXT_SQL, f"(^|[^{_WORD_SIGN}]){_alone}($|[^{_WORD_SIGN}])", r"\1{}\2", " ")
+
+
+@query(f"""SELECT doc_id, sha256(trim(regexp_replace({TOPIC_TEXT_SQL}, '\\s+', ' ', 'g'))) AS sha256 FROM documents""".replace("\\\\", "\\"))
 def topic_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without digits and masks as topics read them (masks and numbers are tested by hand)."""
-    rows = table(spark, sf_dir, "documents").filter(~F.coalesce(F.col("text"), F.lit("")).rlike("[0-9]|[xX]{2}"))
-    return rows.select("doc_id", F.sha2(clean.topic_text(F.col("text")), 256).alias("sha256"))
+    """All texts as topics read them: without masks and numbers that stand alone."""
+    masked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("On XX/XX/2024 xxxx xx 12 34 x1 é7 "), F.coalesce("text", F.lit("")), F.lit(" 9"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean.topic_text(masked), 256).alias("sha256"))
+
+
+ARCHIVED_SQL = "SELECT CAST(doc_id // 2 AS VARCHAR) AS record_id, doc_id, source, sha256(coalesce(text, '')) AS sha256 FROM documents"
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).cast("string").alias("record_id"), "doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
+@query(f"""WITH a AS ({ARCHIVED_SQL}) SELECT record_id, doc_id, source, sha256 FROM a QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY doc_id % 3, doc_id) = 1""")
+def batches_with_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an archive that comes in three batches, the second of them twice; two rows share an id, and the first one loaded stays."""
+    folder, rows = scratch_folder(spark, "batches"), _archived(spark, sf_dir)
+    for k in (0, 1, 1, 2):
+        batches.append(rows.filter(F.col("doc_id") % 3 == k), folder, f"part-{k}", "record_id", "doc_id", "sha256")
+    return batches.read(spark, folder)
+
+
+@query(f"""WITH a AS ({ARCHIVED_SQL}), parts AS (SELECT *, doc_id % 3 AS k FROM a), firsts AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY record_id, k ORDER BY doc_id) = 1),
+  new AS (SELECT * FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.record_id = f.record_id AND p.k < f.k))
+  SELECT 'part-' || k AS batch, (SELECT count(*) FROM parts p WHERE p.k = f.k) AS source_rows, count(*) - (SELECT count(*) FROM new n WHERE n.k = f.k) AS seen_before, (SELECT count(*) FROM new n WHERE n.k = f.k) AS written_rows,
+    (SELECT count(DISTINCT n.sha256) FROM new n WHERE n.k = f.k AND EXISTS (SELECT 1 FROM new b WHERE b.sha256 = n.sha256 AND b.k < n.k)) AS texts_there_already FROM firsts f GROUP BY k""")
+def batch_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read, left out and written, by batch."""
+    folder, rows = scratch_folder(spark, "batches"), _archived(spark, sf_dir)
+    told = [batches.append(rows.filter(F.col("doc_id") % 3 == k), folder, f"part-{k}", "record_id", "doc_id", "sha256") for k in range(3)]
+    fields = ("batch", "source_rows", "seen_before", "written_rows", "texts_there_already")
+    return spark.createDataFrame([tuple(m[f] for f in fields) for m in told], "batch string, source_rows long, seen_before long, written_rows long, texts_there_already long")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def versioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two versions, of which the second is read; its files are held against their digest."""
+    folder, rows = scratch_folder(spark, "orders"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    versions.write(rows.filter("o_orderstatus = 'O'"), folder)
+    versions.write(rows, folder, check=lambda written: quality.require_unique(written, "o_orderkey"))
+    versions.prune(spark, folder)
+    return versions.read(spark, folder, verify=True)
 
 
 @query("""SELECT event_id, '{"event_id":' || event_id || ',"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z","value":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '1.5' END || '}' AS payload FROM events""")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import zipfile
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +47,9 @@ def text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     return frame.na.fill("")
 
 
-def zipped_csv(spark: SparkSession, archive: str, folder: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """The one CSV inside a zip archive, unpacked by the driver to a folder that all executors see as well. None or several are an error."""
-    with zipfile.ZipFile(archive) as z:
-        members = [m for m in z.namelist() if m.lower().endswith(".csv")]
-        if len(members) != 1:
-            raise ValueError(f"the archive holds {len(members)} CSV files, not one")
-        z.extract(members[0], folder)
-    return text_csv(spark, f"{folder}/{members[0]}", columns)
+def json_document(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A JSON file that is one document or a list of them (cases of an evaluation, a receipt, a manifest), with a declared schema. What isn't JSON is an error."""
+    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
 
 
 #: Aggregation responses: counts by dimension and value, one JSON document for each month.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomset.operators import catalog, clean, evaluate, gateway, kpi, prepare, quality, retrieval, router, sampling, text, topics
 from loomset.plans import themes
-from loomset.sources import tables
+from loomset.sources import zipped, tables
 from loomset.sources.paged import PagedRecords
 
 
@@ -142,10 +142,10 @@ def test_sources(spark, tmp_path):
     archive = tmp_path / "a.zip"
     with zipfile.ZipFile(archive, "w") as z:
         z.writestr("rows.csv", 'id,body\n1,"two\nlines, ""quoted"""\n2,\n')
-    rows = tables.zipped_csv(spark, str(archive), str(tmp_path), ["id", "body"]).orderBy("id").collect()
+    rows = zipped.read_csv(spark, str(archive), ["id", "body"]).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [("1", 'two\nlines, "quoted"'), ("2", "")]
     with pytest.raises(ValueError):
-        tables.zipped_csv(spark, str(archive), str(tmp_path), ["id", "other"])
+        zipped.read_csv(spark, str(archive), ["id", "other"])
     with pytest.raises(FileNotFoundError):
         tables.register(spark, {"nothing": str(tmp_path / "none")})
     response = {"aggregations": {"product": {"doc_count": 9, "product": {"buckets": [{"key": "a", "doc_count": 3}], "sum_other_doc_count": 1}}}}
