@@ -296,30 +296,27 @@ def chunk_search_many_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question", "chunk_id", F.round("lexical", 4).alias("lexical"), F.round("dense", 4).alias("dense"))
 
 
-#: question, and where it should go
-QUESTIONS = (
-    ("q1", "How many records were there each month?", "sql"),
-    ("q2", "What is the timely response rate by company?", "sql"),
-    ("q3", "What do people say about closing an account?", "rag"),
-    ("q4", "Give examples of texts that mention a late reply", "rag"),
-    ("q5", "Compare the monthly trend and cite evidence for why it rose", "hybrid"),
-    ("q6", "每月的数量趋势和原文证据", "hybrid"),
-    ("q7", "2026年的投诉趋势怎样，有多少？", "sql"),
-    ("q8", "给我几个消费者描述身份盗用经过的案例", "rag"),
-    ("q9", "投诉是不是在增长，消费者又怎么描述？", "hybrid"),
-    ("q10", "叙事投诉里数量最多的文本主题有哪些？", "sql"),
-    ("q11", "给两个案例，别推断总体频率", "rag"),
-    ("q12", "按月同比下降最多的 top 3", "sql"),
-    ("q13", "Did complaints increase by month?", "sql"),
-    ("q14", "Show an excerpt of a similar complaint", "rag"),
-    ("q15", "Tell me something", "sql"),
-)
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f"('{i}', '{where}')" for i, _, where in QUESTIONS)}) AS t(question_id, route)")
+#: What turns of conversations ask for beside what they say, by the remainder of conv_id + turn.
+ASKED = ("How many were there each month?", "Give examples of similar texts.", "Compare the trend and quote evidence for it.", "投诉数量趋势怎样，举例说明", "给我几个案例", "", "accounts monthlyish uncounted")
+
+
+def _as_sql(pattern: str) -> str:
+    """The pattern with borders of words spelled out, as engines disagree on them."""
+    sign = r"\p{L}\p{N}_"
+    return pattern.replace(r"\b(?:", f"(?:^|[^{sign}])(?:").replace(r")\b", f")(?:$|[^{sign}])")
+
+
+_ASKED_SQL = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(ASKED))
+
+
+@query(f"""WITH asked AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || CASE (conv_id + turn) % {len(ASKED)} {_ASKED_SQL} END AS question FROM conversations),
+    found AS (SELECT *, regexp_matches(question, '{_as_sql(router.TEXTS)}') AS texts, regexp_matches(question, '{_as_sql(router.FIGURES)}') AS figures FROM asked)
+    SELECT conv_id, turn, CASE WHEN texts AND figures THEN 'hybrid' WHEN texts THEN 'rag' ELSE 'sql' END AS route FROM found""")
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([x[:2] for x in QUESTIONS], "question_id string, question string")
-    return asked.select("question_id", router.route(F.col("question")).alias("route"))
+    """Where each turn of the conversations would go if it asked for something besides."""
+    turns = table(spark, sf_dir, "conversations")
+    more = F.element_at(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED) + 1).cast("int"))
+    return turns.select("conv_id", "turn", router.route(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), more)).alias("route"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text || ' Record ID: ' || conv_id || CASE WHEN turn % 2 = 0 THEN ' and complaint id #' || turn ELSE '' END AS answer FROM conversations)
