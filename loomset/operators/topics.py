@@ -61,10 +61,10 @@ def _solve(cross: np.ndarray, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
     return w
 
 
-def factorise(rows: DataFrame, width: int, topics: int, seed: int = 42, rounds: int = ROUNDS) -> np.ndarray:
-    """H: topics x width. rows: places and values; they are read once a round, so a kept table is best."""
+def factorise(rows: DataFrame, width: int, topics: int, seed: int = 42, rounds: int = ROUNDS, first: np.ndarray | None = None) -> np.ndarray:
+    """H: topics x width. rows: places and values; they are read once a round, so a kept table is best. first: where to begin (else a seeded random H)."""
     rng = np.random.default_rng(seed)
-    h = rng.random((topics, width)) / width + _TINY
+    h = rng.random((topics, width)) / width + _TINY if first is None else first / np.maximum(np.sqrt((first**2).sum(1, keepdims=True)), _TINY)
     last = None
     for turn in range(rounds):
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import clean, text, topics
+from loomset.operators import clean, topic_model, topics
 from loomset.plans.catalog import query
-from loomset.session import table
+from loomset.session import kept, scratch_folder, table
 
 #: Topics of the registered topic query, and what a document without terms has in place of one.
 TOPICS = 12
@@ -42,24 +42,17 @@ def document_topics(documents: DataFrame, least: int = 5) -> DataFrame:
     Vocabulary and factors are learned from all distinct cleaned texts, so that copies pull no topic; then every document gets its
     topic. One that has no term (also a null or empty text) has NO_TOPIC, NO_LABEL and the score 0.
     """
-    texts = documents.select("doc_id", clean.topic_text(F.col("text")).alias("plain"))
-    distinct = clean.keep_first(texts.filter("plain <> ''").withColumn("_sha", F.sha2("plain", 256)), "_sha", "doc_id")
-    counts = text.term_counts(distinct, "doc_id", "plain", bigrams=True)
-    n = distinct.count()
-    vocabulary = text.vocabulary(counts, n, min_df=least, max_df=0.95, max_features=topics.MAX_FEATURES).cache()
-    terms = topics.numbered(vocabulary.select("term")).cache()
-    names = [r["term"] for r in terms.orderBy("place").collect()]  # MAX_FEATURES at most
-    none = (F.lit(NO_TOPIC).cast("long").alias("topic_id"), F.lit(NO_LABEL).alias("topic_label"), F.lit(0.0).alias("topic_score"))
-    if not names:
+    texts = kept(documents.select("doc_id", clean.topic_text(F.col("text")).alias("plain")), "texts")
+    distinct = kept(clean.keep_first(texts.filter("plain <> ''").withColumn("_sha", F.sha2("plain", 256)), "_sha", "doc_id"), "distinct")
+    try:
+        model = topic_model.learn(distinct, "doc_id", "plain", TOPICS, min_df=least)
+    except topic_model.TooFewTerms:
+        none = (F.lit(NO_TOPIC).cast("long").alias("topic_id"), F.lit(NO_LABEL).alias("topic_label"), F.lit(0.0).alias("topic_score"))
         return documents.select("doc_id", *none)
-    weights = text.weights(text.term_counts(texts, "doc_id", "plain", bigrams=True, among=vocabulary), F.broadcast(vocabulary), "doc_id")
-    rows = topics.rows_of(weights, terms, "doc_id").cache()
-    training = rows.join(distinct.select("doc_id"), "doc_id", "left_semi").select("places", "values").cache()
-    h = topics.factorise(training, len(names), max(1, min(TOPICS, n - 1, len(names) - 1)))
-    training.unpersist()
-    found = topics.assign(rows, "doc_id", h, topics.labels(h, names)).withColumnRenamed("doc_id", "_id")
-    joined = documents.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("doc_id", *(F.coalesce(c, value).alias(c) for c, value in zip(("topic_id", "topic_label", "topic_score"), none, strict=True)))
+    folder = scratch_folder(documents.sparkSession, "topics")
+    topic_model.save(model, folder)
+    found = topic_model.score(topic_model.load(documents.sparkSession, folder), texts, "doc_id", "plain")
+    return found.withColumn("topic_label", F.coalesce("topic_label", F.lit(NO_LABEL)))
 
 
 @query()
