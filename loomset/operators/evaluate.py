@@ -31,7 +31,7 @@ def retrieval_cases(results: DataFrame, cases: DataFrame) -> DataFrame:
     """
     case = ["case_id", "product", "expected_terms"]
     asked = cases.select(*case).distinct().select("case_id", F.col("product").alias("_product"), "expected_terms", F.explode_outer("expected_terms").alias("_term"))
-    term = results.join(F.broadcast(asked), "case_id").groupBy("case_id", "_product", "expected_terms", "_term").agg(
+    term = results.join(asked, "case_id").groupBy("case_id", "_product", "expected_terms", "_term").agg(
         F.count(F.lit(1)).alias("results"),
         F.bool_and(F.col("product").eqNullSafe(F.col("_product"))).alias("filtered"),
         F.bool_and(F.col("citation").isNotNull()).alias("cited"),
