@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ PAGE = 4_096
 #: Hashes whose payload a task remembers having sent.
 SENT = 200_000
 
+NAMES = ["kind", "route", "doc_id", "task", "row", "nth", "hash", "n", "payload"]
 _PART = "kind string, route long, doc_id long, task int, row long, nth int, hash binary, n long, payload binary"
 
 
@@ -122,34 +124,45 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, end_i
             for rows in slices(batch, limit=TEXT_BYTES):
                 ids, offsets = with_end(*encoder(path).encode(rows.column("text")), end_id)
                 wide = int(ids.max(initial=0)) > 0xFFFF
-                data = memoryview(np.ascontiguousarray(ids, "<u4" if wide else "<u2")).cast("B")
                 size = 4 if wide else 2
-                out: list[tuple] = []
-                for doc_id, begin, ends in zip(rows.column("doc_id").to_pylist(), offsets[:-1].tolist(), cuts(ids, offsets), strict=True):
-                    last = 0
-                    for nth, end in enumerate(ends):
-                        payload = data[(begin + last) * size : (begin + end) * size]
-                        digest = hashlib.sha256(b"4" if wide else b"2")
-                        digest.update(payload)
-                        key = digest.digest()
-                        out.append(("ref", doc_id if doc_id is not None else row, doc_id, task, row, nth, key, end - last, None))
-                        if key not in sent:
-                            if len(sent) >= SENT:
-                                sent.clear()
-                            sent.add(key)
-                            out.append(("chunk", int.from_bytes(key[:8], "little", signed=True), None, None, None, None, key, size, bytes(payload)))
-                        last = end
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["kind", "route", "doc_id", "task", "row", "nth", "hash", "n", "payload"])
+                data = memoryview(np.ascontiguousarray(ids, "<u4" if wide else "<u2")).cast("B")
+                ends = cuts(ids, offsets)
+                many = np.array([len(x) for x in ends], np.int64)
+                each = np.repeat(np.arange(len(many)), many)
+                last = np.repeat(offsets[:-1], many) + np.fromiter((e for x in ends for e in x), np.int64, int(many.sum()))
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                begin = np.where(nth == 0, offsets[:-1][each], np.concatenate([[0], last[:-1]])) if len(each) else last
+                mark, keys, fresh = b"4" if wide else b"2", [], []
+                for k, (x, y) in enumerate(zip((begin * size).tolist(), (last * size).tolist(), strict=True)):
+                    digest = hashlib.sha256(mark)
+                    digest.update(data[x:y])
+                    keys.append(digest.digest())
+                    if keys[-1] not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(keys[-1])
+                        fresh.append(k)
+                ids_of = rows.column("doc_id").take(pa.array(each))
+                numbers = pa.array(row + each)
+                refs = [pa.repeat("ref", len(each)), pc.coalesce(ids_of, numbers), ids_of, pa.repeat(pa.scalar(task, pa.int32()), len(each)), numbers, pa.array(nth, pa.int32()), pa.array(keys, pa.binary()), pa.array(last - begin), pa.nulls(len(each), pa.binary())]
+                yield pa.RecordBatch.from_arrays(refs, NAMES)
+                none = lambda kind, n=len(fresh): pa.nulls(n, kind)
+                routes = np.frombuffer(b"".join(keys[k][:8] for k in fresh), "<i8")
+                chunks = [pa.repeat("chunk", len(fresh)), pa.array(routes), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int32()), pa.array([keys[k] for k in fresh], pa.binary()), pa.array(np.full(len(fresh), size)), pa.array([bytes(data[begin[k] * size : last[k] * size]) for k in fresh], pa.binary())]
+                yield pa.RecordBatch.from_arrays(chunks, NAMES)
+                row += rows.num_rows
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal chunks stand one after another."""
         last = None
         for batch in batches:
-            take = []
-            for kind, key in zip(batch.column("kind").to_pylist(), batch.column("hash").to_pylist(), strict=True):
-                take.append(kind == "ref" or key != last)
-                last = key if kind == "chunk" else last
-            yield batch.filter(pa.array(take))
+            if not batch.num_rows:
+                continue
+            keys = batch.column("hash")
+            again = pc.equal(keys, pa.concat_arrays([pa.array([last], pa.binary()), keys.slice(0, len(keys) - 1)]))
+            is_chunk = pc.equal(batch.column("kind"), "chunk")
+            yield batch.filter(pc.invert(pc.and_(is_chunk, pc.fill_null(again, False))))
+            last = keys[-1].as_py() if is_chunk[-1].as_py() else None
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = texts.mapInArrow(run, _PART).repartition(shuffle_partitions(spark), "route").sortWithinPartitions("kind", "hash")
@@ -162,17 +175,23 @@ def _parts(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/parts").filter(F.col("kind") == kind)
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """(bounds, structs) of a column of lists without nulls."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
+
+
 def _write_recipes(spark: SparkSession, folder: str) -> None:
     refs = _parts(spark, folder, "ref").select("doc_id", "task", "row", F.struct("nth", "hash", "n").alias("ref"))
     lists = refs.groupBy("doc_id", "task", "row").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
 
     def root(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            refs = batch.column("refs").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([[r["hash"] for r in x] for x in refs], pa.list_(pa.binary())), pa.array([sum(r["n"] for r in x) for x in refs], pa.int64()), pa.array([merkle([r["hash"] for r in x]) for x in refs], pa.binary())],
-                ["doc_id", "chunks", "n_tokens", "root"],
-            )
+            bounds, refs = _lists(batch.column("refs"))
+            hashes, total = refs.field("hash"), np.concatenate([[0], np.cumsum(refs.field("n").to_numpy(zero_copy_only=False))]).astype(np.int64)
+            held = hashes.to_pylist()
+            roots = [merkle(held[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), hashes), pa.array(np.diff(total[bounds])), pa.array(roots, pa.binary())], ["doc_id", "chunks", "n_tokens", "root"])
 
     rooted = lists.mapInArrow(root, "doc_id long, chunks array<binary>, n_tokens long, root binary")
     ordered = rooted.repartitionByRange(shuffle_partitions(spark), "doc_id", "root").sortWithinPartitions("doc_id", "root")
@@ -264,15 +283,17 @@ def read_facts(spark: SparkSession, folder: str) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, crcs, roots = [], [], []
-            for chunks in batch.column("chunks").to_pylist():
-                total, crc = 0, 0
-                for c in chunks:
-                    if c["n"] is None:
-                        raise ValueError(f"chunk {c['hash'].hex()} is not in the store")
-                    crc, total = crc_join(crc, c["crc"], 4 * c["n"]), total + c["n"]
-                totals.append(total)
+            bounds, chunks = _lists(batch.column("chunks"))
+            hashes, sizes, sums = (chunks.field(x).to_pylist() for x in ("hash", "n", "crc"))
+            if None in sizes:
+                raise ValueError(f"chunk {hashes[sizes.index(None)].hex()} is not in the store")
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                crc = 0
+                for size, own in zip(sizes[a:b], sums[a:b], strict=True):
+                    crc = crc_join(crc, own, 4 * size)
+                totals.append(sum(sizes[a:b]))
                 crcs.append(crc)
-                roots.append(merkle([c["hash"] for c in chunks]))
+                roots.append(merkle(hashes[a:b]))
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("place"), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], ["bucket", "place", "total", "ids_crc32", "built_root"])
 
     built = facts.mapInArrow(build, "bucket int, place long, total long, ids_crc32 long, built_root binary")
