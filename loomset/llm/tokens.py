@@ -6,7 +6,7 @@ of added tokens in it (such as <|endoftext|>) are these tokens.
 A byte-level file without normaliser first splits a text into short pieces (a word with its leading space, a run of
 digits, a run of signs, white space) and then merges inside each piece, so ids of a piece do not
 depend on where it stands. Pieces are found with vector operations, each distinct piece is given to
-the tokenizer's model once, and a bounded store keeps text and ids of the pieces seen by this worker; what the store says is
+the tokenizer's model once, and a bounded store keeps text and ids of the pieces seen by this worker, those met again in preference; what the store says is
 compared with the text. Texts with apostrophes, letters beyond the Greek and Cyrillic blocks or strings of added tokens go to the
 tokenizer whole, and so do all texts if the file is of another kind.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Sequence
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -25,8 +26,10 @@ from loomset.llm.textarray import BYTE_BASE, range_hash, utf8
 
 #: Code points below this one, apart from the apostrophe, are split here.
 PLAIN_BELOW = 0x500
-#: Pieces whose ids a worker keeps; the store starts anew beyond that.
-KEPT_PIECES = 400_000
+#: Pieces whose ids a worker keeps, and code points of them. Beyond that those stay that were met again, up to half of it.
+KEPT_PIECES, KEPT_POINTS = 800_000, 1 << 24
+#: Pieces that are added to a table of their own first, so that adding doesn't move all that is kept.
+LATE_PIECES = 50_000
 #: Text that is encoded at once: what an encoder holds besides is some hundred bytes for each character of it.
 TEXT_BYTES = 1 << 19
 
@@ -74,36 +77,66 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of the pieces kept
-        self.begin = np.zeros(0, np.int64)  # of their ids in the pool, in the order of the keys
-        self.count = np.zeros(0, np.int32)
-        self.said_at = np.zeros(0, np.int64)  # of their text, likewise
-        self.said_size = np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
-        self.said, self.said_used = np.zeros(1 << 18, np.uint32), 0
+        self.kept = 0
+        self.old = self.late = (np.zeros(0, np.uint64), np.zeros(0, np.int32))  # sorted hashes of the pieces kept, and their numbers
+        self.begin, self.said_at = np.zeros(1, np.int32), np.zeros(1, np.int32)  # of a piece's ids and text, by number; the next piece's follow
+        self.again = np.zeros(0, bool)  # whether a piece was met again, by number
+        self.pool, self.said = np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint32)
 
     @staticmethod
     def _put(pool: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
         if used + len(values) > len(pool):
-            pool = np.concatenate([pool, np.zeros(max(len(values), len(pool) // 2), np.uint32)])
+            pool = np.concatenate([pool, np.zeros(max(len(values), len(pool) // 2), pool.dtype)])
         pool[used : used + len(values)] = values
         return pool
 
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """keys: sorted, none of them kept so far."""
-        ids = [[t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))] for x in pieces]
+    @staticmethod
+    def _merged(kept: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(kept[0], more[0])
+        return np.insert(kept[0], at, more[0]), np.insert(kept[1], at, more[1])
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        for have, numbers in (self.old, self.late):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                here = np.flatnonzero(have[at] == keys)
+                out[here] = numbers[at[here]]
+        return out
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Numbers of new pieces. keys: sorted, none of them kept so far."""
+        tokenize = self.model.tokenize
+        spelt = b"\xff".join([x.encode() for x in pieces]).decode("latin-1").translate(self.letters)  # no UTF-8 text has the byte 0xFF
+        ids = [[t.id for t in tokenize(x)] for x in spelt.split(self.letters[0xFF])]
         count, size = np.array([len(x) for x in ids], np.int32), np.array([len(x) for x in pieces], np.int32)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+        flat = np.array(list(chain.from_iterable(ids)), np.uint32)
         said = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
-        self.pool, self.said = self._put(self.pool, self.used, flat), self._put(self.said, self.said_used, said)
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.begin = np.insert(self.begin, at, self.used + np.cumsum(count, dtype=np.int64) - count)
-        self.count = np.insert(self.count, at, count)
-        self.said_at = np.insert(self.said_at, at, self.said_used + np.cumsum(size, dtype=np.int64) - size)
-        self.said_size = np.insert(self.said_size, at, size)
-        self.used += len(flat)
-        self.said_used += len(said)
+        n = self.kept
+        self.pool, self.said = self._put(self.pool, int(self.begin[n]), flat), self._put(self.said, int(self.said_at[n]), said)
+        self.begin = self._put(self.begin, n + 1, self.begin[n] + np.cumsum(count, dtype=np.int32))
+        self.said_at = self._put(self.said_at, n + 1, self.said_at[n] + np.cumsum(size, dtype=np.int32))
+        self.again = self._put(self.again, n, np.zeros(len(keys), bool))
+        self.kept = n + len(keys)
+        numbers = np.arange(n, self.kept, dtype=np.int32)
+        self.late = self._merged(self.late, (keys, numbers))
+        if len(self.late[0]) > LATE_PIECES:
+            self.old, self.late = self._merged(self.old, self.late), (keys[:0], numbers[:0])
+        return numbers
+
+    def _sweep(self) -> None:
+        """Of the pieces met again since the last time the first ones stay, up to half of what is kept at most."""
+        n = self.kept
+        count, size, stay = np.diff(self.begin[: n + 1]), np.diff(self.said_at[: n + 1]), self.again[:n]
+        stay &= (np.cumsum(stay) <= KEPT_PIECES // 2) & (np.cumsum(size * stay, dtype=np.int64) <= KEPT_POINTS // 2)
+        keys, numbers = self._merged(self.old, self.late)
+        here = stay[numbers]
+        self.old, self.late = (keys[here], (np.cumsum(stay, dtype=np.int32) - 1)[numbers[here]]), (keys[:0], numbers[:0])
+        self.pool, self.said = self.pool[: self.begin[n]][np.repeat(stay, count)], self.said[: self.said_at[n]][np.repeat(stay, size)]
+        self.begin, self.said_at = (np.concatenate([[0], np.cumsum(x[stay])]).astype(np.int32) for x in (count, size))
+        self.kept = int(stay.sum())
+        self.again = np.zeros(self.kept, bool)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
@@ -148,7 +181,7 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         text = data.tobytes().decode("utf-8")
-        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # rows in code points
+        at = offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)  # rows in code points
         if not self.in_pieces:
             parts = self._library([text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
@@ -186,23 +219,29 @@ class Encoder:
         start = np.flatnonzero(new)
         stop = np.append(start[1:], end)
         keys = range_hash(points, start, stop, BYTE_BASE)
-        found, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT_PIECES:
-            self.clear()
-        at_key = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
-        new_ones = np.flatnonzero(self.keys[at_key] != found) if len(self.keys) else np.arange(len(found))
-        if len(new_ones):
-            bounds = zip(start[first[new_ones]].tolist(), stop[first[new_ones]].tolist(), strict=True)
-            self._add(found[new_ones], [text[a:b] for a, b in bounds])
-        at_found = np.searchsorted(self.keys, found)  # the pools hold fewer than 2**31 numbers
-        where, begin = self.said_at[at_found].astype(np.int32), self.begin[at_found].astype(np.int32)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        head = np.ones(len(keys), bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        found, first = ranked[head], order[head]
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(head) - 1
+        if self.kept > KEPT_PIECES or self.said_at[self.kept] > KEPT_POINTS:
+            self._sweep()
+        number = self._find(found)
+        fresh = number < 0
+        self.again[number[~fresh]] = True
+        if fresh.any():
+            bounds = zip(start[first[fresh]].tolist(), stop[first[fresh]].tolist(), strict=True)
+            number[fresh] = self._add(found[fresh], [text[a:b] for a, b in bounds])
+        where, begin = self.said_at[number], self.begin[number]  # the pools hold fewer than 2**31 numbers
         length = (stop - start).astype(np.int32)
         said = np.repeat(where[which] - start.astype(np.int32), length)
         said += np.arange(end, dtype=np.int32)
-        np.minimum(said, np.int32(self.said_used - 1), out=said)
+        np.minimum(said, self.said_at[self.kept] - 1, out=said)
         other = self.said[said] != points
-        unlike = np.concatenate([np.flatnonzero(other), start[self.said_size[at_found][which] != length]])
-        size = self.count[at_found][which]
+        unlike = np.concatenate([np.flatnonzero(other), start[(self.said_at[number + 1] - where)[which] != length]])
+        size = (self.begin[number + 1] - begin)[which]
         total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         spot = np.repeat(begin[which] - total[:-1].astype(np.int32), size)
         spot += np.arange(total[-1], dtype=np.int32)

@@ -38,7 +38,7 @@ from loomset.llm.textarray import slices
 from loomset.llm.tokens import TEXT_BYTES, default_path, encoder, with_end
 
 END_ID = 2
-#: Ids that the rolling hash covers, mean distance of cuts (a power of two), least and greatest chunk.
+#: Ids that the rolling hash covers and mean distance of cuts (powers of two), least and greatest chunk.
 ROLL, MEAN, LEAST, MOST = 16, 256, 64, 1024
 #: Documents whose roots are gathered at once.
 PAGE = 4_096
@@ -53,10 +53,11 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """Ends of the chunks of each row, counted from the row's first id."""
     marks = np.zeros(0, np.int64)
     if len(ids) >= ROLL:
-        spread = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        rolled = np.zeros(len(ids) - ROLL + 1, np.uint64)
-        for i in range(ROLL):
-            rolled = rolled * np.uint64(0xD1342543DE82EF95) + spread[i : i + len(rolled)]
+        rolled = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        span, base = 1, 0xD1342543DE82EF95
+        while span < ROLL:  # the hash of twice as many ids from two neighbouring ones
+            rolled = rolled[:-span] * np.uint64(base) + rolled[span:]
+            span, base = 2 * span, base * base % 2**64
         marks = np.flatnonzero((rolled >> np.uint64(64 - MEAN.bit_length() + 1)) == 0) + ROLL
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -107,9 +108,24 @@ def _zeros(n: int) -> tuple[int, ...]:
     return tuple(_apply(_zeros(1), x) for x in double) if n & 1 else double
 
 
-def crc_join(a: int, b: int, b_bytes: int) -> int:
-    """CRC-32 of two byte strings one after the other, from theirs."""
-    return _apply(_zeros(b_bytes), a) ^ b if b_bytes else a
+@lru_cache(64)
+def _zero_table(k: int) -> np.ndarray:
+    """What 4 * 2**k zero bytes do to a CRC-32 register: the images of each value of each of its four bytes, others 0."""
+    images, out = _zeros(4 << k), np.zeros((4, 256), np.int64)
+    for bit, image in enumerate(images):
+        out[bit // 8, (np.arange(256) >> bit % 8 & 1) == 1] ^= image
+    return out
+
+
+def crc_of_lists(bounds: np.ndarray, n: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+    """CRC-32 of each list of chunks, from where the lists begin and end, and from how many 32-bit ids each chunk has and their CRC-32. No list is empty."""
+    total = np.cumsum(n)
+    after, out = np.repeat(total[bounds[1:] - 1], np.diff(bounds)) - total, crcs.astype(np.int64)
+    for k in range(int(after.max(initial=0)).bit_length()):
+        at = np.flatnonzero(after >> k & 1)
+        table, x = _zero_table(k), out[at]
+        out[at] = table[0, x & 255] ^ table[1, x >> 8 & 255] ^ table[2, x >> 16 & 255] ^ table[3, x >> 24]
+    return np.bitwise_xor.reduceat(out, bounds[:-1]) if len(bounds) > 1 else out
 
 
 def write(documents: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -282,18 +298,14 @@ def read_facts(spark: SparkSession, folder: str) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals, crcs, roots = [], [], []
             bounds, chunks = _lists(batch.column("chunks"))
-            hashes, sizes, sums = (chunks.field(x).to_pylist() for x in ("hash", "n", "crc"))
-            if None in sizes:
-                raise ValueError(f"chunk {hashes[sizes.index(None)].hex()} is not in the store")
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                crc = 0
-                for size, own in zip(sizes[a:b], sums[a:b], strict=True):
-                    crc = crc_join(crc, own, 4 * size)
-                totals.append(sum(sizes[a:b]))
-                crcs.append(crc)
-                roots.append(merkle(hashes[a:b]))
+            hashes, sizes = chunks.field("hash").to_pylist(), chunks.field("n")
+            if sizes.null_count:
+                raise ValueError(f"chunk {hashes[sizes.to_pylist().index(None)].hex()} is not in the store")
+            sizes = sizes.to_numpy()
+            crcs = crc_of_lists(bounds, sizes, chunks.field("crc").to_numpy())
+            totals = np.diff(np.concatenate([[0], np.cumsum(sizes)])[bounds])
+            roots = [merkle(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("place"), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], ["bucket", "place", "total", "ids_crc32", "built_root"])
 
     built = facts.mapInArrow(build, "bucket int, place long, total long, ids_crc32 long, built_root binary")

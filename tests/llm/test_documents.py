@@ -184,6 +184,35 @@ def test_token_ids_do_not_trust_hashes(monkeypatch):
     assert [ids[a:b].tolist() + [2] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == true_ids(texts)
 
 
+def test_token_ids_of_frequent_pieces_are_kept(monkeypatch):
+    """A store that is full forgets pieces met once; those met again go to the model a single time."""
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 300)
+    monkeypatch.setattr(tokens, "LATE_PIECES", 70, raising=False)
+    encoder, given = tokens.Encoder(PATH), Counter()
+    add = encoder._add
+    monkeypatch.setattr(encoder, "_add", lambda keys, pieces: (given.update(pieces), add(keys, pieces))[1])
+    rng = random.Random(8)
+    common = ["often" + "".join(rng.choices("aeiou", k=6)) for _ in range(40)]
+    for k in range(60):
+        new = ["".join(rng.choices("bcdfgé", k=9)) + str(k) for _ in range(30)]
+        texts = [" ".join(rng.sample(new + common, 70)), None, " ".join(common), ""]
+        ids, offsets = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() + [2] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == true_ids(texts)
+    assert len(given) > 5 * 300 and max(given[" " + x] for x in common) == 1
+
+
+def test_token_ids_when_more_is_met_again_than_is_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    monkeypatch.setattr(tokens, "LATE_PIECES", 7, raising=False)
+    monkeypatch.setattr(tokens, "KEPT_POINTS", 400, raising=False)
+    encoder, rng = tokens.Encoder(PATH), random.Random(9)
+    words = ["".join(rng.choices("xyzäß1", k=rng.randint(1, 9))) for _ in range(150)] + ["q" * 900]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(words, k=60)), "  ".join(rng.choices(words, k=5))]
+        ids, offsets = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() + [2] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == true_ids(texts)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -221,6 +250,31 @@ def test_plan_of_counts():
     assert used == counts and packing.plan({}) == []
 
 
+def test_checksums_of_chunks_joined():
+    rng = np.random.default_rng(4)
+    lists = [[rng.integers(0, 2**31, n) for n in rng.choice([0, 1, 2, 63, 64, 1000, 70_000], rng.integers(1, 9))] for _ in range(40)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    n, crcs = np.array([len(c) for x in lists for c in x]), np.array([crc(c) for x in lists for c in x])
+    assert tokenstore.crc_of_lists(bounds, n, crcs).tolist() == [crc(np.concatenate(x)) for x in lists]
+    assert not len(tokenstore.crc_of_lists(bounds[:1], n[:0], crcs[:0]))
+
+
+def test_token_chunks_part_by_the_plain_rolling_hash():
+    rng = np.random.default_rng(5)
+    ids, offsets = rng.integers(0, 300, 9000).astype(np.uint32), np.array([0, 5, 5, 4000, 9000])
+    expected = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        ends, last = [], 0
+        for end in range(1, b - a + 1):
+            rolled = 0
+            for x in ids[a + end - 16 : a + end].tolist() if end >= 16 else []:
+                rolled = (rolled * 0xD1342543DE82EF95 + (x + 1) * 0x9E3779B97F4A7C15) % 2**64
+            if end == b - a or end - last == 1024 or (end >= 16 and end - last >= 64 and rolled >> 56 == 0):
+                ends.append(last := end)
+        expected.append(ends)
+    assert tokenstore.cuts(ids, offsets) == expected
+
+
 def test_token_store(spark, corpus, tmp_path):
     docs = spark.createDataFrame(corpus, TEXT).repartition(3)
     folder = str(tmp_path / "store")
