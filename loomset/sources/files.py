@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,16 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def _bare(spark: SparkSession, path: str) -> tuple:
+    """As _place(), but a local file system without checksum files: a file and its checksum are not replaced in one step."""
+    place, system = _place(spark, path)
+    local = is_instance_of(spark.sparkContext._gateway, system, "org.apache.hadoop.fs.LocalFileSystem")
+    return place, system.getRawFileSystem() if local else system, local
+
+
 def read_small(spark: SparkSession, path: str) -> str:
     """The text of a file of a few lines."""
-    place, system = _place(spark, path)
+    place, system, _ = _bare(spark, path)
     if not system.exists(place):
         raise FileNotFoundError(path)
     stream = system.open(place)
@@ -42,13 +50,17 @@ def read_small(spark: SparkSession, path: str) -> str:
 
 
 def replace_small(spark: SparkSession, path: str, text: str) -> None:
-    """Puts a file of a few lines in the place of one that may be there. Readers see the old one or the new one, whole."""
+    """Puts a file of a few lines in the place of one that may be there. Readers see the old one or the new one, whole, at any moment."""
     jvm = spark.sparkContext._jvm
-    place, system = _place(spark, path)
+    place, system, local = _bare(spark, path)
     beside, _ = _place(spark, f"{path}.{uuid.uuid4().hex}")
     stream = system.create(beside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
+    if local:  # one step here; FileContext would remove the old file first
+        if not system.rename(beside, place):
+            raise OSError(f"{path} could not be replaced")
+        return
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, place, overwrite)

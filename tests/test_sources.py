@@ -131,6 +131,32 @@ def test_readers_during_swaps_see_one_version(spark, tmp_path):
     assert seen and set(seen) == {(100, 1)}
 
 
+def test_a_pointer_is_there_and_whole_at_any_moment(spark, tmp_path):
+    path = str(tmp_path / "_pointer.json")
+    files.replace_small(spark, path, "0" * 50)
+    seen, faults, stop = set(), [], threading.Event()
+
+    def reader():
+        while not stop.is_set():
+            try:
+                assert files.exists(spark, path)
+                seen.add(files.read_small(spark, path))
+            except BaseException as fault:
+                faults.append(fault)
+
+    threads = [threading.Thread(target=reader) for _ in range(2)]
+    for thread in threads:
+        thread.start()
+    texts = [str(k % 10) * (50 + k) for k in range(80)]
+    for text in texts:
+        files.replace_small(spark, path, text)
+    stop.set()
+    for thread in threads:
+        thread.join()
+    assert not faults and len(seen) > 1 and seen <= {*texts, "0" * 50}
+    assert files.read_small(spark, path) == texts[-1] and files.names_in(spark, str(tmp_path)) == ["_pointer.json"]
+
+
 def test_a_changed_byte_is_found(spark, tmp_path):
     folder = str(tmp_path / "v")
     versions.write(spark.range(1000).repartition(3), folder)
