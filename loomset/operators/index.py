@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomset.operators import clean, postings, retrieval, sampling, text, topics
+from loomset.operators import clean, counting, postings, retrieval, sampling, text, topics
 from loomset.session import kept
 from loomset.sources import files
 
@@ -26,12 +26,15 @@ BLOCK = 8_192
 #: Tasks of a round at most: each gives an array of terms x dimensions.
 TASKS = 4
 #: Questions that are answered in one pass over the index.
-QUESTIONS = 64
+QUESTIONS = 512
 
 
 @dataclass
 class Index:
-    """chunks: all columns with chunk_id; postings: chunk_id, term, weight; vectors: chunk_id, vector (of length one)."""
+    """chunks: all columns with chunk_id; postings: chunk_id, term, weight; vectors: chunk_id, vector (of length one).
+
+    rows: where chunk_ids are there once, all of that and the chunks' other columns (without the text) as one row a chunk with places and values.
+    """
 
     chunks: DataFrame
     vocabulary: DataFrame
@@ -40,6 +43,7 @@ class Index:
     vectors: DataFrame
     directions: np.ndarray
     explained: float
+    rows: DataFrame | None = None
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -151,11 +155,36 @@ def build(texts: DataFrame, key: str, body: str, group: str, most: int = MAX_DOC
     return assemble(chunks, vocabulary, terms, basis, explained)
 
 
-def assemble(chunks: DataFrame, vocabulary: DataFrame, terms: DataFrame, basis: np.ndarray, explained: float = 0.0) -> Index:
-    """The index of chunks (with chunk_id and chunk_text) for a vocabulary and directions that are there already."""
-    weights = kept(text.weights(counts_of(chunks, "chunk_id", "chunk_text", vocabulary), F.broadcast(vocabulary), "chunk_id"), "postings")
-    vectors = kept(project(topics.rows_of(weights, terms, "chunk_id"), "chunk_id", basis), "vectors")
-    return Index(chunks, vocabulary, terms, weights, vectors, basis, explained)
+def _others(chunks: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in chunks.columns if c not in ("chunk_id", "chunk_text"))
+
+
+def taught(chunks: DataFrame, features: int = 30_000) -> tuple[DataFrame, DataFrame | None]:
+    """(vocabulary of all chunks, their words for assemble(); none if chunk_ids repeat, whose chunks are counted together)."""
+    if counting.unique(chunks, "chunk_id"):
+        held = kept(counting.words(chunks, "chunk_id", "chunk_text", *_others(chunks)), "words")
+        found = counting.vocabulary(held, chunks.count(), bigrams=True, max_features=features)
+        if found is not None:
+            return kept(found, "vocabulary"), held
+    counts = kept(counts_of(chunks, "chunk_id", "chunk_text"), "counts")
+    return kept(text.vocabulary(counts, chunks.count(), max_features=features), "vocabulary"), None
+
+
+def assemble(chunks: DataFrame, vocabulary: DataFrame, terms: DataFrame, basis: np.ndarray, explained: float = 0.0, held: DataFrame | None = None) -> Index:
+    """The index of chunks (with chunk_id and chunk_text) for a vocabulary and directions that are there already. held: the words of chunks whose ids are there once."""
+    if held is None and counting.unique(chunks, "chunk_id"):
+        held = counting.words(chunks, "chunk_id", "chunk_text", *_others(chunks))
+    if held is None:
+        weights = kept(text.weights(counts_of(chunks, "chunk_id", "chunk_text", vocabulary), F.broadcast(vocabulary), "chunk_id"), "postings")
+        vectors = kept(project(topics.rows_of(weights, terms, "chunk_id"), "chunk_id", basis), "vectors")
+        return Index(chunks, vocabulary, terms, weights, vectors, basis, explained)
+    rows = kept(counting.rows(held, "chunk_id", vocabulary.join(terms, "term"), basis, _others(chunks)), "rows")
+    return Index(chunks, vocabulary, terms, _placed(rows).join(F.broadcast(terms), "place").select("chunk_id", "term", "weight"), rows.select("chunk_id", "vector"), basis, explained, rows)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """chunk_id, place and weight."""
+    return rows.select("chunk_id", F.explode(F.arrays_zip("places", "values")).alias("x")).select("chunk_id", F.col("x.places").alias("place"), F.col("x.values").alias("weight"))
 
 
 _FRAMES = ("chunks", "vocabulary", "terms", "postings", "vectors")
@@ -167,8 +196,13 @@ def save(index: Index, folder: str) -> dict:
     for name in _FRAMES:
         frame = getattr(index, name)
         if name == "postings":  # a question reads the folders of its terms alone
-            frame = frame.select("chunk_id", "term", "weight", postings.bucket(F.col("term"), postings.BUCKETS).alias("bucket"))
-            frame = frame.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(postings.FILES))).sortWithinPartitions("bucket", "term")
+            bucket = postings.bucket(F.col("term"), postings.BUCKETS).alias("bucket")
+            dealt = F.pmod(F.xxhash64("chunk_id"), F.lit(postings.FILES))
+            if index.rows is None:
+                frame = frame.select("chunk_id", "term", "weight", bucket).repartition("bucket", dealt).sortWithinPartitions("bucket", "term")
+            else:  # terms are numbered in their order, and numbers are smaller to deal out and sort
+                frame = _placed(index.rows).join(F.broadcast(index.terms.select("place", bucket)), "place").repartition("bucket", dealt).sortWithinPartitions("bucket", "place")
+                frame = frame.join(F.broadcast(index.terms), "place").select("chunk_id", "term", "weight", "bucket")
         writer = frame.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("bucket") if name == "postings" else writer).parquet(f"{folder}/{name}")
     basis = pa.table({"place": pa.array(np.arange(len(index.directions)), pa.int32()), "direction": pa.array(index.directions.tolist(), pa.list_(pa.float64()))})
@@ -189,8 +223,7 @@ def load(spark: SparkSession, folder: str, verify: bool = False) -> Index:
     except Exception as e:
         raise FileNotFoundError(f"no complete index in {folder}: {str(e).splitlines()[0]}") from None
     rows = {name: frame.count() for name, frame in frames.items()}
-    indexed = frames["postings"].select("chunk_id").distinct().count()
-    if rows != manifest["rows"] or rows["vectors"] != indexed or rows["terms"] != rows["vocabulary"] or basis.num_rows != manifest["features"]:
+    if rows != manifest["rows"] or rows["vectors"] > rows["chunks"] or rows["terms"] != rows["vocabulary"] or basis.num_rows != manifest["features"]:
         raise ValueError(f"the tables of the index in {folder} do not reconcile: {rows}, manifest {manifest['rows']}")
     if verify and (changed := [name for name, held in manifest["digests"].items() if files.digest(spark, f"{folder}/{name}") != held]):
         raise ValueError(f"files of the index in {folder} have changed: {', '.join(changed)}")
@@ -245,12 +278,16 @@ class _Best:
         self.floor = np.full(questions, least)
         self.least = least
 
-    def offer(self, keys: list[str], score: np.ndarray, lexical: np.ndarray, dense: np.ndarray) -> None:
-        """Rows x questions of scores."""
+    def offer(self, questions: np.ndarray, keys: pa.Array, score: np.ndarray, lexical: np.ndarray, dense: np.ndarray) -> None:
+        """Rows x some questions of scores."""
         score = np.round(score, postings.DIGITS)
-        for j in np.flatnonzero((score >= self.floor).any(0)).tolist():
+        for c in np.flatnonzero(score.max(0) >= self.floor[questions]).tolist():
+            j, mine = int(questions[c]), score[:, c]
+            least = self.floor[j]
+            if len(mine) > self.top_k:  # no row below the top_k-th of these is among the best
+                least = max(least, np.partition(mine, -self.top_k)[-self.top_k])
             held = self.rows[j]
-            held += [(-score[i, j], keys[i], lexical[i, j], dense[i, j]) for i in np.flatnonzero(score[:, j] >= self.floor[j]).tolist()]
+            held += [(-mine[i], keys[i].as_py(), lexical[i, c], dense[i, c]) for i in np.flatnonzero(mine >= least).tolist()]
             if len(held) > self.top_k:
                 held.sort()
                 del held[self.top_k :]
@@ -261,8 +298,8 @@ def search_many(index: Index, questions: DataFrame, top_k: int = 8, match: tuple
     """question, rank, chunk_id, lexical, dense and score: what search() gives for each of many questions (question, query).
 
     match: columns that chunks and questions have; a question finds chunks with its own value there (null: any), case left aside. Questions are taken
-    in blocks of about QUESTIONS; a block is a small matrix, which each task multiplies with its rows, holding the top_k best of each question. So a block is one
-    pass over the index, and what is shuffled is top_k rows for each question and task. Questions without a known term find nothing.
+    in blocks of about QUESTIONS; a block is a small matrix for each value that they ask for, which each task multiplies with its rows of that value, holding the top_k best of each question. So a
+    block is one pass over the index, and what is shuffled is top_k rows for each question and task. Questions without a known term find nothing.
     """
     retrieval.check_request("any", top_k, dense_weight)
     spark = index.chunks.sparkSession
@@ -271,48 +308,48 @@ def search_many(index: Index, questions: DataFrame, top_k: int = 8, match: tuple
     asked = kept(topics.rows_of(weights, index.terms, "question").join(asked.select("question", *match), "question"), "questions")
     count = asked.count()
     blocks = max(1, -(-count // QUESTIONS))
-    held = index.postings.select("chunk_id", "term", "weight")
     folded = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"match_{k}") for k, c in enumerate(match)]
-    rows = topics.rows_of(held, index.terms, "chunk_id").join(index.vectors, "chunk_id")
-    rows = kept(rows.join(index.chunks.select("chunk_id", *folded), "chunk_id") if match else rows, "search-rows")
+    if index.rows is not None:
+        rows = index.rows.select("chunk_id", "places", "values", "vector", *folded)
+    else:
+        rows = topics.rows_of(index.postings.select("chunk_id", "term", "weight"), index.terms, "chunk_id").join(index.vectors, "chunk_id")
+        rows = kept(rows.join(index.chunks.select("chunk_id", *folded), "chunk_id") if match else rows, "search-rows")
     kind = asked.schema["question"].dataType.simpleString()
     out = None
     for k in range(blocks):
         some = asked.filter(F.pmod(F.xxhash64("question"), F.lit(blocks)) == k).toArrow()
         if not some.num_rows:
             continue
-        places = [np.asarray(x, np.int64) for x in some.column("places").to_pylist()]
-        known = np.unique(np.concatenate(places))
-        matrix = np.zeros((len(known), some.num_rows))
-        for j, (at, values) in enumerate(zip(places, some.column("values").to_pylist(), strict=True)):
-            matrix[np.searchsorted(known, at), j] = values
-        points = matrix.T @ index.directions[known]
-        points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-        where = np.full(len(index.directions), -1, np.int64)
-        where[known] = np.arange(len(known))
-        wanted = [[None if v is None else str(v).lower() for v in some.column(c).to_pylist()] for c in match]
-        shared = spark.sparkContext.broadcast((some.column("question").combine_chunks(), matrix, points, where, wanted))
+        wanted = list(zip(*([None if v is None else str(v).lower() for v in some.column(c).to_pylist()] for c in match), strict=True)) or [()] * some.num_rows
+        same: dict[tuple, list[int]] = {}
+        for j, values in enumerate(wanted):
+            same.setdefault(tuple(v or None for v in values), []).append(j)
+        groups = [(values, np.array(js), *_matrix(some.take(js), index.directions)) for values, js in same.items()]
+        shared = spark.sparkContext.broadcast((some.column("question").combine_chunks(), groups))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix, points, where, wanted = shared.value
+            names, groups = shared.value
             best = _Best(len(names), top_k, min_score)
             for batch in batches:
+                own = [np.array(batch.column(f"match_{c}").to_pylist(), object) for c in range(len(match))]
                 at = 0
                 for row, place, value, n in topics.sparse(batch):
-                    part = batch.slice(at, n)
+                    keys, vectors = batch.column("chunk_id").slice(at, n), batch.column("vector").slice(at, n).flatten().to_numpy().reshape(n, -1).astype(np.float64)
+                    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                    for values, js, known, matrix, points in groups:
+                        fits = np.ones(n, bool)
+                        for c, v in enumerate(values):
+                            if v:
+                                fits &= own[c][at : at + n] == v
+                        mine = np.flatnonzero(fits)
+                        if not len(mine):
+                            continue
+                        local = known[place]
+                        use = (local >= 0) & fits[row]
+                        lexical = topics.times((np.cumsum(fits) - 1)[row[use]], local[use], value[use], len(mine), matrix)
+                        dense = np.clip(vectors[mine] @ points.T, 0, 1)
+                        best.offer(js, keys.take(pa.array(mine)), dense_weight * dense + (1 - dense_weight) * lexical, lexical, dense)
                     at += n
-                    local = where[place]
-                    use = local >= 0
-                    lexical = topics.times(row[use], local[use], value[use], n, matrix)
-                    vectors = part.column("vector").flatten().to_numpy().reshape(n, -1).astype(np.float64)
-                    dense = np.clip(vectors @ points.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), 0, 1)
-                    score = dense_weight * dense + (1 - dense_weight) * lexical
-                    for c, values in enumerate(wanted):
-                        own = np.array(part.column(f"match_{c}").to_pylist(), object)
-                        for j, value_ in enumerate(values):
-                            if value_:
-                                score[own != value_, j] = -1.0
-                    best.offer(part.column("chunk_id").to_pylist(), score, lexical, dense)
             which = [j for j, held in enumerate(best.rows) for _ in held]
             flat = [x for held in best.rows for x in held]
             columns = [names.take(pa.array(which, pa.int64())), pa.array([x[1] for x in flat], pa.string()), *(pa.array([x[c] for x in flat], pa.float64()) for c in (2, 3)), pa.array([-x[0] for x in flat], pa.float64())]
@@ -326,3 +363,17 @@ def search_many(index: Index, questions: DataFrame, top_k: int = 8, match: tuple
     order = Window.partitionBy("question").orderBy(F.desc("score"), "chunk_id")
     ranked = out.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top_k)
     return ranked.select("question", "rank", "chunk_id", "lexical", "dense", "score")
+
+
+def _matrix(some: pa.Table, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each place is in the matrix, or -1; known places x questions; questions x dimensions, of length one) of some questions."""
+    places = [np.asarray(x, np.int64) for x in some.column("places").to_pylist()]
+    known = np.unique(np.concatenate(places))
+    matrix = np.zeros((len(known), some.num_rows))
+    for j, (at, values) in enumerate(zip(places, some.column("values").to_pylist(), strict=True)):
+        matrix[np.searchsorted(known, at), j] = values
+    points = matrix.T @ directions[known]
+    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    where = np.full(len(directions), -1, np.int64)
+    where[known] = np.arange(len(known))
+    return where, matrix, points

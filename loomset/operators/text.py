@@ -74,7 +74,12 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, documents: int, min_df: int = 2, max_df: float = 0.98, max_features: int = 30_000) -> DataFrame:
     """term, df and idf of the most frequent terms among those that are neither too rare nor too common; ties by term."""
-    kept = document_frequency(counts).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * documents)).orderBy(F.desc("corpus_tf"), "term").limit(max_features)
+    return chosen(document_frequency(counts), documents, min_df, max_df, max_features)
+
+
+def chosen(sums: DataFrame, documents: int, min_df: int = 2, max_df: float = 0.98, max_features: int = 30_000) -> DataFrame:
+    """The vocabulary from term, df and corpus_tf."""
+    kept = sums.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * documents)).orderBy(F.desc("corpus_tf"), "term").limit(max_features)
     return kept.select("term", "df", (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
