@@ -270,30 +270,6 @@ def search(index: Index, query: str, top_k: int = 8, filters: retrieval.Filters
     return index.chunks.join(F.broadcast(best), "chunk_id").orderBy("rank")  # top_k rows
 
 
-class _Best:
-    """The best rows of each question so far. Scores are compared by as many digits as elsewhere, ties by key."""
-
-    def __init__(self, questions: int, top_k: int, least: float):
-        self.top_k, self.rows = top_k, [[] for _ in range(questions)]
-        self.floor = np.full(questions, least)
-        self.least = least
-
-    def offer(self, questions: np.ndarray, keys: pa.Array, score: np.ndarray, lexical: np.ndarray, dense: np.ndarray) -> None:
-        """Rows x some questions of scores."""
-        score = np.round(score, postings.DIGITS)
-        for c in np.flatnonzero(score.max(0) >= self.floor[questions]).tolist():
-            j, mine = int(questions[c]), score[:, c]
-            least = self.floor[j]
-            if len(mine) > self.top_k:  # no row below the top_k-th of these is among the best
-                least = max(least, np.partition(mine, -self.top_k)[-self.top_k])
-            held = self.rows[j]
-            held += [(-mine[i], keys[i].as_py(), lexical[i, c], dense[i, c]) for i in np.flatnonzero(mine >= least).tolist()]
-            if len(held) > self.top_k:
-                held.sort()
-                del held[self.top_k :]
-                self.floor[j] = max(self.least, -held[-1][0])
-
-
 def search_many(index: Index, questions: DataFrame, top_k: int = 8, match: tuple[str, ...] = (), dense_weight: float = 0.65, min_score: float = 0.05) -> DataFrame:
     """question, rank, chunk_id, lexical, dense and score: what search() gives for each of many questions (question, query).
 
@@ -329,7 +305,7 @@ def search_many(index: Index, questions: DataFrame, top_k: int = 8, match: tuple
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, groups = shared.value
-            best = _Best(len(names), top_k, min_score)
+            best = postings.Best(len(names), top_k, min_score)
             for batch in batches:
                 own = [np.array(batch.column(f"match_{c}").to_pylist(), object) for c in range(len(match))]
                 at = 0
@@ -346,7 +322,7 @@ def search_many(index: Index, questions: DataFrame, top_k: int = 8, match: tuple
                             continue
                         local = known[place]
                         use = (local >= 0) & fits[row]
-                        lexical = topics.times((np.cumsum(fits) - 1)[row[use]], local[use], value[use], len(mine), matrix)
+                        lexical = topics.product((np.cumsum(fits) - 1)[row[use]], local[use], value[use], len(mine), matrix)
                         dense = np.clip(vectors[mine] @ points.T, 0, 1)
                         best.offer(js, keys.take(pa.array(mine)), dense_weight * dense + (1 - dense_weight) * lexical, lexical, dense)
                     at += n

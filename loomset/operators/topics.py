@@ -51,6 +51,27 @@ def times(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, basis:
     return out
 
 
+def product(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, wide: np.ndarray) -> np.ndarray:
+    """times() for a wide matrix: places that a sixteenth of the rows have are one dense product, the others are added a few thousand values at once."""
+    common = np.flatnonzero(np.bincount(place, minlength=len(wide)) * 16 >= max(n, 1))
+    out = np.zeros((n, wide.shape[1]))
+    if len(common):
+        spot = np.full(len(wide), -1)
+        spot[common] = np.arange(len(common))
+        use = spot[place] >= 0
+        dense = np.zeros((n, len(common)))
+        dense[row[use], spot[place[use]]] = value[use]
+        out = dense @ wide[common]
+        row, place, value = row[~use], place[~use], value[~use]
+    for low in range(0, len(row), 4_096):
+        some = row[low : low + 4_096]
+        start = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+        scaled = wide[place[low : low + 4_096]]
+        scaled *= value[low : low + 4_096, None]
+        out[some[start]] += np.add.reduceat(scaled, start)
+    return out
+
+
 def _solve(cross: np.ndarray, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
     """Non-negative weights of rows for fixed topics, by coordinate descent. cross: the rows times the topics."""
     gram = h @ h.T

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomset.operators import counting, index, text, topics
+from loomset.operators import counting, index, postings, text, topics
 
 
 def some_texts(spark, n=120):
@@ -77,3 +77,32 @@ def test_an_index_holds_one_row_a_chunk_and_deals_out_no_weights(spark):
     assert set(best) == {key for key, _ in wanted}
     for question, found in best.items():
         assert len(found) == 3 and {kind[r["chunk_id"]] for r in found} == {kind[question]} and found[0]["lexical"] > 1 - 1e-6
+
+
+def test_many_long_questions_are_scored_where_the_documents_are(spark, tmp_path, monkeypatch):
+    frame = some_texts(spark, 200)
+    copies = frame.filter("id < 40").withColumn("id", F.col("id") + 1000)  # these tie
+    held = counting.words(frame.union(copies), "id", "body")
+    vocabulary = counting.vocabulary(held, 243)
+    terms = topics.numbered(vocabulary.select("term"))
+    rows = counting.rows(held, "id", vocabulary.join(terms, "term"))
+    weights = text.weights(text.term_counts(frame.union(copies), "id", "body"), vocabulary, "id")
+    postings.write(weights, "id", str(tmp_path / "p"), buckets=4)
+    asked = weights.filter("id % 3 = 0").select(F.col("id").alias("question"), "term", F.col("weight").alias("query_weight"))
+    wanted = postings.search(postings.read(spark, str(tmp_path / "p")), asked, 7).best
+    monkeypatch.setattr(postings, "QUESTIONS", 20)
+    monkeypatch.setattr(postings, "RANGE", 9)
+    found = postings.search_rows(rows, "id", rows.filter("id % 3 = 0").withColumnRenamed("id", "question"), terms.count(), 7)
+    told = lambda frame: sorted((r["question"], r["rank"], r["key"], round(r["lexical"], 9)) for r in frame.collect())
+    assert told(found) == told(wanted) and len(told(found)) > 400
+    none = postings.search_rows(rows, "id", rows.filter("id < 0").withColumnRenamed("id", "question"), terms.count(), 7)
+    assert none.count() == 0 and none.columns == found.columns
+
+
+def test_wide_products_are_plain_products():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((50, 400)) < np.linspace(0, 0.4, 400), rng.random((50, 400)), 0)
+    x[7] = 0
+    row, place = np.nonzero(x)
+    wide = rng.random((400, 30))
+    assert np.allclose(topics.product(row, place, x[row, place], 50, wide), x @ wide)
