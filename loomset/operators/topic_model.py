@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import index, text, topics
+from loomset.operators import counting, index, text, topics
 from loomset.session import kept
 from loomset.sources import files
 
@@ -90,14 +90,18 @@ def start(rows: DataFrame, width: int, count: int, seed: int = 42) -> np.ndarray
 
 def learn(texts: DataFrame, key: str, body: str, count: int, min_df: int = 2, max_df: float = 0.95, max_features: int = topics.MAX_FEATURES, bigrams: bool = True, seed: int = 42) -> TopicModel:
     """Topics of texts. Fewer than `count` if there are too few texts or terms; texts without any term in the vocabulary teach nothing."""
-    counts = kept(text.term_counts(texts, key, body, bigrams=bigrams), "counts")
-    n = texts.count()
-    vocabulary = kept(text.vocabulary(counts, n, min_df=min_df, max_df=max_df, max_features=max_features), "vocabulary")
+    n, held, found = texts.count(), None, None
+    if counting.unique(texts, key):
+        held = kept(counting.words(texts, key, body), "words")
+        found = counting.vocabulary(held, n, bigrams, min_df=min_df, max_df=max_df, max_features=max_features)
+    counts = kept(text.term_counts(texts, key, body, bigrams=bigrams), "counts") if found is None else None
+    vocabulary = kept(text.vocabulary(counts, n, min_df=min_df, max_df=max_df, max_features=max_features) if found is None else found, "vocabulary")
     placed = kept(vocabulary.select("term", "idf").join(topics.numbered(vocabulary.select("term")), "term"), "terms")
     names = [r["term"] for r in placed.select("term").orderBy("place").collect()]  # max_features at most
     if len(names) < 3:
         raise TooFewTerms("too few terms for topics")
-    rows = kept(topics.rows_of(text.weights(counts, F.broadcast(vocabulary), key), placed.select("term", "place"), key).select("places", "values"), "rows")
+    rows = counting.rows(held, key, placed) if counts is None else topics.rows_of(text.weights(counts, F.broadcast(vocabulary), key), placed.select("term", "place"), key)
+    rows = kept(rows.select("places", "values"), "rows")
     count = max(1, min(count, n - 1, len(names) - 1))
     factors = topics.factorise(rows, len(names), count, seed, first=start(rows, len(names), count, seed))
     return TopicModel(placed, factors, topics.labels(factors, names), bigrams)
@@ -106,8 +110,11 @@ def learn(texts: DataFrame, key: str, body: str, count: int, min_df: int = 2, ma
 def score(model: TopicModel, texts: DataFrame, key: str, body: str) -> DataFrame:
     """key, topic_id, topic_label and topic_score of each text; a text without a known term has the topic -1, no label and the score 0. Ids are each there once."""
     vocabulary = model.vocabulary
-    counts = text.term_counts(texts, key, body, bigrams=model.bigrams, among=vocabulary)
-    rows = topics.rows_of(text.weights(counts, F.broadcast(vocabulary.select("term", "idf")), key), vocabulary.select("term", "place"), key)
+    if counting.unique(texts, key):
+        rows = counting.rows(counting.words(texts, key, body), key, vocabulary)
+    else:
+        counts = text.term_counts(texts, key, body, bigrams=model.bigrams, among=vocabulary)
+        rows = topics.rows_of(text.weights(counts, F.broadcast(vocabulary.select("term", "idf")), key), vocabulary.select("term", "place"), key)
     found = topics.assign(rows, key, model.factors, model.labels).withColumnRenamed(key, "_key")
     joined = texts.select(key).join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
     return joined.select(key, F.coalesce("topic_id", F.lit(-1).cast("long")).alias("topic_id"), "topic_label", F.coalesce("topic_score", F.lit(0.0)).alias("topic_score"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomset.operators import counting, index, postings, text, topics
+from loomset.operators import counting, index, postings, text, topic_model, topics
 
 
 def some_texts(spark, n=120):
@@ -106,3 +106,18 @@ def test_wide_products_are_plain_products():
     row, place = np.nonzero(x)
     wide = rng.random((400, 30))
     assert np.allclose(topics.product(row, place, x[row, place], 50, wide), x @ wide)
+
+
+def test_topics_are_learned_and_given_without_dealing_out_counts(spark, monkeypatch):
+    frame = some_texts(spark).filter("id < 900")
+    repeated = frame.union(frame.filter("id = 3"))
+    before = topic_model.score(topic_model.learn(repeated, "id", "body", 3), repeated, "id", "body").count()
+    assert before == 121  # ids that repeat are counted together, and each row gets the topic of its id
+
+    def refused(*args, **more):
+        raise AssertionError("counts are dealt out")
+
+    monkeypatch.setattr(text, "term_counts", refused)
+    model = topic_model.learn(frame, "id", "body", 3)
+    found = {r["id"]: r["topic_id"] for r in topic_model.score(model, frame, "id", "body").collect()}
+    assert len(found) == 120 and len(set(found.values())) > 1
